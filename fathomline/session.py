@@ -85,3 +85,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def checked_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most_rows`` rows; beyond that the planner joins it by shuffle."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
