@@ -7,17 +7,19 @@ Arrow-batched function.
 from __future__ import annotations
 
 import ipaddress
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathomline.functions import policy
 
 
 def is_special_use(host: Column) -> Column:
     """The host is a special-use name or lies under one."""
-    return F.exists(F.array(*[F.lit(d) for d in policy.SPECIAL_USE_DOMAINS]), lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d)))
+    return host.rlike(r"(?:\A|\.)(?:" + "|".join(re.escape(d) for d in policy.SPECIAL_USE_DOMAINS) + r")\z")
 
 
 def ascii_hostname(raw: Column, allow_special_use: bool = False) -> Column:
@@ -36,7 +38,7 @@ def ascii_hostname(raw: Column, allow_special_use: bool = False) -> Column:
     return F.when(shaped & named & allowed, host)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def to_ascii_host(raw: pd.Series) -> pd.Series:
     """International names in their ASCII form (IDNA, UTS 46); null where there is none."""
     try:
@@ -91,7 +93,7 @@ def is_public_ipv4(address: Column) -> Column:
     return F.when(number.isNotNull(), ~inside)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_public_ipv6(address: pd.Series) -> pd.Series:
     """Whether an IPv6 address is public; null if it is no IPv6 address."""
     public, closed = ipaddress.ip_network(policy.IPV6_PUBLIC), [ipaddress.ip_network(n) for n in policy.IPV6_NON_PUBLIC]

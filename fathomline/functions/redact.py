@@ -8,6 +8,7 @@ from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathomline.functions import policy
 from fathomline.functions.normalize import ascii_hostname, ascii_trim, is_public_ipv4, truncate_points
@@ -82,7 +83,7 @@ def sanitize_url_text(url: str) -> tuple[str, bool] | None:
         return None
 
 
-@F.pandas_udf("url string, collapsed boolean")
+@F.pandas_udf(T.StructType([T.StructField("url", T.StringType()), T.StructField("collapsed", T.BooleanType())]))
 def sanitize_url(url: pd.Series) -> pd.DataFrame:
     """User information and fragment removed, unsafe path segments and all query values redacted; null for what is no URL."""
     done = [(None, None) if x is None else sanitize_url_text(x) or (None, None) for x in url]
@@ -130,9 +131,8 @@ def render_version(template: Column, groups: Column) -> Column:
     number = F.regexp_extract(template, r"\A\\(\d+)\?", 1).try_cast("int")
     given = F.length(F.coalesce(F.try_element_at(groups, number), F.lit(""))) > 0
     chosen = F.when(~conditional, template).when(given, F.regexp_extract(template, r"\?([^:]*):", 1)).otherwise(F.regexp_extract(template, r":([^:]*)\z", 1))
-    # Highest numbers first, so that \1 does not eat the start of \12.
-    filled = chosen
-    for n in range(12, 0, -1):
-        filled = F.replace(filled, F.lit(f"\\{n}"), F.coalesce(F.try_element_at(groups, F.lit(n)), F.lit("")))
+    # Highest numbers first, so that \1 does not eat the start of \12. The loop runs in the engine and keeps the generated code small.
+    fill = lambda text, n: F.replace(text, F.concat(F.lit("\\"), n.cast("string")), F.coalesce(F.try_element_at(groups, n), F.lit("")))
+    filled = F.aggregate(F.sequence(F.lit(12), F.lit(1), F.lit(-1)), chosen, fill)
     trimmed = ascii_trim(filled)
     return F.when(trimmed.rlike(VERSION) & ~has_opaque_token(trimmed), trimmed)

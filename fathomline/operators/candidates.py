@@ -100,9 +100,8 @@ def within_budget(costs: DataFrame, record: list[str], budget: int = policy.WORK
     return keep_until_violated(costs, record, order, over)
 
 
-def admit_cookies(cookies: DataFrame, record: list[str], order: str) -> DataFrame:
+def admit_cookies(cookies: DataFrame, record: list[str], order: str, limits: dict[str, int] = policy.COOKIE_LIMITS) -> DataFrame:
     """Cookies (name, value) in order until a count or size limit is broken."""
-    limits = policy.COOKIE_LIMITS
     size = F.octet_length("name") + F.octet_length("value")
     bad = (
         (running(F.lit(1), record, [order]) > limits["count"]) | (F.octet_length("name") > limits["name"])

@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathomline.functions import policy
 
@@ -22,7 +23,7 @@ MAX_RULES = 1_000_000
 
 def parse_tags(original: Column) -> Column:
     r"""Struct pattern, confidence, version_template, valid of a tagged pattern ``p\;confidence:N\;version:T``."""
-    parts = F.split(original, r"\;")
+    parts = F.split(original, r"\\;")
     tags = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
     named = lambda name: F.filter(tags, lambda t: F.startswith(t, F.lit(f"{name}:")))
     value = lambda name: F.substring_index(F.try_element_at(named(name), F.lit(1)), f"{name}:", -1)
@@ -38,7 +39,7 @@ def parse_tags(original: Column) -> Column:
 
 def selector_parts(original: Column) -> Column:
     r"""A selector and its tags: only the first ``\;`` separates."""
-    at = F.locate("\;", original)
+    at = F.locate("\\;", original)
     return F.struct(F.when(at > 0, F.substring(original, F.lit(1), at - 1)).otherwise(original).alias("selector"), F.when(at > 0, F.substring(original, at + 2, F.length(original))).alias("tags"))
 
 
@@ -67,7 +68,7 @@ def rule_id_text(namespace: str, technology: str, source: str, locator: str | No
     return "sha256:" + hashlib.sha256(raw.encode()).hexdigest()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def rule_id(namespace: pd.Series, technology: pd.Series, source: pd.Series, locator: pd.Series, original: pd.Series) -> pd.Series:
     """Digest of the canonical JSON array of a rule's identity."""
     rows = zip(namespace, technology, source, locator, original, strict=True)
@@ -136,7 +137,7 @@ def required_literal(pattern: str) -> str:
     return max(best, run, key=len)
 
 
-@F.pandas_udf("java_pattern string, needle string")
+@F.pandas_udf(T.StructType([T.StructField("java_pattern", T.StringType()), T.StructField("needle", T.StringType())]))
 def compile_pattern(pattern: pd.Series) -> pd.DataFrame:
     """The pattern for the engine and the literal that every match holds."""
     return pd.DataFrame({"java_pattern": [None if p is None else java_pattern(p) for p in pattern], "needle": [None if p is None else required_literal(p) for p in pattern]})

@@ -34,14 +34,14 @@ def applicable(candidates: DataFrame, rules: DataFrame) -> DataFrame:
     same_source = F.col("source") == F.col("r_source")
     exact = candidates.join(rules.where("locator_kind = 'exact'"), same_source & (F.col("key") == F.col("locator")) & kind_fits)
     free = candidates.join(rules.where("locator_kind = 'none'"), same_source & kind_fits)
-    named = candidates.join(rules.where("locator_kind = 'pattern'"), same_source & kind_fits & F.col("key").rlike(F.col("locator_pattern")))
+    named = candidates.join(rules.where("locator_kind = 'pattern'"), same_source & kind_fits & F.rlike("key", F.col("locator_pattern")))
     return exact.unionByName(free).unionByName(named)
 
 
 def is_match() -> Column:
     """The predicate of the rule's mode on a pair."""
     literal = F.contains(F.lower(F.col("value")), F.lower(F.col("pattern")))
-    pattern = F.contains(F.lower(F.col("value")), F.col("needle")) & F.col("value").rlike(F.col("java_pattern"))
+    pattern = F.contains(F.lower(F.col("value")), F.col("needle")) & F.rlike("value", F.col("java_pattern"))
     return F.when(F.col("match_mode") == "presence", True).when(F.col("match_mode") == "literal", literal).otherwise(pattern)
 
 

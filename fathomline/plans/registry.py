@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import wraps
 
-from fathomline.plans import data_problems
+from fathomline.plans import data_problems, runs, signals
 from fathomline.session import ensure_workers_import
 
-MODULES = [data_problems]
-FLAGSHIP = "p3_found"
+MODULES = [signals, runs, data_problems]
+FLAGSHIP = "technology_frequency"
 
 
 def prepared(query):
