@@ -99,10 +99,12 @@ def item_pairs(df: DataFrame, record: list[str], fields: list[str], min_records:
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         waiting: dict[str, list[np.ndarray]] = {}
+        pending: dict[str, int] = {}
 
         def settle(field: str) -> None:
             codes, counts = state.get(field, (np.empty(0, np.int64), np.empty(0, np.int64)))
             fresh = np.concatenate(waiting.pop(field))
+            pending[field] = 0
             state[field] = fold_counts(np.r_[codes, fresh], np.r_[counts, np.ones(len(fresh), np.int64)])
 
         for batch in batches:
@@ -112,7 +114,8 @@ def item_pairs(df: DataFrame, record: list[str], fields: list[str], min_records:
             for at, field in enumerate(names):
                 for codes in pair_codes([flat[offsets[at] : offsets[at + 1]]], base):
                     waiting.setdefault(field, []).append(codes)
-                    if sum(map(len, waiting[field])) >= BLOCK_PAIRS:
+                    pending[field] = pending.get(field, 0) + len(codes)
+                    if pending[field] >= BLOCK_PAIRS:
                         settle(field)
                         if len(state[field][0]) >= FLUSH_PAIRS:
                             yield _stripes(field, *state.pop(field), base)
