@@ -236,17 +236,39 @@ def merge_digests(digests: DataFrame, keys: list[str], k: int = DEFAULT_K, parts
         digests = digests.withColumn("_task", F.spark_partition_id())
 
     def step(table: DataFrame, by: list[str]) -> DataFrame:
+        """Add up the digests of each group; all groups of a batch at once, in the order of their keys."""
         schema = _digest_schema(table, by)
         names = [*by, "n", "total", "nodes", "counts"]
 
-        def add(frame: pd.DataFrame) -> pd.DataFrame:
-            sizes = [len(x) for x in frame["nodes"]]
-            node = np.concatenate([np.asarray(x, dtype=np.int64) for x in frame["nodes"]])
-            count = np.concatenate([np.asarray(x, dtype=np.int64) for x in frame["counts"]])
-            group, node, count = compress(np.zeros(sum(sizes), dtype=np.int64), node, count, k)
-            return _rows(frame[by].iloc[:1], np.array([frame["n"].sum()]), np.array([frame["total"].sum()]), group, node, count)[names]
-
-        return table.groupBy(*by).applyInPandas(add, schema)
+        def merged(frame: pd.DataFrame) -> pd.DataFrame:
+            group = frame.groupby(by, sort=False, dropna=False).ngroup().to_numpy() if by else np.zeros(len(frame), dtype=np.int64)
+            sizes = np.array([len(x) for x in frame["nodes"]])
+            node, count = (np.concatenate([np.asarray(x, dtype=np.int64) for x in frame[c]]) for c in ("nodes", "counts"))
+            first = np.unique(group, return_index=True)[1]
+            sums = [np.zeros(len(first), dtype=np.int64) for _ in range(2)]
+            for out, c in zip(sums, ("n", "total"), strict=True):
+                np.add.at(out, group, frame[c].to_numpy(np.int64))
+            return _rows(frame[by].iloc[first], *sums, *compress(np.repeat(group, sizes), node, count, k))[names]
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: list[pd.DataFrame] = []  # digests of groups that may go on in the next batch
+            for frame in frames:
+                if not len(frame):
+                    continue
+                rows = pd.concat([*held, frame], ignore_index=True) if held else frame
+                keys_of = rows[by].ne(rows[by].shift()) & ~(rows[by].isna() & rows[by].shift().isna()) if by else pd.DataFrame({"_": [False] * len(rows)})
+                starts = np.flatnonzero(keys_of.any(axis=1).to_numpy()[1:]) + 1
+                cut = int(starts[-1]) if len(starts) else 0
+                if cut:
+                    yield merged(rows.iloc[:cut])
+                held = [rows.iloc[cut:]]
+                if len(held[0]) > FAN_IN:
+                    held = [merged(held[0])]
+            if held and len(held[0]):
+                yield merged(held[0])
+
+        placed = table.repartition(*by).sortWithinPartitions(*by) if by else table.coalesce(1)
+        return placed.select(*names).mapInPandas(run, schema)
 
     table = digests.select(*keys, "_task", "n", "total", "nodes", "counts")
     while parts > FAN_IN:
