@@ -41,30 +41,28 @@ class Placement:
     bucket_tasks: list[int]
     loads: list[float]
 
-    def _bucket(self, df: DataFrame) -> Column:
-        return _bucket(self.keys, len(self.bucket_tasks))
-
-    def _with_shards(self, df: DataFrame) -> DataFrame:
+    def _places(self, df: DataFrame) -> DataFrame:
+        """Add ``_shards`` (null for light keys) and ``_light``, from two small tables of bounded size."""
+        spark = df.sparkSession
+        buckets = spark.createDataFrame(list(enumerate(self.bucket_tasks)), "_b long, _light int")
+        placed = df.withColumn("_at", _bucket(self.keys, len(self.bucket_tasks)))
+        placed = placed.join(F.broadcast(buckets), placed["_at"] == buckets["_b"], "left").drop("_at", "_b")
         if not self.n_heavy:
-            return df.withColumn("_shards", F.lit(None).cast("array<int>"))
+            return placed.withColumn("_shards", F.lit(None).cast("array<int>"))
         heavy = self.heavy.select(*[F.col(k).alias(f"_h_{i}") for i, k in enumerate(self.keys)], "_shards")
-        on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(heavy[f"_h_{i}"]) for i, k in enumerate(self.keys)])
-        return df.join(F.broadcast(heavy), on, "left").drop(*[f"_h_{i}" for i in range(len(self.keys))])
-
-    def _light_task(self) -> Column:
-        table = F.array(*[F.lit(t) for t in self.bucket_tasks])
-        return F.element_at(table, (_bucket(self.keys, len(self.bucket_tasks)) + 1).cast("int"))
+        on = reduce(lambda a, b: a & b, [placed[k].eqNullSafe(heavy[f"_h_{i}"]) for i, k in enumerate(self.keys)])
+        return placed.join(F.broadcast(heavy), on, "left").drop(*[f"_h_{i}" for i in range(len(self.keys))])
 
     def shard(self, df: DataFrame, spread: Column | None = None) -> DataFrame:
         """Add ``_task``: the one task of each row of the skewed side."""
         spread = F.monotonically_increasing_id() if spread is None else F.xxhash64(spread)
         pick = F.element_at("_shards", (F.pmod(spread, F.size("_shards")) + 1).cast("int"))
-        return self._with_shards(df).withColumn("_task", F.when(F.col("_shards").isNotNull(), pick).otherwise(self._light_task())).drop("_shards")
+        return self._places(df).withColumn("_task", F.when(F.col("_shards").isNotNull(), pick).otherwise(F.col("_light"))).drop("_shards", "_light")
 
     def replicate(self, df: DataFrame) -> DataFrame:
         """Add ``_task``: a copy of each row of the matching side for every task that needs it."""
-        targets = F.when(F.col("_shards").isNotNull(), F.array_distinct("_shards")).otherwise(F.array(self._light_task()))
-        return self._with_shards(df).withColumn("_task", F.explode(targets)).drop("_shards")
+        targets = F.when(F.col("_shards").isNotNull(), F.array_distinct("_shards")).otherwise(F.array("_light"))
+        return self._places(df).withColumn("_task", F.explode(targets)).drop("_shards", "_light")
 
     def send(self, df: DataFrame) -> DataFrame:
         """Move every row to its ``_task``, exactly."""
@@ -129,7 +127,7 @@ def balanced_aggregate(df: DataFrame, keys: list[str], partials: Mapping[str, Co
 
     Defined cases: a null key is a key; an empty table gives no rows; repeated
     rows all count; columns other than the keys are not touched, whatever their
-    names (names starting with ``_`` followed by task, shards or h_ are reserved).
+    names (``_task``, ``_shards``, ``_light`` and names starting with ``_h_`` are reserved).
     """
     merges = merges or {}
     placement = place_keys(df, keys, tasks)
