@@ -186,7 +186,7 @@ def normalize_dns(kind: Column, raw: Column) -> Column:
     chunks = F.from_json(raw, "array<string>")
     text = F.array_join(chunks, "")
     property_name = F.filter(F.json_object_keys(raw), lambda k: k != "critical")
-    caa = F.when(F.size(property_name) == 1, F.concat(property_name[0], F.lit("="), F.get_json_object(raw, F.concat(F.lit("$."), property_name[0]))))
+    caa = F.when(F.size(property_name) == 1, F.concat(property_name[0], F.lit("="), F.from_json(raw, "map<string,string>")[property_name[0]]))
     return (
         F.when(kind.isin("A", "AAAA"), raw).when(kind.isin("CNAME", "NS", "PTR"), F.lower(F.regexp_replace(raw, r"\.\z", "")))
         .when(kind == "MX", host("$.exchange")).when(kind == "SRV", host("$.name")).when(kind == "SOA", host("$.nsname"))
