@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -85,12 +86,13 @@ def ipv4_number(address: Column) -> Column:
 
 def is_public_ipv4(address: Column) -> Column:
     """Whether an IPv4 address is public; null if it is no IPv4 address. The ranges are folded into the expression."""
-    number = ipv4_number(address)
-    inside = F.lit(False)
-    for cidr in policy.IPV4_NON_PUBLIC:
-        net = ipaddress.ip_network(cidr)
-        inside = inside | number.between(int(net.network_address), int(net.broadcast_address))
-    return F.when(number.isNotNull(), ~inside)
+    nets = [ipaddress.ip_network(c) for c in policy.IPV4_NON_PUBLIC]
+
+    def public(number: Column) -> Column:
+        return ~reduce(lambda a, b: a | b, [number.between(int(n.network_address), int(n.broadcast_address)) for n in nets])
+
+    # The number is bound once, by a one-element array, instead of standing in the expression once per range.
+    return F.transform(F.array(ipv4_number(address)), public)[0]
 
 
 @F.pandas_udf(T.BooleanType())

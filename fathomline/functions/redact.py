@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit
 
 import pandas as pd
@@ -24,11 +25,13 @@ def has_opaque_token(text: Column) -> Column:
     return text.rlike(OPAQUE)
 
 
+def _words(words: tuple[str, ...]) -> str:
+    return r"(?i)(?:^|[^a-z0-9])(?:" + "|".join(words) + r"|api[^a-z0-9]+key)(?:$|[^a-z0-9])"
+
+
 def has_sensitive_word(text: Column, words: tuple[str, ...] = policy.SENSITIVE_WORDS) -> Column:
     """One of the words, or ``api`` followed by ``key``, among the alphanumeric tokens of the text."""
-    listed = "|".join(words)
-    lower = F.lower(text)
-    return lower.rlike(rf"(?:^|[^a-z0-9])(?:{listed})(?:$|[^a-z0-9])") | lower.rlike(r"(?:^|[^a-z0-9])api[^a-z0-9]+key(?:$|[^a-z0-9])")
+    return text.rlike(_words(words))
 
 
 def has_credential(text: Column) -> Column:
@@ -37,7 +40,12 @@ def has_credential(text: Column) -> Column:
 
 
 def is_sensitive(text: Column) -> Column:
-    return has_sensitive_word(text) | has_opaque_token(text)
+    return text.rlike(f"{_words(policy.SENSITIVE_WORDS)}|{OPAQUE}")
+
+
+def is_secret(text: Column) -> Column:
+    """Sensitive, or with credentials; one pattern."""
+    return text.rlike(f"{_words(policy.SENSITIVE_WORDS)}|{OPAQUE}|{CREDENTIAL.removeprefix('(?i)')}")
 
 
 def evidence_key(source: Column, key: Column) -> Column:
@@ -64,6 +72,7 @@ def sanitize_path(path: str) -> str:
     return "/".join("" if s == "" else REDACTED_SEGMENT if s == "[redacted]" or bad else s for s, bad in zip(segments, unsafe, strict=True))
 
 
+@lru_cache(maxsize=1 << 16)
 def sanitize_url_text(url: str) -> tuple[str, bool] | None:
     """(sanitised URL, whether it collapsed to its origin); None if it is no http URL or too long."""
     try:
@@ -97,8 +106,8 @@ def evidence_match(source: Column, key: Column, observed: Column, matched: Colum
     Null and empty values are redacted.
     """
     url = F.when(~clean_url["collapsed"] & (F.char_length(clean_url["url"]) <= policy.MATCH_POINTS), clean_url["url"])
-    header = F.when(~(has_sensitive_word(F.lower(F.coalesce(key, F.lit(""))), policy.SENSITIVE_HEADER_WORDS) | has_credential(observed) | is_sensitive(observed)), matched)
-    meta = F.when(key.isin(*policy.PUBLIC_META_KEYS) & ~(has_credential(observed) | is_sensitive(observed)), matched)
+    header = F.when(~(has_sensitive_word(F.coalesce(key, F.lit("")), policy.SENSITIVE_HEADER_WORDS) | is_secret(observed)), matched)
+    meta = F.when(key.isin(*policy.PUBLIC_META_KEYS) & ~is_secret(observed), matched)
     host = F.when(key.isin("CNAME", "MX", "NS", "PTR", "SRV") & (ascii_hostname(observed) == observed), observed)
     dns = F.coalesce(F.when((key == "A") & is_public_ipv4(observed), observed), host)
     tls = F.when(~is_sensitive(observed), matched)
@@ -115,7 +124,7 @@ def evidence_match(source: Column, key: Column, observed: Column, matched: Colum
 
 def evidence_version(source: Column, observed: Column, matched: Column, version: Column, clean_url: Column) -> Column:
     """The version that evidence may carry: well-shaped, from a harmless match and, for URLs, from an unchanged path without query."""
-    harmless = ~(is_sensitive(version) | has_credential(matched) | is_sensitive(matched))
+    harmless = ~(is_sensitive(version) | is_secret(matched))
     plain_url = (clean_url["url"] == observed) & ~clean_url["collapsed"] & ~observed.rlike(r"[?#]")
     fine = version.rlike(VERSION) & harmless & (~source.isin(*policy.URL_SOURCES) | F.coalesce(plain_url, F.lit(False)))
     return F.when(fine, version)

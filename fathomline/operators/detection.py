@@ -16,12 +16,10 @@ def build_evidence(matches: DataFrame, record: list[str]) -> DataFrame:
 
     matches: see :func:`fathomline.operators.matching.match_rules`. Presence
     matches carry no pattern and no version; a version needs a visible match.
-    URLs are sanitised once per distinct value where sources need it.
+    Only URLs that evidence shows visit the sanitising function.
     """
     is_url = F.col("source").isin(*policy.URL_SOURCES)
-    plain = matches.where(~is_url).withColumn("_u", F.lit(None).cast("struct<url:string,collapsed:boolean>"))
-    urls = matches.where(is_url).withColumn("_u", sanitize_url("value"))
-    rows = plain.unionByName(urls)
+    rows = matches.withColumn("_u", sanitize_url(F.when(is_url & (F.col("match_mode") != "presence"), F.col("value"))))
     shown = evidence_match(F.col("source"), F.col("key"), F.col("value"), F.col("matched"), F.col("_u"))
     presence = F.struct(F.lit("presence").alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(False).alias("truncated"))
     present = F.col("match_mode") == "presence"

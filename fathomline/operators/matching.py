@@ -1,22 +1,29 @@
 """The join of candidates with rules: presence, literal and pattern predicates.
 
-Three branches by the kind of a rule's locator keep every part of the condition
-that can be a hash key a hash key: (source, key) for exact locators, source for
-rules without locator and for pattern locators. The rules are a bounded
-dimension (checked), so candidates never move. Before a pattern runs, the
-literal that all its matches hold is searched, which spares nearly all runs.
+Every part of the condition that can be a hash key is one: a candidate looks up
+(source, key) for rules with exact locators and (source, none) for the others.
+The rules are a bounded dimension (checked), so candidates never move. Before a
+pattern runs, the literal that all its matches hold is searched, which spares
+nearly all runs; the matched text and groups are then read once per match by a
+function that keeps its compiled patterns.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathomline.functions import policy
 from fathomline.functions.redact import render_version
 from fathomline.operators.catalog import MAX_RULES, compile_pattern, locator_kind, normal_locator
 from fathomline.session import checked_broadcast, materialize
 
+_COMPILED: dict[str, re.Pattern] = {}
+
 
 def prepare_rules(rules: DataFrame) -> DataFrame:
     """Rules with their engine pattern, needle and locator kind, materialised once (a bounded table)."""
@@ -28,14 +35,32 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
 
 
 def applicable(candidates: DataFrame, rules: DataFrame) -> DataFrame:
-    """Pairs of candidates and rules that may match by source, key and kind."""
-    rules = checked_broadcast(rules, MAX_RULES)
+    """Pairs of candidates and rules that may match by source, key and kind.
+
+    One hash join: a candidate looks up the rules of its source without exact
+    locator and those for its key. Candidates stay where they are.
+    """
+    lookup = F.when(F.col("key").isNotNull(), F.array(F.lit(None).cast("string"), F.col("key"))).otherwise(F.array(F.lit(None).cast("string")))
+    looking = candidates.withColumn("_lookup", F.explode(lookup))
+    known = rules.withColumn("_exact", F.when(F.col("locator_kind") == "exact", F.col("locator")))
     kind_fits = (F.col("kind") == "value") | (F.col("match_mode") == "presence")
-    same_source = F.col("source") == F.col("r_source")
-    exact = candidates.join(rules.where("locator_kind = 'exact'"), same_source & (F.col("key") == F.col("locator")) & kind_fits)
-    free = candidates.join(rules.where("locator_kind = 'none'"), same_source & kind_fits)
-    named = candidates.join(rules.where("locator_kind = 'pattern'"), same_source & kind_fits & F.rlike("key", F.col("locator_pattern")))
-    return exact.unionByName(free).unionByName(named)
+    named = (F.col("locator_kind") != "pattern") | F.rlike("key", F.col("locator_pattern"))
+    on = (F.col("source") == F.col("r_source")) & F.col("_lookup").eqNullSafe(F.col("_exact")) & kind_fits & named
+    return looking.join(checked_broadcast(known, MAX_RULES), on).drop("_lookup", "_exact")
+
+
+@F.pandas_udf(T.StructType([T.StructField("matched", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField("groups", T.ArrayType(T.StringType()))]))
+def first_match(value: pd.Series, pattern: pd.Series) -> pd.DataFrame:
+    """The first match of an engine pattern: text, place and groups. Patterns are compiled once per worker."""
+    rows = []
+    for v, p in zip(value, pattern, strict=True):
+        found = None
+        if p is not None and v is not None:
+            if p not in _COMPILED:
+                _COMPILED[p] = re.compile(p.replace("\\z", "\\Z"), re.ASCII)
+            found = _COMPILED[p].search(v)
+        rows.append((None, None, None) if found is None else (found.group(), found.start(), [g or "" for g in found.groups()]))
+    return pd.DataFrame(rows, columns=["matched", "place", "groups"]).astype({"place": "Int32"})
 
 
 def is_match() -> Column:
@@ -52,19 +77,15 @@ def match_rules(candidates: DataFrame, rules: DataFrame) -> DataFrame:
     have them); rules: see :func:`prepare_rules`. Only the first match of a rule
     in a value counts. Null values meet presence rules only.
     """
-    pairs = applicable(candidates, rules).where(is_match())
-    value, pattern = F.col("value"), F.col("pattern")
-    literal_at = F.expr("locate(lower(pattern), lower(value))")
-    matched = F.when(F.col("match_mode") == "regex", F.expr("regexp_extract(value, java_pattern, 0)")).when(F.col("match_mode") == "literal", F.substring(value, literal_at, F.length(pattern))).otherwise("")
-    at = F.when(F.col("match_mode") == "regex", F.expr("regexp_instr(value, java_pattern)") - 1).when(F.col("match_mode") == "literal", literal_at - 1).otherwise(0)
-    # A pattern has as many groups as it opens; only templates ask for them.
-    n_groups = F.length(F.regexp_replace(F.regexp_replace(F.coalesce(pattern, F.lit("")), r"\\.|\[[^\]]*\]|\(\?", ""), r"[^(]", ""))
-    groups = F.expr("transform(sequence(1, greatest(_groups, 1)), g -> regexp_extract(value, java_pattern, cast(g as int)))")
-    with_groups = pairs.withColumn("matched", matched).withColumn("match_index", at.cast("int")).withColumn("_groups", n_groups)
-    wanted = (F.col("match_mode") == "regex") & F.col("version_template").isNotNull() & (F.col("_groups") > 0)
-    return with_groups.withColumn("_g", F.when(wanted, groups)).withColumn(
-        "version", F.when((F.col("match_mode") == "regex") & F.col("version_template").isNotNull(), render_version(F.col("version_template"), F.coalesce("_g", F.array().cast("array<string>"))))
-    ).withColumn("match_length", F.length("matched")).drop("_groups", "_g", "r_source", "locator", "locator_pattern", "java_pattern", "needle", "locator_kind")
+    mode, value = F.col("match_mode"), F.col("value")
+    pairs = applicable(candidates, rules).where(is_match()).withColumn("_m", first_match("value", F.when(mode == "regex", F.col("java_pattern"))))
+    at = F.expr("locate(lower(pattern), lower(value))")
+    regex, literal = mode == "regex", mode == "literal"
+    matched = F.when(regex, F.col("_m.matched")).when(literal, F.substring(value, at, F.length("pattern"))).otherwise("")
+    place = F.when(regex, F.col("_m.place")).when(literal, at - 1).otherwise(0).cast("int")
+    version = F.when(regex & F.col("version_template").isNotNull(), render_version(F.col("version_template"), F.col("_m.groups")))
+    shown = pairs.select("*", matched.alias("matched"), place.alias("match_index"), F.length(matched).alias("match_length"), version.alias("version"))
+    return shown.drop("_m", "r_source", "locator", "locator_pattern", "java_pattern", "needle", "locator_kind")
 
 
 def dedupe_matches(matches: DataFrame, record: list[str], most: int = policy.MATCHES_PER_DOMAIN) -> DataFrame:
