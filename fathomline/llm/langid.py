@@ -290,7 +290,7 @@ def _confirmed(model: Model, every: list[str], pool: list[tuple[int, int, bool,
     return out
 
 
-def fit(samples: DataFrame, documents: DataFrame, docs_per_label: int = 150, seed: int = 11) -> Model:
+def fit(samples: DataFrame, documents: DataFrame, docs_per_label: int = 250, seed: int = 11) -> Model:
     """Train on ``samples`` (lang, text; right) and a bounded sample of ``documents`` (doc_id, text, label).
 
     label: two-letter code or null. At most ``docs_per_label`` documents of each
