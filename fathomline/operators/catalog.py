@@ -224,3 +224,52 @@ def catalog_digest(files: list[tuple[str, bytes]]) -> str:
             h.update(len(part).to_bytes(8, "big"))
             h.update(part)
     return "sha256:" + h.hexdigest()
+
+
+def rules_from_documents(flat, namespace: str) -> DataFrame:
+    """Raw rules (doc_id, namespace, technology, source, locator, original) of flattened catalog documents.
+
+    flat: tables of :func:`fathomline.operators.nested.flatten_json` whose
+    dictionaries turn headers, js, meta and dom into entries of name and value.
+    A selector with an object of facts gives one rule per fact, whose locator is
+    selector and fact.
+    Fields with one pattern or a list of patterns have no locator. The fields and
+    their sources are :data:`FIELD_SOURCES`; tables that no document needs are absent.
+    """
+    technologies = flat.table("technologies", {"technology": "name"}).select(F.col("doc_key").alias("k"), F.col("node_id").alias("t_id"), "technology")
+    keyed_fields = [f for f in ("headers", "js", "meta", "dom", "cookies", "dns") if f in flat.plan.tables]
+    parts = []
+    values = flat.table("value").select("parent_table", "doc_key", "parent_id", F.explode("columns").alias("fact", "original")) if "value" in flat.plan.tables else None
+    for field in keyed_fields:
+        entries = flat.table(field, {"locator": "name", "alone": "value"}).where("parent_table = 'technologies'").select(F.col("doc_key").alias("k"), F.col("doc_id"), F.col("node_id").alias("e_id"), F.col("parent_id").alias("t_id"), "locator", "alone")
+        if values is not None:
+            own = values.where(F.col("parent_table") == field).select(F.col("doc_key").alias("k"), F.col("parent_id").alias("e_id"), "fact", "original")
+            listed = entries.join(own, ["k", "e_id"]).withColumn("locator", F.when(F.col("fact") == "value", F.col("locator")).otherwise(F.concat_ws(" ", "locator", "fact")))
+        else:
+            listed = entries.where("alone IS NOT NULL").withColumn("original", F.col("alone"))
+        parts.append(listed.select("k", "doc_id", "t_id", F.lit(FIELD_SOURCES[field]).alias("source"), "locator", "original"))
+    if {"attributes", "value", "dom"} <= flat.plan.tables:
+        # dom entry > value object > attribute entry > pattern
+        up = lambda table, parent, own, above, *columns: flat.table(table, dict(columns)).where(F.col("parent_table") == parent).select(F.col("doc_key").alias("k"), "doc_id", F.col("node_id").alias(own), F.col("parent_id").alias(above), *[c for c, _ in columns])
+        selector = up("dom", "technologies", "d_id", "t_id", ("selector", "name"))
+        holder = up("value", "dom", "v_id", "d_id").drop("doc_id")
+        attribute = up("attributes", "value", "a_id", "v_id", ("attribute", "name")).drop("doc_id")
+        pattern = up("value", "attributes", "p_id", "a_id", ("original", "value")).drop("doc_id")
+        joined = selector.join(holder, ["k", "d_id"]).join(attribute, ["k", "v_id"]).join(pattern, ["k", "a_id"])
+        parts.append(joined.select("k", "doc_id", "t_id", F.lit("dom").alias("source"), F.concat_ws(" ", "selector", F.concat(F.lit("attributes."), "attribute")).alias("locator"), "original"))
+    for field in [f for f in FIELD_SOURCES if f in flat.plan.tables and f not in keyed_fields]:
+        rows = flat.table(field, {"original": "value"}).where("parent_table = 'technologies'")
+        parts.append(rows.select(F.col("doc_key").alias("k"), "doc_id", F.col("parent_id").alias("t_id"), F.lit(FIELD_SOURCES[field]).alias("source"), F.lit(None).cast("string").alias("locator"), "original"))
+    schema = "doc_id long, namespace string, technology string, source string, locator string, original string"
+    if not parts:
+        return flat.df.sparkSession.createDataFrame([], schema)
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.where("original IS NOT NULL").join(technologies, ["k", "t_id"]).select("doc_id", F.lit(namespace).alias("namespace"), "technology", "source", "locator", "original")
+
+
+def catalog_limits(rules: DataFrame, most_rules: int = MAX_RULES, most_length: int = 65_536) -> DataFrame:
+    """One row: numbers of rules and technologies, the longest pattern, and whether all limits hold."""
+    sums = rules.agg(F.count(F.lit(1)).alias("n_rules"), F.countDistinct("technology").alias("n_technologies"), F.coalesce(F.max(F.length("original")), F.lit(0)).alias("longest"))
+    return sums.withColumn("within_limits", (F.col("n_rules") <= most_rules) & (F.col("longest") <= most_length))

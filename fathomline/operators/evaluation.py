@@ -170,3 +170,46 @@ def fold_wins(left: DataFrame, right: DataFrame, metric: str) -> DataFrame:
 def limit_hits(hits: DataFrame) -> DataFrame:
     """Limit hits by category and ordinal: hits, domains, pages."""
     return hits.groupBy("category", "ordinal").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("domain").alias("domains"), F.countDistinct("domain", "page_id").alias("pages"))
+
+
+def category_tokens(names: DataFrame, categories: DataFrame, key: str) -> DataFrame:
+    """key, token of the categories of a domain's technologies; raises if a name has no category entry.
+
+    names: key, name; categories: name, category.
+    """
+    known = categories.select("name", F.col("category").cast("string").alias("category"))
+    if names.join(known, "name", "left_anti").limit(1).count():
+        raise ValueError("a technology has no category mapping")
+    return names.join(known, "name").select(key, F.concat(F.lit("category:"), "category").alias("token")).distinct()
+
+
+def training_deficits(full: DataFrame, cheap: DataFrame, key: str) -> DataFrame:
+    """One row: pairs and names that the cheap view lacks up to 80 and 95 percent of the full view, at least 1."""
+    full, cheap = full.select(key, "name").distinct(), cheap.select(key, "name").distinct()
+    kept = full.join(cheap, [key, "name"], "left_semi")
+    totals = full.agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("name").alias("names")).join(F.broadcast(kept.agg(F.count(F.lit(1)).alias("pairs_kept"), F.countDistinct("name").alias("names_kept"))))
+    return totals.select(
+        F.greatest(F.lit(1), ceil_share(F.col("pairs"), 80) - F.col("pairs_kept")).alias("pair_deficit"), F.greatest(F.lit(1), ceil_share(F.col("names"), 95) - F.col("names_kept")).alias("name_deficit")
+    )
+
+
+def utility(pair_gain: Column, novelty: Column, pair_deficit: Column, name_deficit: Column) -> Column:
+    """Worth of a domain: its gains as shares of what is missing."""
+    return pair_gain / pair_deficit + novelty / name_deficit
+
+
+def control_sample(domains: DataFrame, selected: DataFrame, key: str, group: str, salt: str, per_group: int) -> DataFrame:
+    """Per group the ``per_group`` domains with the smallest salted hashes among those not selected."""
+    rest = domains.join(selected.select(key).distinct(), key, "left_anti")
+    w = Window.partitionBy(group).orderBy(F.sha2(F.concat(F.lit(salt), F.lit("\0"), F.col(key)), 256), key)
+    return rest.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= per_group).drop("_at")
+
+
+def snapshots(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """Evaluation snapshots in order of their domains; raises on a repeated domain or more than ``most``."""
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("d")).first()
+    if sums.n != sums.d:
+        raise ValueError("a domain has two snapshots")
+    if sums.n > most:
+        raise ValueError(f"{sums.n} snapshots; at most {most} are allowed")
+    return rows.orderBy(key)

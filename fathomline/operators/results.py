@@ -133,3 +133,39 @@ def check_detections(stated: DataFrame, recomputed: DataFrame, keys: list[str],
     a = stated.select(*keys, F.struct(*values).alias("stated"))
     b = recomputed.select(*keys, F.struct(*values).alias("recomputed"))
     return a.join(b, keys, "full").where(~F.col("stated").eqNullSafe(F.col("recomputed")))
+
+
+def document_class(status: Column, same_site: Column, is_main: Column) -> Column:
+    """What a document seen by the browser is: admitted, denied (refusals) or rejected."""
+    return F.when(status.isin(401, 403, 407, 451), "denied").when(is_main & same_site & status.between(200, 299), "admitted").otherwise("rejected")
+
+
+def bound_record(record: DataFrame, most_bytes: int) -> DataFrame:
+    """Records beyond a size in JSON lose their technologies and get ``limit_exceeded``."""
+    over = F.octet_length(F.to_json(F.struct("*"))) > most_bytes
+    return record.withColumn("limit_exceeded", over).withColumn("technologies", F.when(~F.col("limit_exceeded"), F.col("technologies")).otherwise(F.slice("technologies", 1, 0)))
+
+
+def page_features(pages: DataFrame, record: list[str]) -> DataFrame:
+    """Sizes of what was seen before a browser ran: bytes, characters, links, metadata, pages."""
+    size = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0))
+    return pages.groupBy(*record).agg(F.count(F.lit(1)).alias("n_pages"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n_bytes"), F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("n_chars"), size("urls").alias("n_urls"), size("metadata").alias("n_metadata"))
+
+
+def inference_issues(technologies: DataFrame, record: list[str], most_hops: int = 64) -> DataFrame:
+    """Inferred technologies whose parents are missing, deeper than or as deep as themselves, or unequal in depth.
+
+    technologies: record, technology, type, hops, parents (names in an array of
+    structs). Depths make circles visible: a parent must stand one step higher.
+    """
+    own = technologies.select(*record, F.col("technology").alias("_p"), F.col("hops").alias("_h"))
+    edges = technologies.where("type = 'inferred'").select(*record, "technology", "hops", F.explode("parents").alias("p")).select(*record, "technology", "hops", F.col("p.technology").alias("_p"))
+    joined = edges.join(own, [*record, "_p"], "left")
+    issue = F.when(F.col("_h").isNull(), "parent missing").when(F.col("_h") != F.col("hops") - 1, "parent at wrong depth").when(F.col("hops") > most_hops, "too deep")
+    return joined.select(*record, "technology", issue.alias("issue")).where("issue IS NOT NULL").distinct()
+
+
+def limit_issues(records: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """Add ``limit_issues``: usage counters above their configured limits (missing counters are within)."""
+    found = F.array(*[F.when(F.coalesce(F.col(f"usage.{c}") > most, F.lit(False)), F.lit(c)) for c, most in limits.items()])
+    return records.withColumn("limit_issues", F.filter(found, lambda x: x.isNotNull()))

@@ -100,7 +100,7 @@ _SQL_TERMS = f"""terms AS (
 
 RESULT_SHAPE = Shape(root="record", anchor="technologies")
 CATALOG_SHAPE = Shape(
-    root="catalog", anchor="technologies", bare=True, dictionaries={"technologies": ("name", None), "headers": ("name", "value"), "js": ("name", "value"), "meta": ("name", "value"), "dom": ("name", "value")}
+    root="catalog", anchor="technologies", bare=True, dictionaries={"technologies": ("name", None), "headers": ("name", "value"), "js": ("name", "value"), "meta": ("name", "value"), "dom": ("name", "value"), "attributes": ("name", "value")}
 )
 
 

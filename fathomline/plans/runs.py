@@ -95,6 +95,19 @@ def resume_antijoin(spark, folder):
     return _records(spark, folder).select(*RECORD).join(done, RECORD, "left_anti")
 
 
+LIMITS = {"http_requests": 20, "browser_requests": 100, "pages_visited": 2, "retries": 1}
+
+
+def limit_issues(spark, folder):
+    """Records whose usage is above (tight) limits."""
+    return results.limit_issues(_records(spark, folder), LIMITS).select(*RECORD, F.explode("limit_issues").alias("counter"))
+
+
+def document_classes(spark, folder):
+    rows = read_table(spark, folder, "orders").select("o_orderkey", F.pmod(F.col("o_orderkey"), F.lit(700)).cast("int").alias("status"), (F.pmod(F.col("o_custkey"), F.lit(2)) == 0).alias("same_site"))
+    return rows.select("o_orderkey", results.document_class(F.col("status"), F.col("same_site"), F.lit(True)).alias("class"))
+
+
 # --- evaluation -------------------------------------------------------------------
 
 
@@ -173,6 +186,22 @@ def cost_guardrails(spark, folder):
     return out.select("domains_full", "domains_selected", *[c for m in COSTS for c in (f"{m}_full", f"{m}_selected")], "accepted")
 
 
+def category_tokens(spark, folder):
+    """Category tokens of the cheap view, for the names that the catalog knows."""
+    categories = read_table(spark, folder, "technologies").select(F.lower("name").alias("name"), F.explode("categories").alias("c")).select("name", F.col("c.id").alias("category"))
+    cheap = _views(spark, folder)[1]
+    return ev.category_tokens(cheap.join(categories.select("name").distinct(), "name", "left_semi"), categories, "key")
+
+
+def training_deficits(spark, folder):
+    return ev.training_deficits(*_views(spark, folder), "key")
+
+
+def control_sample(spark, folder):
+    """Two controls in each fold besides the selected domains."""
+    return ev.control_sample(_targets(spark, folder), _selected(spark, folder), "key", "fold", "more", 2).select("fold", "key")
+
+
 def fold_wins(spark, folder):
     """Folds in which the mean target of high scores beats the mean of all."""
     t = _targets(spark, folder)
@@ -190,7 +219,7 @@ def greedy_selection(spark, folder):
 
 
 NAMES = [
-    technology_frequency, run_summary, attribution, error_groups, hard_limits, limit_hits, bound_errors, validation_issues, domain_status, response_outcomes, stated_detections, resume_antijoin, fold_assign, count_bins,
+    technology_frequency, run_summary, attribution, error_groups, hard_limits, limit_hits, bound_errors, validation_issues, domain_status, response_outcomes, stated_detections, resume_antijoin, limit_issues, document_classes, category_tokens, training_deficits, control_sample, fold_assign, count_bins,
     feature_tokens, lift_targets, token_model, oof_scores, quotas_largest_remainder, hash_sample, retention_metrics, cost_guardrails, fold_wins, greedy_selection,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
@@ -240,6 +269,11 @@ ORACLE_SQL = {
     "response_outcomes": f"WITH o AS (SELECT DISTINCT CAST(o_orderkey % 700 AS INTEGER) AS s, o_custkey % 2 = 0 AS internal, CASE WHEN o_custkey % 3 > 0 THEN 'text/html' END AS media FROM orders) SELECT s AS status, internal, media, {_STATUS} AS outcome FROM o",
     "stated_detections": f"WITH {_SQL}, a AS (SELECT run_id, domain, detection_stats.retained_direct AS n FROM rec), b AS (SELECT run_id, domain, count(DISTINCT technology) AS n FROM e GROUP BY 1, 2) SELECT coalesce(a.run_id, b.run_id) AS run_id, coalesce(a.domain, b.domain) AS domain, a.n AS stated, b.n AS recomputed FROM a FULL JOIN b ON a.run_id = b.run_id AND a.domain = b.domain WHERE a.n IS DISTINCT FROM b.n",
     "resume_antijoin": f"WITH {_SQL} SELECT run_id, domain FROM rec r WHERE NOT EXISTS (SELECT 1 FROM result_records x WHERE x.run_id = r.run_id AND x.domain = r.domain)",
+    "limit_issues": f"WITH {_SQL} SELECT * FROM (" + " UNION ALL ".join(f"SELECT run_id, domain, '{c}' AS counter FROM rec WHERE usage.{c} > {n}" for c, n in LIMITS.items()) + ")",
+    "document_classes": "SELECT o_orderkey, CASE WHEN o_orderkey % 700 IN (401, 403, 407, 451) THEN 'denied' WHEN o_custkey % 2 = 0 AND o_orderkey % 700 BETWEEN 200 AND 299 THEN 'admitted' ELSE 'rejected' END AS class FROM orders",
+    "category_tokens": f"WITH {_SQL}, c AS (SELECT lower(name) AS name, unnest(categories).id AS category FROM technologies) SELECT DISTINCT key, 'category:' || category AS token FROM cheap JOIN c USING (name)",
+    "training_deficits": f"WITH {_SQL}, k AS (SELECT f.* FROM full_view f WHERE EXISTS (SELECT 1 FROM cheap c WHERE c.key = f.key AND c.name = f.name)) SELECT greatest(1, greatest(1, (count(*) * 80 + 99) // 100) - (SELECT count(*) FROM k)) AS pair_deficit, greatest(1, greatest(1, (count(DISTINCT name) * 95 + 99) // 100) - (SELECT count(DISTINCT name) FROM k)) AS name_deficit FROM full_view",
+    "control_sample": f"WITH {_SQL} SELECT fold, key FROM target WHERE key NOT IN (SELECT key FROM chosen) QUALIFY row_number() OVER (PARTITION BY fold ORDER BY sha256('more' || chr(0) || key), key) <= 2",
     "fold_assign": f"WITH {_SQL} SELECT run_id || '/' || domain AS key, CAST(('0x' || substr(sha256('{SALT}' || chr(0) || run_id || '/' || domain), 1, 8))::BIGINT % 5 AS INTEGER) AS fold FROM rec",
     "count_bins": f"WITH {_SQL} SELECT run_id || '/' || domain AS key, {_bin('usage.browser_transferred_bytes')} AS bytes_bin, {_bin('usage.retries')} AS retries_bin FROM rec",
     "feature_tokens": f"WITH {_SQL}, {_SQL_TOKENS} SELECT * FROM tokens",

@@ -10,6 +10,8 @@ from fathomline.functions.policy import sql_rank
 from fathomline.functions.text import present, same_value, sql_same_value
 from fathomline.operators import candidates as cand
 from fathomline.operators import catalog, detection, extract, graph, matching, pages, robots
+from fathomline.operators.nested import flatten_json
+from fathomline.plans.data_problems import CATALOG_SHAPE
 from fathomline.session import read_table
 
 RECORD = ["run_id", "domain"]
@@ -160,6 +162,17 @@ def catalog_categories(spark, folder):
     return catalog.category_names(read_table(spark, folder, "technologies"))
 
 
+def catalog_compile(spark, folder):
+    """Rules compiled from the raw catalog documents, per source and mode."""
+    flat = flatten_json(read_table(spark, folder, "catalog_docs"), "doc_no", "payload", CATALOG_SHAPE)
+    raw = catalog.rules_from_documents(flat, "catalog/v1").drop("doc_id").distinct()
+    return catalog.compile_rules(raw).groupBy("source", "match_mode", "locator_kind").agg(F.count(F.lit(1)).alias("n_rules"), F.countDistinct("technology").alias("n_technologies"))
+
+
+def catalog_limits(spark, folder):
+    return catalog.catalog_limits(read_table(spark, folder, "rules"))
+
+
 # --- candidates and matches ---------------------------------------------------------
 
 
@@ -275,7 +288,7 @@ def technology_records(spark, folder):
 
 NAMES = [
     hostname_normalize, special_use_filter, target_candidates, public_addresses, http_status_classes, dns_admission, cookie_latch, byte_truncation, page_metadata, page_scripts, page_facts, json_paths,
-    internal_pages, robots_rules, robots_decisions, catalog_tags, catalog_modes, catalog_rule_ids, catalog_order, catalog_corrections, signal_index, inspection_plan, catalog_relations, catalog_categories,
+    internal_pages, robots_rules, robots_decisions, catalog_tags, catalog_modes, catalog_rule_ids, catalog_order, catalog_corrections, signal_index, inspection_plan, catalog_relations, catalog_categories, catalog_compile, catalog_limits,
     candidates_numbered, script_url_cap, priority_multiset, match_rules, work_budget, version_template, sensitive_texts, redact_headers, sanitize_urls, build_evidence, direct_detections, resolved_technologies, technology_records,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
@@ -333,6 +346,7 @@ ORACLE_SQL = {
     "signal_index": "SELECT source, CASE WHEN locator_pattern IS NOT NULL THEN 'pattern' WHEN locator IS NOT NULL THEN 'exact' ELSE 'none' END AS locator_kind, count(*) AS n_rules, count(DISTINCT locator) AS n_locators FROM rules GROUP BY 1, 2",
     "inspection_plan": "SELECT source, locator, bool_or(match_mode = 'presence') AS needs_presence, bool_or(match_mode <> 'presence') AS needs_value FROM rules GROUP BY 1, 2",
     "catalog_relations": "SELECT DISTINCT name, kind, target FROM (SELECT name, 'implies' AS kind, target FROM tech_implies UNION ALL SELECT name, 'requires', target FROM tech_requires) WHERE name <> target AND target IN (SELECT name FROM technologies)",
+    "catalog_limits": "SELECT count(*) AS n_rules, count(DISTINCT technology) AS n_technologies, CAST(max(length(original)) AS INTEGER) AS longest, count(*) <= 1000000 AND max(length(original)) <= 65536 AS within_limits FROM rules",
     "catalog_categories": "SELECT name, coalesce(list_aggregate(list_transform(list_sort(categories), lambda c: c.id || ':' || c.name), 'string_agg', ','), '') AS categories FROM technologies",
     "candidates_numbered": f"WITH {_SQL_CAND} SELECT *, 'c' || lpad(CAST(row_number() OVER (PARTITION BY run_id, domain ORDER BY {_SQL_ORDER}) - 1 AS VARCHAR), 8, '0') AS candidate_id FROM distinct_cands",
     "script_url_cap": f"WITH {_SQL_CAND}, u AS (SELECT DISTINCT run_id, domain, page_id, value FROM cands WHERE source = 'script_url') SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY run_id, domain ORDER BY page_id NULLS FIRST, value) <= 2",
