@@ -5,7 +5,8 @@ parts that are encoded in parallel on all executors and put together again:
 
 * Between two tokens of the tokenizer's own splitting pattern parts simply stand
   side by side. Cuts are only made after a character that is not white space, as
-  the pattern looks ahead inside white space.
+  the pattern looks ahead inside white space; white space in front of a stretch
+  goes out as the pattern split it, each match a stretch of its own.
 * A stretch that the pattern does not split (a run of letters, signs or blanks)
   is halved again and again. Neighbouring halves are joined as a tree: a window
   around the join is encoded anew and grows until its first token is the left
@@ -88,19 +89,27 @@ class ByteBpe:
 
         The pattern runs over the text once, so no cut depends on a guess.
         """
-        start, stretch = 0, 0
+        start, closed, stretch = 0, 0, 0
+        blanks: list[tuple[int, int]] = []  # matches after the last one that ends in non-space, at ``closed``
         for found in self.pattern.finditer(text):
             begin, end = found.span()
             if end - begin > piece_chars:
-                if begin > start:
-                    yield -1, text[start:begin]
-                for at in range(begin, end, piece_chars):
-                    yield stretch, text[at : min(at + piece_chars, end)]
-                stretch += 1
-                start = end
-            elif end - start >= part_chars and not text[end - 1].isspace():
-                yield -1, text[start:end]
-                start = end
+                if closed > start:
+                    yield -1, text[start:closed]
+                for first, last in (*blanks, (begin, end)):
+                    for at in range(first, last, piece_chars):
+                        yield stretch, text[at : min(at + piece_chars, last)]
+                    stretch += 1
+                start = closed = end
+                blanks.clear()
+            elif text[end - 1].isspace():
+                blanks.append((begin, end))
+            else:
+                closed = end
+                blanks.clear()
+                if end - start >= part_chars:
+                    yield -1, text[start:end]
+                    start = end
         if start < len(text):
             yield -1, text[start:]
 

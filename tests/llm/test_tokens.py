@@ -57,3 +57,12 @@ def test_corpus(spark, bpe):
     counted = sorted((r.doc_id, r.n_tokens) for r in encode_corpus(df, ["doc_id"], "text", count_only=True, long_bytes=10_000).collect())
     assert counted == sorted((i % 6, len(bpe.encode(t or ""))) for i, t in enumerate(texts))
     assert encode_corpus(df.limit(0), ["doc_id"], "text").count() == 0
+
+
+def test_white_space_before_a_long_stretch(spark, bpe):
+    texts = [f"abc{space}{'z' * 20_000}{space}end" for space in ("\n\n", "\t\t", "\n \n", " \n", "\r\n\r\n", "\n\n ", "  ", "\x1c\n\n")] + ["\n\n" + "z" * 20_000, "z" * 20_000 + "\n\n" + "7" * 20_000 + "\n\n"]
+    for text in texts:
+        assert cut_and_assemble(bpe, text, 1 << 18, 1 << 14) == bpe.encode(text)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.ids for r in encode_corpus(df, ["doc_id"], "text", long_bytes=10_000).collect()}
+    assert got == {i: bpe.encode(t) for i, t in enumerate(texts)}
