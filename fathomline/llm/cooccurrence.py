@@ -30,6 +30,8 @@ from fathomline.session import ensure_workers_import, materialize
 
 FLUSH_PAIRS = 4_000_000
 BLOCK_PAIRS = 4_000_000
+#: Chi-square of one degree of freedom at the usual levels of significance.
+LEVELS = ((0.001, 10.828), (0.01, 6.635), (0.05, 3.841))
 
 _STRIPES = pa.schema([("field", pa.string()), ("item", pa.int64()), ("neighbours", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
@@ -164,3 +166,8 @@ def log_likelihood_ratio() -> Column:
 
     cells = h(ab) + h(a - ab) + h(b - ab) + h(n - a - b + ab)
     return F.greatest(F.lit(0.0), 2 * (cells - h(a) - h(n - a) - h(b) - h(n - b) + h(n)))
+
+
+def significance() -> Column:
+    """The strictest of the usual levels at which the llr says that a pair is no chance (more or less often, as lift says); null: none."""
+    return F.coalesce(*[F.when(F.col("llr") >= least, F.lit(level)) for level, least in LEVELS])

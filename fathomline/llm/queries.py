@@ -121,20 +121,25 @@ _SQL_COUNTS = f"""e AS (
 # --- items that appear together --------------------------------------------------
 
 
-def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of technologies and of rule ids in at least 3 records and a hundredth of all records."""
+def _pairs(spark: SparkSession, folder: str, **support) -> DataFrame:
     evidence = read_table(spark, folder, "evidence").select("run_id", "domain", present(F.col("technology")).alias("technology"), present(F.col("rule_id")).alias("rule_id"))
-    pairs = cooccurrence.item_pairs(evidence, ["run_id", "domain"], ["technology", "rule_id"], min_records=3, min_share=(1, 100))
+    return cooccurrence.item_pairs(evidence, ["run_id", "domain"], ["technology", "rule_id"], **support)
+
+
+def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of technologies and of rule ids, their ratio to chance and its significance."""
+    return _pairs(spark, folder).withColumn("significance", cooccurrence.significance())
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs in at least 3 records and a hundredth of all that share at least five times as many as chance would give."""
+    pairs = _pairs(spark, folder, min_records=3, min_share=(1, 100))
     # The catalog of rules has a fixed size; rules with equal names of their technology are no case.
     rules = read_table(spark, folder, "rules").select(same_value("rule_id").alias("rule"), same_value("technology").alias("tech")).distinct()
     side = lambda x: rules.select(F.col("rule").alias(f"item_{x}"), F.lit("rule_id").alias("field"), F.col("tech").alias(f"tech_{x}"))
     same = pairs.where("field = 'rule_id'").select("field", "item_a", "item_b").join(side("a"), ["field", "item_a"]).join(side("b"), ["field", "item_b"]).where("tech_a = tech_b")
-    return pairs.join(same.select("field", "item_a", "item_b").distinct(), ["field", "item_a", "item_b"], "left_anti")
-
-
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs that share at least five times as many records as chance would give."""
-    return p4_pairs(spark, folder).where("n_ab >= 3 AND 100 * n_ab >= n_records AND n_ab * n_records >= 5 * n_a * n_b").select("field", "item_a", "item_b")
+    pairs = pairs.join(same.select("field", "item_a", "item_b").distinct(), ["field", "item_a", "item_b"], "left_anti")
+    return pairs.where("n_ab >= 3 AND 100 * n_ab >= n_records AND n_ab * n_records >= 5 * n_a * n_b").select("field", "item_a", "item_b")
 
 
 _SQL_PAIRS = f"""items AS (

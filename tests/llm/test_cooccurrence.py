@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from fathomline.llm import cooccurrence
+from fathomline.llm import cooccurrence, queries
 from fathomline.llm.cooccurrence import item_pairs, pair_codes
 
 
@@ -51,3 +51,15 @@ def test_blocks_and_flushes_lose_nothing(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "rec string, t string")
     assert item_pairs(df, ["rec"], ["t"]).count() == 0
+
+
+def test_registered_pairs_are_all_pairs(spark, tmp_path):
+    rows = [("r", f"d{i}", "A" if i < 150 else "B", "x:1", i) for i in range(300)] + [("r", "d0", t, k, 300 + i) for i, (t, k) in enumerate([("rare", "x:2"), (" Rarer", "y:1"), (None, None)])]
+    spark.createDataFrame(rows, "run_id string, domain string, technology string, rule_id string, evidence_id long").write.parquet(f"{tmp_path}/evidence.parquet")
+    spark.createDataFrame([("x:1", "A"), ("x:2", "a"), ("y:1", "C")], "rule_id string, technology string").write.parquet(f"{tmp_path}/rules.parquet")
+    got = {(r.field, r.item_a, r.item_b): r for r in queries.QUERIES["p4_pairs"](spark, str(tmp_path)).collect()}
+    assert set(got) == {("technology", *p) for p in (("a", "rare"), ("a", "rarer"), ("rare", "rarer"))} | {("rule_id", *p) for p in (("x:1", "x:2"), ("x:1", "y:1"), ("x:2", "y:1"))}
+    r = got["technology", "rare", "rarer"]
+    assert (r.n_ab, r.n_a, r.n_b, r.n_records, r.lift, r.significance) == (1, 1, 1, 300, 300.0, 0.001)
+    assert got["technology", "a", "rare"].significance is None
+    assert queries.QUERIES["p4_found"](spark, str(tmp_path)).count() == 0
