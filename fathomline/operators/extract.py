@@ -6,6 +6,7 @@ row with arrays, which callers explode. Only static markup is read.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -19,9 +20,20 @@ from fathomline.session import ensure_workers_import
 
 MAX_ITEMS = 5_000
 TEXT_BYTES = 524_288
+#: Fixed values of the inspection: matches a selector, bytes a value, bytes of values a page.
+MATCHES, VALUE_BYTES, PAGE_VALUE_BYTES = 20, 8_192, 2_097_152
 URL_ATTRIBUTES = {"script": "src", "link": "href", "img": "src", "iframe": "src", "a": "href"}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
+#: Elements whose start ends an open paragraph, and elements that end others of their kind inside one box.
+ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+BOXES = frozenset("button table td th".split())
+_LISTS, _TABLE = frozenset(("ul", "ol", "dl")), frozenset(("table",))
+IMPLIED = {
+    "li": [("li", _LISTS)], "dt": [("dt", _LISTS), ("dd", _LISTS)], "dd": [("dt", _LISTS), ("dd", _LISTS)], "option": [("option", frozenset(("select",)))],
+    "td": [("td", _TABLE | {"tr"}), ("th", _TABLE | {"tr"})], "th": [("td", _TABLE | {"tr"}), ("th", _TABLE | {"tr"})], "tr": [("tr", _TABLE)],
+}
+
 _PAIR = pa.struct([("key", pa.string()), ("value", pa.string())])
 _URL = pa.struct([("kind", pa.string()), ("url", pa.string())])
 _FACT = pa.struct([("locator", pa.string()), ("kind", pa.string()), ("value", pa.string())])
@@ -70,8 +82,48 @@ class Selector:
         return True
 
 
+class Demand:
+    """A locator of dom rules and whether presence or values of it are needed.
+
+    The locator is a bare selector, or in JSON ``[selector, kind, name]`` with
+    kind exists, text or attributes. A bare selector is asked for the text of
+    its elements (elements that hold none have no text) and for the attributes
+    it tests. Properties belong to a running page: static markup has none.
+    """
+
+    def __init__(self, locator: str, presence: bool = True, value: bool = False) -> None:
+        self.locator, self.presence, self.value = locator, presence, value
+        text, self.kind, name = locator, None, None
+        if locator.lstrip().startswith('["'):
+            try:
+                text, self.kind, name = json.loads(locator)
+            except ValueError:
+                pass
+        self.selector = Selector(text)
+        self.wants_text = value and self.kind in (None, "text")
+        self.attributes = [name] if self.kind == "attributes" else [n for n in dict.fromkeys(t[0] for t in self.selector.tests) if n not in ("id", "class")] if self.kind is None else []
+
+    def matches(self, tag: str, attributes: dict[str, str]) -> bool:
+        return self.kind != "properties" and self.selector.matches(tag, attributes) and (self.kind != "attributes" or self.attributes[0].lower() in attributes)
+
+
+class Demands:
+    """Demands by the rarest thing their selector names, so that an element meets few of them."""
+
+    def __init__(self, demands: list[Demand]) -> None:
+        self.at: dict[tuple[str, str], list[tuple[int, Demand]]] = {}
+        for number, d in enumerate(demands):
+            named = next(((n, v) for n, op, v in d.selector.tests if n == "id" and op == "=" or op == "~"), None)
+            self.at.setdefault(named or ("", d.selector.tag or ""), []).append((number, d))
+
+    def of(self, tag: str, attributes: dict[str, str]) -> list[Demand]:
+        names = [("", ""), ("", tag), ("id", attributes.get("id", "")), *[("class", c) for c in dict.fromkeys(attributes.get("class", "").split())]]
+        met = [x for n in names for x in self.at.get(n, ()) if x[1].matches(tag, attributes)]
+        return [d for _, d in sorted(met, key=lambda x: x[0])]
+
+
 class _Page(HTMLParser):
-    def __init__(self, final_url: str, selectors: list[tuple[str, Selector]]) -> None:
+    def __init__(self, final_url: str, demands: Demands) -> None:
         super().__init__(convert_charrefs=True)
         self.base, self.based = final_url, False
         self.metadata: dict[tuple[str, str], None] = {}
@@ -79,8 +131,12 @@ class _Page(HTMLParser):
         self.text: list[str] = []
         self.skip: list[str] = []
         self.template = 0
-        self.selectors, self.facts = selectors, []
+        self.demands = demands
+        self.found: list[tuple[Demand, str | None, list[str] | None]] = []  # demand, value, pieces of a text in the making
         self.hits: dict[str, int] = {}
+        self.open: list[str] = []
+        self.held: dict[str, int] = {}  # how often a tag is open
+        self.texts: list[tuple[int, list[str]]] = []  # depth and pieces of the open elements whose text is wanted
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "template":
@@ -99,27 +155,84 @@ class _Page(HTMLParser):
         if a.get(URL_ATTRIBUTES.get(tag, ""), "").strip():
             kind = "stylesheet" if tag == "link" and "stylesheet" in a.get("rel", "").lower().split() else tag
             self.raw_urls.append((kind, a[URL_ATTRIBUTES[tag]]))
-        for locator, selector in self.selectors:
-            if self.hits.get(locator, 0) < 20 and selector.matches(tag, a):
-                self.hits[locator] = self.hits.get(locator, 0) + 1
-                self.facts.append((locator, "presence", None))
+        self._close_implied(tag)
+        pieces: list[str] | None = None
+        for d in self.demands.of(tag, a):
+            if self.hits.get(d.locator, 0) >= MATCHES:
+                continue
+            self.hits[d.locator] = self.hits.get(d.locator, 0) + 1
+            if d.wants_text and tag not in VOID:
+                pieces = [] if pieces is None else pieces
+                self.found.append((d, None, pieces))
+            values = [a[n.lower()] for n in d.attributes if n.lower() in a] if d.value else []
+            self.found += [(d, v, None) for v in values]
+            if not values and not (d.wants_text and tag not in VOID):
+                self.found.append((d, None, None))
+        if tag not in VOID:
+            if pieces is not None:
+                self.texts.append((len(self.open), pieces))
+            self.open.append(tag)
+            self.held[tag] = self.held.get(tag, 0) + 1
         if tag in ("script", "style", "noscript"):
             self.skip.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "template":
             self.template = max(0, self.template - 1)
-        elif tag in self.skip:
+            return
+        if tag in self.skip:
             self.skip.remove(tag)
+        if not self.template:
+            self._close(tag)
+
+    def _close(self, tag: str, within: frozenset[str] = frozenset()) -> None:
+        """Close the innermost open ``tag`` and what stands in it, unless one of ``within`` stands between."""
+        if not self.held.get(tag):
+            return
+        at = len(self.open) - 1
+        while self.open[at] != tag:
+            if self.open[at] in within:
+                return
+            at -= 1
+        while len(self.open) > at:
+            self.held[self.open.pop()] -= 1
+        while self.texts and self.texts[-1][0] >= at:
+            self.texts.pop()
+
+    def _close_implied(self, tag: str) -> None:
+        if tag in ENDS_P:
+            self._close("p", BOXES)
+        for ends, within in IMPLIED.get(tag, ()):
+            self._close(ends, within)
+
+    def facts(self) -> list[tuple[str, str, str | None]]:
+        """Facts in reading order; the budget of the page goes to the selectors in their order. A value over a budget leaves its presence where that is needed."""
+        out: list[tuple[int, tuple[str, str, str | None] | None]] = []
+        spent, spent_up = 0, False
+        for at in sorted(range(len(self.found)), key=lambda i: self.found[i][0].locator):
+            d, value, pieces = self.found[at]
+            value = "".join(pieces) if pieces is not None else value
+            fact = (d.locator, "presence", None) if d.presence else None
+            if value is not None and not spent_up and (size := len(value.encode("utf-8", "surrogatepass"))) <= VALUE_BYTES:
+                if spent + size <= PAGE_VALUE_BYTES:
+                    spent += size
+                    fact = (d.locator, "value", value)
+                else:
+                    spent_up = True
+            out.append((at, fact))
+        return list(dict.fromkeys(f for _, f in sorted(out, key=lambda x: x[0]) if f))
 
     def handle_data(self, data: str) -> None:
+        if not self.template:
+            for _, pieces in self.texts:
+                pieces.append(data)
         if not self.skip and not self.template:
             self.text.append(data)
 
 
-def extract_page(html: str, final_url: str, selectors: list[tuple[str, Selector]] = ()) -> tuple[list, list, str, list]:
-    """metadata pairs, (kind, url) pairs, visible text, facts of the selectors."""
-    page = _Page(final_url, list(selectors))
+def extract_page(html: str, final_url: str, demands: Demands) -> tuple[list, list, str, list]:
+    """metadata pairs, (kind, url) pairs, visible text, facts of the demands."""
+    page = _Page(final_url, demands)
     page.feed(html)
     page.close()
     urls: dict[tuple[str, str], None] = {}
@@ -129,12 +242,14 @@ def extract_page(html: str, final_url: str, selectors: list[tuple[str, Selector]
             urls.setdefault((kind, found))
             if len(urls) >= MAX_ITEMS:
                 break
-    return list(page.metadata), list(urls), " ".join("".join(page.text).split()), list(dict.fromkeys(page.facts))
+    return list(page.metadata), list(urls), " ".join("".join(page.text).split()), page.facts()
 
 
-def extract_documents(df: DataFrame, keys: list[str], html: Column | str, final_url: Column | str, selectors: list[str] = ()) -> DataFrame:
+def extract_documents(df: DataFrame, keys: list[str], html: Column | str, final_url: Column | str, selectors: list[str | tuple[str, bool, bool]] = ()) -> DataFrame:
     """keys, metadata, urls, text, facts of every page.
 
+    selectors: locators whose presence is asked for, or (locator, presence needed, value needed).
+
     Defined cases: null and empty pages give empty arrays and the empty text;
     unclosed elements end with the page; text is cut at 524,288 bytes between
     characters; other columns are ignored.
@@ -146,7 +261,7 @@ def extract_documents(df: DataFrame, keys: list[str], html: Column | str, final_
     wanted = list(dict.fromkeys(selectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(s, Selector(s)) for s in wanted]
+        compiled = Demands([Demand(*((s,) if isinstance(s, str) else s)) for s in wanted])
         for batch in batches:
             rows = [extract_page(h, u, compiled) for h, u in zip(batch.column("_html").to_pylist(), batch.column("_url").to_pylist(), strict=True)]
             named = lambda at, names: [[dict(zip(names, x, strict=True)) for x in r[at]] for r in rows]

@@ -86,9 +86,11 @@ def page_scripts(spark, folder):
 
 
 def page_facts(spark, folder):
-    """Static elements that the catalog's selectors ask for."""
-    docs = extract.extract_documents(read_table(spark, folder, "documents"), ["doc_id"], "text", "url", ["script[src]", "meta[name=generator]", "p", "br"])
-    return docs.select("doc_id", F.explode("facts").alias("f")).select("doc_id", "f.locator", "f.kind")
+    """Presence and values of the static elements that the catalog's dom rules ask for; the catalog has a fixed size."""
+    plan = catalog.inspection_plan(read_table(spark, folder, "rules").where("source = 'dom' AND locator IS NOT NULL"))
+    asked = sorted(tuple(r) for r in plan.select("locator", "needs_presence", "needs_value").collect())
+    docs = extract.extract_documents(read_table(spark, folder, "documents"), ["doc_id"], "text", "url", asked)
+    return docs.select("doc_id", F.explode("facts").alias("f")).select("doc_id", "f.locator", "f.kind", "f.value")
 
 
 def json_paths(spark, folder):

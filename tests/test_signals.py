@@ -31,6 +31,20 @@ def test_extraction(spark):
     assert rows[2].text == "" and rows[3].urls == [] and rows[4].text == "open"
 
 
+def test_page_facts_of_the_catalog(spark, tmp_path):
+    from fathomline.plans.registry import QUERIES
+
+    rules = [("#box", "presence"), ("div.kit", "regex"), ("div.kit", "presence"), ("link[href*=theme", "literal"), ('["a","attributes","data-v"]', "regex"), ('["a","exists",null]', "presence"), ('["a","properties","x"]', "regex"), ("li.row", "regex"), ("b.big", "presence"), ("b.big", "regex"), ("i.big", "regex"), ("bad >", "regex"), (None, "regex")]
+    spark.createDataFrame([(str(i), "dom", *r) for i, r in enumerate(rules)] + [("x", "meta", "p", "regex")], "rule_id string, source string, locator string, match_mode string").write.parquet(f"{tmp_path}/rules.parquet")
+    html = """<link href="/theme/1.css" rel=x><p>no</p><p id="box"><div class="a kit">kit/<b>1.2</b><script>;s</script><template>t</template></div><a data-v="7">x</a><a>y</a>
+<ul><li class=row>one<li class=row>two</ul><b class=big>""" + "z" * 8193 + "</b><i class=big>" + "z" * 8193 + "</i>"
+    spark.createDataFrame([(1, html, "https://v.tld/"), (2, None, None), (3, "<b class=row>" + "<li class=row>x" * 30, None)], "doc_id int, text string, url string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in QUERIES["page_facts"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(
+        [(1, "#box", "presence", None), (1, "div.kit", "value", "kit/1.2;s"), (1, "link[href*=theme", "value", "/theme/1.css"), (1, '["a","attributes","data-v"]', "value", "7"), (1, '["a","exists",null]', "presence", None), (1, "li.row", "value", "one"), (1, "li.row", "value", "two"), (1, "b.big", "presence", None), (3, "li.row", "value", "x")], key=str
+    )
+
+
 def test_catalog_parts(spark):
     rows = [("p", "p", 100, None, True), ("p\\;confidence:50\\;version:\\1", "p", 50, "\\1", True), ("", None, 100, None, True), ("p\\;confidence:101", "p", 101, None, False), ("p\\;other:1", "p", 100, None, False), ("p\\;confidence:1\\;confidence:2", "p", 1, None, False), ("a;b", "a;b", 100, None, True)]
     got = [tuple(r[0]) for r in spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, o string").orderBy("i").select(K.parse_tags(F.col("o"))).collect()]
