@@ -51,12 +51,17 @@ class Shape:
     bare: a document without the anchor anywhere is the anchor's content itself.
     dictionaries: element name to (name column, value column) for objects whose
     keys are data; with no value column the entry's own object is extended.
+    tables: elements that have their own table whatever the collection holds.
+    columns: element with a table to the dotted paths that stand in its row
+    whatever the collection holds; of a list the first non-null entry counts.
     """
 
     root: str
     anchor: str
     bare: bool = False
     dictionaries: Mapping[str, tuple[str, str | None]] = field(default_factory=dict)
+    tables: frozenset[str] = frozenset()
+    columns: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
 
 
 def element_name(name: str) -> str:
@@ -80,7 +85,7 @@ def parse(text: str | None) -> object:
 def records(value: object, shape: Shape) -> Iterator[dict]:
     """The records inside a document, wrappers opened."""
     layer = [value]
-    for _ in range(6):
+    for _ in range(MAX_DEPTH):
         found, deeper = [], []
         for item in layer:
             if isinstance(item, str) and item[:1] in "{[":
@@ -116,6 +121,20 @@ def entries(name: str, value: object, shape: Shape) -> object:
     return value
 
 
+def first_at(value: object, path: list[str]) -> object:
+    """The text, number or truth value at a path of element names, the first non-null entry of lists; None if there is none."""
+    todo = [(value, 0)]
+    while todo:
+        item, at = todo.pop()
+        if isinstance(item, list):
+            todo += [(x, at) for x in reversed(item)]
+        elif isinstance(item, dict) and at < len(path):
+            todo += [(child, at + 1) for key, child in reversed(item.items()) if element_name(key) == path[at]]
+        elif item is not None and not isinstance(item, dict) and at == len(path):
+            return item
+    return None
+
+
 def _edges(value: object, name: str, shape: Shape, seen: set, depth: int = 0) -> None:
     if depth > MAX_DEPTH:
         return
@@ -142,8 +161,8 @@ class InliningPlan:
     parents: Mapping[str, frozenset[str]]
 
 
-def plan_inlining(edges: list[tuple[str, str, bool, bool]], root: str) -> InliningPlan:
-    """Shared inlining over the element graph."""
+def plan_inlining(edges: list[tuple[str, str, bool, bool]], root: str, wanted: frozenset[str] = frozenset()) -> InliningPlan:
+    """Shared inlining over the element graph; ``wanted`` elements have a table in any case."""
     parents, children, repeated, structured = defaultdict(set), defaultdict(set), set(), set()
     for parent, child, many, nested in edges:
         parents[child].add(parent)
@@ -152,7 +171,7 @@ def plan_inlining(edges: list[tuple[str, str, bool, bool]], root: str) -> Inlini
             repeated.add(child)
         if nested:
             structured.add(child)
-    tables = {root} | repeated | {c for c in structured if len(parents[c]) > 1}
+    tables = {root} | wanted | repeated | {c for c in structured if len(parents[c]) > 1}
     for start in structured:  # an element that can contain itself
         todo, met = list(children[start]), set()
         while todo:
@@ -180,6 +199,9 @@ def flatten_document(key: int, doc_id: int, value: object, shape: Shape, tables:
         counter += 1
         out.append((key, doc_id, node, parent_table, parent_id, ordinal, columns, tag))
         fill(item, "", columns, tag, node, depth + 1)
+        for path in shape.columns.get(tag, ()):
+            if path not in columns and (value := first_at(item, path.split("."))) is not None:
+                columns[path] = _text(value)
 
     def fill(item: object, prefix: str, columns: dict, table: str, node: int, depth: int) -> None:
         if depth > MAX_DEPTH:
@@ -261,7 +283,7 @@ def flatten_json(df: DataFrame, doc_id: Column | str, payload: Column | str, sha
     graph = slim.mapInArrow(scan, "parent string, child string, repeated boolean, structured boolean").distinct().limit(MAX_EDGES + 1).collect()
     if len(graph) > MAX_EDGES:
         raise ValueError("too many element names: name the elements whose keys are data in Shape.dictionaries")
-    plan = plan_inlining([tuple(r) for r in graph], shape.root)
+    plan = plan_inlining([tuple(r) for r in graph], shape.root, shape.tables)
     tables = plan.tables
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,10 +98,12 @@ _SQL_TERMS = f"""terms AS (
 
 # --- nested records --------------------------------------------------------------
 
-RESULT_SHAPE = Shape(root="record", anchor="technologies")
+_EVIDENCE = {"rule_id": "ruleid", "match_value": "match.value", "match_text": "match", "match_kind": "match.kind", "collector": "collector", "source": "source", "confidence": "confidence"}
+RESULT_SHAPE = Shape(root="record", anchor="technologies", tables=frozenset(("technologies", "evidence")), columns={"technologies": ("name",), "evidence": tuple(_EVIDENCE.values())})
 CATALOG_SHAPE = Shape(
-    root="catalog", anchor="technologies", bare=True, dictionaries={"technologies": ("name", None), "headers": ("name", "value"), "js": ("name", "value"), "meta": ("name", "value"), "dom": ("name", "value"), "attributes": ("name", "value")}
-)
+    root="catalog", anchor="technologies", bare=True, dictionaries={"technologies": ("name", None), "headers": ("name", "value"), "js": ("name", "value"), "meta": ("name", "value"), "dom": ("name", "value"), "attributes": ("name", "value")},
+    tables=frozenset(("technologies", "headers", "value")), columns={"technologies": ("name",), "headers": ("name",)},
+)
 
 
 def _child_of(child: DataFrame, parent: DataFrame) -> DataFrame:
@@ -114,8 +116,7 @@ def p6_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of evidence of the raw result records with its technology and match."""
     flat = flatten_json(read_table(spark, folder, "result_records"), "record_no", "payload", RESULT_SHAPE)
     technologies = flat.table("technologies", {"technology": "name"}).select("doc_key", "node_id", F.col("technology").alias("p_technology"))
-    columns = {"rule_id": "ruleid", "match_value": "match.value", "match_text": "match", "match_kind": "match.kind", "collector": "collector", "source": "source", "confidence": "confidence"}
-    evidence = flat.table("evidence", columns).where("parent_table = 'technologies'")
+    evidence = flat.table("evidence", _EVIDENCE).where("parent_table = 'technologies'")
     return _child_of(evidence, technologies).select(
         F.col("doc_id").alias("record_no"), F.col("p_technology").alias("technology"), F.col("ordinal").alias("item_no"), "rule_id",
         F.coalesce("match_value", "match_text", F.lit("")).alias("match_value"), "match_kind", "collector", "source", F.col("confidence").cast("int").alias("confidence"),

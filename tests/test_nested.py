@@ -99,3 +99,21 @@ def test_found_against_brute_force(spark):
                     want |= {("catalog_docs", row.doc_no, name, at, "", p) for at, p in enumerate(patterns if isinstance(patterns, list) else [patterns]) if p is not None}
     got = p6_found(spark, folder).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_found_whatever_else_the_collection_holds(spark, tmp_path):
+    from fathomline.plans.data_problems import p6_found
+
+    plain = '{"technologies": [{"name": "T", "evidence": [{"ruleId": "r1", "match": {"value": "v1"}}, null, {"ruleId": "r2", "match": "text"}]}]}'
+    lone = '{"technologies": {"name": "L", "evidence": {"ruleId": "r3", "match": {"value": "v3"}}}}'
+    deep = '{"w": ' * 9 + plain.replace("r1", "r9") + "}" * 9
+    odd = '{"technologies": [{"name": ["N"], "evidence": [{"ruleId": "r4", "match": [null, {"value": ["v4", "x"]}]}, {"ruleId": "r5"}], "other": {"match": {"value": 1}}}]}'
+    header = '{"technologies": {"H": {"headers": {"X-Powered-By": "php"}}}}'
+    listed = '{"technologies": {"H": {"headers": {"x-powered-by": ["a", null, "b"]}, "dom": {"#x": {"text": "t"}}}}}'
+    want = {plain: [("T", 0, "r1", "v1"), ("T", 2, "r2", "text")], lone: [("L", 0, "r3", "v3")], deep: [("T", 0, "r9", "v1"), ("T", 2, "r2", "text")], odd: [("N", 0, "r4", "v4"), ("N", 1, "r5", "")], header: [("H", 0, "", "php")], listed: [("H", 0, "", "a"), ("H", 2, "", "b")]}
+    for at, (records, catalogs) in enumerate((([plain], [header]), ([lone], [header]), ([plain, lone, deep, odd], [header, listed]))):
+        folder = f"{tmp_path}/{at}"
+        spark.createDataFrame(list(enumerate(records)), "record_no long, payload string").write.parquet(f"{folder}/result_records.parquet")
+        spark.createDataFrame(list(enumerate(catalogs)), "doc_no long, payload string").write.parquet(f"{folder}/catalog_docs.parquet")
+        got = sorted(tuple(r) for r in p6_found(spark, folder).collect())
+        assert got == sorted((t, n, *x) for t, texts in (("result_records", records), ("catalog_docs", catalogs)) for n, text in enumerate(texts) for x in want[text])
