@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -104,21 +105,31 @@ def java_pattern(pattern: str) -> str:
     return "(?i)" + "".join(out)
 
 
+#: An escape as a whole: code points, control characters, properties, references by number or name, else one character.
+ESCAPE = re.compile(r"\\(?:x\{[^}]*\}|x[0-9A-Fa-f]{1,2}|u\{[^}]*\}|u[0-9A-Fa-f]{1,4}|c[A-Za-z]|[pP](?:\{[^}]*\}|\w)|k(?:<[^>]*>|\{[^}]*\})|[0-9]+|.|$)", re.S)
+
+
+def _class_end(pattern: str, at: int) -> int:
+    """The place after the class that starts at ``at``; its escapes stay whole."""
+    at += 2 if pattern[at + 1 : at + 2] == "^" else 1
+    while at < len(pattern) and pattern[at] != "]":
+        at = ESCAPE.match(pattern, at).end() if pattern[at] == "\\" else at + 1
+    return min(at + 1, len(pattern))
+
+
 def required_literal(pattern: str) -> str:
     """The longest run of plain lower-case characters that every match must hold; '' if none is certain."""
     best, run, depth, at = "", "", 0, 0
-    if "|" in pattern:
+    if "|" in pattern or "[]" in pattern or "[^]" in pattern:  # dialects differ on where such a class ends
         return ""
     while at < len(pattern):
         c = pattern[at]
         step, plain = 1, c
         if c == "\\":
-            step = 2
             nxt = pattern[at + 1 : at + 2]
-            plain = nxt if nxt and not nxt.isalnum() else ""
+            step, plain = ESCAPE.match(pattern, at).end() - at, nxt if nxt and not nxt.isalnum() else ""
         elif c == "[":
-            end = pattern.find("]", at + 2)
-            step, plain = (end - at + 1 if end > 0 else len(pattern) - at), ""
+            step, plain = _class_end(pattern, at) - at, ""
         elif c in "()":
             depth += 1 if c == "(" else -1
             plain = ""

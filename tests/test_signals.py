@@ -59,6 +59,12 @@ def test_needle_stands_in_every_match(pattern, text):
         assert K.required_literal(pattern) in text.lower()
 
 
+def test_needle_of_whole_escapes_and_classes():
+    for pattern, text in ((r"\x3cfoo", "<foo"), (r"\u003ca", "<a"), (r"[\]\"]foo", "]foo"), (r"[^\]x]foo", "yfoo"), (r"\cJabc", "\nabc"), (r"\p{Lu}abc", "Babc"), (r"(a)\1bcd", "aabcd"), (r"(?<n>a)\k<n>bcd", "aabcd"), (r"[a\\]foo", "\\foo"), (r"\u{3c}foo", "<foo")):
+        assert K.required_literal(pattern) in text, pattern
+    assert K.required_literal(r"\x3cfoo") == "foo" and K.required_literal(r"[\]\"]foo") == "foo" and K.required_literal(r"ab\.cd") == "ab.cd"
+
+
 def test_dialect(spark):
     cases = [("\\bsch\\b", "schön", True), ("a$", "a\n", False), ("a$", "a", True), ("x[$]y", "x$y", True), ("A\\.B", "a.b", True), ("a\\sb", "a b", True)]
     for pattern, text, want in cases:
