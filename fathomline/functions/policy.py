@@ -32,8 +32,9 @@ LISTING_SEGMENTS = ("shop", "store", "catalog", "category", "categories", "colle
 # Names that are not public hosts (special-use registry), reverse zones by rule.
 SPECIAL_USE_DOMAINS = (
     "alt", "6tisch.arpa", "eap.arpa", "eap-noob.arpa", "home.arpa", "10.in-addr.arpa", "254.169.in-addr.arpa",
-    *(f"{n}.172.in-addr.arpa" for n in range(16, 32)), "170.0.0.192.in-addr.arpa", "171.0.0.192.in-addr.arpa", "168.192.in-addr.arpa",
-    *(f"{d}.e.f.ip6.arpa" for d in "89ab"), "ipv4only.arpa", "resolver.arpa", "service.arpa", "example", "example.com", "example.net", "example.org",
+    "16.172.in-addr.arpa", "17.172.in-addr.arpa", "18.172.in-addr.arpa", "19.172.in-addr.arpa", "20.172.in-addr.arpa", "21.172.in-addr.arpa", "22.172.in-addr.arpa", "23.172.in-addr.arpa",
+    "24.172.in-addr.arpa", "25.172.in-addr.arpa", "26.172.in-addr.arpa", "27.172.in-addr.arpa", "28.172.in-addr.arpa", "29.172.in-addr.arpa", "30.172.in-addr.arpa", "31.172.in-addr.arpa",
+    "170.0.0.192.in-addr.arpa", "171.0.0.192.in-addr.arpa", "168.192.in-addr.arpa", "8.e.f.ip6.arpa", "9.e.f.ip6.arpa", "a.e.f.ip6.arpa", "b.e.f.ip6.arpa", "ipv4only.arpa", "resolver.arpa", "service.arpa", "example", "example.com", "example.net", "example.org",
     "invalid", "local", "localhost", "onion", "test",
 )
 

@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
-from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fathomline.functions import policy
 from fathomline.functions.normalize import ascii_hostname, ascii_trim, is_public_ipv4, truncate_points
@@ -55,48 +49,72 @@ def evidence_key(source: Column, key: Column) -> Column:
     return F.when(source.isin("cookie", "header", "meta") & unsafe, F.lit(None)).otherwise(key)
 
 
-def _sensitive(text: str) -> bool:
-    tokens = [t for t in re.split(r"[^a-z0-9]+", text.lower()) if t]
-    return any(t in policy.SENSITIVE_WORDS for t in tokens) or any(a == "api" and b == "key" for a, b in zip(tokens, tokens[1:])) or re.search(OPAQUE, text) is not None
-
-
-def sanitize_path(path: str) -> str:
-    """Unsafe segments of a path replaced; a marker word takes its neighbours with it."""
-    segments = [unquote(s, errors="strict") if "%" in s else s for s in path.split("/")]
-    unsafe = [s not in ("", "[redacted]") and (len(s) > policy.MAX_SEGMENT or not re.fullmatch(r"[A-Za-z0-9._~-]+", s) or _sensitive(s)) for s in segments]
-    for at, s in enumerate(segments):
-        if s.lower() in policy.SENSITIVE_PATH_MARKERS:
-            for near in (at - 1, at, at + 1):
-                if 0 <= near < len(segments):
-                    unsafe[near] = True
-    return "/".join("" if s == "" else REDACTED_SEGMENT if s == "[redacted]" or bad else s for s, bad in zip(segments, unsafe, strict=True))
-
-
-@lru_cache(maxsize=1 << 16)
-def sanitize_url_text(url: str) -> tuple[str, bool] | None:
-    """(sanitised URL, whether it collapsed to its origin); None if it is no http URL or too long."""
-    try:
-        if len(url) > policy.MAX_URL:
-            return None
-        parts = urlsplit(url.strip())
-        if parts.scheme.lower() not in ("http", "https") or not parts.hostname:
-            return None
-        scheme = parts.scheme.lower()
-        port = "" if parts.port in (None, {"http": 80, "https": 443}[scheme]) else f":{parts.port}"
-        origin = f"{scheme}://{parts.hostname.lower()}{port}"
-        path = sanitize_path(quote(parts.path, safe="/%:@!$&'()*+,;=~-._[]") or "/")
-        pairs = [("[redacted]" if len(k) > policy.MAX_SEGMENT or _sensitive(k) else k, "[redacted]") for k, _ in parse_qsl(parts.query, keep_blank_values=True)]
-        clean = f"{origin}{path}" + (f"?{urlencode(pairs)}" if pairs else "")
-        return (clean, False) if len(clean) <= policy.MAX_URL else (f"{origin}/{REDACTED_SEGMENT}", True)
-    except (ValueError, UnicodeError):
-        return None
-
-
-@F.pandas_udf(T.StructType([T.StructField("url", T.StringType()), T.StructField("collapsed", T.BooleanType())]))
-def sanitize_url(url: pd.Series) -> pd.DataFrame:
-    """User information and fragment removed, unsafe path segments and all query values redacted; null for what is no URL."""
-    done = [(None, None) if x is None else sanitize_url_text(x) or (None, None) for x in url]
-    return pd.DataFrame(done, columns=["url", "collapsed"])
+#: Parts of an http address: scheme, user information, host, port, path, query. Everything else is no address.
+_ADDRESS = r"(?i)\A(https?)://((?:[^/?#\\]*@)?)([a-z0-9_~.-]+|\[[0-9a-f:.]+\])(?::(\d{0,5}))?((?:[/\\][^?#]*)?)(?:\?([^#]*))?(?:#.*)?\z"
+_LONE_PERCENT = r"%(?![0-9A-Fa-f]{2})"
+
+
+def _decoded(text: Column, plus: bool) -> Column:
+    """Percent escapes decoded; a lone percent sign stays. ``plus``: a plus sign stands for a blank."""
+    whole = F.regexp_replace(text, _LONE_PERCENT, "%25")
+    return F.try_url_decode(whole if plus else F.replace(whole, F.lit("+"), F.lit("%2B")))
+
+
+def _harmless(segment: Column) -> Column:
+    return segment.rlike(rf"\A[A-Za-z0-9._~-]{{1,{policy.MAX_SEGMENT}}}\z") & ~is_sensitive(segment)
+
+
+def _secret_marker(segment: Column) -> Column:
+    return F.coalesce(F.lower(segment).isin(*policy.SENSITIVE_PATH_MARKERS), F.lit(False))
+
+
+def sanitize_path(path: Column) -> Column:
+    """A path whose segments are shown only if they are short, of plain signs, not sensitive, and not next to a marker of secrets.
+
+    Segments are judged decoded; empty ones stay, ``.`` and ``..`` are resolved.
+    """
+    raw = F.transform(F.split(F.regexp_replace(path, r"\\", "/"), "/"), lambda s: F.coalesce(_decoded(s, False), F.lit("%")))
+    # The first, empty segment is the root; a path that ends in a dot segment ends in a slash.
+    resolve = lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.array_append(done, s))
+    steps = F.aggregate(F.slice(raw, F.lit(2), F.greatest(F.size(raw) - 1, F.lit(0))), F.array(F.lit("")), resolve)
+    closed = F.when(F.size(raw) < 2, F.array(F.lit(""), F.lit(""))).when(F.element_at(raw, -1).isin(".", ".."), F.array_append(steps, F.lit(""))).otherwise(steps)
+
+    def render(steps: Column) -> Column:
+        near = lambda i: _secret_marker(F.get(steps, i - 1)) | _secret_marker(F.get(steps, i)) | _secret_marker(F.get(steps, i + 1))
+        shown = F.transform(steps, lambda s, i: F.when((s == "") | (_harmless(s) & ~near(i)), s).otherwise(REDACTED_SEGMENT))
+        return F.array_join(shown, "/")
+
+    return F.transform(F.array(closed), render)[0]
+
+
+def _sanitize_query(query: Column) -> Column:
+    """Every value redacted, and every key that is too long or sensitive."""
+    names = F.transform(F.filter(F.split(query, "&"), lambda p: F.length(p) > 0), lambda p: _decoded(F.substring_index(p, "=", 1), True))
+    safe = lambda k: (F.length(k) <= policy.MAX_SEGMENT) & ~is_sensitive(k)
+    return F.array_join(F.transform(names, lambda k: F.concat(F.when(safe(k), F.url_encode(k)).otherwise(REDACTED_SEGMENT), F.lit(f"={REDACTED_SEGMENT}"))), "&")
+
+
+def sanitize_url(url: Column) -> Column:
+    """Struct url, collapsed: user information and fragment removed, unsafe path segments and all query values redacted.
+
+    Null for what is no http address of a host in ASCII, or too long. An address
+    that redaction makes too long collapses to its origin.
+    """
+    part = lambda n: F.regexp_extract(url_, _ADDRESS, n)
+    url_ = F.regexp_replace(url, r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
+    scheme, port = F.lower(part(1)), part(4)
+    fits = (F.length(url) <= policy.MAX_URL) & url_.rlike(_ADDRESS) & (F.coalesce(port.try_cast("int"), F.lit(0)) <= 65_535)
+    usual = (port == "") | ((scheme == "http") & (port.try_cast("int") == 80)) | ((scheme == "https") & (port.try_cast("int") == 443))
+    origin = F.concat(scheme, F.lit("://"), F.lower(part(3)), F.when(usual, "").otherwise(F.concat(F.lit(":"), port.try_cast("int").cast("string"))))
+    query = _sanitize_query(part(6))
+    parts = F.struct(origin.alias("origin"), sanitize_path(part(5)).alias("path"), F.when(F.length(query) > 0, F.concat(F.lit("?"), query)).otherwise("").alias("query"))
+
+    def whole(p: Column) -> Column:
+        clean = F.concat(p["origin"], p["path"], p["query"])
+        fine = F.length(clean) <= policy.MAX_URL
+        return F.struct(F.when(fine, clean).otherwise(F.concat(p["origin"], F.lit(f"/{REDACTED_SEGMENT}"))).alias("url"), (~fine).alias("collapsed"))
+
+    return F.when(fits, F.transform(F.array(parts), whole)[0]).otherwise(F.lit(None).cast("struct<url:string,collapsed:boolean>"))
 
 
 def evidence_match(source: Column, key: Column, observed: Column, matched: Column, clean_url: Column) -> Column:

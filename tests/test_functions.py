@@ -57,14 +57,16 @@ def test_sensitive_text(spark):
     assert values(spark, ["Bearer abc", "x-bearer abc", "basic", "ntlm\tz"], R.has_credential) == [True, False, False, True]
 
 
-def test_urls():
-    hexed = "0123456789abcdef"
-    clean, collapsed = R.sanitize_url_text(f"https://user:pw@Vendor.TLD/api/token/{hexed}?id=7&session=1#frag")
-    assert clean == "https://vendor.tld/%5Bredacted%5D/%5Bredacted%5D/%5Bredacted%5D?id=%5Bredacted%5D&%5Bredacted%5D=%5Bredacted%5D" and not collapsed
-    assert R.sanitize_url_text(clean)[0].split("?")[0] == clean.split("?")[0]
-    assert R.sanitize_url_text("https://v.tld/monkey") == ("https://v.tld/monkey", False)
-    assert R.sanitize_url_text("ftp://v.tld/") is None and R.sanitize_url_text("https://v.tld/" + "a" * 3000) is None and R.sanitize_url_text("") is None
-    assert R.sanitize_url_text("https://v.tld/?" + "&".join(f"k{i}=1" for i in range(280)))[1]
+def test_urls(spark):
+    clean = lambda *urls: [r and (r.url, r.collapsed) for r in values(spark, list(urls), R.sanitize_url)]
+    (url, collapsed), = clean("https://user:pw@Vendor.TLD/api/token/0123456789abcdef?id=7&session=1#frag")
+    assert url == "https://vendor.tld/%5Bredacted%5D/%5Bredacted%5D/%5Bredacted%5D?id=%5Bredacted%5D&%5Bredacted%5D=%5Bredacted%5D" and not collapsed
+    assert clean(url)[0][0] == url
+    assert clean("https://v.tld/monkey", " HTTP://v.tld:80 ", "https://v.tld:8443/a//b/") == [("https://v.tld/monkey", False), ("http://v.tld/", False), ("https://v.tld:8443/a//b/", False)]
+    assert clean("https://v.tld/a/./b/../c", "https://v.tld/a/..", "https://v.tld\\a%2Fb/x", "https://v.tld/a%/b+c") == [("https://v.tld/a/c", False), ("https://v.tld/", False), ("https://v.tld/%5Bredacted%5D/x", False), ("https://v.tld/%5Bredacted%5D/%5Bredacted%5D", False)]
+    assert clean("https://v.tld/?a+b=1&&c", "https://v.tld/?#x") == [("https://v.tld/?a+b=%5Bredacted%5D&c=%5Bredacted%5D", False), ("https://v.tld/", False)]
+    assert clean("ftp://v.tld/", "https://v.tld/" + "a" * 3000, "", None, "https:///x", "https://v.tld:99999/", "https://v.tld:x/") == [None] * 7
+    assert clean("https://v.tld/?" + "&".join(f"k{i}=1" for i in range(280))) == [("https://v.tld/%5Bredacted%5D", True)]
 
 
 def test_evidence_values(spark):

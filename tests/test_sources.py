@@ -26,10 +26,26 @@ def test_contract(tmp_path, spark):
         S.check_schema(T.StructType([T.StructField("other", T.StringType())]))
 
 
+def test_open(spark, tmp_path):
+    path = str(tmp_path / "in.parquet")
+    pq.write_table(pa.table({"root_domain": ["B.tld", "a.tld."]}), path, compression="snappy")
+    opened = S.open_domains(spark, path)
+    assert opened.count == 2 and opened.digest == S.set_digest(hosts(spark, ["a.tld", "b.tld"]), "root_domain")[0]
+    assert [r.n for r in opened.members(spark.createDataFrame([("b.tld",), ("c.tld",), (None,)], "n string"), "n").collect()] == ["b.tld"]
+    pq.write_table(pa.table({"root_domain": ["a.tld"] * 40 + ["x"]}), path, compression="snappy", row_group_size=7)
+    with pytest.raises(ValueError, match=r"39 duplicate \(first in row 2\), 1 invalid \(first in row 41\)"):
+        S.open_domains(spark, path)
+    for column in (pa.array([["a.tld"]]), pa.array([b"a.tld"]), pa.array([{"x": "a.tld"}])):
+        pq.write_table(pa.table({"root_domain": column}), path, compression="snappy")
+        with pytest.raises(ValueError):
+            S.open_domains(spark, path)
+
+
 def test_preflight(spark):
     assert sorted(r.domain for r in S.accepted(hosts(spark, ["B.tld", "a.tld."])).collect()) == ["a.tld", "b.tld"]
-    bad = S.preflight(hosts(spark, ["a.tld", "A.TLD.", None, "x"]).coalesce(1)).collect()
-    assert {(r.row_no, r.problem) for r in bad} == {(2, "duplicate"), (3, "invalid"), (4, "invalid")}
+    for n in (1, 2, 4, 7):  # the same rows in the same order, split in other ways
+        rows = spark.sparkContext.parallelize([("a.tld",), ("A.TLD.",), (None,), ("x",)], n).toDF("root_domain string")
+        assert {(r.row_no, r.problem) for r in S.preflight(rows).collect()} == {(2, "duplicate"), (3, "invalid"), (4, "invalid")}
     with pytest.raises(ValueError, match="1 duplicate"):
         S.accepted(hosts(spark, ["a.tld", "A.tld"]))
 
