@@ -48,11 +48,16 @@ def domain_status(n_errors: Column, any_signal: Column, weak_page: Column) -> Co
     return F.when((n_errors == 0) & ~weak_page, "success").when(any_signal | ((n_errors == 0) & weak_page), "partial").otherwise("failed")
 
 
+def latest(df: DataFrame, keys: list[str], time: str = "ingested_at") -> DataFrame:
+    """One row per key: the latest delivery; of several at one time the greatest by their other columns."""
+    columns = [time, *[c for c in df.columns if c not in (time, *keys)]]
+    newest = df.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("_r"))
+    return newest.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
+
+
 def latest_records(results: DataFrame) -> DataFrame:
     """One row per (run_id, domain): the latest delivery."""
-    columns = [c for c in results.columns if c not in ("run_id", "domain")]
-    newest = results.groupBy("run_id", "domain").agg(F.max_by(F.struct(*columns), "ingested_at").alias("r"))
-    return newest.select("run_id", "domain", *[F.col(f"r.{c}").alias(c) for c in columns])
+    return latest(results, ["run_id", "domain"])
 
 
 def run_summary(records: DataFrame) -> DataFrame:

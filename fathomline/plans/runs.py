@@ -22,12 +22,12 @@ def _records(spark, folder) -> DataFrame:
 
 
 def _evidence(spark, folder) -> DataFrame:
-    e = read_table(spark, folder, "evidence").dropDuplicates(["evidence_id"])
+    e = results.latest(read_table(spark, folder, "evidence"), ["evidence_id"])
     return e.withColumn("technology", present(F.col("technology"))).where("technology IS NOT NULL")
 
 
 def _errors(spark, folder) -> DataFrame:
-    e = read_table(spark, folder, "scan_errors").dropDuplicates(["error_id"])
+    e = results.latest(read_table(spark, folder, "scan_errors"), ["error_id"])
     return e.withColumn("code", F.upper(present(F.col("code")))).where("code IS NOT NULL")
 
 
@@ -225,8 +225,8 @@ NAMES = [
 QUERIES = {f.__name__: f for f in NAMES}
 
 _SQL = f"""rec AS (SELECT * FROM domain_results QUALIFY row_number() OVER (PARTITION BY run_id, domain ORDER BY ingested_at DESC) = 1),
-e AS (SELECT * REPLACE ({sql_same_value("technology")} AS technology) FROM evidence WHERE length({sql_same_value("technology")}) > 0 QUALIFY row_number() OVER (PARTITION BY evidence_id) = 1),
-err AS (SELECT * REPLACE (upper({sql_same_value("code")}) AS code) FROM scan_errors WHERE length({sql_same_value("code")}) > 0 QUALIFY row_number() OVER (PARTITION BY error_id) = 1),
+e AS (SELECT * FROM (SELECT * REPLACE ({sql_same_value("technology")} AS technology) FROM evidence QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY ingested_at DESC) = 1) WHERE length(technology) > 0),
+err AS (SELECT * FROM (SELECT * REPLACE (upper({sql_same_value("code")}) AS code) FROM scan_errors QUALIFY row_number() OVER (PARTITION BY error_id ORDER BY ingested_at DESC) = 1) WHERE length(code) > 0),
 full_view AS (SELECT DISTINCT run_id || '/' || domain AS key, technology AS name FROM e),
 cheap AS (SELECT DISTINCT run_id || '/' || domain AS key, technology AS name FROM e WHERE collector = 'http'),
 target AS (SELECT f.key, CAST(('0x' || substr(sha256('{SALT}' || chr(0) || f.key), 1, 8))::BIGINT % 5 AS INTEGER) AS fold, count(*) FILTER (WHERE c.name IS NULL) AS target FROM full_view f LEFT JOIN cheap c ON c.key = f.key AND c.name = f.name GROUP BY f.key),

@@ -11,6 +11,7 @@ from fathomline.functions.text import present, same_value, sql_same_value
 from fathomline.operators import candidates as cand
 from fathomline.operators import catalog, detection, extract, graph, matching, pages, robots
 from fathomline.operators.nested import flatten_json
+from fathomline.operators.results import latest
 from fathomline.plans.data_problems import CATALOG_SHAPE
 from fathomline.session import read_table
 
@@ -62,7 +63,7 @@ def dns_admission(spark, folder):
 
 def cookie_latch(spark, folder):
     """Cookies of a record until one breaks a limit (tight limits, so that the data break them)."""
-    cookies = read_table(spark, folder, "evidence").where("source = 'cookie' AND key IS NOT NULL").select(*RECORD, "evidence_id", F.col("key").alias("name"), F.coalesce("match.value", F.lit("")).alias("value")).dropDuplicates(["evidence_id"])
+    cookies = _latest_evidence(spark, folder).where("source = 'cookie' AND key IS NOT NULL").select(*RECORD, "evidence_id", F.col("key").alias("name"), F.coalesce("match.value", F.lit("")).alias("value"))
     return cand.admit_cookies(cookies, RECORD, "evidence_id", {"count": 3, "name": 40, "value": 24, "total": 90})
 
 
@@ -179,13 +180,13 @@ def catalog_limits(spark, folder):
 
 
 def _latest_evidence(spark, folder) -> DataFrame:
-    """Each piece of evidence once; re-deliveries repeat the piece."""
-    return read_table(spark, folder, "evidence").dropDuplicates(["evidence_id"])
+    """Each piece of evidence once, as last delivered."""
+    return latest(read_table(spark, folder, "evidence"), ["evidence_id"])
 
 
 def _candidates(spark, folder) -> DataFrame:
     """Observations behind the evidence as candidates."""
-    e = read_table(spark, folder, "evidence").where("collector IS NOT NULL")
+    e = read_table(spark, folder, "evidence")
     kind = F.when(F.col("match.value").isNotNull(), "value").otherwise("presence")
     key = F.when(F.col("source").isin("header", "meta"), F.lower(F.trim("key"))).when(F.col("source") == "dns_record", F.upper(F.trim("key"))).otherwise(F.col("key"))
     return e.select(*RECORD, "collector", kind.alias("kind"), "source", "page_id", key.alias("key"), F.coalesce("match.value", F.lit("")).alias("value"))
@@ -308,7 +309,7 @@ def _sql_ranges() -> str:
 
 
 _SQL_CAND = """cands AS (SELECT run_id, domain, collector, CASE WHEN match.value IS NOT NULL THEN 'value' ELSE 'presence' END AS kind, source, page_id,
-  CASE WHEN source IN ('header', 'meta') THEN lower(trim(key)) WHEN source = 'dns_record' THEN upper(trim(key)) ELSE key END AS key, coalesce(match.value, '') AS value FROM evidence WHERE collector IS NOT NULL),
+  CASE WHEN source IN ('header', 'meta') THEN lower(trim(key)) WHEN source = 'dns_record' THEN upper(trim(key)) ELSE key END AS key, coalesce(match.value, '') AS value FROM evidence),
 distinct_cands AS (SELECT DISTINCT * FROM cands)"""
 _SQL_ORDER = f"{sql_rank('collector', policy.COLLECTORS)} NULLS FIRST, {sql_rank('kind', ('presence', 'value'))} NULLS FIRST, {sql_rank('source', policy.EVIDENCE_SOURCES)} NULLS FIRST, page_id NULLS FIRST, key NULLS FIRST, value NULLS FIRST"
 _SQL_RULES = """r AS (SELECT *, CASE WHEN source IN ('header', 'meta') THEN lower(trim(locator)) WHEN source = 'dns_record' THEN upper(trim(locator)) ELSE locator END AS loc FROM rules),
@@ -316,7 +317,7 @@ pairs AS (SELECT c.*, r.rule_id, r.technology, r.pattern, r.match_mode, r.versio
 matches AS (SELECT *, CASE match_mode WHEN 'presence' THEN 0 WHEN 'literal' THEN strpos(lower(value), lower(pattern)) - 1 ELSE strpos(value, regexp_extract(value, pattern, 0, 'i')) - 1 END AS pos,
   CASE match_mode WHEN 'presence' THEN 0 WHEN 'literal' THEN length(pattern) ELSE length(regexp_extract(value, pattern, 0, 'i')) END AS len FROM pairs
   WHERE CASE match_mode WHEN 'presence' THEN true WHEN 'literal' THEN contains(lower(value), lower(pattern)) ELSE regexp_matches(value, pattern, 'i') END)"""
-_SQL_EV = f"""e AS (SELECT * REPLACE ({sql_same_value("technology")} AS technology, {sql_same_value("rule_id")} AS rule_id) FROM evidence QUALIFY row_number() OVER (PARTITION BY evidence_id) = 1),
+_SQL_EV = f"""e AS (SELECT * REPLACE ({sql_same_value("technology")} AS technology, {sql_same_value("rule_id")} AS rule_id) FROM evidence QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY ingested_at DESC) = 1),
 rows AS (SELECT * FROM e WHERE technology IS NOT NULL AND rule_id IS NOT NULL)"""
 _WORDS = "|".join(policy.SENSITIVE_WORDS)
 _HEADER_WORDS = "|".join(policy.SENSITIVE_HEADER_WORDS)
@@ -338,7 +339,7 @@ ORACLE_SQL = {
     "public_addresses": f"WITH a AS (SELECT {_SQL_NUM} AS n FROM orders) SELECT (n >> 24) || '.' || ((n >> 16) & 255) || '.' || ((n >> 8) & 255) || '.' || (n & 255) AS address, NOT ({_sql_ranges()}) AS is_public FROM a",
     "http_status_classes": "WITH a AS (SELECT o_orderkey, o_orderkey % 700 AS s FROM orders) SELECT o_orderkey, CASE WHEN s BETWEEN 200 AND 599 THEN (s // 100) || 'xx' END AS status_class, CASE WHEN s BETWEEN 200 AND 299 THEN 'parse' WHEN s BETWEEN 400 AND 499 AND s NOT IN (401, 403, 407, 451, 408, 425, 429) THEN 'no_rules' ELSE 'unavailable' END AS robots FROM a",
     "dns_admission": f"WITH a AS (SELECT run_id, domain, upper(key) AS type, match.value AS value FROM evidence WHERE source = 'dns_record'), n AS (SELECT run_id, domain, type, count(*) AS c FROM a GROUP BY 1, 2, 3 HAVING count(*) <= 32), k AS (SELECT *, sum(c) OVER (PARTITION BY run_id, domain ORDER BY {sql_rank('type', policy.DNS_TYPES)} ROWS UNBOUNDED PRECEDING) AS s FROM n) SELECT DISTINCT a.* FROM a JOIN k USING (run_id, domain, type) WHERE s <= 128",
-    "cookie_latch": "WITH c AS (SELECT run_id, domain, evidence_id, key AS name, coalesce(match.value, '') AS value FROM evidence WHERE source = 'cookie' AND key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY evidence_id) = 1), b AS (SELECT *, (count(*) OVER w > 3 OR strlen(name) > 40 OR strlen(value) > 24 OR sum(strlen(name) + strlen(value)) OVER w > 90)::INT AS bad FROM c WINDOW w AS (PARTITION BY run_id, domain ORDER BY evidence_id ROWS UNBOUNDED PRECEDING)), l AS (SELECT *, max(bad) OVER (PARTITION BY run_id, domain ORDER BY evidence_id ROWS UNBOUNDED PRECEDING) AS latch FROM b) SELECT run_id, domain, evidence_id, name, value FROM l WHERE latch = 0",
+    "cookie_latch": "WITH c AS (SELECT run_id, domain, evidence_id, key AS name, coalesce(match.value, '') AS value FROM (SELECT * FROM evidence QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY ingested_at DESC) = 1) WHERE source = 'cookie' AND key IS NOT NULL), b AS (SELECT *, (count(*) OVER w > 3 OR strlen(name) > 40 OR strlen(value) > 24 OR sum(strlen(name) + strlen(value)) OVER w > 90)::INT AS bad FROM c WINDOW w AS (PARTITION BY run_id, domain ORDER BY evidence_id ROWS UNBOUNDED PRECEDING)), l AS (SELECT *, max(bad) OVER (PARTITION BY run_id, domain ORDER BY evidence_id ROWS UNBOUNDED PRECEDING) AS latch FROM b) SELECT run_id, domain, evidence_id, name, value FROM l WHERE latch = 0",
     "json_paths": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT record_no, '{p}' AS path, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.{p}') END AS value FROM result_records" for p in ("status", "domain", "result.domain", "data.attempt")) + ") WHERE value IS NOT NULL",
     "catalog_tags": "SELECT rule_id, CASE WHEN pattern <> '' THEN pattern END AS pattern, confidence, version_template FROM rules",
     "catalog_modes": "SELECT rule_id, CASE WHEN pattern IS NULL OR pattern = '' THEN 'presence' WHEN source IN ('robots', 'probe', 'tls_issuer') THEN 'literal' ELSE 'regex' END AS mode, CASE WHEN source IN ('header', 'meta') THEN lower(trim(locator)) WHEN source = 'dns_record' THEN upper(trim(locator)) ELSE locator END AS locator FROM rules",
@@ -354,7 +355,7 @@ ORACLE_SQL = {
     "script_url_cap": f"WITH {_SQL_CAND}, u AS (SELECT DISTINCT run_id, domain, page_id, value FROM cands WHERE source = 'script_url') SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY run_id, domain ORDER BY page_id NULLS FIRST, value) <= 2",
     "priority_multiset": f"""WITH {_SQL_CAND}, k AS (SELECT run_id, domain, collector, kind, source, key, value, count(*) AS k FROM distinct_cands WHERE page_id = 'p1' GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY run_id, domain, collector, kind, source, key, value ORDER BY page_id NULLS FIRST) AS nth FROM distinct_cands)
-SELECT n.run_id, n.source, count(*) FILTER (WHERE coalesce(nth <= k, false)) AS n_priority, count(*) AS n FROM n LEFT JOIN k ON n.run_id = k.run_id AND n.domain = k.domain AND n.collector = k.collector AND n.kind = k.kind AND n.source = k.source AND n.key IS NOT DISTINCT FROM k.key AND n.value = k.value GROUP BY 1, 2""",
+SELECT n.run_id, n.source, count(*) FILTER (WHERE coalesce(nth <= k, false)) AS n_priority, count(*) AS n FROM n LEFT JOIN k ON n.run_id = k.run_id AND n.domain = k.domain AND n.collector IS NOT DISTINCT FROM k.collector AND n.kind = k.kind AND n.source = k.source AND n.key IS NOT DISTINCT FROM k.key AND n.value = k.value GROUP BY 1, 2""",
     "match_rules": f"WITH {_SQL_CAND}, {_SQL_RULES} SELECT rule_id, match_mode, count(*) AS n_matches, CAST(sum(pos) AS BIGINT) AS sum_index, CAST(sum(len) AS BIGINT) AS sum_length FROM matches GROUP BY 1, 2",
     "version_template": f"WITH {_SQL_CAND}, {_SQL_RULES}, v AS (SELECT rule_id, trim(replace(version_template, '\\1', regexp_extract(value, pattern, 1, 'i')), ' ' || chr(9) || chr(10) || chr(13)) AS version FROM matches WHERE version_template IS NOT NULL AND match_mode = 'regex') SELECT rule_id, version, count(*) AS n FROM v WHERE regexp_full_match(version, '[A-Za-z0-9][A-Za-z0-9._+~-]{{0,63}}') AND NOT {_SQL_OPAQUE.format('version')} GROUP BY 1, 2",
     "work_budget": f"""WITH {_SQL_CAND}, {_SQL_RULES}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id, domain ORDER BY {_SQL_ORDER}) AS id FROM distinct_cands),

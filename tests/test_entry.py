@@ -30,7 +30,7 @@ def normal(rows):
     return sorted(repr([round(x, 6) if isinstance(x, float) else x for x in r]) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.ORACLE_SQL) - {"p3_paths", "p3_descendants"}))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_oracle(spark, tables, name):
     df = registry.QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
@@ -41,7 +41,7 @@ def test_query_equals_oracle(spark, tables, name):
     assert normal([row[c] for c in columns] for row in df.collect()) == normal([row[i] for i in order] for row in result.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - {"p3_circles"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_query_without_oracle_runs(spark, name):
     df = registry.QUERIES[name](spark, FOLDER)
     assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
