@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -45,22 +47,52 @@ def ensure_workers_import(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
+_TRACKED: list[list[str]] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is missing (tests, a laptop) a local folder is made.
+    Only a local session without that setting (tests, a laptop) gets a folder of
+    its own; on a cluster the setting is needed, as executors could not read
+    each other's disks. What the application wrote is deleted when it ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark, "_fathomline_scratch", None)
         if base is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="fathomline-")
             spark._fathomline_scratch = base
-    return f"{base.rstrip('/')}/fathomline/{spark.sparkContext.applicationId}"
+    folder = f"{base.rstrip('/')}/fathomline/{spark.sparkContext.applicationId}"
+    if getattr(spark, "_fathomline_folder", None) != folder:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        spark._fathomline_folder = folder
+    return folder
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in _TRACKED:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables made inside the block when it ends, after its results were read."""
+    paths: list[str] = []
+    _TRACKED.append(paths)
+    try:
+        yield
+    finally:
+        _TRACKED.remove(paths)
+        for path in paths:
+            drop_path(spark, path)
 
 
 def materialize(df: DataFrame, label: str, path: str | None = None) -> tuple[DataFrame, int, str]:
@@ -87,6 +119,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checked_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most_rows`` rows; beyond that the planner joins it by shuffle."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+#: Bytes above which no table is marked for broadcast.
+BROADCAST_BYTES = 256 << 20
+
+
+def checked_broadcast(df: DataFrame, most_rows: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it is small in rows and in bytes (both measured); beyond that the planner joins it by shuffle."""
+    size = F.octet_length(F.to_json(F.struct("*"))) if df.columns else F.lit(0)
+    measured = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if measured["n"] <= most_rows and measured["bytes"] <= most_bytes else df
