@@ -1,19 +1,30 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer.
 
-Texts up to ``LONG_BYTES`` are encoded where they lie. Longer texts are cut into
-parts that are encoded in parallel on all executors and put together again:
-
-* Between two tokens of the tokenizer's own splitting pattern parts simply stand
-  side by side. Cuts are only made after a character that is not white space, as
-  the pattern looks ahead inside white space; white space in front of a stretch
-  goes out as the pattern split it, each match a stretch of its own.
-* A stretch that the pattern does not split (a run of letters, signs or blanks)
-  is halved again and again. Neighbouring halves are joined as a tree: a window
-  around the join is encoded anew and grows until its first token is the left
-  side's token at that place and its last token the right side's. An encoding is
-  right exactly if every pair of adjacent tokens is one that encoding the two
-  together would leave alone; pairs outside the window stand in one of the
-  halves, so the result equals the encoding of the whole.
+Tree concatenation. A text longer than a leaf is halved again and again, the
+leaves are encoded as they stand, and neighbours are joined as a tree: a window
+around the join is encoded anew and grows on each side until it ends where that
+side's encoding stays whatever text stands beyond it. Such places are the ends
+of words and numbers before white space or punctuation: the splitting pattern
+always splits there, and what it does next depends on the text from there on
+only. Outside the window the tokens of the halves stay.
+
+A stretch without such a place can be as long as the text (a run of letters,
+signs or blanks). Then the text is cut by one run of the pattern instead:
+
+* Between two tokens of the splitting pattern parts simply stand side by side.
+  Cuts are only made after a character that is not white space, as the pattern
+  looks ahead inside white space; white space in front of a stretch goes out as
+  the pattern split it, each match a stretch of its own.
+* A stretch that the pattern does not split is halved in the same way; here the
+  window grows until its first token is the left side's token at that place and
+  its last token the right side's. An encoding is right exactly if every pair of
+  adjacent tokens is one that encoding the two together would leave alone; pairs
+  outside the window stand in one of the halves, so the result equals the
+  encoding of the whole.
+
+The tokenizer never sees more than a window at once, whatever the text. Texts up
+to ``LONG_BYTES`` are encoded where they lie; the parts of longer ones are
+encoded in parallel on all executors and put together again, with the same ids.
 
 Null and empty texts have no tokens: their ids are the empty list.
 """
@@ -22,7 +33,7 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +52,11 @@ SPLIT_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 LONG_BYTES = 1 << 20
 PART_CHARS = 1 << 18
 PIECE_CHARS = 1 << 14
+#: Characters of a leaf: texts up to this length are encoded as a whole.
+LEAF_CHARS = 512
 FIRST_WINDOW = 16
+#: Fixed value: a place where the splitting pattern splits whatever stands around it.
+SPLIT_PLACE = r"(?<=[\p{L}\p{N}])(?=[\s\p{P}])"
 
 _LOADED: dict[str, ByteBpe] = {}
 
@@ -57,11 +72,61 @@ class ByteBpe:
         self.encoding = tiktoken.Encoding(os.path.basename(path), pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.spelling = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(SPLIT_PATTERN)
+        self.place = regex.compile(SPLIT_PLACE)
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text; strings of special tokens are ordinary text."""
+    def leaf(self, text: str) -> list[int]:
+        """Ids of a text of bounded length; strings of special tokens are ordinary text."""
         return self.encoding.encode_ordinary(text)
 
+    def encode(self, text: str, leaf: int = LEAF_CHARS, most: int = PIECE_CHARS) -> list[int]:
+        """Ids of a text: halves encoded and joined as a tree."""
+        n = len(text)
+        if n <= leaf:
+            return self.leaf(text)
+        k = 1 << (-(-n // leaf) - 1).bit_length()
+        ends = [n * i // k for i in range(k + 1)]
+        row = [self.leaf(text[a:b]) for a, b in zip(ends, ends[1:])]
+        while len(row) > 1:
+            joined = []
+            for i in range(0, len(row), 2):
+                ids = self.join_texts(text, ends[i], ends[i + 1], ends[i + 2], row[i], row[i + 1], most)
+                if ids is None:  # an unsplit stretch longer than any window
+                    return self.assemble([(s, self.encode_part(s, p)) for s, p in self.parts(text, most, most)])
+                joined.append(ids)
+            row, ends = joined, ends[::2]
+        return row[0]
+
+    def join_texts(self, text: str, start: int, cut: int, end: int, left: list[int], right: list[int], most: int = PIECE_CHARS) -> list[int] | None:
+        """Ids of text[start:end] from those of its halves; None if no window of ``most`` characters a side holds a lasting place."""
+        first, last, width = None, None, FIRST_WINDOW
+        while first is None or last is None:
+            if first is None:
+                begin = max(start, cut - width)
+                places = [m.start() for m in self.place.finditer(text, begin, cut)]
+                first = next((x for x in reversed(places) if begin < x < cut), start if begin == start else None)
+            if last is None:
+                stop = min(end, cut + width)
+                last = next((m.start() for m in self.place.finditer(text, cut, stop) if cut < m.start() < stop), end if stop == end else None)
+            if width > most:
+                break
+            width *= 2
+        if first is None or last is None:
+            return None
+        i, j = self._tokens_of(text[first:cut], reversed(left)), self._tokens_of(text[cut:last], right)
+        if i is None or j is None:
+            return None
+        return left[: len(left) - i] + self.leaf(text[first:last]) + right[j:]
+
+    def _tokens_of(self, text: str, ids: Iterable[int]) -> int | None:
+        """How many of the ids, in order, make up as many bytes as the text has; None if a token crosses its end."""
+        size, n = len(text.encode()), 0
+        for x in ids:
+            if size <= 0:
+                break
+            size -= len(self.spelling[x])
+            n += 1
+        return n if size == 0 else None
+
     def piece(self, raw: bytes) -> list[int]:
         """Ids of bytes that the pattern would not split."""
         return self.encoding._encode_single_piece(raw) if raw else []
@@ -114,7 +179,20 @@ class ByteBpe:
             yield -1, text[start:]
 
     def encode_part(self, stretch: int, part: str) -> list[int]:
-        return self.encode(part) if stretch < 0 else self.piece(part.encode())
+        """Ids of a part. A part that stands alone holds no stretch above a piece, but may be long: it goes up the tree too."""
+        return self.encode_alone(part) if stretch < 0 else self.piece(part.encode())
+
+    def encode_alone(self, part: str) -> list[int]:
+        """Ids of a part between two splits of the pattern, encoded in runs of whole matches."""
+        out: list[int] = []
+        start = last = 0
+        for found in self.pattern.finditer(part):
+            if found.end() - start > PIECE_CHARS and last > start:
+                out += self.leaf(part[start:last])
+                start = last
+            if not part[found.end() - 1].isspace():
+                last = found.end()
+        return out + self.leaf(part[start:])
 
     def assemble(self, parts: list[tuple[int, list[int]]]) -> list[int]:
         """Ids of a text from its encoded parts in order."""
