@@ -70,25 +70,28 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 NEWEST_DAYS = 7
 
 
+FIELDS = ("technology", "rule_id", "code")
+
+
 def count_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences and records of technologies, rule ids and error codes, from the persistent state.
 
     The state takes everything but the newest week first, then the newest week
     (late rows and re-deliveries among it) as a batch of signed deltas.
     """
-    out = []
-    for table, row, fields in (("evidence", "evidence_id", ("technology", "rule_id")), ("scan_errors", "error_id", ("code",))):
+    old, new = [], []
+    for space, (table, row, own) in enumerate((("evidence", "evidence_id", FIELDS[:2]), ("scan_errors", "error_id", FIELDS[2:]))):
         source = read_table(spark, folder, table)
         newest = source.agg(F.max("ingested_at")).first()[0]
-        state = term_counts.new_state(new_path(spark, "term-state"), list(fields))
         cut = F.lit(newest).cast(source.schema["ingested_at"].dataType) - F.expr(f"INTERVAL {NEWEST_DAYS} DAYS")
-        for batch in (source.where(F.col("ingested_at") <= cut), source.where((F.col("ingested_at") > cut) | F.col("ingested_at").isNull())):
-            feed = term_counts.changes(batch, [row], ["run_id", "domain"], "ingested_at", {f: present(F.col(f)) for f in fields})
-            before, (state, _) = state, term_counts.apply_changes(state, feed)
-            term_counts.drop_state(spark, before, kept=state)
-        term_counts.save_state(spark, state)
-        out.append(term_counts.read_counts(spark, state))
-    return out[0].unionByName(out[1])
+        terms = {f: present(F.col(f)) if f in own else F.lit(None).cast("string") for f in FIELDS}
+        for batches, part in ((old, source.where(F.col("ingested_at") <= cut)), (new, source.where((F.col("ingested_at") > cut) | F.col("ingested_at").isNull()))):
+            batches.append(term_counts.changes(part, [row], ["run_id", "domain"], "ingested_at", terms, space=space))
+    state = term_counts.new_state(spark, new_path(spark, "term-state"), list(FIELDS))
+    for batch in (old, new):
+        state, _ = term_counts.apply_changes(state, batch[0].unionByName(batch[1]))
+    term_counts.save_state(spark, state)
+    return term_counts.read_counts(spark, state)
 
 
 def _all_records(spark: SparkSession, folder: str) -> int:
