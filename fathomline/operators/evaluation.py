@@ -1,208 +1,520 @@
-"""Evaluation of cheaper collection: folds, tokens, smoothed models, quotas, selection, retention, verdicts."""
+"""Evaluation of cheaper collection: detector views, folds, tokens, smoothed models, quotas, selections, retention, verdicts.
+
+A *view* is what the detector finds on a prefix of the observations of a record:
+``t1`` the entry page and infrastructure, ``t2`` also one more static page, probes
+and robots texts, ``full`` everything. A model learns from the full views of
+other records which records are worth a full collection; a bounded number of
+them is selected and judged by what they keep and cost.
+
+Views are long tables (key, view, name). Models are long tables of sums per
+token; a model without a fold is the total minus that fold's sums, so no row of
+a record is copied per fold. The selections are sequential, but a record's worth
+never rises while others are selected, so a pool of the best first worths is
+enough as long as the pool's choice beats every record outside of it; that is
+proven by the run itself, and otherwise the pool doubles.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.session import ensure_workers_import
+from fathomline.operators.detection import direct_detections
+from fathomline.operators.graph import resolve_technologies
+from fathomline.session import ensure_workers_import, materialize
 
 N_FOLDS = 5
 PRIOR = 4
-#: Fixed values of the verdict: shares of names and pairs to keep, domains to select, tenths of each cost.
-NAME_SHARE, PAIR_SHARE, MOST_SELECTED, COST_TENTHS = 0.95, 0.80, 40, 3
+RECURRING = 2
+VIEWS = ("t1", "t2", "full")
+#: Fixed values of the verdict: shares of names and pairs to keep, domains to select, tenths of each cost, folds to win.
+NAME_SHARE, PAIR_SHARE, MOST_SELECTED, COST_TENTHS, FOLD_WINS = 0.95, 0.80, 40, 3, 4
+CONTROLS = 2
+FIRST_POOL = 500
+#: Worths that are equal to this many decimals are ties.
+DECIMALS = 9
+
+
+# --- folds and samples ------------------------------------------------------------
 
 
 def salted_number(salt: str, value: Column) -> Column:
     """The first 32 bits of the SHA-256 of salt, NUL and value."""
-    return F.conv(F.substring(F.sha2(F.concat(F.lit(salt), F.lit("\0"), value), 256), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(salted_hash(salt, value), 1, 8), 16, 10).cast("long")
+
+
+def salted_hash(salt: str, value: Column) -> Column:
+    return F.sha2(F.concat(F.lit(salt), F.lit("\0"), value), 256)
 
 
 def fold(salt: str, domain: Column, n: int = N_FOLDS) -> Column:
     return F.pmod(salted_number(salt, domain), F.lit(n)).cast("int")
 
 
-def power_bin(value: Column) -> Column:
-    """``0`` or the power-of-two interval ``[2^k,2^(k+1))`` of a whole number, by its binary digits (no logarithm)."""
-    k = F.length(F.bin(value.cast("long"))) - 1
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), k)
-    return F.when(value == 0, "0").when(value > 0, F.concat(low.cast("string"), F.lit("-"), (low * 2 - 1).cast("string")))
+def hash_sample(df: DataFrame, salt: str, key: str, n: int) -> DataFrame:
+    """The n rows with the smallest salted hashes: a report-sized, repeatable sample."""
+    return df.withColumn("_h", salted_hash(salt, F.col(key))).orderBy("_h", key).limit(n).drop("_h")
 
 
-def feature_tokens(df: DataFrame, keys: list[str], names: str, counts: list[str]) -> DataFrame:
-    """keys, token: one per name of the array, one per binned count; each once."""
-    tokens = F.concat(F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.concat(F.lit("name:"), n)), F.filter(F.array(*[F.concat(F.lit(f"{c}:"), power_bin(F.col(c))) for c in counts]), lambda t: t.isNotNull()))
-    return df.select(*keys, F.explode(F.array_distinct(tokens)).alias("token"))
+def control_sample(domains: DataFrame, selected: DataFrame, key: str, group: str, salt: str, per_group: DataFrame) -> DataFrame:
+    """Per group the domains with the smallest salted hashes among those not selected; per_group: group, quota."""
+    rest = domains.join(selected.select(key).distinct(), key, "left_anti")
+    most = per_group.agg(F.max("quota")).first()[0] or 0
+    w = Window.partitionBy(group).orderBy(salted_hash(salt, F.col(key)), key)
+    # A constant bound lets every task keep its own few rows before they move.
+    first = rest.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= most)
+    return first.join(F.broadcast(per_group.select(group, F.col("quota").alias("_quota"))), group).where(F.col("_at") <= F.col("_quota")).drop("_at", "_quota")
+
 
+def largest_remainder(sizes: DataFrame, key: str, size: str, seats: int) -> DataFrame:
+    """key, quota: seats in proportion to sizes, the rest by largest remainder, ties by key; no quota above its size."""
+    every = Window.partitionBy()
+    exact = F.col(size) * seats
+    rows = sizes.withColumn("_sum", F.sum(size).over(every)).withColumn("_whole", F.floor(exact / F.col("_sum")).cast("long")).withColumn("_rest", exact - F.col("_whole") * F.col("_sum"))
+    rows = rows.withColumn("_left", F.lit(seats) - F.sum("_whole").over(every)).withColumn("_place", F.row_number().over(Window.orderBy(F.col("_rest").desc(), key)))
+    return rows.select(key, F.least(F.col(size).cast("long"), F.col("_whole") + (F.col("_place") <= F.col("_left")).cast("long")).alias("quota"))
 
-def lift(full: Column, cheap: Column) -> Column:
-    """Names that only the full view has."""
-    return F.size(F.array_except(full, cheap))
 
+def fold_quotas(sizes: DataFrame, seats: int = MOST_SELECTED, controls: int = CONTROLS) -> DataFrame:
+    """fold, routed, control, trigger: the seats of each fold (fold, n) and which of them are controls."""
+    routed, control = (largest_remainder(sizes, "fold", "n", k).withColumnRenamed("quota", name) for k, name in ((seats, "routed"), (controls, "control")))
+    return routed.join(control, "fold").select("fold", "routed", "control", (F.col("routed") - F.col("control")).alias("trigger"))
 
-def ceil_share(total: Column, percent: int) -> Column:
-    """Whole-number ceiling of a percentage, at least 1."""
-    return F.greatest(F.lit(1), F.floor((total * percent + 99) / 100).cast("long"))
 
+# --- views and tokens --------------------------------------------------------------
 
-def train_tokens(tokens: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    """Leave-one-fold-out sums: held_out, token, n, total.
 
-    tokens: keys, token; targets: keys, fold, target. A row of fold f is added
-    once to (f, token); the model without fold f is the total minus that, so no
-    row is copied per fold.
-    """
-    joined = tokens.join(targets, keys)
-    per_fold = joined.groupBy("fold", "token").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("total"))
-    per_fold = per_fold.withColumn("all_n", F.sum("n").over(Window.partitionBy("token"))).withColumn("all_total", F.sum("total").over(Window.partitionBy("token")))
-    folds = targets.select(F.col("fold").alias("held_out")).distinct()
-    own = per_fold.select(F.col("fold").alias("_f"), F.col("token").alias("_t"), F.col("n").alias("_n"), F.col("total").alias("_s"))
-    totals = per_fold.select("token", "all_n", "all_total").distinct()
-    # At most N_FOLDS rows stand on the other side of this join.
-    spread = totals.join(F.broadcast(folds), how="cross").join(own, (F.col("held_out") == F.col("_f")) & (F.col("token") == F.col("_t")), "left")
-    return spread.select("held_out", "token", (F.col("all_n") - F.coalesce("_n", F.lit(0))).alias("n"), (F.col("all_total") - F.coalesce("_s", F.lit(0))).alias("total")).where("n > 0")
-
-
-def fold_means(targets: DataFrame) -> DataFrame:
-    """held_out, mean of the target over the other folds."""
-    per = targets.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("s"))
-    every = Window.partitionBy()
-    return per.select(F.col("fold").alias("held_out"), ((F.sum("s").over(every) - F.col("s")) / (F.sum("n").over(every) - F.col("n"))).alias("mean"))
+def tier(collector: Column, source: Column, page_id: Column) -> Column:
+    """The first view that has an observation: 1 entry page and infrastructure, 2 the second static page, probes and robots texts, 3 everything else."""
+    static = collector == "http"
+    return (
+        F.when(collector.isin("dns", "tls"), 1).when(static & source.isin("probe", "robots"), 2).when(static & (page_id.isNull() | (page_id == "p1")), 1)
+        .when(static & (page_id == "p2"), 2).otherwise(3)
+    )
 
 
-def out_of_fold_scores(tokens: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, fold, score: mean of the global mean and the smoothed estimates of the known tokens.
+def detector_views(evidence: DataFrame, revisions: DataFrame, edges: DataFrame, record: list[str]) -> DataFrame:
+    """record, view, technology, type, confidence and counts of the detector run on each prefix of the observations.
 
-    An estimate is (sum + 4 * mean) / (n + 4), from folds other than the row's.
+    evidence: one row per match of an observation, with collector, source and
+    page_id. Matching looks at one observation at a time, so the matches of a
+    prefix are those of its observations; confidence, gates, implications and
+    exclusions are worked out anew for every view.
     """
-    model = train_tokens(tokens, targets, keys).join(fold_means(targets), "held_out").select("held_out", "token", ((F.col("total") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)).alias("estimate"))
-    held = tokens.join(targets.select(*keys, F.col("fold").alias("held_out")), keys)
-    sums = held.join(model, ["held_out", "token"]).groupBy(*keys).agg(F.sum("estimate").alias("s"), F.count(F.lit(1)).alias("k"))
-    base = targets.select(*keys, "fold").join(fold_means(targets).withColumnRenamed("held_out", "fold"), "fold")
-    return base.join(sums, keys, "left").select(*keys, "fold", ((F.col("mean") + F.coalesce("s", F.lit(0.0))) / (1 + F.coalesce("k", F.lit(0)))).alias("score"))
+    first = tier(F.col("collector"), F.col("source"), F.col("page_id"))
+    seen = evidence.withColumn("_view", F.explode(F.sequence(first, F.lit(len(VIEWS))))).withColumn("view", F.get(F.array(*[F.lit(v) for v in VIEWS]), F.col("_view") - 1))
+    direct = direct_detections(seen, [*record, "view"]).join(revisions, record, "left")
+    return resolve_technologies(direct, edges, [*record, "view"])
 
 
-def largest_remainder(sizes: DataFrame, key: str, size: str, seats: int) -> DataFrame:
-    """key, quota: seats in proportion to sizes, the rest by largest remainder, ties by key."""
-    every = Window.partitionBy()
-    exact = F.col(size) * seats
-    rows = sizes.withColumn("_sum", F.sum(size).over(every)).withColumn("_whole", F.floor(exact / F.col("_sum")).cast("long")).withColumn("_rest", exact - F.col("_whole") * F.col("_sum"))
-    rows = rows.withColumn("_left", F.lit(seats) - F.sum("_whole").over(every)).withColumn("_place", F.row_number().over(Window.orderBy(F.col("_rest").desc(), key)))
-    return rows.select(key, (F.col("_whole") + (F.col("_place") <= F.col("_left")).cast("long")).alias("quota"))
+def power_bin(value: Column) -> Column:
+    """``0``, ``1`` or the power-of-two interval ``lo-hi`` of a whole number, by its binary digits (no logarithm)."""
+    k = F.length(F.bin(value.cast("long"))) - 1
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    return F.when(value.isin(0, 1), value.cast("string")).when(value > 1, F.concat(low.cast("string"), F.lit("-"), (low * 2 - 1).cast("string")))
 
 
-def hash_sample(df: DataFrame, salt: str, key: str, n: int) -> DataFrame:
-    """The n rows with the smallest salted hashes: a report-sized, repeatable sample."""
-    return df.withColumn("_h", F.sha2(F.concat(F.lit(salt), F.lit("\0"), F.col(key)), 256)).orderBy("_h", key).limit(n).drop("_h")
+def _quoted(name: Column) -> Column:
+    """The JSON text of a name."""
+    return F.regexp_extract(F.to_json(F.array(name)), r"(?s)\A\[(.*)\]\z", 1)
 
 
-def greedy_selection(domains: DataFrame, group: str, key: str, names: str, utility: str, quotas: DataFrame, salt: str, most_rows: int = 100_000) -> DataFrame:
-    """Per group the greedy choice of ``quota`` domains with diminishing credit for names already covered.
+def feature_tokens(names: DataFrame, states: DataFrame, errors: DataFrame, features: DataFrame, numbers: list[str], words: list[str], key: str = "key") -> DataFrame:
+    """key, token of what is known before a full collection: the first two views and features of the entry; each token once.
 
-    Sequential by nature, so one task per group; a group of a fold is bounded by
-    ``most_rows`` (checked). Gives group, key, place.
+    names: key, view, name of direct detections. states: key, view, state, reason
+    and the counts raw_direct to retained_direct. errors: key, view, stage, code,
+    retryable, n. features: key, numbers (binned) and words.
+    The full view, its costs and inferred names are not among the inputs.
     """
-    spark = domains.sparkSession
-    ensure_workers_import(spark)
-    largest = domains.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    if largest > most_rows:
-        raise ValueError(f"a group of {largest} rows is too large for one task: use more groups")
-    rows = domains.select(group, F.col(key).alias("_key"), F.col(names).alias("_names"), F.col(utility).cast("double").alias("_utility"), F.sha2(F.concat(F.lit(salt), F.lit("\0"), F.col(key)), 256).alias("_tie")).join(F.broadcast(quotas), group)
-    schema = f"`{group}` {domains.schema[group].dataType.simpleString()}, `{key}` string, place int"
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        left = {k: (set(n if n is not None else []), u, t) for k, n, u, t in zip(frame["_key"], frame["_names"], frame["_utility"], frame["_tie"], strict=True)}
-        covered: dict[str, int] = {}
-        picked = []
-        for _ in range(min(int(frame["quota"].iloc[0]), len(left))):
-            best = min(left, key=lambda k: (-(left[k][1] + sum(1 / (1 + covered.get(n, 0)) for n in sorted(left[k][0]))), left[k][2]))
-            for n in left.pop(best)[0]:
-                covered[n] = covered.get(n, 0) + 1
-            picked.append(best)
-        return pd.DataFrame({group: [frame[group].iloc[0]] * len(picked), key: picked, "place": range(1, len(picked) + 1)})
-
-    return rows.groupBy(group).applyInPandas(choose, schema)
-
-
-def retention(full: DataFrame, cheap: DataFrame, selected: DataFrame, key: str) -> DataFrame:
-    """One row: names and pairs kept if selected domains take the full view and the others the cheap one.
-
-    full, cheap: key, name; selected: key. Also the macro averages by domain and
-    by technology, and extras that only the cheap view of other domains has.
+    early = lambda df: df.where(F.col("view").isin("t1", "t2"))
+    names, states, errors = early(names).select(key, "view", "name").distinct(), early(states), early(errors)
+    available = states.where("state = 'available'").select(key, "view")
+    names = names.join(available, [key, "view"], "left_semi")
+    counts = available.join(names.groupBy(key, "view").agg(F.count(F.lit(1)).alias("n")), [key, "view"], "left").select(key, "view", F.coalesce("n", F.lit(0)).alias("n"))
+    both = available.groupBy(key).agg(F.count(F.lit(1)).alias("_views")).where("_views = 2").select(key)
+    more = names.where("view = 't2'").select(key, "name").join(names.where("view = 't1'").select(key, "name"), [key, "name"], "left_anti").join(both, key, "left_semi")
+    more_counts = both.join(more.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
+    stats = [c for c in ("raw_direct", "gated_direct", "suppressed_direct", "retained_direct") if c in states.columns]
+    error = F.concat_ws(":", "stage", "code", F.col("retryable").cast("string"))
+    tokens = [
+        states.select(key, F.explode(F.array(F.concat("view", F.lit(".state="), "state"), F.concat("view", F.lit(".reason="), F.when(F.col("state") != "available", F.col("reason"))))).alias("token")),
+        names.select(key, F.concat("view", F.lit(".direct="), _quoted(F.col("name"))).alias("token")),
+        counts.select(key, F.concat("view", F.lit(".direct.count="), power_bin(F.col("n"))).alias("token")),
+        states.where("state = 'available'").select(key, F.explode(F.array(*[F.concat("view", F.lit(f".detection.{c}="), power_bin(F.coalesce(F.col(c), F.lit(0)))) for c in stats])).alias("token")),
+        errors.join(available, [key, "view"], "left_semi").select(key, F.explode(F.array(F.concat("view", F.lit(".error="), error), F.concat("view", F.lit(".error.count="), error, F.lit(":"), power_bin(F.col("n"))))).alias("token")),
+        more.select(key, F.concat(F.lit("t2.incrementalDirect="), _quoted(F.col("name"))).alias("token")),
+        more_counts.select(key, F.concat(F.lit("t2.incrementalDirect.count="), power_bin(F.col("n"))).alias("token")),
+        features.select(key, F.explode(F.array(*[F.concat(F.lit(f"preBrowser.{c}="), power_bin(F.col(c))) for c in numbers], *[F.concat(F.lit(f"preBrowser.{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in words])).alias("token")),
+    ]
+    return reduce(DataFrame.unionByName, tokens).where("token IS NOT NULL").distinct()
+
+
+def unmapped_names(names: DataFrame, categories: DataFrame) -> DataFrame:
+    """The names (name) that have no category entry."""
+    return names.join(categories.select("name").distinct(), "name", "left_anti")
+
+
+def category_tokens(names: DataFrame, categories: DataFrame, key: str) -> DataFrame:
+    """key, token of the categories of a domain's technologies; raises if a name has no category entry.
+
+    names: key, name; categories: name, category.
     """
-    full, cheap = full.select(key, "name").distinct(), cheap.select(key, "name").distinct()
-    chosen = selected.select(key).distinct()
-    mixed = full.join(chosen, key, "left_semi").unionByName(cheap.join(chosen, key, "left_anti")).withColumn("_kept", F.lit(1))
-    pairs = full.join(mixed, [key, "name"], "left").withColumn("_kept", F.coalesce("_kept", F.lit(0)))
-    by_domain = pairs.groupBy(key).agg(F.avg("_kept").alias("r")).agg(F.avg("r").alias("macro_domain"))
-    by_name = pairs.groupBy("name").agg(F.avg("_kept").alias("r"), F.max("_kept").alias("any")).agg(F.count(F.lit(1)).alias("names"), F.sum("any").alias("names_kept"), F.avg("r").alias("macro_technology"))
-    total = pairs.agg(F.count(F.lit(1)).alias("pairs"), F.sum("_kept").alias("pairs_kept"))
-    extra = mixed.join(full, [key, "name"], "left_anti").agg(F.count(F.lit(1)).alias("extras"))
-    return reduce(lambda a, b: a.join(F.broadcast(b)), [total, by_name, by_domain, extra])
+    if unmapped_names(names, categories).limit(1).count():
+        raise ValueError("a technology has no category mapping")
+    return names.join(categories, "name").select(key, F.concat(F.lit("t2.category="), F.col("category").cast("string")).alias("token")).distinct()
 
 
-def relative_costs(costs: DataFrame, selected: DataFrame, key: str, measures: list[str]) -> DataFrame:
-    """One row: totals of each measure over all and over the selected domains, and their share (null without total)."""
-    chosen = selected.select(key).distinct().withColumn("_in", F.lit(1))
-    rows = costs.join(chosen, key, "left")
-    inside = F.col("_in").isNotNull()
-    sums = rows.agg(F.count(F.lit(1)).alias("domains_full"), F.count_if(inside).alias("domains_selected"), *[F.coalesce(F.sum(m), F.lit(0)).alias(f"{m}_full") for m in measures], *[F.coalesce(F.sum(F.when(inside, F.col(m))), F.lit(0)).alias(f"{m}_selected") for m in measures])
-    return sums.select("*", *[F.when(F.col(f"{m}_full") != 0, F.col(f"{m}_selected") / F.col(f"{m}_full")).alias(f"{m}_share") for m in measures])
+# --- targets and models ------------------------------------------------------------
 
 
-def verdict(metrics: DataFrame, measures: list[str], seats: int = MOST_SELECTED) -> DataFrame:
-    """Add ``accepted``: enough names and pairs kept, few domains, every cost at most three tenths (exact whole numbers)."""
-    fine = (F.col("names_kept") >= NAME_SHARE * F.col("names")) & (F.col("pairs_kept") >= PAIR_SHARE * F.col("pairs")) & (F.col("domains_selected") <= seats)
-    for m in measures:
-        fine = fine & (F.col(f"{m}_selected") * 10 <= F.col(f"{m}_full") * COST_TENTHS)
-    return metrics.withColumn("accepted", fine)
+def pair_targets(views: DataFrame, folds: DataFrame, key: str = "key") -> DataFrame:
+    """key, fold, target: how many names only the full view has. views: key, view, name; folds: key, fold."""
+    full, cheap = (views.where(F.col("view") == v).select(key, "name").distinct() for v in ("full", "t2"))
+    n = full.join(cheap, [key, "name"], "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("target"))
+    return folds.join(n, key, "left").select(key, "fold", F.coalesce("target", F.lit(0)).cast("long").alias("target"))
 
 
-def fold_wins(left: DataFrame, right: DataFrame, metric: str) -> DataFrame:
-    """One row: folds in which the right arm beats the left, and whether it wins most of them."""
-    joined = left.select("fold", F.col(metric).alias("a")).join(right.select("fold", F.col(metric).alias("b")), "fold")
-    return joined.agg(F.count(F.lit(1)).alias("folds"), F.count_if(F.col("b") > F.col("a")).alias("wins")).withColumn("right_arm", F.col("wins") * 2 > F.col("folds"))
+def name_counts(views: DataFrame, folds: DataFrame, key: str = "key") -> DataFrame:
+    """name, fold, n_t2, n_full, n_kept: the domains of each fold whose view has the name, and that keep it in t2."""
+    per = views.where("view IN ('t2', 'full')").join(folds, key).groupBy(key, "fold", "name").agg(F.max((F.col("view") == "t2").cast("int")).alias("a"), F.max((F.col("view") == "full").cast("int")).alias("b"))
+    return per.groupBy("name", "fold").agg(F.sum("a").alias("n_t2"), F.sum("b").alias("n_full"), F.sum(F.col("a") * F.col("b")).alias("n_kept"))
 
 
-def limit_hits(hits: DataFrame) -> DataFrame:
-    """Limit hits by category and ordinal: hits, domains, pages."""
-    return hits.groupBy("category", "ordinal").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("domain").alias("domains"), F.countDistinct("domain", "page_id").alias("pages"))
+def _without(sums: DataFrame, by: list[str], held: DataFrame, columns: list[str]) -> DataFrame:
+    """Sums over all folds but the held-out one: the total minus that fold's. held: held_out (a handful of folds)."""
+    total = sums.groupBy(*by).agg(*[F.sum(c).alias(c) for c in columns])
+    own = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("fold").alias("_fold"), *[F.col(c).alias(f"_own_{c}") for c in columns])
+    on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in by], F.col("held_out") == F.col("_fold"))
+    spread = total.crossJoin(F.broadcast(held)).join(own, on, "left")
+    return spread.select("held_out", *by, *[(F.col(c) - F.coalesce(f"_own_{c}", F.lit(0))).alias(c) for c in columns])
 
 
-def category_tokens(names: DataFrame, categories: DataFrame, key: str) -> DataFrame:
-    """key, token of the categories of a domain's technologies; raises if a name has no category entry.
+def name_heads(counts: DataFrame, held: DataFrame) -> DataFrame:
+    """held_out, name, support of the names that no training domain has in t2 (support 1: rare, more: recurring)."""
+    rest = _without(counts, ["name"], held, ["n_t2", "n_full"])
+    return rest.where("n_t2 = 0 AND n_full > 0").select("held_out", "name", F.col("n_full").alias("support"))
 
-    names: key, name; categories: name, category.
-    """
-    known = categories.select("name", F.col("category").cast("string").alias("category"))
-    if names.join(known, "name", "left_anti").limit(1).count():
-        raise ValueError("a technology has no category mapping")
-    return names.join(known, "name").select(key, F.concat(F.lit("category:"), "category").alias("token")).distinct()
+
+def objectives(counts: DataFrame, targets: DataFrame, held: DataFrame) -> DataFrame:
+    """One row per held-out fold: training domains, the sums and deficits of its training set."""
+    rest = _without(counts, ["name"], held, ["n_t2", "n_full", "n_kept"])
+    names = rest.groupBy("held_out").agg(
+        F.sum("n_full").alias("pairs"), F.sum("n_kept").alias("pairs_kept"), F.count_if(F.col("n_full") > 0).alias("names"), F.count_if((F.col("n_full") > 0) & (F.col("n_t2") > 0)).alias("names_kept"),
+        F.count_if((F.col("n_t2") == 0) & (F.col("n_full") == 1)).alias("rare_sum"),
+    )
+    per = targets.groupBy("fold").agg(F.count(F.lit(1)).alias("domains"), F.sum("target").alias("pair_sum")).withColumn("one", F.lit(1))
+    sums = _without(per, ["one"], held, ["domains", "pair_sum"])
+    deficit = lambda total, kept, percent: F.greatest(F.lit(1), ceil_share(F.col(total), percent) - F.col(kept))
+    return sums.drop("one").where("domains > 0").join(names, "held_out", "left").select(
+        "held_out", "domains", "pair_sum", F.coalesce("rare_sum", F.lit(0)).alias("rare_sum"), (F.col("pair_sum") / F.col("domains")).alias("pair_mean"), (F.coalesce("rare_sum", F.lit(0)) / F.col("domains")).alias("rare_mean"),
+        F.coalesce(deficit("pairs", "pairs_kept", 80), F.lit(1)).alias("pair_deficit"), F.coalesce(deficit("names", "names_kept", 95), F.lit(1)).alias("name_deficit"),
+    )
+
+
+def ceil_share(total: Column, percent: int) -> Column:
+    """Whole-number ceiling of a percentage."""
+    return F.floor((total * percent + 99) / 100).cast("long")
 
 
 def training_deficits(full: DataFrame, cheap: DataFrame, key: str) -> DataFrame:
     """One row: pairs and names that the cheap view lacks up to 80 and 95 percent of the full view, at least 1."""
     full, cheap = full.select(key, "name").distinct(), cheap.select(key, "name").distinct()
     kept = full.join(cheap, [key, "name"], "left_semi")
-    totals = full.agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("name").alias("names")).join(F.broadcast(kept.agg(F.count(F.lit(1)).alias("pairs_kept"), F.countDistinct("name").alias("names_kept"))))
+    names = full.select("name").distinct().join(cheap.select("name").distinct(), "name", "left_semi").agg(F.count(F.lit(1)).alias("names_kept"))
+    totals = full.agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("name").alias("names")).join(F.broadcast(kept.agg(F.count(F.lit(1)).alias("pairs_kept")))).join(F.broadcast(names))
     return totals.select(
         F.greatest(F.lit(1), ceil_share(F.col("pairs"), 80) - F.col("pairs_kept")).alias("pair_deficit"), F.greatest(F.lit(1), ceil_share(F.col("names"), 95) - F.col("names_kept")).alias("name_deficit")
     )
 
 
+def train_tokens(tokens: DataFrame, targets: DataFrame, rare: DataFrame, held: DataFrame, key: str = "key") -> DataFrame:
+    """held_out, token, n, pair_sum, rare_sum: the sums of each token without the fold.
+
+    rare: held_out, key, n of the training domains that hold names of support 1.
+    """
+    joined = tokens.join(targets, key)
+    per_fold = joined.groupBy("fold", "token").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("pair_sum"))
+    sums = _without(per_fold, ["token"], held, ["n", "pair_sum"]).where("n > 0")
+    rare_sums = tokens.join(rare, key).groupBy("held_out", "token").agg(F.sum("n").alias("rare_sum"))
+    return sums.join(rare_sums, ["held_out", "token"], "left").select("held_out", "token", "n", "pair_sum", F.coalesce("rare_sum", F.lit(0)).alias("rare_sum"))
+
+
+def train_recurring(tokens: DataFrame, novel: DataFrame, heads: DataFrame, held: DataFrame, key: str = "key") -> DataFrame:
+    """held_out, token, name, total: training domains that hold both the token and the recurring name (none: no row).
+
+    novel: key, fold, name of full views, for names that are recurring without
+    some fold; heads: held_out, name, support.
+    """
+    per_fold = tokens.join(novel, key).groupBy("fold", "token", "name").agg(F.count(F.lit(1)).alias("total"))
+    sums = _without(per_fold, ["token", "name"], held, ["total"]).where("total > 0")
+    return sums.join(heads.where(F.col("support") >= RECURRING).select("held_out", "name"), ["held_out", "name"], "left_semi")
+
+
+class Model:
+    """The sums of all held-out folds: objectives, heads, tokens, recurring."""
+
+    def __init__(self, objectives: DataFrame, heads: DataFrame, tokens: DataFrame, recurring: DataFrame, baseline: DataFrame) -> None:
+        self.objectives, self.heads, self.tokens, self.recurring, self.baseline = objectives, heads, tokens, recurring, baseline
+
+
+def train(tokens: DataFrame, views: DataFrame, folds: DataFrame, held: DataFrame | None = None, key: str = "key") -> Model:
+    """Models without each held-out fold (default: every fold).
+
+    tokens: key, token; views: key, view, name; folds: key, fold. ``baseline``
+    are the names that t2 finds anywhere: no selection is needed to see them.
+    """
+    held = (folds.select(F.col("fold").alias("held_out")).distinct() if held is None else held).coalesce(1)
+    targets = pair_targets(views, folds, key)
+    counts = name_counts(views, folds, key)
+    heads = materialize(name_heads(counts, held), "heads")[0]
+    full = views.where("view = 'full'").select(key, "name").distinct().join(folds, key)
+    rare = full.join(heads.where("support = 1"), "name").where("fold <> held_out").groupBy("held_out", key).agg(F.count(F.lit(1)).alias("n"))
+    novel = full.join(heads.where(F.col("support") >= RECURRING).select("name").distinct(), "name", "left_semi")
+    baseline = views.where("view = 't2'").select("name").distinct()
+    parts = [materialize(p, "model")[0] for p in (objectives(counts, targets, held), train_tokens(tokens, targets, rare, held, key), train_recurring(tokens, novel, heads, held, key))]
+    return Model(parts[0], heads, parts[1], parts[2], baseline)
+
+
+def predict(model: Model, tokens: DataFrame, folds: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """Predictions of each domain by the model without its fold, and the sparse part of its recurring names.
+
+    First: key, fold, matched, weight, pair_lift, rare_novelty. Estimates are
+    (sum + 4 * mean) / (n + 4); a prediction is the mean of the global mean and
+    the estimates of the matched tokens.
+    Second: key, fold, name, part. The probability of a recurring name is
+    (mean * (1 + 4 * weight) + part) / (1 + matched), clamped to 0 and 1, where
+    mean is support / domains and a name without row has part 0.
+    """
+    means = model.objectives.select("held_out", "pair_mean", "rare_mean")
+    own = tokens.join(folds.select(key, F.col("fold").alias("held_out")), key)
+    estimate = lambda c: (F.col(f"{c}_sum") + PRIOR * F.col(f"{c}_mean")) / (F.col("n") + PRIOR)
+    matched = own.join(model.tokens.join(F.broadcast(means), "held_out").select("held_out", "token", (1 / (F.col("n") + PRIOR)).alias("w"), estimate("pair").alias("pair"), estimate("rare").alias("rare")), ["held_out", "token"])
+    sums = matched.groupBy(key).agg(F.count(F.lit(1)).alias("matched"), F.sum("w").alias("weight"), F.sum("pair").alias("pair"), F.sum("rare").alias("rare"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    base = folds.select(key, "fold").join(F.broadcast(means.withColumnRenamed("held_out", "fold")), "fold").join(sums, key, "left")
+    lift = lambda c: ((F.col(f"{c}_mean") + zero(c)) / (1 + zero("matched")))
+    first = base.select(key, "fold", zero("matched").alias("matched"), F.coalesce("weight", F.lit(0.0)).alias("weight"), lift("pair").alias("pair_lift"), lift("rare").alias("rare_novelty"))
+    parts = model.recurring.join(model.tokens.select("held_out", "token", "n"), ["held_out", "token"]).select("held_out", "token", "name", (F.col("total") / (F.col("n") + PRIOR)).alias("part"))
+    second = own.join(parts, ["held_out", "token"]).groupBy(key, F.col("held_out").alias("fold"), "name").agg(F.sum("part").alias("part"))
+    return materialize(first, "predictions")[0], materialize(second, "predictions")[0]
+
+
+def wanted_heads(model: Model) -> DataFrame:
+    """fold, name, mean of the recurring names that t2 finds nowhere."""
+    heads = model.heads.where(F.col("support") >= RECURRING).join(model.baseline, "name", "left_anti")
+    return heads.join(F.broadcast(model.objectives.select("held_out", "domains")), "held_out").select(F.col("held_out").alias("fold"), "name", (F.col("support") / F.col("domains")).alias("mean"))
+
+
+def scores(model: Model, predictions: tuple[DataFrame, DataFrame], key: str = "key") -> DataFrame:
+    """key, fold, matched, weight, pair_lift, rare_novelty, expected, score.
+
+    expected: the summed probabilities of the wanted recurring names; score:
+    pair lift and novelty as shares of what the training set lacks.
+    """
+    first, second = predictions
+    heads = wanted_heads(model)
+    means = heads.groupBy("fold").agg(F.sum("mean").alias("means"))
+    parts = second.join(heads.select("fold", "name"), ["fold", "name"]).groupBy(key).agg(F.sum("part").alias("parts"))
+    joined = first.join(F.broadcast(means), "fold", "left").join(parts, key, "left").join(F.broadcast(model.objectives.select(F.col("held_out").alias("fold"), "pair_deficit", "name_deficit")), "fold")
+    expected = (F.coalesce("means", F.lit(0.0)) * (1 + PRIOR * F.col("weight")) + F.coalesce("parts", F.lit(0.0))) / (1 + F.col("matched"))
+    score = utility(F.col("pair_lift"), F.col("rare_novelty") + F.col("expected"), F.col("pair_deficit"), F.col("name_deficit"))
+    return joined.withColumn("expected", expected).select(key, "fold", "matched", "weight", "pair_lift", "rare_novelty", "expected", score.alias("score"))
+
+
 def utility(pair_gain: Column, novelty: Column, pair_deficit: Column, name_deficit: Column) -> Column:
     """Worth of a domain: its gains as shares of what is missing."""
     return pair_gain / pair_deficit + novelty / name_deficit
 
 
-def control_sample(domains: DataFrame, selected: DataFrame, key: str, group: str, salt: str, per_group: int) -> DataFrame:
-    """Per group the ``per_group`` domains with the smallest salted hashes among those not selected."""
-    rest = domains.join(selected.select(key).distinct(), key, "left_anti")
-    w = Window.partitionBy(group).orderBy(F.sha2(F.concat(F.lit(salt), F.lit("\0"), F.col(key)), 256), key)
-    return rest.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= per_group).drop("_at")
+# --- selections --------------------------------------------------------------------
+
+
+def _certified(run: Callable[[int], DataFrame], n_rows: int, pool: int) -> DataFrame:
+    """The choice from the smallest pool, doubled until it is proven to be the choice from all."""
+    while True:
+        chosen = run(pool)
+        rows = chosen.collect()  # at most one row per seat
+        if pool >= n_rows or all(r["_proven"] for r in rows):
+            return chosen.sparkSession.createDataFrame(rows, chosen.schema).drop("_proven")
+        pool *= 2
+
+
+def greedy_selection(model: Model, predictions: tuple[DataFrame, DataFrame], quotas: DataFrame, salt: str, key: str = "key", pool: int = FIRST_POOL) -> DataFrame:
+    """fold, key, place, score: per fold the greedy choice of ``trigger`` domains with diminishing credit for expected names.
+
+    A chosen domain covers a name with its probability p: the name's coverage c
+    becomes 1 - (1 - c) * (1 - p), and later domains get p * (1 - c) for it.
+    Ties go to the smallest salted hash. quotas: fold, trigger.
+
+    Defined cases: a fold with fewer domains than seats gives all of them; an
+    empty table gives no rows; a domain without tokens has the global means.
+    """
+    first, second = predictions
+    spark = first.sparkSession
+    ensure_workers_import(spark)
+    scored = materialize(scores(model, predictions, key), "scores")[0].withColumn("_rounded", F.round("score", DECIMALS)).withColumn("_tie", salted_hash(salt, F.col(key)))
+    heads = wanted_heads(model)
+    limits = F.broadcast(model.objectives.select(F.col("held_out").alias("fold"), "pair_deficit", "name_deficit").join(quotas.select("fold", "trigger"), "fold"))
+    largest = scored.groupBy("fold").count().agg(F.max("count")).first()[0] or 0
+    columns = ["fold", key, "place", "score", "_proven"]
+    schema = f"fold int, `{key}` string, place int, score double, _proven boolean"
+
+    def choose(rows: pd.DataFrame, means: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({c: [] for c in columns})
+        bound = rows.loc[rows["_place"] == rows["_pool"] + 1, "_rounded"]
+        bound = float(bound.iloc[0]) if len(bound) else -np.inf
+        rows = rows[rows["_place"] <= rows["_pool"]].reset_index(drop=True)
+        number = {n: i for i, n in enumerate(means["name"])}
+        spread = (1 + PRIOR * rows["weight"].to_numpy())[:, None] * means["mean"].to_numpy(float)[None, :]
+        for i, (names, parts) in enumerate(zip(rows["_names"], rows["_parts"], strict=True)):
+            for n, p in zip(names if names is not None else (), parts if parts is not None else (), strict=True):
+                if n in number:
+                    spread[i, number[n]] += p
+        chance = np.clip(spread / (1 + rows["matched"].to_numpy())[:, None], 0, 1)
+        pair = rows["pair_lift"].to_numpy() / rows["pair_deficit"].to_numpy()
+        rare, lack = rows["rare_novelty"].to_numpy(), rows["name_deficit"].to_numpy()
+        open_share, left, out = np.ones(len(number)), np.ones(len(rows), dtype=bool), []
+        for place in range(1, min(int(rows["trigger"].iloc[0]), len(rows)) + 1):
+            worth = np.round(pair + (rare + chance @ open_share) / lack, DECIMALS)
+            best = max(worth[left])
+            at = min(np.flatnonzero(left & (worth == best)), key=lambda i: rows["_tie"].iloc[i])
+            out.append((int(rows["fold"].iloc[0]), rows[key].iloc[at], place, float(best), bool(best > bound)))
+            left[at] = False
+            open_share = open_share * (1 - chance[at])
+        return pd.DataFrame(out, columns=columns)
+
+    def run(pool: int) -> DataFrame:
+        w = Window.partitionBy("fold").orderBy(F.col("_rounded").desc(), "_tie")
+        top = scored.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= pool + 1)
+        sparse = second.join(F.broadcast(top.select(key)), key, "left_semi").groupBy(key).agg(F.collect_list("name").alias("_names"), F.collect_list("part").alias("_parts"))
+        rows = top.join(sparse, key, "left").join(limits, "fold").withColumn("_pool", F.lit(pool))
+        return rows.groupBy("fold").cogroup(heads.groupBy("fold")).applyInPandas(choose, schema)
+
+    return _certified(run, largest, pool)
+
+
+def label_aware_selection(views: DataFrame, seats: int, salt: str, key: str = "key", pool: int = FIRST_POOL) -> DataFrame:
+    """place, key, pair_lift, name_lift: the greedy choice by one who knows the full views.
+
+    Each step takes the most names that only the full view has; among these the
+    most names that the simulated result lacks as a whole, less those that it
+    would lose; then the smallest salted hash.
+    """
+    spark = views.sparkSession
+    ensure_workers_import(spark)
+    sides = views.where("view IN ('t2', 'full')").groupBy(key, "name").agg(F.max((F.col("view") == "t2").cast("int")).alias("cheap"), F.max((F.col("view") == "full").cast("int")).alias("full"))
+    world = sides.groupBy("name").agg(F.max("full").alias("real"), F.sum("cheap").cast("long").alias("n")).where("real = 1").select("name", "n")
+    # A name can only be missing at some step if no more domains show it than are selected.
+    per = sides.join(world, "name", "left").groupBy(key).agg(F.count_if(F.expr("full = 1 AND cheap = 0")).alias("pair_lift"), F.count_if((F.col("full") == 1) & (F.col("cheap") == 0) & (F.col("n") <= seats)).alias("most_names"))
+    ranked = per.withColumn("_tie", salted_hash(salt, F.col(key)))
+    n_rows = per.count()
+    columns = ["place", key, "pair_lift", "name_lift", "_proven"]
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        edge = rows[rows["_place"] == rows["_pool"] + 1]
+        bound = (int(edge["pair_lift"].iloc[0]), int(edge["most_names"].iloc[0])) if len(edge) else (-1, -1)
+        rows = rows[rows["_place"] <= rows["_pool"]]
+        shown: dict[str, int] = {}
+        cheap: dict[str, set] = {}
+        full: dict[str, set] = {}
+        static: dict[str, tuple[int, str]] = {}
+        for k, name, a, b, n, lift, tie in zip(rows[key], rows["name"], rows["cheap"], rows["full"], rows["n"], rows["pair_lift"], rows["_tie"], strict=True):
+            static[k] = (int(lift), tie)
+            cheap.setdefault(k, set()), full.setdefault(k, set())
+            if pd.notna(n):
+                shown[name] = int(n)
+                (cheap[k].add(name) if a else None, full[k].add(name) if b else None)
+        out = []
+        for place in range(1, min(seats, len(static)) + 1):
+            gain = lambda k: sum(1 for n in full[k] - cheap[k] if not shown[n]) - sum(1 for n in cheap[k] - full[k] if shown[n] == 1)
+            top = max(lift for lift, _ in static.values())
+            gains = {k: gain(k) for k, (lift, _) in static.items() if lift == top}
+            best = min(gains, key=lambda k: (-gains[k], static[k][1]))
+            out.append((place, best, top, gains[best], (top, gains[best]) > bound))
+            del static[best]
+            for n in cheap[best]:
+                shown[n] -= 1
+            for n in full[best]:
+                shown[n] += 1
+        return pd.DataFrame(out, columns=columns)
+
+    def run(pool: int) -> DataFrame:
+        w = Window.orderBy(F.col("pair_lift").desc(), F.col("most_names").desc(), "_tie")
+        top = ranked.orderBy(F.col("pair_lift").desc(), F.col("most_names").desc(), "_tie").limit(pool + 1).withColumn("_place", F.row_number().over(w)).withColumn("_pool", F.lit(pool))
+        rows = top.join(sides, key, "left").join(world, "name", "left").select(key, "name", "cheap", "full", "n", "pair_lift", "most_names", "_tie", "_place", "_pool")
+        return rows.groupBy("_pool").applyInPandas(choose, f"place int, `{key}` string, pair_lift long, name_lift long, _proven boolean")
+
+    return _certified(run, n_rows, pool)
+
+
+# --- judgement ---------------------------------------------------------------------
+
+
+def selection_metrics(views: DataFrame, selected: DataFrame, costs: DataFrame, measures: list[str], key: str = "key") -> DataFrame:
+    """One row per arm: what is kept and what it costs if its selected domains take the full view and the others t2.
+
+    views: key, view, name; selected: arm, key; costs: key and measures. All
+    arms (a handful) are judged in one pass over the views.
+    """
+    sides = views.where("view IN ('t2', 'full')").groupBy(key, "name").agg(F.max((F.col("view") == "t2").cast("int")).alias("cheap"), F.max((F.col("view") == "full").cast("int")).alias("full"))
+    chosen = selected.select("arm", key).distinct()
+    arms = F.broadcast(chosen.select("arm").distinct())
+    inside = F.broadcast(chosen.withColumn("_in", F.lit(1)))
+    rows = sides.crossJoin(arms).join(inside, ["arm", key], "left").withColumn("seen", F.when(F.col("_in") == 1, F.col("full")).otherwise(F.col("cheap")))
+    kept = F.col("full") * F.col("seen")
+    by_name = rows.groupBy("arm", "name").agg(F.sum("full").alias("n"), F.sum(kept).alias("k"), F.max("seen").alias("any"), F.sum((1 - F.col("full")) * F.col("seen")).alias("extra"))
+    names = by_name.groupBy("arm").agg(
+        F.sum("n").alias("pairs"), F.sum("k").alias("pairs_kept"), F.count_if(F.col("n") > 0).alias("names"), F.count_if((F.col("n") > 0) & (F.col("any") > 0)).alias("names_kept"),
+        F.avg(F.when(F.col("n") > 0, F.col("k") / F.col("n"))).alias("macro_technology"), F.count_if((F.col("n") == 0) & (F.col("any") > 0)).alias("extra_names"), F.sum("extra").alias("extra_pairs"),
+    )
+    by_domain = rows.groupBy("arm", key).agg(F.sum("full").alias("n"), F.sum(kept).alias("k")).where("n > 0").groupBy("arm").agg(F.avg(F.col("k") / F.col("n")).alias("macro_domain"), F.count(F.lit(1)).alias("domains_labelled"))
+    spent = costs.crossJoin(arms).join(inside, ["arm", key], "left")
+    own = F.col("_in").isNotNull()
+    sums = spent.groupBy("arm").agg(F.count(F.lit(1)).alias("domains_full"), F.count_if(own).alias("domains_selected"), *[F.coalesce(F.sum(m), F.lit(0)).alias(f"{m}_full") for m in measures], *[F.coalesce(F.sum(F.when(own, F.col(m))), F.lit(0)).alias(f"{m}_selected") for m in measures])
+    return names.join(by_domain, "arm", "left").join(sums, "arm", "left")
+
+
+def verdict(metrics: DataFrame, measures: list[str], seats: int = MOST_SELECTED) -> DataFrame:
+    """Add ``accepted``: enough names and pairs kept, few domains, every cost at most three tenths (exact whole numbers)."""
+    fine = (F.col("names") > 0) & (F.col("names_kept") >= NAME_SHARE * F.col("names")) & (F.col("pairs_kept") >= PAIR_SHARE * F.col("pairs")) & (F.col("domains_selected") <= seats)
+    for m in measures:
+        fine = fine & (F.col(f"{m}_selected") * 10 <= F.col(f"{m}_full") * COST_TENTHS)
+    return metrics.withColumn("accepted", F.coalesce(fine, F.lit(False)))
+
+
+def fold_outcomes(views: DataFrame, selected: DataFrame, targets: DataFrame, key: str = "key") -> DataFrame:
+    """arm, fold, n_selected, pair_lift, novel_names of the selected domains (arm, fold, key); novel: t2 finds the name nowhere."""
+    novel = views.where("view = 'full'").select(key, "name").distinct().join(views.where("view = 't2'").select("name").distinct(), "name", "left_anti")
+    lifts = selected.join(targets.select(key, "target"), key).groupBy("arm", "fold").agg(F.count(F.lit(1)).alias("n_selected"), F.sum("target").alias("pair_lift"))
+    names = selected.join(novel, key).groupBy("arm", "fold").agg(F.countDistinct("name").alias("novel_names"))
+    return lifts.join(names, ["arm", "fold"], "left").select("arm", "fold", "n_selected", "pair_lift", F.coalesce("novel_names", F.lit(0)).alias("novel_names"))
+
+
+def fold_wins(outcomes: DataFrame, left: str, right: str) -> DataFrame:
+    """fold, both arms' outcomes and whether the right one won: neither measure worse, at least one better."""
+    side = lambda arm, p: outcomes.where(F.col("arm") == arm).select("fold", F.col("pair_lift").alias(f"{p}_pair_lift"), F.col("novel_names").alias(f"{p}_novel_names"))
+    both = side(left, "left").join(side(right, "right"), "fold")
+    better = lambda f: [f(F.col(f"right_{m}"), F.col(f"left_{m}")) for m in ("pair_lift", "novel_names")]
+    no_worse = reduce(lambda a, b: a & b, better(lambda x, y: x >= y))
+    some_better = reduce(lambda a, b: a | b, better(lambda x, y: x > y))
+    return both.withColumn("right_won", no_worse & some_better)
+
+
+def decide(left_accepted: Column, right_accepted: Column, wins: Column, least: int = FOLD_WINS) -> Column:
+    """The arm to take: the left one if it is accepted, else the right one if it is accepted and won enough folds, else none."""
+    return F.when(left_accepted, "left").when(right_accepted & (wins >= least), "right").otherwise("none")
+
+
+def limit_hits(hits: DataFrame) -> DataFrame:
+    """Limit hits by category and ordinal: hits, domains, pages."""
+    return hits.groupBy("category", "ordinal").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("domain").alias("domains"), F.countDistinct("domain", "page_id").alias("pages"))
 
 
 def snapshots(rows: DataFrame, key: str, most: int) -> DataFrame:
@@ -213,3 +525,57 @@ def snapshots(rows: DataFrame, key: str, most: int) -> DataFrame:
     if sums.n > most:
         raise ValueError(f"{sums.n} snapshots; at most {most} are allowed")
     return rows.orderBy(key)
+
+
+# --- drivers -----------------------------------------------------------------------
+
+
+def select_triggered(tokens: DataFrame, views: DataFrame, folds: DataFrame, salts: dict[str, str], held: DataFrame | None = None, key: str = "key", seats: int = MOST_SELECTED) -> DataFrame:
+    """source, fold, key, score: the triggered domains and controls of each fold, by models that have not seen it.
+
+    held: the folds to select from (default: all). Models learn from all folds but the held-out one.
+    """
+    model = train(tokens, views, folds, held, key)
+    judged = folds if held is None else folds.join(F.broadcast(held.withColumnRenamed("held_out", "fold")), "fold", "left_semi")
+    own = views.join(judged.select(key), key, "left_semi")
+    model.baseline = own.where("view = 't2'").select("name").distinct()
+    predictions = predict(model, tokens, judged, key)
+    quotas = fold_quotas(judged.groupBy("fold").agg(F.count(F.lit(1)).alias("n")), seats)
+    triggered = greedy_selection(model, predictions, quotas, salts["tie"], key).select(F.lit("trigger").alias("source"), "fold", key, "score")
+    controls = control_sample(judged, triggered, key, "fold", salts["control"], quotas.select("fold", F.col("control").alias("quota")))
+    return triggered.unionByName(controls.select(F.lit("control").alias("source"), "fold", key, F.lit(None).cast("double").alias("score")))
+
+
+def development_report(tokens: DataFrame, views: DataFrame, folds: DataFrame, costs: DataFrame, measures: list[str], salts: dict[str, str], key: str = "key") -> DataFrame:
+    """One row per arm (model, random, label_aware): metrics and verdict."""
+    arms = [
+        select_triggered(tokens, views, folds, salts, None, key).select(F.lit("model").alias("arm"), key),
+        hash_sample(folds, salts["random"], key, MOST_SELECTED).select(F.lit("random").alias("arm"), key),
+        label_aware_selection(views, MOST_SELECTED, salts["label"], key).select(F.lit("label_aware").alias("arm"), key),
+    ]
+    return verdict(selection_metrics(views, reduce(DataFrame.unionByName, arms), costs, measures, key), measures)
+
+
+def paired_report(arms: dict[str, DataFrame], views: DataFrame, folds: DataFrame, costs: DataFrame, measures: list[str], salts: dict[str, str], key: str = "key") -> DataFrame:
+    """One row: verdicts of two arms that differ in their tokens, folds the second won, and the decision.
+
+    arms: two names with their tokens; the first is the baseline.
+    """
+    (left, left_tokens), (right, right_tokens) = arms.items()
+    chosen = [select_triggered(t, views, folds, salts, None, key).withColumn("arm", F.lit(a)) for a, t in ((left, left_tokens), (right, right_tokens))]
+    both = chosen[0].unionByName(chosen[1])
+    judged = verdict(selection_metrics(views, both, costs, measures, key), measures)
+    wins = fold_wins(fold_outcomes(views, both.where("source = 'trigger'"), pair_targets(views, folds, key), key), left, right).agg(F.count_if("right_won").alias("wins"), F.count(F.lit(1)).alias("n_folds"))
+    flags = judged.agg(*[F.max(F.when(F.col("arm") == a, F.col("accepted"))).alias(f"{p}_accepted") for a, p in ((left, "left"), (right, "right"))])
+    return flags.join(F.broadcast(wins)).withColumn("decision", decide(F.col("left_accepted"), F.col("right_accepted"), F.col("wins")))
+
+
+def frozen_report(tokens: DataFrame, views: DataFrame, cohort: DataFrame, costs: DataFrame, measures: list[str], salts: dict[str, str], key: str = "key") -> DataFrame:
+    """One row: metrics and verdict of the selection from a held-out cohort by the model of the other one.
+
+    cohort: key, fold with 0 for the training and 1 for the held-out domains.
+    """
+    held = tokens.sparkSession.createDataFrame([(1,)], "held_out int")
+    chosen = select_triggered(tokens, views, cohort, salts, held, key).withColumn("arm", F.lit("frozen"))
+    outside = cohort.where("fold = 1").select(key)
+    return verdict(selection_metrics(views.join(outside, key, "left_semi"), chosen, costs.join(outside, key, "left_semi"), measures, key), measures)

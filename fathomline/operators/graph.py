@@ -3,9 +3,10 @@
 The graph of a record is small (its own detections and what they imply), and the
 rules are sequential by nature, so it is resolved in memory, record by record.
 Records meet the relations of their catalog revision in a co-grouped map keyed
-by (revision, slice): the records of a revision are spread over ``slices`` tasks
-and the revision's edges (bounded by the catalog) are copied to each, so a
-revision that most records share makes no hot task.
+by (revision, slice): a revision has as many slices as its rows need (at most
+about ``SLICE_ROWS`` rows a slice) and its edges (bounded by the catalog) are
+copied to these slices only, so a revision that most records share makes no hot
+task and one with few records no copies.
 """
 
 from __future__ import annotations
@@ -242,7 +243,11 @@ def relations_of(edges: pd.DataFrame) -> Relations:
     return out
 
 
-def resolve_technologies(direct: DataFrame, edges: DataFrame, record: list[str], slices: int | None = None) -> DataFrame:
+#: Rows of a slice of a revision, on average at most.
+SLICE_ROWS = 100_000
+
+
+def resolve_technologies(direct: DataFrame, edges: DataFrame, record: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Admission, implication and exclusion for every record.
 
     direct: record, revision, technology, confidence (one row per technology of
@@ -257,10 +262,11 @@ def resolve_technologies(direct: DataFrame, edges: DataFrame, record: list[str],
     """
     spark = direct.sparkSession
     ensure_workers_import(spark)
-    slices = slices or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     slim = direct.where("technology IS NOT NULL AND confidence > 0").select(*record, F.coalesce("revision", F.lit("")).alias("revision"), "technology", F.col("confidence").cast("int").alias("confidence"))
-    left = slim.withColumn("_slice", F.pmod(F.xxhash64(*record), F.lit(slices)))
-    right = edges.where("revision IS NOT NULL").withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    # Small revisions share the work by revision alone; at least a few slices keep all cores busy where there are few revisions.
+    sizes = slim.groupBy("revision").agg(F.greatest(F.lit(4), F.ceil(F.count(F.lit(1)) / slice_rows)).cast("long").alias("_slices"))
+    left = slim.join(sizes, "revision").withColumn("_slice", F.pmod(F.xxhash64(*record), F.col("_slices"))).drop("_slices")
+    right = edges.where("revision IS NOT NULL").join(sizes, "revision").withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slices") - 1))).drop("_slices")
     types = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in record)
     schema = f"{types}, technology string, {RESULT}, raw_direct int, gated_direct int, suppressed_direct int, retained_direct int"
     columns = [*record, "technology", "type", "confidence", "hops", "parents", "inferred_version", "raw_direct", "gated_direct", "suppressed_direct", "retained_direct"]

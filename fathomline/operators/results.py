@@ -89,6 +89,11 @@ def error_groups(errors: DataFrame) -> DataFrame:
     return errors.groupBy("run_id", "stage", "code").agg(F.count(F.lit(1)).alias("n")).withColumn("stage_rank", policy.rank("stage", policy.ERROR_STAGES))
 
 
+def diagnostics(errors: DataFrame, record: list[str]) -> DataFrame:
+    """Errors of each record by stage, code and whether a retry may help, with their number."""
+    return errors.groupBy(*record, "stage", "code", "retryable").agg(F.count(F.lit(1)).alias("n"))
+
+
 def is_hard_limit(code: Column) -> Column:
     return F.endswith(code, F.lit("_LIMIT_EXCEEDED")) | code.isin("REGEX_DOMAIN_BUDGET_EXCEEDED", "REGEX_EXECUTION_LIMIT")
 

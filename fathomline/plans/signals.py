@@ -264,7 +264,7 @@ def direct_detections(spark, folder):
     return d.select(*RECORD, "technology", "confidence", "version", "n_evidence", F.array_join("page_ids", ",").alias("pages"))
 
 
-def _revision_edges(spark, folder) -> DataFrame:
+def revision_edges(spark, folder) -> DataFrame:
     implies = read_table(spark, folder, "tech_implies").select("revision", F.lit("implies").alias("kind"), same_value("name").alias("name"), present(F.col("target")).alias("target"), "rule_id", "confidence", "version")
     requires = read_table(spark, folder, "tech_requires").select("revision", F.lit("requires").alias("kind"), same_value("name").alias("name"), present(F.col("target")).alias("target"), F.lit(None).cast("string").alias("rule_id"), F.lit(None).cast("int").alias("confidence"), F.lit(None).cast("string").alias("version"))
     return implies.unionByName(requires).where("target IS NOT NULL AND target <> name").distinct().withColumn("category", F.lit(None).cast("int"))
@@ -274,7 +274,7 @@ def resolved_technologies(spark, folder):
     """Gates, implied technologies and counts of every record under its catalog revision."""
     revisions = read_table(spark, folder, "domain_results").groupBy(*RECORD).agg(F.max_by("catalog_revision", "ingested_at").alias("revision"))
     direct = _direct(spark, folder).join(revisions, RECORD, "left")
-    out = graph.resolve_technologies(direct, _revision_edges(spark, folder), RECORD)
+    out = graph.resolve_technologies(direct, revision_edges(spark, folder), RECORD)
     return out.select(*RECORD, "technology", "type", "confidence", "hops", F.array_join(F.transform("parents", lambda p: p["technology"]), ",").alias("parents"), "inferred_version", "raw_direct", "gated_direct", "suppressed_direct", "retained_direct")
 
 
@@ -283,7 +283,7 @@ def technology_records(spark, folder):
     revisions = read_table(spark, folder, "domain_results").groupBy(*RECORD).agg(F.max_by("catalog_revision", "ingested_at").alias("revision"))
     e = _latest_evidence(spark, folder).withColumn("technology", present(F.col("technology"))).withColumn("rule_id", present(F.col("rule_id")))
     direct = detection.direct_detections(e, RECORD)
-    resolved = graph.resolve_technologies(direct.join(revisions, RECORD, "left"), _revision_edges(spark, folder), RECORD)
+    resolved = graph.resolve_technologies(direct.join(revisions, RECORD, "left"), revision_edges(spark, folder), RECORD)
     categories = read_table(spark, folder, "technologies").select(same_value("name").alias("name"), "categories").dropDuplicates(["name"])
     nested = detection.bounded_output(detection.nested_technologies(resolved, direct, e, categories, RECORD), 5_000, 50_000)
     return nested.select(*RECORD, F.to_json("technologies").alias("technologies"), "detection_stats.raw_direct", "detection_stats.retained_direct", "limit_exceeded")

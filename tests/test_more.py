@@ -68,7 +68,7 @@ def test_validation_and_bounds_of_errors(spark):
 def test_evaluation_helpers(spark):
     names = spark.createDataFrame([("d", "a"), ("d", "b")], "key string, name string")
     categories = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2)], "name string, category int")
-    assert {r.token for r in E.category_tokens(names, categories, "key").collect()} == {"category:1", "category:2"}
+    assert {r.token for r in E.category_tokens(names, categories, "key").collect()} == {"t2.category=1", "t2.category=2"}
     with pytest.raises(ValueError):
         E.category_tokens(names, categories.where("name = 'a'"), "key")
     with pytest.raises(ValueError):
@@ -76,6 +76,6 @@ def test_evaluation_helpers(spark):
     with pytest.raises(ValueError):
         E.snapshots(names.where("name = 'a'"), "key", 0)
     bins = spark.createDataFrame([(0,), (1,), (2,), (3,), (4,), (1 << 40,), (None,), (-1,)], "v long").select(E.power_bin(F.col("v"))).collect()
-    assert [r[0] for r in bins] == ["0", "1-1", "2-3", "2-3", "4-7", f"{1 << 40}-{(1 << 41) - 1}", None, None]
+    assert [r[0] for r in bins] == ["0", "1", "2-3", "2-3", "4-7", f"{1 << 40}-{(1 << 41) - 1}", None, None]
     r = E.training_deficits(names, names.limit(0), "key").first()
     assert (r.pair_deficit, r.name_deficit) == (2, 2)

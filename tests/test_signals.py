@@ -14,7 +14,6 @@ from fathomline.operators import matching as M
 from fathomline.operators import pages as P
 from fathomline.operators import results as V
 from fathomline.operators import robots as B
-from fathomline.operators.evaluation import greedy_selection, largest_remainder, retention
 
 HTML = """<html><head><base href="/sub/"><META NAME=" Generator " CONTENT="Tool &amp; 1"><meta name="generator" content="Tool &amp; 1"><meta property="og:x" content="y"><meta charset="utf-8">
 <link rel="Stylesheet preload" href="a.css"><link rel="icon" href="i.png"><script src="https://cdn.vendor.tld/x.js#f"></script><script>var hidden = "<a href=no>";</script></head>
@@ -154,20 +153,6 @@ def test_summary_of_totals(spark):
     assert V.run_summary(df.limit(0)).count() == 0
 
 
-def test_evaluation_pieces(spark):
-    sizes = spark.createDataFrame([(0, 40), (1, 41), (2, 39), (3, 40), (4, 40)], "fold int, n int")
-    assert sum(r.quota for r in largest_remainder(sizes, "fold", "n", 38).collect()) == 38
-    rows = spark.createDataFrame([(0, "a", ["x", "y"], 0.0), (0, "b", ["x", "y"], 0.0), (0, "c", ["z"], 0.0), (0, "d", None, 0.0)], "fold int, key string, names array<string>, u double")
-    got = {r.place: r.key for r in greedy_selection(rows, "fold", "key", "names", "u", spark.createDataFrame([(0, 3)], "fold int, quota long"), "s").collect()}
-    assert got[1] in "ab" and {got[2], got[3]} == {"c", *("ab".replace(got[1], ""))}
-    with pytest.raises(ValueError):
-        greedy_selection(rows, "fold", "key", "names", "u", sizes.withColumnRenamed("n", "quota"), "s", most_rows=2)
-    full = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "key string, name string")
-    cheap = spark.createDataFrame([("a", "x"), ("b", "w")], "key string, name string")
-    r = retention(full, cheap, spark.createDataFrame([("zz",)], "key string"), "key").first()
-    assert (r.pairs, r.pairs_kept, r.names, r.names_kept, r.extras, r.macro_domain) == (3, 1, 2, 1, 1, 0.25)
-
-
 def test_json_paths(spark):
     df = spark.createDataFrame([(json.dumps({"a": {"b": 1}, "c": None}),), ("{cut",), (None,)], "p string")
     assert [[(f.path, f.value) for f in r[0]] for r in df.select(X.json_path_facts(F.col("p"), ["a.b", "a.x", "c"])).collect()] == [[("a.b", "1")], [], []]
