@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathomline.functions import policy
+from fathomline.operators.patterns import engine_refuses, translate
 
 LITERAL_SOURCES = ("robots", "probe", "tls_issuer")
 #: Catalog fields and the evidence source of their rules.
@@ -76,35 +77,6 @@ def rule_id(namespace: pd.Series, technology: pd.Series, source: pd.Series, loca
     return pd.Series([None if o is None else rule_id_text(n, t, s, loc if isinstance(loc, str) else None, o) for n, t, s, loc, o in rows], dtype=object)
 
 
-def java_pattern(pattern: str) -> str:
-    r"""A catalog pattern in the engine's regex dialect: ``$`` ends the text only, ``\b`` sees ASCII words only."""
-    out, at, in_class = [], 0, False
-    while at < len(pattern):
-        c = pattern[at]
-        if c == "\\" and at + 1 < len(pattern):
-            pair = pattern[at : at + 2]
-            if not in_class and pair == "\\b":
-                pair = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
-            elif not in_class and pair == "\\B":
-                pair = r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"
-            elif pair == "\\s":
-                pair = r"\s\u00a0\ufeff\u2028\u2029" if in_class else r"[\s\u00a0\ufeff\u2028\u2029]"
-            out.append(pair)
-            at += 2
-            continue
-        if c == "[" and not in_class:
-            in_class = True
-        elif c == "]" and in_class:
-            in_class = False
-        elif c == "[" and in_class:
-            c = "\\["
-        elif c == "$" and not in_class:
-            c = r"\z"
-        out.append(c)
-        at += 1
-    return "(?i)" + "".join(out)
-
-
 #: An escape as a whole: code points, control characters, properties, references by number or name, else one character.
 ESCAPE = re.compile(r"\\(?:x\{[^}]*\}|x[0-9A-Fa-f]{1,2}|u\{[^}]*\}|u[0-9A-Fa-f]{1,4}|c[A-Za-z]|[pP](?:\{[^}]*\}|\w)|k(?:<[^>]*>|\{[^}]*\})|[0-9]+|.|$)", re.S)
 
@@ -148,10 +120,28 @@ def required_literal(pattern: str) -> str:
     return max(best, run, key=len)
 
 
-@F.pandas_udf(T.StructType([T.StructField("java_pattern", T.StringType()), T.StructField("needle", T.StringType())]))
-def compile_pattern(pattern: pd.Series) -> pd.DataFrame:
-    """The pattern for the engine and the literal that every match holds."""
-    return pd.DataFrame({"java_pattern": [None if p is None else java_pattern(p) for p in pattern], "needle": [None if p is None else required_literal(p) for p in pattern]})
+def compile_patterns(rules: DataFrame) -> DataFrame:
+    """pattern, java_pattern, n_groups, needle, problem of every pattern and locator pattern of the rules.
+
+    The distinct patterns of a catalog (at most :data:`MAX_RULES`, checked) are
+    translated and compiled once, on the driver.
+    """
+    spark = rules.sparkSession
+    every = rules.select("pattern").unionByName(rules.select(F.col("locator_pattern").alias("pattern"))).where("pattern IS NOT NULL").distinct()
+    found = sorted(r[0] for r in every.limit(2 * MAX_RULES + 1).collect())
+    if len(found) > 2 * MAX_RULES:
+        raise ValueError("too many patterns for one catalog")
+    done = {p: translate(p) for p in found}
+    refused = engine_refuses(spark, sorted({t.pattern for t in done.values() if t.pattern is not None}))
+    rows = [(p, None if t.pattern in refused else t.pattern, t.groups, required_literal(p) if t.problem is None else "", t.problem or ("not compiled by the engine" if t.pattern in refused else None)) for p, t in done.items()]
+    return spark.createDataFrame(rows, "pattern string, java_pattern string, n_groups int, needle string, problem string")
+
+
+def rejected_rules(rules: DataFrame, compiled: DataFrame | None = None) -> DataFrame:
+    """rule_id, field, pattern, problem of the rules that cannot run: those whose pattern or locator pattern is not valid."""
+    bad = (compile_patterns(rules) if compiled is None else compiled).where("problem IS NOT NULL").select(F.col("pattern").alias("_p"), "problem")
+    parts = [rules.where(kept).join(checked_small(bad), F.col(field) == F.col("_p")).select("rule_id", F.lit(field).alias("field"), F.col("_p").alias("pattern"), "problem") for field, kept in (("pattern", "match_mode = 'regex'"), ("locator_pattern", "true"))]
+    return parts[0].unionByName(parts[1])
 
 
 def compile_rules(raw: DataFrame) -> DataFrame:

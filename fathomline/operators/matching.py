@@ -1,73 +1,107 @@
 """The join of candidates with rules: presence, literal and pattern predicates.
 
-Every part of the condition that can be a hash key is one: a candidate looks up
-(source, key) for rules with exact locators and (source, none) for the others.
-The rules are a bounded dimension (checked), so candidates never move. Before a
-pattern runs, the literal that all its matches hold is searched, which spares
-nearly all runs; the matched text and groups are then read once per match by a
-function that keeps its compiled patterns.
+Candidates look rules up by hash. A rule stands in one slot of its source: under
+its key if it has an exact locator; otherwise under a run of four characters that
+every match must hold, where there is one; otherwise under the source alone. A
+candidate looks into the slots of its key, of the runs of its value and of its
+source, so that a long value meets the few rules whose run it holds instead of
+all of them. The rules are a bounded dimension (checked in rows and bytes), so
+candidates never move.
+
+Everything runs on the JVM: patterns are translated and compiled when a catalog
+is prepared, and those that are not valid are set apart (:func:`fathomline.operators.catalog.rejected_rules`).
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fathomline.functions import policy
 from fathomline.functions.redact import render_version
-from fathomline.operators.catalog import MAX_RULES, compile_pattern, locator_kind, normal_locator
+from fathomline.operators.catalog import MAX_RULES, compile_patterns, locator_kind, normal_locator
 from fathomline.session import checked_broadcast, materialize
 
-_COMPILED: dict[str, re.Pattern] = {}
+#: Characters of the runs by which rules without a key are looked up.
+RUN = 4
 
 
 def prepare_rules(rules: DataFrame) -> DataFrame:
-    """Rules with their engine pattern, needle and locator kind, materialised once (a bounded table)."""
-    compiled = rules.withColumn("_c", compile_pattern("pattern")).select(
-        "rule_id", F.col("technology").alias("technology"), F.col("source").alias("r_source"), normal_locator(F.col("source"), F.col("locator")).alias("locator"),
-        F.concat(F.lit("(?i)"), F.col("locator_pattern")).alias("locator_pattern"), "pattern", "match_mode", "confidence", "version_template", "_c.java_pattern", "_c.needle", locator_kind().alias("locator_kind"),
+    """Rules that can run, with their engine patterns, needle and slot, materialised once (a bounded table)."""
+    spark = rules.sparkSession
+    compiled = checked_broadcast(compile_patterns(rules), 2 * MAX_RULES)
+    own = compiled.select(F.col("pattern").alias("_p"), "java_pattern", "n_groups", "needle", F.col("problem").alias("_bad"))
+    key = compiled.select(F.col("pattern").alias("_l"), F.col("java_pattern").alias("java_locator"), F.col("problem").alias("_bad_key"))
+    literal = F.col("match_mode") == "literal"
+    needle = F.when(literal & F.col("pattern").rlike(r"\A[\x00-\x7f]*\z"), F.lower("pattern")).when(F.col("match_mode") == "regex", F.col("needle")).otherwise("")
+    joined = rules.join(own, (rules["pattern"] == F.col("_p")) & (F.col("match_mode") == "regex"), "left").join(key, F.col("locator_pattern") == F.col("_l"), "left").where("_bad IS NULL AND _bad_key IS NULL")
+    ready = joined.select(
+        "rule_id", "technology", F.col("source").alias("r_source"), normal_locator(F.col("source"), F.col("locator")).alias("locator"), "java_locator", "pattern", "match_mode", "confidence", "version_template",
+        "java_pattern", F.coalesce("n_groups", F.lit(0)).alias("n_groups"), F.coalesce(needle, F.lit("")).alias("needle"), locator_kind().alias("locator_kind"),
     )
-    return materialize(compiled, "rules")[0]
+    needles = [r[0] for r in ready.where((F.col("locator_kind") == "none") & (F.length("needle") >= RUN)).select("needle").distinct().collect()]
+    often = Counter(run for n in needles for run in {n[i : i + RUN] for i in range(len(n) - RUN + 1)})
+    runs = [(n, min((n[i : i + RUN] for i in range(len(n) - RUN + 1)), key=lambda r: (often[r], r))) for n in needles]
+    chosen = spark.createDataFrame(runs, "_n string, _run string")
+    slot = F.when(F.col("locator_kind") == "exact", F.concat(F.lit("="), "locator")).when((F.col("locator_kind") == "none") & F.col("_run").isNotNull(), F.concat(F.lit("~"), "_run")).otherwise("*")
+    placed = ready.join(checked_broadcast(chosen, MAX_RULES), F.col("needle") == F.col("_n"), "left").withColumn("slot", slot).drop("_n", "_run")
+    return materialize(placed, "rules")[0]
+
+
+def lookups(sources: list[str]) -> Column:
+    """The slots that a candidate looks into. sources: those whose rules are looked up by runs of the value."""
+    own = F.array(F.lit("*"), F.concat(F.lit("="), "key"))
+    runs = F.regexp_extract_all(F.lower("value"), F.lit(f"(?s)(?=(.{{{RUN}}}))"), F.lit(1))
+    held = F.when(F.col("source").isin(sources) & F.col("value").isNotNull(), F.transform(F.array_distinct(runs), lambda r: F.concat(F.lit("~"), r)))
+    return F.filter(F.concat(own, F.coalesce(held, F.array().cast("array<string>"))), lambda x: x.isNotNull())
 
 
 def applicable(candidates: DataFrame, rules: DataFrame) -> DataFrame:
-    """Pairs of candidates and rules that may match by source, key and kind.
+    """Pairs of candidates and rules that may match by source, key, kind and what the value holds.
 
-    One hash join: a candidate looks up the rules of its source without exact
-    locator and those for its key. Candidates stay where they are.
+    One hash join; a rule stands in one slot, so a pair comes up once. Candidates stay where they are.
     """
-    lookup = F.when(F.col("key").isNotNull(), F.array(F.lit(None).cast("string"), F.col("key"))).otherwise(F.array(F.lit(None).cast("string")))
-    looking = candidates.withColumn("_lookup", F.explode(lookup))
-    known = rules.withColumn("_exact", F.when(F.col("locator_kind") == "exact", F.col("locator")))
+    sources = sorted(r[0] for r in rules.where(F.startswith("slot", F.lit("~"))).select("r_source").distinct().collect())
+    looking = candidates.withColumn("_slot", F.explode(lookups(sources)))
     kind_fits = (F.col("kind") == "value") | (F.col("match_mode") == "presence")
-    named = (F.col("locator_kind") != "pattern") | F.rlike("key", F.col("locator_pattern"))
-    on = (F.col("source") == F.col("r_source")) & F.col("_lookup").eqNullSafe(F.col("_exact")) & kind_fits & named
-    return looking.join(checked_broadcast(known, MAX_RULES), on).drop("_lookup", "_exact")
+    named = (F.col("locator_kind") != "pattern") | F.rlike("key", F.col("java_locator"))
+    on = (F.col("source") == F.col("r_source")) & (F.col("_slot") == F.col("slot")) & kind_fits & named
+    return looking.join(checked_broadcast(rules, MAX_RULES), on).drop("_slot", "slot")
+
+
+def group_text(value: Column, pattern: Column, group: Column) -> Column:
+    """The text of a group of the first match (group 0: the match); empty if the group took no part."""
+    return F.call_function("regexp_extract", value, pattern, group)
+
 
+def literal_span(value: Column, pattern: Column) -> Column:
+    """Struct start, size of the first place of a text, letters of both cases alike; null if there is none.
 
-@F.pandas_udf(T.StructType([T.StructField("matched", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField("groups", T.ArrayType(T.StringType()))]))
-def first_match(value: pd.Series, pattern: pd.Series) -> pd.DataFrame:
-    """The first match of an engine pattern: text, place and groups. Patterns are compiled once per worker."""
-    rows = []
-    for v, p in zip(value, pattern, strict=True):
-        found = None
-        if p is not None and v is not None:
-            if p not in _COMPILED:
-                _COMPILED[p] = re.compile(p.replace("\\z", "\\Z"), re.ASCII)
-            found = _COMPILED[p].search(v)
-        rows.append((None, None, None) if found is None else (found.group(), found.start(), [g or "" for g in found.groups()]))
-    return pd.DataFrame(rows, columns=["matched", "place", "groups"]).astype({"place": "Int32"})
+    The search runs over lower-case texts; where lower case changes the length,
+    places are counted back character by character, and a place that begins or
+    ends inside a character is none.
+    """
+    low, wanted = F.lower(value), F.lower(pattern)
+    at, size = F.position(wanted, low), F.char_length(wanted)
+    grown = F.transform(F.split(value, ""), lambda c: F.char_length(F.lower(c)))
+    ends = F.aggregate(grown, F.array(F.lit(0)), lambda done, n: F.array_append(done, F.element_at(done, -1) + n))
+
+    def counted(ends: Column) -> Column:
+        start, stop = F.array_position(ends, at - 1), F.array_position(ends, at - 1 + size)
+        return F.when((start > 0) & (stop > 0), F.struct((start - 1).cast("int").alias("start"), (stop - start).cast("int").alias("size")))
+
+    plain = F.struct((at - 1).cast("int").alias("start"), size.cast("int").alias("size"))
+    same = F.char_length(low) == F.char_length(value)
+    return F.when(at > 0, F.when(same, plain).otherwise(F.transform(F.array(ends), counted)[0]))
 
 
 def is_match() -> Column:
     """The predicate of the rule's mode on a pair."""
-    literal = F.contains(F.lower(F.col("value")), F.lower(F.col("pattern")))
-    pattern = F.contains(F.lower(F.col("value")), F.col("needle")) & F.rlike("value", F.col("java_pattern"))
-    return F.when(F.col("match_mode") == "presence", True).when(F.col("match_mode") == "literal", literal).otherwise(pattern)
+    mode, value = F.col("match_mode"), F.col("value")
+    pattern = F.contains(F.lower(value), F.col("needle")) & F.rlike("value", F.col("java_pattern"))
+    return F.when(mode == "presence", True).when(mode == "literal", literal_span(value, F.col("pattern")).isNotNull()).otherwise(pattern)
 
 
 def match_rules(candidates: DataFrame, rules: DataFrame) -> DataFrame:
@@ -78,14 +112,15 @@ def match_rules(candidates: DataFrame, rules: DataFrame) -> DataFrame:
     in a value counts. Null values meet presence rules only.
     """
     mode, value = F.col("match_mode"), F.col("value")
-    pairs = applicable(candidates, rules).where(is_match()).withColumn("_m", first_match("value", F.when(mode == "regex", F.col("java_pattern"))))
-    at = F.expr("locate(lower(pattern), lower(value))")
     regex, literal = mode == "regex", mode == "literal"
-    matched = F.when(regex, F.col("_m.matched")).when(literal, F.substring(value, at, F.length("pattern"))).otherwise("")
-    place = F.when(regex, F.col("_m.place")).when(literal, at - 1).otherwise(0).cast("int")
-    version = F.when(regex & F.col("version_template").isNotNull(), render_version(F.col("version_template"), F.col("_m.groups")))
-    shown = pairs.select("*", matched.alias("matched"), place.alias("match_index"), F.length(matched).alias("match_length"), version.alias("version"))
-    return shown.drop("_m", "r_source", "locator", "locator_pattern", "java_pattern", "needle", "locator_kind")
+    pairs = applicable(candidates, rules).where(is_match()).withColumn("_span", F.when(literal, literal_span(value, F.col("pattern"))))
+    matched = F.when(regex, group_text(value, F.col("java_pattern"), F.lit(0))).when(literal, F.substring(value, F.col("_span.start") + 1, F.col("_span.size"))).otherwise("")
+    place = F.when(regex, F.regexp_instr(value, F.col("java_pattern")) - 1).when(literal, F.col("_span.start")).otherwise(0).cast("int")
+    groups = F.transform(F.sequence(F.lit(1), F.col("n_groups")), lambda i: group_text(value, F.col("java_pattern"), i))
+    held = F.when(F.col("n_groups") > 0, groups).otherwise(F.array().cast("array<string>"))
+    version = F.when(regex & F.col("version_template").isNotNull(), render_version(F.col("version_template"), held))
+    shown = pairs.select("*", matched.alias("matched"), place.alias("match_index"), F.char_length(matched).alias("match_length"), version.alias("version"))
+    return shown.drop("_span", "r_source", "locator", "java_locator", "java_pattern", "n_groups", "needle", "locator_kind")
 
 
 def dedupe_matches(matches: DataFrame, record: list[str], most: int = policy.MATCHES_PER_DOMAIN) -> DataFrame:
@@ -96,12 +131,49 @@ def dedupe_matches(matches: DataFrame, record: list[str], most: int = policy.MAT
     return numbered.where(F.col("_at") <= most).drop("_at")
 
 
+def in_result_order(matches: DataFrame, ordinals: DataFrame) -> DataFrame:
+    """Matches by the rule's place in the catalog, then the candidate's id. ordinals: rule_id, ordinal (see :func:`fathomline.operators.catalog.rule_order`)."""
+    return matches.join(checked_broadcast(ordinals.select("rule_id", "ordinal"), MAX_RULES), "rule_id").orderBy("ordinal", "candidate_id")
+
+
 def pair_costs(candidates: DataFrame, rules: DataFrame, record: list[str]) -> DataFrame:
-    """Work of each candidate: applicable pairs and, among them, pattern runs."""
-    pairs = applicable(candidates, rules)
-    return pairs.groupBy(*record, "candidate_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("match_mode") == "regex").alias("regex_runs"))
+    """Work of each candidate: the rules of its source that fit its key and kind, and among them pattern runs.
+
+    Rules with the same conditions are counted once for all candidates; only
+    those with a pattern for the key meet each candidate of their source.
+    """
+    kinds = F.col("match_mode")
+    counts = rules.where("locator_kind <> 'pattern'").groupBy("r_source", F.when(F.col("locator_kind") == "exact", F.col("locator")).alias("_exact")).agg(
+        F.count(F.lit(1)).alias("_all"), F.count_if(kinds == "presence").alias("_presence"), F.count_if(kinds == "regex").alias("_regex")
+    )
+    key = F.col("key")
+    looking = candidates.withColumn("_key", F.explode(F.when(key.isNotNull(), F.array(F.lit(None).cast("string"), key)).otherwise(F.array(F.lit(None).cast("string")))))
+    direct = looking.join(checked_broadcast(counts, MAX_RULES), (F.col("source") == F.col("r_source")) & F.col("_key").eqNullSafe(F.col("_exact")))
+    valued = F.col("kind") == "value"
+    parts = [direct.select(*record, "candidate_id", F.when(valued, F.col("_all")).otherwise(F.col("_presence")).alias("pairs"), F.when(valued, F.col("_regex")).otherwise(0).alias("regex_runs"))]
+    named = rules.where("locator_kind = 'pattern'")
+    fits = (F.col("source") == F.col("r_source")) & F.rlike("key", F.col("java_locator")) & (valued | (F.col("match_mode") == "presence"))
+    parts.append(candidates.join(checked_broadcast(named, MAX_RULES), fits).select(*record, "candidate_id", F.lit(1).alias("pairs"), (F.col("match_mode") == "regex").cast("int").alias("regex_runs")))
+    return parts[0].unionByName(parts[1]).groupBy(*record, "candidate_id").agg(F.sum("pairs").alias("pairs"), F.sum("regex_runs").alias("regex_runs")).where("pairs > 0")
+
+
+#: Timeouts of rules in one record after which its detection ends.
+MOST_TIMEOUTS = 3
+
+
+def ended_records(timeouts: DataFrame, record: list[str], most: int = MOST_TIMEOUTS) -> DataFrame:
+    """Records in which so many rules timed out that detection ended. timeouts: record, rule_id."""
+    return timeouts.select(*record, "rule_id").distinct().groupBy(*record).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= most).select(*record)
 
 
 def drop_timed_out(matches: DataFrame, timeouts: DataFrame, record: list[str]) -> DataFrame:
-    """Without the matches of rules that timed out in the record."""
+    """Without the matches of rules that timed out in the record, and of rules that would have run after the one that ended it.
+
+    timeouts: record, rule_id and, where rules ran in order, ordinal; matches
+    then need ordinal too.
+    """
+    if "ordinal" in timeouts.columns and "ordinal" in matches.columns:
+        nth = F.row_number().over(Window.partitionBy(*record).orderBy("ordinal"))
+        last = timeouts.select(*record, "rule_id", "ordinal").distinct().withColumn("_nth", nth).where(F.col("_nth") == MOST_TIMEOUTS).select(*record, F.col("ordinal").alias("_last"))
+        matches = matches.join(last, record, "left").where("_last IS NULL OR ordinal < _last").drop("_last")
     return matches.join(timeouts.select(*record, "rule_id").distinct(), [*record, "rule_id"], "left_anti")

