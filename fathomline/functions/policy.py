@@ -12,6 +12,19 @@ COLLECTORS = ("http", "browser", "dns", "tls")
 PAGE_IDS = ("p1", "p2", "p3")
 DNS_TYPES = ("A", "AAAA", "CAA", "CNAME", "MX", "NS", "PTR", "SOA", "SRV", "TXT")
 ERROR_STAGES = ("target", "robots", "http", "dns", "tls", "browser", "detect")
+# Error codes and the stages that may report them.
+NETWORK_STAGES = ("target", "robots", "http", "dns", "tls", "browser")
+ERROR_CODES = {
+    "TARGET_NOT_FOUND": ("target",), "TARGET_ACCESS_DENIED": ("target",), "TARGET_REDIRECT_INVALID": ("target",), "TARGET_REDIRECT_LIMIT_EXCEEDED": ("target",),
+    "ROBOTS_DISALLOWED": ("robots",), "ROBOTS_UNAVAILABLE": ("robots",), "ROBOTS_LIMIT_EXCEEDED": ("robots",),
+    "HTTP_REQUEST_FAILED": ("http",), "HTTP_TIMEOUT": ("http",), "HTTP_LIMIT_EXCEEDED": ("http",), "HTTP_RESPONSE_LIMIT_EXCEEDED": ("http",), "HTTP_DECOMPRESSION_FAILED": ("http",), "UNSUPPORTED_CONTENT_TYPE": ("http",),
+    "DNS_LOOKUP_FAILED": ("dns",), "DNS_NO_ADDRESS": ("dns",), "DNS_LIMIT_EXCEEDED": ("dns",),
+    "TLS_CONNECTION_FAILED": ("tls",), "TLS_CERTIFICATE_INVALID": ("tls",), "TLS_TIMEOUT": ("tls",), "TLS_LIMIT_EXCEEDED": ("tls",),
+    "BROWSER_UNAVAILABLE": ("browser",), "BROWSER_NAVIGATION_FAILED": ("browser",), "BROWSER_TIMEOUT": ("browser",), "BROWSER_LIMIT_EXCEEDED": ("browser",), "BROWSER_PROXY_FAILED": ("browser",),
+    "SSRF_NON_PUBLIC_ADDRESS": NETWORK_STAGES, "SSRF_MIXED_ADDRESSES": NETWORK_STAGES, "SSRF_REMOTE_ADDRESS_MISMATCH": NETWORK_STAGES,
+    "DOMAIN_DEADLINE_EXCEEDED": ERROR_STAGES, "RESULT_LIMIT_EXCEEDED": ("detect",),
+    "REGEX_RULE_TIMEOUT": ("detect",), "REGEX_DOMAIN_BUDGET_EXCEEDED": ("detect",), "REGEX_EXECUTION_LIMIT": ("detect",), "REGEX_WORKER_CRASH": ("detect",), "REGEX_WORKER_RESTART_FAILED": ("detect",), "DETECTOR_UNAVAILABLE": ("detect",),
+}
 URL_SOURCES = ("url", "script_url", "network_url")
 
 # Words that mark secrets.

@@ -12,25 +12,69 @@ from fathomline.functions import policy
 IDENTITY = ["collector", "kind", "source", "page_id", "key", "value"]
 
 
-def candidate(source: str, value: Column, collector: str = "http", kind: str | Column = "value", page_id: Column | None = None, key: Column | None = None) -> list[Column]:
-    """The columns of one producing branch; header and meta keys come in lower case."""
+#: What a page observation holds, by column: evidence source, whether its entries have a key, and how they are read.
+PAGE_BRANCHES = {
+    "headers": ("header", True), "cookies": ("cookie", True), "html": ("html", False), "text": ("text", False), "css": ("css", False), "metadata": ("meta", True), "script_urls": ("script_url", False),
+    "scripts": ("script_content", False), "dom": ("dom", True), "javascript": ("javascript", True), "network_urls": ("network_url", False), "network_hosts": ("network_hostname", False),
+}
+OBSERVATION = "struct<kind:string,source:string,page_id:string,key:string,value:string>"
+
+
+def _observed(source: str, value: Column, key: Column | None = None, page_id: Column | None = None, kind: Column | None = None) -> Column:
+    """One observation; header and meta keys come in lower case; a null value is the presence of the key."""
     key = F.lit(None).cast("string") if key is None else key
-    return [
-        F.lit(collector).alias("collector"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), F.lit(source).alias("source"),
-        (F.lit(None).cast("string") if page_id is None else page_id).alias("page_id"), (F.lower(key) if source in ("header", "meta") else key).alias("key"), value.alias("value"),
-    ]
+    kind = F.when(value.isNull(), F.lit("presence")).otherwise(F.lit("value")) if kind is None else kind
+    return F.struct(
+        kind.alias("kind"), F.lit(source).alias("source"), (F.lit(None).cast("string") if page_id is None else page_id).alias("page_id"),
+        (F.lower(F.trim(key)) if source in ("header", "meta") else F.upper(F.trim(key)) if source == "dns_record" else key).alias("key"), F.coalesce(value, F.lit("")).alias("value"),
+    )
 
 
-def union_candidates(branches: list[DataFrame]) -> DataFrame:
-    """One relation from all branches (record keys plus the identity columns)."""
-    return reduce(DataFrame.unionByName, branches)
+def _entry(source: str, keyed: bool, page: Column):
+    """How an entry of a page's list becomes an observation."""
+    return (lambda x: _observed(source, x["value"], x["key"], page)) if keyed else (lambda x: _observed(source, x, page_id=page))
+
+
+def page_addresses(page: DataFrame) -> Column:
+    """The final address of a page and both ends of each redirect, each once."""
+    ends = F.flatten(F.transform(F.coalesce("redirects", F.array()), lambda r: F.array(r["from_url"], r["to_url"])))
+    return F.array_distinct(F.filter(F.concat(F.array("final_url"), ends), lambda u: u.isNotNull()))
+
 
+def page_candidates(pages: DataFrame, record: list[str]) -> DataFrame:
+    """Candidates of page observations: addresses and everything of :data:`PAGE_BRANCHES`, by one generator.
 
-def url_candidates(pages: DataFrame, record: list[str]) -> DataFrame:
-    """The final address of a page and both ends of each redirect."""
-    both = F.flatten(F.transform(F.coalesce("redirects", F.array()), lambda r: F.array(r["from_url"], r["to_url"])))
-    urls = F.array_distinct(F.filter(F.concat(F.array("final_url"), both), lambda u: u.isNotNull()))
-    return pages.select(*record, "page_id", F.explode(urls).alias("u")).select(*record, *candidate("url", F.col("u"), page_id=F.col("page_id")))
+    pages: record, collector, page_id, final_url, redirects (array of from_url,
+    to_url) and any of the columns of :data:`PAGE_BRANCHES`: arrays of (key,
+    value) where entries have keys, of texts where they have none; a null value
+    is a presence. Missing columns hold nothing. Stylesheets, images, frames,
+    links and statuses are no candidates.
+    """
+    page = F.col("page_id")
+    branches = [F.transform(page_addresses(pages), lambda u: _observed("url", u, page_id=page))]
+    for column, (source, keyed) in PAGE_BRANCHES.items():
+        if column in pages.columns:
+            whole = F.coalesce(F.col(column), F.array())
+            branches.append(F.transform(whole, _entry(source, keyed, page)))
+    every = F.concat(*[b.cast(f"array<{OBSERVATION}>") for b in branches])
+    return pages.select(*record, "collector", F.explode(every).alias("o")).select(*record, "collector", "o.*")
+
+
+def record_candidates(observed: DataFrame, record: list[str]) -> DataFrame:
+    """Candidates without a page: observed has record, collector, source (robots, probe, dns_record, tls_issuer), key, value."""
+    parts = [observed.where(F.col("source") == s).select(*record, "collector", _observed(s, F.col("value"), F.col("key") if s in ("dns_record", "probe") else None).alias("o")) for s in ("robots", "probe", "dns_record", "tls_issuer")]
+    return union_candidates(parts).select(*record, "collector", "o.*")
+
+
+def collect_candidates(pages: DataFrame, observed: DataFrame, record: list[str]) -> DataFrame:
+    """All observations of a record as one relation (record and the identity columns), script addresses capped."""
+    every = page_candidates(pages, record).unionByName(record_candidates(observed, record)).select(*record, *IDENTITY)
+    return cap_script_urls(every, record)
+
+
+def union_candidates(branches: list[DataFrame]) -> DataFrame:
+    """One relation from all branches."""
+    return reduce(DataFrame.unionByName, branches)
 
 
 def order_columns() -> list[Column]:
@@ -56,11 +100,12 @@ def cap_in_order(df: DataFrame, record: list[str], order: list[Column | str], mo
     return df.withColumn("_at", F.row_number().over(Window.partitionBy(*record).orderBy(*order))).where(F.col("_at") <= most).drop("_at")
 
 
-def cap_script_urls(candidates: DataFrame, record: list[str]) -> DataFrame:
-    """At most 80 static script URLs of a record, by page and address; other candidates stay."""
-    static = (F.col("source") == "script_url") & (F.col("collector") == "http")
-    capped = cap_in_order(candidates.where(static).dropDuplicates([*record, "page_id", "value"]), record, [F.col("page_id").asc_nulls_first(), "value"], policy.SCRIPT_URLS_PER_DOMAIN)
-    return candidates.where(~static | static.isNull()).unionByName(capped)
+def cap_script_urls(candidates: DataFrame, record: list[str], most: int = policy.SCRIPT_URLS_PER_DOMAIN) -> DataFrame:
+    """At most ``most`` static script URLs of a record, by page and address; other candidates stay."""
+    static = F.coalesce((F.col("source") == "script_url") & (F.col("collector") == "http") & (F.col("kind") == "value"), F.lit(False))
+    distinct = candidates.where(static).select(*record, *IDENTITY).distinct()
+    capped = cap_in_order(distinct, record, [F.col("page_id").asc_nulls_first(), "value"], most)
+    return candidates.where(~static).select(*record, *IDENTITY).unionByName(capped)
 
 
 def mark_priority(candidates: DataFrame, prefix: DataFrame, record: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 
 import pandas as pd
@@ -144,19 +145,20 @@ def rejected_rules(rules: DataFrame, compiled: DataFrame | None = None) -> DataF
     return parts[0].unionByName(parts[1])
 
 
-def compile_rules(raw: DataFrame) -> DataFrame:
+def compile_rules(raw: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Rules from (namespace, technology, source, locator, original): parsed, identified, deduplicated, numbered.
 
     Rules with invalid tags, confidence or version template leave; equal rules
-    collapse to one. Null originals are no rules.
+    collapse to one. Null originals are no rules. scope: columns of ``raw``, as
+    the revision, within which rules belong together.
     """
     tags = parse_tags(F.col("original"))
     rules = raw.where("original IS NOT NULL AND technology IS NOT NULL").withColumn("t", tags).where("t.valid").where(valid_version_template(F.col("t.version_template")))
     rules = rules.select(
-        "namespace", "technology", "source", normal_locator(F.col("source"), F.col("locator")).alias("locator"), F.when(F.col("source") == "cookie", cookie_pattern(F.col("locator"))).alias("locator_pattern"),
+        *scope, "namespace", "technology", "source", normal_locator(F.col("source"), F.col("locator")).alias("locator"), F.when(F.col("source") == "cookie", cookie_pattern(F.col("locator"))).alias("locator_pattern"),
         "original", "t.pattern", match_mode(F.col("source"), F.col("t.pattern")).alias("match_mode"), "t.confidence", "t.version_template",
     )
-    rules = rules.withColumn("rule_id", rule_id("namespace", "technology", "source", "locator", "original")).dropDuplicates(["rule_id"])
+    rules = rules.withColumn("rule_id", rule_id("namespace", "technology", "source", "locator", "original")).dropDuplicates([*scope, "rule_id"])
     return rules.withColumn("locator_kind", locator_kind())
 
 
@@ -194,16 +196,72 @@ def correction_hits(rules: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.select("rule_id").join(rules.select(F.col("rule_id").alias("_r")), F.col("rule_id") == F.col("_r"), "left").groupBy("rule_id").agg(F.count("_r").alias("hits"))
 
 
+def correction_issues(rules: DataFrame, drop_technologies: DataFrame, drop_rules: DataFrame, replacements: DataFrame) -> DataFrame:
+    """correction, target, problem of a ledger: targets that hit no rule or several, that are named twice, or whose replacement is for something else.
+
+    A ledger with any issue is not applied (see :func:`apply_corrections`).
+    """
+    technologies = drop_technologies.select(F.col("technology").alias("target")).join(rules.select(F.col("technology").alias("target")).distinct().withColumn("_known", F.lit(1)), "target", "left")
+    issues = [technologies.where("_known IS NULL").select(F.lit("drop_technology").alias("correction"), "target", F.lit("hits nothing").alias("problem"))]
+    for kind, targets in (("drop_rule", drop_rules.select("rule_id")), ("replace_rule", replacements.select(F.col("target_rule_id").alias("rule_id")))):
+        named = targets.groupBy("rule_id").agg(F.count(F.lit(1)).alias("_times"))
+        found = rules.select("rule_id").join(targets.select("rule_id").distinct(), "rule_id", "left_semi").groupBy("rule_id").agg(F.count(F.lit(1)).alias("_hits"))
+        problem = F.when(F.col("_times") > 1, "named twice").when(F.col("_hits").isNull(), "hits nothing").when(F.col("_hits") > 1, "hits several")
+        issues.append(named.join(found, "rule_id", "left").select(F.lit(kind).alias("correction"), F.col("rule_id").alias("target"), problem.alias("problem")).where("problem IS NOT NULL"))
+    other = replacements.select(F.col("target_rule_id").alias("rule_id"), F.col("technology").alias("_t"), F.col("source").alias("_s"), F.col("locator").alias("_l")).join(rules.select("rule_id", "technology", "source", "locator"), "rule_id")
+    wrong = ~((F.col("technology") == F.col("_t")) & (F.col("source") == F.col("_s")) & F.col("locator").eqNullSafe(F.col("_l")))
+    issues.append(other.where(wrong).select(F.lit("replace_rule").alias("correction"), F.col("rule_id").alias("target"), F.lit("replaces another rule").alias("problem")))
+    out = issues[0]
+    for i in issues[1:]:
+        out = out.unionByName(i)
+    return out.distinct()
+
+
+def apply_corrections(rules: DataFrame, drop_technologies: DataFrame, drop_rules: DataFrame, replacements: DataFrame) -> DataFrame:
+    """The corrected rules; raises if the ledger has any issue."""
+    bad = correction_issues(rules, drop_technologies, drop_rules, replacements).limit(5).collect()
+    if bad:
+        raise ValueError("corrections rejected: " + "; ".join(f"{r.correction} {r.target} {r.problem}" for r in bad))
+    return correct_rules(rules, drop_technologies, drop_rules, replacements)
+
+
 def signal_index(rules: DataFrame) -> DataFrame:
     """Rules per source and kind of locator."""
     kinds = rules.withColumn("locator_kind", locator_kind())
     return kinds.groupBy("source", "locator_kind").agg(F.count(F.lit(1)).alias("n_rules"), F.countDistinct("locator").alias("n_locators"))
 
 
+#: What a plan demands of each kind of rule, by evidence source.
+INSPECTIONS = {"dom": "dom_fact", "javascript": "script_path", "probe": "probe_path", "dns_record": "dns_type", "tls_issuer": "tls"}
+
+
 def inspection_plan(rules: DataFrame) -> DataFrame:
-    """Facts that the rules demand: per source and locator whether presence or a value is needed."""
+    """Facts that the rules demand: per kind, source and locator whether presence or a value is needed.
+
+    Kinds are dom_fact, script_path, probe_path, dns_type (in upper case), tls
+    (one row without locator) and ``other`` for sources that are always observed.
+    """
     mode = F.col("match_mode") == "presence"
-    return rules.groupBy("source", "locator").agg(F.max(mode).alias("needs_presence"), F.max(~mode).alias("needs_value"))
+    kind = F.coalesce(*[F.when(F.col("source") == s, F.lit(k)) for s, k in INSPECTIONS.items()], F.lit("other"))
+    locator = F.when(F.col("source") == "dns_record", F.upper(F.trim("locator"))).when(F.col("source") != "tls_issuer", F.col("locator"))
+    return rules.groupBy(kind.alias("kind"), "source", locator.alias("locator")).agg(F.max(mode).alias("needs_presence"), F.max(~mode).alias("needs_value"))
+
+
+def relation_issues(raw: DataFrame, technologies: DataFrame) -> DataFrame:
+    """name, kind, target, problem of relations that reject a catalog: unknown ends, self requires or excludes, confidence or version out of form.
+
+    raw: name, kind, target and, for implies, confidence and version. A technology
+    that implies itself is ignored, not rejected.
+    """
+    known = checked_small(technologies.select(F.col("name").alias("_known")).distinct())
+    ends = raw.join(known, F.col("target") == F.col("_known"), "left").withColumnRenamed("_known", "_target_known")
+    ends = ends.join(known.withColumnRenamed("_known", "_own"), F.col("name") == F.col("_own"), "left")
+    implies = F.col("kind") == "implies"
+    problem = (
+        F.when(F.col("_own").isNull(), "unknown technology").when(F.col("target").isNull() | F.col("_target_known").isNull(), "unknown target").when(~implies & (F.col("name") == F.col("target")), "refers to itself")
+        .when(implies & ~F.coalesce(F.col("confidence").between(1, 100), F.lit(False)), "confidence out of range").when(implies & F.col("version").rlike(r"\\"), "version is no plain text")
+    )
+    return ends.select("name", "kind", "target", problem.alias("problem")).where("problem IS NOT NULL").distinct()
 
 
 def relation_edges(raw: DataFrame, technologies: DataFrame) -> DataFrame:
@@ -212,11 +270,71 @@ def relation_edges(raw: DataFrame, technologies: DataFrame) -> DataFrame:
     return raw.where("name <> target").join(checked_small(known), F.col("target") == F.col("_known"), "left_semi").distinct()
 
 
+def category_issues(technologies: DataFrame, categories: DataFrame) -> DataFrame:
+    """name, category, problem: category ids of technologies that the list of categories lacks, ids a technology names twice, ids the list has twice.
+
+    technologies: name, cats (ids); categories: id.
+    """
+    used = technologies.select("name", F.explode("cats").alias("category")).groupBy("name", "category").agg(F.count(F.lit(1)).alias("n"))
+    known = categories.groupBy(F.col("id").alias("category")).agg(F.count(F.lit(1)).alias("_n"))
+    of_technologies = used.join(known, "category", "left").select("name", "category", F.when(F.col("_n").isNull(), "unknown category").when(F.col("n") > 1, "named twice").alias("problem"))
+    of_list = known.where("_n > 1").select(F.lit(None).cast("string").alias("name"), "category", F.lit("defined twice").alias("problem"))
+    return of_technologies.unionByName(of_list).where("problem IS NOT NULL")
+
+
 def category_names(technologies: DataFrame) -> DataFrame:
     """Categories of each technology, ordered by id."""
     return technologies.select("name", F.array_join(F.transform(F.array_sort("categories"), lambda c: F.concat(c["id"].cast("string"), F.lit(":"), c["name"])), ",").alias("categories"))
 
 
+#: Limits of a catalog on disk.
+MAX_FILES, MAX_FILE_BYTES, MAX_CATALOG_BYTES, MAX_NESTING = 64, 16_777_216, 67_108_864, 64
+CATALOG_FILE = re.compile(r"(?:[a-z_]|categories|groups)\.json")
+
+
+def load_catalog(spark, folder: str, digest: str | None = None, allowed: re.Pattern = CATALOG_FILE) -> tuple[DataFrame, str]:
+    """(file, content) of a catalog folder and its digest.
+
+    The folder may hold nothing but regular files whose names are allowed;
+    numbers and sizes are limited; every file must be a JSON object of limited
+    nesting without repeated names; a given digest must fit. Anything else
+    rejects the catalog as a whole.
+    """
+    names = sorted(os.listdir(folder))
+    strange = [n for n in names if not allowed.fullmatch(n) or not os.path.isfile(os.path.join(folder, n)) or os.path.islink(os.path.join(folder, n))]
+    if strange or not 1 <= len(names) <= MAX_FILES:
+        raise ValueError(f"the catalog folder holds other entries: {strange[:3]}" if strange else f"a catalog has 1 to {MAX_FILES} files")
+    sizes = [os.path.getsize(os.path.join(folder, n)) for n in names]
+    if max(sizes) > MAX_FILE_BYTES or sum(sizes) > MAX_CATALOG_BYTES:
+        raise ValueError("the catalog is too large")
+    files = []
+    for n in names:
+        with open(os.path.join(folder, n), "rb") as f:
+            files.append((n, f.read()))
+    found = catalog_digest(files)
+    if digest is not None and digest != found:
+        raise ValueError("the catalog does not have the expected digest")
+
+    def unique(pairs: list[tuple]) -> dict:
+        if len({k for k, _ in pairs}) != len(pairs):
+            raise ValueError("a name stands twice in an object")
+        return dict(pairs)
+
+    rows = []
+    for n, raw in files:
+        text = raw.decode("utf-8")
+        depth = most = 0
+        for c in re.sub(r'"(?:[^"\\]|\\.)*"', "", text):
+            depth += (c in "{[") - (c in "}]")
+            most = max(most, depth)
+        if most > MAX_NESTING:
+            raise ValueError(f"{n} is nested too deeply")
+        if not isinstance(json.loads(text, object_pairs_hook=unique), dict):
+            raise ValueError(f"{n} holds no object")
+        rows.append((n, text))
+    return spark.createDataFrame(rows, "file string, content string"), found
+
+
 def catalog_digest(files: list[tuple[str, bytes]]) -> str:
     """Digest over named files: names and contents framed by their lengths, in order of names."""
     h = hashlib.sha256()

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import policy
 from fathomline.functions.redact import evidence_key, evidence_match, evidence_version, sanitize_url
+from fathomline.functions.text import present
+from fathomline.operators.candidates import number_candidates, within_budget
+from fathomline.operators.graph import resolve_technologies
+from fathomline.operators.matching import dedupe_matches, drop_timed_out, match_rules, pair_costs
+from fathomline.session import materialize
 
 EVIDENCE_COLUMNS = ["collector", "source", "page_id", "key", "match", "rule_id", "pattern", "confidence", "version"]
 
@@ -55,13 +60,13 @@ def direct_detections(evidence: DataFrame, record: list[str]) -> DataFrame:
 
 
 def nested_technologies(resolved: DataFrame, direct: DataFrame, evidence: DataFrame, categories: DataFrame, record: list[str]) -> DataFrame:
-    """One row per record with the sorted array of its technologies and the detection counts.
+    """One row per record with the sorted array of its technologies and the detection counts; equal pieces of evidence are shown once.
 
     resolved: :func:`fathomline.operators.graph.resolve_technologies`; direct:
     :func:`direct_detections`; categories: name, categories.
     """
     pieces = evidence.groupBy(*record, "technology").agg(F.array_sort(F.collect_list(F.struct(*evidence_order(), *EVIDENCE_COLUMNS))).alias("e"))
-    pieces = pieces.withColumn("evidence", F.transform("e", lambda x: F.struct(*[x[c].alias(c) for c in EVIDENCE_COLUMNS]))).drop("e")
+    pieces = pieces.withColumn("evidence", F.array_distinct(F.transform("e", lambda x: F.struct(*[x[c].alias(c) for c in EVIDENCE_COLUMNS])))).drop("e")
     joined = resolved.join(direct.select(*record, "technology", "version", "page_ids"), [*record, "technology"], "left").join(pieces, [*record, "technology"], "left").join(categories.withColumnRenamed("name", "technology"), "technology", "left")
     is_direct = F.col("type") == "direct"
     technology = F.struct(
@@ -83,3 +88,24 @@ def bounded_output(nested: DataFrame, most: int, most_evidence: int) -> DataFram
     pieces = F.aggregate("technologies", F.lit(0), lambda n, t: n + F.coalesce(F.size(t["evidence"]), F.lit(0)))
     over = (F.size("technologies") > most) | (pieces > most_evidence)
     return nested.withColumn("limit_exceeded", over).withColumn("technologies", F.when(~over, F.col("technologies")).otherwise(F.slice("technologies", 1, 0)))
+
+
+def detect(candidates: DataFrame, rules: DataFrame, revisions: DataFrame, edges: DataFrame, record: list[str], budget: int = policy.WORK_BUDGET, timeouts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole detection: (evidence, direct detections, resolved technologies) of every record.
+
+    candidates: record and identity columns (see
+    :func:`fathomline.operators.candidates.collect_candidates`); rules: see
+    :func:`fathomline.operators.matching.prepare_rules`; revisions: record,
+    revision; edges: relations of the revisions. timeouts: record, rule_id of
+    rules that did not end. Names of technologies are compared as ``same_value``
+    has them.
+    """
+    numbered = number_candidates(candidates, record).withColumn("priority", F.lit(False))
+    costs = pair_costs(numbered, rules, record).join(numbered.select(*record, "candidate_id", "priority"), [*record, "candidate_id"])
+    admitted = within_budget(costs, record, budget).select(*record, "candidate_id")
+    matches = match_rules(numbered.join(admitted, [*record, "candidate_id"], "left_semi").drop("priority"), rules)
+    if timeouts is not None:
+        matches = drop_timed_out(matches, timeouts, record)
+    evidence, _, _ = materialize(build_evidence(dedupe_matches(matches, record), record).withColumn("technology", present(F.col("technology"))), "evidence")
+    direct, _, _ = materialize(direct_detections(evidence, record), "direct")
+    return evidence, direct, resolve_technologies(direct.join(revisions, record, "left"), edges, record)

@@ -111,33 +111,18 @@ def bound_errors(errors: DataFrame, record: list[str], most: int = policy.ERRORS
     return kept.unionByName(marker)
 
 
+def top_technologies(technologies: DataFrame) -> DataFrame:
+    """name, n_domains, n_direct, n_inferred of technologies (domain, name, type), the most frequent first, ties by name."""
+    per = technologies.groupBy("name", "domain").agg(F.max((F.col("type") == "direct").cast("int")).alias("d"))
+    return per.groupBy("name").agg(F.count(F.lit(1)).alias("n_domains"), F.sum("d").alias("n_direct"), F.sum(1 - F.col("d")).alias("n_inferred")).orderBy(F.col("n_domains").desc(), "name")
+
+
 def technology_frequency(evidence: DataFrame, record: list[str]) -> DataFrame:
     """Records and pieces of evidence of each technology."""
     per = evidence.groupBy(*record, "technology").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("technology").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n").alias("n_evidence"))
 
 
-def validation_issues(record: DataFrame) -> DataFrame:
-    """Add ``issues``: what is wrong with a result record (an empty array for a valid one)."""
-    s, t = F.col("detection_stats"), F.col("timings")
-    stages = ["target_ms", "robots_ms", "http_ms", "dns_ms", "tls_ms", "browser_ms", "detect_ms"]
-    negative = lambda c: F.coalesce(c < 0, F.lit(False))
-    checks = {
-        "stats do not add up": s["raw_direct"] != s["gated_direct"] + s["suppressed_direct"] + s["retained_direct"],
-        "failed record has detections": (F.col("status") == "failed") & (s["raw_direct"] > 0),
-        "failed record has an address": (F.col("status") == "failed") & F.col("final_url").isNotNull(),
-        "unknown status": ~F.col("status").isin("success", "partial", "failed"),
-        "no total time": t["total_ms"].isNull(),
-        "negative time": negative(t["total_ms"]) | F.exists(F.array(*[t[c] for c in stages]), negative),
-        "stage longer than total": F.exists(F.array(*[t[c] for c in stages]), lambda c: F.coalesce(c > t["total_ms"], F.lit(False))),
-        "unsupported schema": F.col("schema_version") != 1,
-        "no run or domain": F.col("run_id").isNull() | F.col("domain").isNull(),
-        "run id is no uuid": ~F.col("run_id").rlike(r"\A[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z"),
-    }
-    found = F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(text)) for text, bad in checks.items()])
-    return record.withColumn("issues", F.filter(found, lambda x: x.isNotNull()))
-
-
 def check_detections(stated: DataFrame, recomputed: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Rows whose stated values differ from the recomputed ones, or that only one side has."""
     a = stated.select(*keys, F.struct(*values).alias("stated"))

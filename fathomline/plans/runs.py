@@ -12,12 +12,14 @@ from fathomline.functions import policy
 from fathomline.functions.policy import sql_rank
 from fathomline.functions.text import present, same_value, sql_same_value
 from fathomline.operators import evaluation as ev
-from fathomline.operators import results
-from fathomline.plans.signals import revision_edges
+from fathomline.operators import results, validation
+from fathomline.plans.signals import SQL_EV, SQL_DIRECT, nested_records, revision_edges, sql_resolved
 from fathomline.session import materialize, read_table
 
 RECORD = ["run_id", "domain"]
 SALT = "fold-1"
+#: Limits that the data reach.
+TIGHT = validation.LIMITS | {"http_requests": 20, "browser_requests": 100, "probes_issued": 2, "script_bodies_inspected": 1, "browser_transferred_bytes": 2_000_000, "pages": 2}
 
 
 def _records(spark, folder) -> DataFrame:
@@ -71,7 +73,41 @@ def bound_errors(spark, folder):
 
 
 def validation_issues(spark, folder):
-    return results.validation_issues(_records(spark, folder)).select(*RECORD, F.explode("issues").alias("issue"))
+    """The flat rules that records break, under limits that the data reach."""
+    return validation.validation_issues(_records(spark, folder), TIGHT).select(*RECORD, F.explode("issues").alias("issue"))
+
+
+def error_issues(spark, folder):
+    """Errors whose code, stage, time or message is not valid; every fourth stage is made another one."""
+    e = _errors(spark, folder).withColumn("stage", F.when(F.col("error_id") % 4 == 0, "detect").otherwise(F.col("stage")))
+    return validation.error_issues(e.where("stage IS NOT NULL"), _records(spark, folder), RECORD)
+
+
+def technology_issues(spark, folder):
+    """Records with planted faults: of each record some technologies get another confidence, version, pages, type or order."""
+    place = lambda f: F.transform("technologies", lambda t, i: f(t, i))
+
+    def spoil(t, i):
+        t = t.withField("confidence", F.when(i % 5 == 1, F.pmod(t["confidence"], F.lit(100)) + 1).otherwise(t["confidence"])).withField("version", F.when(i % 5 == 2, F.lit("9.9.9")).otherwise(t["version"]))
+        return t.withField("page_ids", F.when(i % 5 == 3, F.array(F.lit("p9"))).otherwise(t["page_ids"]))
+
+    spoiled = nested_records(spark, folder).withColumn("technologies", place(spoil))
+    both = F.concat("technologies", F.slice("technologies", 1, F.when(F.char_length("domain") % 3 == 0, 1).otherwise(0)))
+    return validation.technology_issues(spoiled.withColumn("technologies", both), RECORD).where(F.col("issue").isin(*PLANTED))
+
+
+PLANTED = ("confidence is not that of its rules", "confidence is not that of its inferences", "version is not that of its evidence", "version is not that of its inferences", "pages are not those of the evidence", "technology repeated", "technologies out of order")
+
+
+def recomputed_technologies(spark, folder):
+    """Issues of the records as the engine builds them: what their evidence, as delivered, does not support."""
+    return validation.technology_issues(nested_records(spark, folder), RECORD)
+
+
+def top_technologies(spark, folder):
+    """Technologies by the domains that have them, directly or by implication."""
+    rows = nested_records(spark, folder).select("domain", F.explode("technologies").alias("t")).select("domain", F.col("t.name").alias("name"), F.col("t.type").alias("type"))
+    return results.top_technologies(rows)
 
 
 def domain_status(spark, folder):
@@ -331,7 +367,7 @@ def training_deficits(spark, folder):
 
 
 NAMES = [
-    technology_frequency, run_summary, attribution, error_groups, hard_limits, limit_hits, bound_errors, validation_issues, domain_status, response_outcomes, stated_detections, resume_antijoin, limit_issues, document_classes,
+    technology_frequency, run_summary, attribution, error_groups, hard_limits, limit_hits, bound_errors, validation_issues, error_issues, technology_issues, recomputed_technologies, top_technologies, domain_status, response_outcomes, stated_detections, resume_antijoin, limit_issues, document_classes,
     detector_views, category_tokens, category_gaps, training_deficits, training_objectives, control_sample, fold_assign, count_bins, feature_tokens, lift_targets, name_heads, token_model, recurring_model, oof_scores,
     quotas_largest_remainder, hash_sample, greedy_selection, label_aware_selection, retention_metrics, cost_guardrails, development_report, fold_wins, paired_report, frozen_report, diagnostics,
 ]
@@ -461,6 +497,22 @@ fresh AS (SELECT arm, t.fold, count(DISTINCT name) AS novel_names FROM (SELECT '
 duel AS (SELECT l.fold, l.pair_lift AS left_pair_lift, coalesce(lf.novel_names, 0) AS left_novel_names, r.pair_lift AS right_pair_lift, coalesce(rf.novel_names, 0) AS right_novel_names FROM outcome l JOIN outcome r ON r.fold = l.fold AND r.arm = 'r' LEFT JOIN fresh lf ON lf.arm = 'l' AND lf.fold = l.fold LEFT JOIN fresh rf ON rf.arm = 'r' AND rf.fold = l.fold WHERE l.arm = 'l'),
 won AS (SELECT *, right_pair_lift >= left_pair_lift AND right_novel_names >= left_novel_names AND right_pair_lift + right_novel_names > left_pair_lift + left_novel_names AS right_won FROM duel)"""
 _SHOWN = "pairs, pairs_kept, names, names_kept, round(macro_technology, 6) AS macro_technology, round(macro_domain, 6) AS macro_domain"
+_ANY = lambda columns, test: "(" + " OR ".join(f"coalesce({test.format(c)}, false)" for c in columns) + ")"
+_TIMES, _COUNTS, _USED = ([f"{x}.{c}" for c in columns] for x, columns in (("timings", validation.STAGES), ("detection_stats", validation.STATS), ("usage", validation.USAGE)))
+_SEGMENT = "[A-Za-z0-9._~-]{1,64}"
+_FLAT_SQL = {
+    "unsupported schema": "schema_version <> 1", "no run or domain": "run_id IS NULL OR domain IS NULL", "run id is no uuid": "NOT regexp_full_match(run_id, '[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}')",
+    "domain is not canonical": "NOT regexp_full_match(domain, '([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\\.)+[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?')", "unknown status": "status NOT IN ('success', 'partial', 'failed')",
+    "address is not sanitised": f"NOT regexp_full_match(final_url, 'https?://[a-z0-9.-]+/({_SEGMENT}/)*({_SEGMENT})?')",
+    "stats do not add up": "detection_stats.raw_direct <> detection_stats.gated_direct + detection_stats.suppressed_direct + detection_stats.retained_direct", "negative count": _ANY([*_COUNTS, *_USED], "{} < 0"),
+    "failed record has detections": f"status = 'failed' AND {_ANY(_COUNTS, '{} <> 0')}", "failed record has an address": "status = 'failed' AND final_url IS NOT NULL", "failed record has pages": "status = 'failed' AND usage.pages_visited > 0",
+    "successful record has no entry page": "status = 'success' AND (final_url IS NULL OR usage.pages_visited < 1)", "successful record lacks a stage": "status = 'success' AND (" + " OR ".join(f"timings.{c} IS NULL" for c in validation.MANDATORY) + ")",
+    "no total time": "timings.total_ms IS NULL", "negative time": _ANY(["timings.total_ms", *_TIMES], "{} < 0"), "stage longer than total": _ANY(_TIMES, "{} > timings.total_ms"),
+    "detections without detection time": "detection_stats.raw_direct > 0 AND timings.detect_ms IS NULL", "browser requests without browser time": "usage.browser_requests > 0 AND timings.browser_ms IS NULL", "probes without http time": "usage.probes_issued > 0 AND timings.http_ms IS NULL",
+    "retries do not fit requests": "usage.http_requests - usage.retries < 0 OR usage.retries > usage.http_requests - usage.retries", "static bytes without request": "usage.static_transferred_bytes > 0 AND usage.http_requests = 0", "browser bytes without request": "usage.browser_transferred_bytes > 0 AND usage.browser_requests = 0",
+    "more probes than requests": "usage.probes_issued > usage.http_requests", "total time too large to sum": f"timings.total_ms > {validation.AGGREGATE_UNIT}", "usage too large to sum": _ANY(_USED, "{} > %d" % validation.AGGREGATE_UNIT),
+    **{f"{c} above its limit": f"usage.{c} > {TIGHT[c]}" for c in ("http_requests", "browser_requests", "probes_issued", "script_bodies_inspected", "browser_transferred_bytes")}, "pages_visited above its limit": f"usage.pages_visited > {TIGHT['pages']}",
+}
 _STATUS = "CASE WHEN s IN (401, 403, 407, 451) THEN 'denied' WHEN s IN (408, 425, 429) OR s BETWEEN 500 AND 599 THEN 'retry' WHEN s IN (301, 302, 303, 307, 308) THEN 'redirect' WHEN s BETWEEN 300 AND 399 THEN 'invalid' WHEN s BETWEEN 200 AND 299 THEN CASE WHEN s IN (204, 205) OR media IS NULL THEN 'non_html' ELSE 'html' END WHEN internal THEN 'failed' ELSE 'soft' END"
 _STAGES = ("target_ms", "robots_ms", "http_ms", "dns_ms", "tls_ms", "browser_ms", "detect_ms")
 
@@ -476,10 +528,15 @@ ORACLE_SQL = {
     "limit_hits": f"WITH {_SQL} SELECT limit_name AS category, stage AS ordinal, count(*) AS hits, count(DISTINCT domain) AS domains, count(DISTINCT CASE WHEN page_id IS NOT NULL THEN (domain, page_id) END) AS pages FROM err WHERE limit_name IS NOT NULL GROUP BY 1, 2",
     "bound_errors": f"WITH {_SQL}, u AS (SELECT DISTINCT run_id, domain, stage, code, page_id, rule_id, message FROM err), p AS (SELECT *, row_number() OVER (PARTITION BY run_id, domain ORDER BY {sql_rank('stage', policy.ERROR_STAGES)}, code, page_id NULLS FIRST, rule_id NULLS FIRST, message NULLS FIRST) AS place, count(*) OVER (PARTITION BY run_id, domain) AS n FROM u) "
     "SELECT run_id, domain, stage, code, page_id, rule_id, message FROM p WHERE place <= CASE WHEN n > 3 THEN 2 ELSE 3 END UNION ALL SELECT run_id, domain, 'detect', 'RESULT_LIMIT_EXCEEDED', NULL, NULL, NULL FROM p WHERE n > 3 AND place = 1",
-    "validation_issues": f"WITH {_SQL}, i AS (SELECT run_id, domain, unnest([CASE WHEN detection_stats.raw_direct <> detection_stats.gated_direct + detection_stats.suppressed_direct + detection_stats.retained_direct THEN 'stats do not add up' END, "
-    "CASE WHEN status = 'failed' AND detection_stats.raw_direct > 0 THEN 'failed record has detections' END, CASE WHEN status = 'failed' AND final_url IS NOT NULL THEN 'failed record has an address' END, CASE WHEN status NOT IN ('success', 'partial', 'failed') THEN 'unknown status' END, "
-    "CASE WHEN timings.total_ms IS NULL THEN 'no total time' END, CASE WHEN timings.total_ms < 0 OR " + " OR ".join(f"timings.{s} < 0" for s in _STAGES) + " THEN 'negative time' END, CASE WHEN " + " OR ".join(f"timings.{s} > timings.total_ms" for s in _STAGES) + " THEN 'stage longer than total' END, "
-    "CASE WHEN schema_version <> 1 THEN 'unsupported schema' END, CASE WHEN run_id IS NULL OR domain IS NULL THEN 'no run or domain' END, CASE WHEN NOT regexp_full_match(run_id, '[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}') THEN 'run id is no uuid' END]) AS issue FROM rec) SELECT * FROM i WHERE issue IS NOT NULL",
+    "validation_issues": f"WITH {_SQL}, i AS (SELECT run_id, domain, unnest([" + ", ".join(f"CASE WHEN {sql} THEN '{text}' END" for text, sql in _FLAT_SQL.items()) + "]) AS issue FROM rec) SELECT * FROM i WHERE issue IS NOT NULL",
+    "error_issues": f"WITH {_SQL}, c AS (SELECT run_id, domain, code, CASE WHEN error_id % 4 = 0 THEN 'detect' ELSE stage END AS stage FROM err), known AS (SELECT * FROM (VALUES {', '.join(f"('{c}', '{x}')" for c, stages in policy.ERROR_CODES.items() for x in stages)}) AS v(code, stage)), "
+    "j AS (SELECT c.*, r.timings, r.run_id IS NULL AS lost, c.code IN (SELECT code FROM known) AS registered, EXISTS (SELECT 1 FROM known k WHERE k.code = c.code AND k.stage = c.stage) AS fits, CASE c.stage " + " ".join(f"WHEN '{x}' THEN r.timings.{x}_ms" for x in policy.ERROR_STAGES) + " END AS spent FROM c LEFT JOIN rec r USING (run_id, domain)) "
+    "SELECT DISTINCT run_id, domain, code, issue FROM (SELECT *, unnest([CASE WHEN NOT registered THEN 'code is not registered' END, CASE WHEN registered AND NOT fits THEN 'code of another stage' END, CASE WHEN NOT lost AND spent IS NULL THEN 'stage has no time' END, CASE WHEN lost THEN 'error of no record' END]) AS issue FROM j) WHERE issue IS NOT NULL",
+    "technology_issues": f"WITH RECURSIVE {SQL_EV}, {sql_resolved(False)}, {SQL_DIRECT}, n AS (SELECT s.*, d.version AS dv, d.pages, row_number() OVER (PARTITION BY s.run_id, s.domain ORDER BY s.technology) - 1 AS i, count(*) OVER (PARTITION BY s.run_id, s.domain) AS size FROM shown s LEFT JOIN directs d ON d.run_id = s.run_id AND d.domain = s.domain AND d.technology = s.technology WHERE s.technology IS NOT NULL), "
+    "copies AS (SELECT *, 1 AS c FROM n UNION ALL SELECT *, 2 FROM n WHERE i = 0 AND length(domain) % 3 = 0), "
+    "f AS (SELECT run_id, domain, technology, unnest([CASE WHEN i % 5 = 1 THEN CASE type WHEN 'direct' THEN 'confidence is not that of its rules' ELSE 'confidence is not that of its inferences' END END, CASE WHEN i % 5 = 2 THEN CASE WHEN type = 'direct' AND dv IS DISTINCT FROM '9.9.9' THEN 'version is not that of its evidence' WHEN type = 'inferred' AND inferred_version IS DISTINCT FROM '9.9.9' THEN 'version is not that of its inferences' END END, CASE WHEN i % 5 = 3 AND type = 'direct' AND pages <> 'p9' THEN 'pages are not those of the evidence' END]) AS issue FROM copies) "
+    "SELECT * FROM f WHERE issue IS NOT NULL UNION ALL SELECT run_id, domain, NULL, 'technology repeated' FROM n WHERE i = 0 AND length(domain) % 3 = 0 UNION ALL SELECT run_id, domain, NULL, 'technologies out of order' FROM n WHERE i = 0 AND size > 1 AND length(domain) % 3 = 0",
+    "top_technologies": f"WITH RECURSIVE {SQL_EV}, {sql_resolved(False)}, p AS (SELECT technology AS name, domain, max((type = 'direct')::INT) AS d FROM shown WHERE technology IS NOT NULL GROUP BY 1, 2) SELECT name, count(*) AS n_domains, CAST(sum(d) AS BIGINT) AS n_direct, CAST(sum(1 - d) AS BIGINT) AS n_inferred FROM p GROUP BY 1",
     "domain_status": f"WITH {_SQL}, n AS (SELECT run_id, domain, count(*) AS k FROM err GROUP BY 1, 2) SELECT r.run_id, r.domain, status, CASE WHEN coalesce(k, 0) = 0 AND NOT coalesce(final_url LIKE 'http:%', false) THEN 'success' WHEN detection_stats.raw_direct > 0 OR final_url IS NOT NULL OR (coalesce(k, 0) = 0 AND coalesce(final_url LIKE 'http:%', false)) THEN 'partial' ELSE 'failed' END AS computed FROM rec r LEFT JOIN n USING (run_id, domain)",
     "response_outcomes": f"WITH o AS (SELECT DISTINCT CAST(o_orderkey % 700 AS INTEGER) AS s, o_custkey % 2 = 0 AS internal, CASE WHEN o_custkey % 3 > 0 THEN 'text/html' END AS media FROM orders) SELECT s AS status, internal, media, {_STATUS} AS outcome FROM o",
     "stated_detections": f"WITH {_SQL}, a AS (SELECT run_id, domain, detection_stats.retained_direct AS n FROM rec), b AS (SELECT run_id, domain, count(DISTINCT technology) AS n FROM e GROUP BY 1, 2) SELECT coalesce(a.run_id, b.run_id) AS run_id, coalesce(a.domain, b.domain) AS domain, a.n AS stated, b.n AS recomputed FROM a FULL JOIN b ON a.run_id = b.run_id AND a.domain = b.domain WHERE a.n IS DISTINCT FROM b.n",

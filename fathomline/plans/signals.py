@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import normalize, policy, redact
@@ -13,7 +13,7 @@ from fathomline.operators import catalog, detection, extract, graph, matching, p
 from fathomline.operators.nested import flatten_json
 from fathomline.operators.results import latest
 from fathomline.plans.data_problems import CATALOG_SHAPE
-from fathomline.session import read_table
+from fathomline.session import materialize, read_table
 
 RECORD = ["run_id", "domain"]
 
@@ -88,7 +88,7 @@ def page_scripts(spark, folder):
 
 def page_facts(spark, folder):
     """Presence and values of the static elements that the catalog's dom rules ask for; the catalog has a fixed size."""
-    plan = catalog.inspection_plan(read_table(spark, folder, "rules").where("source = 'dom' AND locator IS NOT NULL"))
+    plan = catalog.inspection_plan(read_table(spark, folder, "rules")).where("kind = 'dom_fact' AND locator IS NOT NULL")
     asked = sorted(tuple(r) for r in plan.select("locator", "needs_presence", "needs_value").collect())
     docs = extract.extract_documents(read_table(spark, folder, "documents"), ["doc_id"], "text", "url", asked)
     return docs.select("doc_id", F.explode("facts").alias("f")).select("doc_id", "f.locator", "f.kind", "f.value")
@@ -161,15 +161,77 @@ def catalog_relations(spark, folder):
     return catalog.relation_edges(raw, read_table(spark, folder, "technologies"))
 
 
+def relation_issues(spark, folder):
+    """Relations that would reject a catalog: unknown ends, self references, values out of form."""
+    implies = read_table(spark, folder, "tech_implies").select("name", F.lit("implies").alias("kind"), "target", "confidence", "version")
+    requires = read_table(spark, folder, "tech_requires").select("name", F.lit("requires").alias("kind"), "target", F.lit(None).cast("int").alias("confidence"), F.lit(None).cast("string").alias("version"))
+    return catalog.relation_issues(implies.unionByName(requires), read_table(spark, folder, "technologies"))
+
+
+# A ledger with faults, beside targets taken from the rules.
+LEDGER_TECHNOLOGIES = ("Unknown technology",)
+LEDGER_RULES = ("sha256:unknown",)
+
+
+def correction_issues(spark, folder):
+    """Faults of a ledger that drops and replaces rules of probes, one for another source, one twice, and some unknown."""
+    rules = read_table(spark, folder, "rules")
+    technologies = rules.where("technology LIKE 'Boran%'").select("technology").distinct().unionByName(spark.createDataFrame([(x,) for x in LEDGER_TECHNOLOGIES], "technology string"))
+    probes = rules.where("source = 'probe'")
+    dropped = probes.select("rule_id").unionByName(probes.where("rule_id < 'sha256:2'").select("rule_id")).unionByName(spark.createDataFrame([(x,) for x in LEDGER_RULES], "rule_id string"))
+    replaced = rules.where("source = 'robots'").select(F.col("rule_id").alias("target_rule_id"), "technology", F.when(F.col("rule_id") < "sha256:8", "robots").otherwise("html").alias("source"), "locator", F.lit("corrected").alias("original"))
+    return catalog.correction_issues(rules, technologies, dropped, replaced)
+
+
+def category_issues(spark, folder):
+    """Categories that technologies name, judged by a list that knows only ids up to 40 and has one twice."""
+    technologies = read_table(spark, folder, "technologies").select("name", F.transform("categories", lambda c: c["id"]).alias("cats"))
+    known = technologies.select(F.explode("cats").alias("id")).distinct().where("id <= 40")
+    return catalog.category_issues(technologies, known.unionByName(known.agg(F.min("id").alias("id"))))
+
+
 def catalog_categories(spark, folder):
     return catalog.category_names(read_table(spark, folder, "technologies"))
 
 
 def catalog_compile(spark, folder):
-    """Rules compiled from the raw catalog documents, per source and mode."""
-    flat = flatten_json(read_table(spark, folder, "catalog_docs"), "doc_no", "payload", CATALOG_SHAPE)
-    raw = catalog.rules_from_documents(flat, "catalog/v1").drop("doc_id").distinct()
-    return catalog.compile_rules(raw).groupBy("source", "match_mode", "locator_kind").agg(F.count(F.lit(1)).alias("n_rules"), F.countDistinct("technology").alias("n_technologies"))
+    """Rules compiled from the raw catalog documents of each revision and namespace, per source and mode."""
+    documents = read_table(spark, folder, "catalog_docs")
+    flat = flatten_json(documents, "doc_no", "payload", CATALOG_SHAPE)
+    raw = catalog.rules_from_documents(flat, "").drop("namespace").join(documents.select(F.col("doc_no").alias("doc_id"), "revision", "namespace"), "doc_id").drop("doc_id").distinct()
+    rules = catalog.compile_rules(raw, ("revision",))
+    return rules.groupBy("revision", "namespace", "source", "match_mode", "locator_kind").agg(F.count(F.lit(1)).alias("n_rules"), F.countDistinct("technology").alias("n_technologies"))
+
+
+# Patterns written out: those that catalogs write in another dialect, and those that are none.
+PATTERNS = (r"(?<v>\d+)\.js", r"[^]end", r"a[]b", r"\p{L}+x", r"\u{1F600}", r"\bsch\b", r"a{,2}", r"x$", "(broken", "broken)", "[broken", "*broken", "a++", "b{2,1}", "[z-a]", "(?>a)")
+BROKEN = PATTERNS[8:]
+
+
+def catalog_rejects(spark, folder):
+    """Rules whose pattern is not valid: none of the table, and some of those written out."""
+    given = read_table(spark, folder, "rules").select("rule_id", "pattern", "match_mode", "locator_pattern")
+    written = spark.createDataFrame([(f"written-{i:02d}", p, "regex", None) for i, p in enumerate(PATTERNS)], given.schema)
+    return catalog.rejected_rules(given.unionByName(written)).select("rule_id", "pattern")
+
+
+# Texts written out with a literal, and with a pattern, what it finds and where.
+LITERALS = (("İİ marker end", "marker"), ("a lit[ERAL b", "LIT[eral"), ("İx", "İX"), ("plain", "none"), ("İ", "İ"), ("", "a"))
+FOUND = (("q 12.js", r"(?<v>\d+)\.js", "12.js", 2), ("ac\nend", r"[^]end", "\nend", 2), ("ab", r"a[]b", None, None), ("p{L}}x", r"\p{L}+x", "p{L}}x", 0), ("u{1F600}", r"\u{1F600}", "u{1F600}", 0), ("ein schön", r"\bsch\b", "sch", 4), ("x\n", r"x$", None, None), ("É", "é", "É", 0), ("see İİ Ab", "ab", "Ab", 7))
+
+
+def literal_matches(spark, folder):
+    """The first place of a literal, whatever lower case does to the lengths: texts written out and values of the evidence."""
+    e = read_table(spark, folder, "evidence").where("match.value IS NOT NULL").select(F.col("match.value").alias("value"), F.expr("upper(substring(match.value, 3, 4))").alias("pattern")).distinct()
+    every = e.unionByName(spark.createDataFrame(list(LITERALS), "value string, pattern string")).where("length(pattern) > 0")
+    return every.select("value", "pattern", matching.literal_span(F.col("value"), F.col("pattern")).alias("s")).select("value", "pattern", "s.start", "s.size")
+
+
+def pattern_matches(spark, folder):
+    """What patterns of the catalog's dialect find in texts written out."""
+    rules = spark.createDataFrame([(f"{i}", f"t{i}", "html", None, p, "regex", 100, None, None) for i, (_, p, _, _) in enumerate(FOUND)], "rule_id string, technology string, source string, locator string, pattern string, match_mode string, confidence int, version_template string, locator_pattern string")
+    values = spark.createDataFrame([(f"{i}", "value", "html", None, t) for i, (t, _, _, _) in enumerate(FOUND)], "no string, kind string, source string, key string, value string")
+    return matching.match_rules(values, matching.prepare_rules(rules)).where("no = rule_id").select("rule_id", "matched", "match_index")
 
 
 def catalog_limits(spark, folder):
@@ -197,9 +259,61 @@ def candidates_numbered(spark, folder):
 
 
 def script_url_cap(spark, folder):
-    """The first two script addresses of each record (a cap that the data reach)."""
-    urls = _candidates(spark, folder).where("source = 'script_url'").select(*RECORD, "page_id", "value").distinct()
-    return cand.cap_in_order(urls, RECORD, [F.col("page_id").asc_nulls_first(), "value"], 2)
+    """Candidates of script addresses; of the static ones of a record the first two (a cap that the data reach)."""
+    return cand.cap_script_urls(_candidates(spark, folder), RECORD, 2).where("source = 'script_url'").distinct()
+
+
+def _observations(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Pages with everything observed on them, and observations without a page, put together from the evidence."""
+    e = _latest_evidence(spark, folder).where("collector IS NOT NULL").select(*RECORD, "collector", "source", "page_id", "key", F.col("match.value").alias("value"))
+    page_sources = {s: c for c, (s, _) in cand.PAGE_BRANCHES.items()}
+    keyed = {c for c, (_, k) in cand.PAGE_BRANCHES.items() if k}
+    pages = e.where(F.col("source").isin("url", *page_sources)).groupBy(*RECORD, "collector", "page_id").agg(
+        F.max(F.when(F.col("source") == "url", F.col("value"))).alias("final_url"),
+        F.collect_list(F.when((F.col("source") == "url") & F.col("value").isNotNull(), F.struct(F.col("value").alias("from_url"), F.col("value").alias("to_url")))).alias("redirects"),
+        *[F.collect_list(F.when(F.col("source") == s, F.struct("key", "value"))).alias(c) for s, c in page_sources.items()],
+    )
+    texts = [F.transform(c, lambda x: x["value"]).alias(c) for c in page_sources.values() if c not in keyed]
+    pages = pages.select(*RECORD, "collector", "page_id", "final_url", "redirects", *[c for c in page_sources.values() if c in keyed], *texts)
+    return pages, e.where("source IN ('robots', 'probe', 'dns_record', 'tls_issuer')")
+
+
+def candidate_branches(spark, folder):
+    """Candidates of every source, from page observations and those without a page."""
+    pages, observed = _observations(spark, folder)
+    every = cand.collect_candidates(pages, observed, RECORD).distinct()
+    return every.groupBy(*RECORD, "collector", "source", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_id").alias("pages"), F.countDistinct("key").alias("keys"))
+
+
+def _revisions(spark, folder) -> DataFrame:
+    return read_table(spark, folder, "domain_results").groupBy(*RECORD).agg(F.max_by("catalog_revision", "ingested_at").alias("revision"))
+
+
+def exclusion_edges(spark, folder, revisions: DataFrame) -> DataFrame:
+    """Exclusions derived from the catalog: within a category, by name, each technology excludes the next one."""
+    named = read_table(spark, folder, "technologies").select(same_value("name").alias("name"), F.array_min(F.transform("categories", lambda c: c["id"])).alias("c")).where("c IS NOT NULL").groupBy("name").agg(F.min("c").alias("c"))
+    pairs = named.withColumn("target", F.lead("name").over(Window.partitionBy("c").orderBy("name"))).where("target IS NOT NULL")
+    null = lambda t: F.lit(None).cast(t)
+    return pairs.crossJoin(F.broadcast(revisions.select("revision").where("revision IS NOT NULL").distinct())).select("revision", F.lit("excludes").alias("kind"), "name", "target", null("string").alias("rule_id"), null("int").alias("confidence"), null("string").alias("version"), null("int").alias("category"))
+
+
+def _with_exclusions(spark, folder) -> DataFrame:
+    return revision_edges(spark, folder).unionByName(exclusion_edges(spark, folder, _revisions(spark, folder)))
+
+
+def exclusions_resolved(spark, folder):
+    """Technologies of every record after gates, implications and exclusions."""
+    out = graph.resolve_technologies(_direct(spark, folder).join(_revisions(spark, folder), RECORD, "left"), _with_exclusions(spark, folder), RECORD)
+    return out.select(*RECORD, "technology", "type", "confidence", "hops", "raw_direct", "gated_direct", "suppressed_direct", "retained_direct")
+
+
+def detection_records(spark, folder):
+    """From observations to technologies: candidates, matching, evidence, gates, implications, exclusions."""
+    pages, observed = _observations(spark, folder)
+    candidates = cand.collect_candidates(pages, observed, RECORD)
+    rules = matching.prepare_rules(read_table(spark, folder, "rules"))
+    _, _, resolved = detection.detect(candidates, rules, _revisions(spark, folder), _with_exclusions(spark, folder), RECORD)
+    return resolved.select(*RECORD, "technology", "type", "confidence", "hops", "raw_direct", "gated_direct", "suppressed_direct", "retained_direct")
 
 
 def priority_multiset(spark, folder):
@@ -272,27 +386,31 @@ def revision_edges(spark, folder) -> DataFrame:
 
 def resolved_technologies(spark, folder):
     """Gates, implied technologies and counts of every record under its catalog revision."""
-    revisions = read_table(spark, folder, "domain_results").groupBy(*RECORD).agg(F.max_by("catalog_revision", "ingested_at").alias("revision"))
-    direct = _direct(spark, folder).join(revisions, RECORD, "left")
-    out = graph.resolve_technologies(direct, revision_edges(spark, folder), RECORD)
+    out = graph.resolve_technologies(_direct(spark, folder).join(_revisions(spark, folder), RECORD, "left"), revision_edges(spark, folder), RECORD)
     return out.select(*RECORD, "technology", "type", "confidence", "hops", F.array_join(F.transform("parents", lambda p: p["technology"]), ",").alias("parents"), "inferred_version", "raw_direct", "gated_direct", "suppressed_direct", "retained_direct")
 
 
-def technology_records(spark, folder):
-    """Nested record of each scanned domain: its technologies with evidence, and the counts."""
-    revisions = read_table(spark, folder, "domain_results").groupBy(*RECORD).agg(F.max_by("catalog_revision", "ingested_at").alias("revision"))
+def nested_records(spark, folder) -> DataFrame:
     e = _latest_evidence(spark, folder).withColumn("technology", present(F.col("technology"))).withColumn("rule_id", present(F.col("rule_id")))
-    direct = detection.direct_detections(e, RECORD)
-    resolved = graph.resolve_technologies(direct.join(revisions, RECORD, "left"), revision_edges(spark, folder), RECORD)
+    direct = materialize(detection.direct_detections(e, RECORD), "direct")[0]
+    resolved = graph.resolve_technologies(direct.join(_revisions(spark, folder), RECORD, "left"), revision_edges(spark, folder), RECORD)
     categories = read_table(spark, folder, "technologies").select(same_value("name").alias("name"), "categories").dropDuplicates(["name"])
-    nested = detection.bounded_output(detection.nested_technologies(resolved, direct, e, categories, RECORD), 5_000, 50_000)
-    return nested.select(*RECORD, F.to_json("technologies").alias("technologies"), "detection_stats.raw_direct", "detection_stats.retained_direct", "limit_exceeded")
+    return detection.bounded_output(detection.nested_technologies(resolved, direct, e.where("rule_id IS NOT NULL"), categories, RECORD), 5_000, 50_000)
+
+
+def technology_records(spark, folder):
+    """The nested record of each scanned domain, shown one technology a row in the record's order, with the counts of the record."""
+    rows = nested_records(spark, folder).select(*RECORD, F.posexplode("technologies").alias("place", "t"), "detection_stats.raw_direct", "detection_stats.retained_direct", "limit_exceeded")
+    return rows.select(
+        *RECORD, "place", "t.name", "t.type", "t.confidence", "t.version", F.array_join("t.page_ids", ",").alias("pages"), F.coalesce(F.size("t.evidence"), F.lit(0)).alias("n_evidence"),
+        F.size("t.inferred_from").alias("n_parents"), F.coalesce(F.size("t.categories"), F.lit(0)).alias("n_categories"), F.element_at("t.evidence", 1)["rule_id"].alias("first_rule"), "raw_direct", "retained_direct", "limit_exceeded",
+    )
 
 
 NAMES = [
     hostname_normalize, special_use_filter, target_candidates, public_addresses, http_status_classes, dns_admission, cookie_latch, byte_truncation, page_metadata, page_scripts, page_facts, json_paths,
-    internal_pages, robots_rules, robots_decisions, catalog_tags, catalog_modes, catalog_rule_ids, catalog_order, catalog_corrections, signal_index, inspection_plan, catalog_relations, catalog_categories, catalog_compile, catalog_limits,
-    candidates_numbered, script_url_cap, priority_multiset, match_rules, work_budget, version_template, sensitive_texts, redact_headers, sanitize_urls, build_evidence, direct_detections, resolved_technologies, technology_records,
+    internal_pages, robots_rules, robots_decisions, catalog_tags, catalog_modes, catalog_rule_ids, catalog_order, catalog_corrections, signal_index, inspection_plan, catalog_relations, catalog_categories, catalog_compile, catalog_limits, catalog_rejects, relation_issues, correction_issues, category_issues,
+    candidates_numbered, script_url_cap, priority_multiset, candidate_branches, literal_matches, pattern_matches, match_rules, work_budget, version_template, sensitive_texts, redact_headers, sanitize_urls, build_evidence, direct_detections, resolved_technologies, exclusions_resolved, detection_records, technology_records,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
 
@@ -317,8 +435,62 @@ pairs AS (SELECT c.*, r.rule_id, r.technology, r.pattern, r.match_mode, r.versio
 matches AS (SELECT *, CASE match_mode WHEN 'presence' THEN 0 WHEN 'literal' THEN strpos(lower(value), lower(pattern)) - 1 ELSE strpos(value, regexp_extract(value, pattern, 0, 'i')) - 1 END AS pos,
   CASE match_mode WHEN 'presence' THEN 0 WHEN 'literal' THEN length(pattern) ELSE length(regexp_extract(value, pattern, 0, 'i')) END AS len FROM pairs
   WHERE CASE match_mode WHEN 'presence' THEN true WHEN 'literal' THEN contains(lower(value), lower(pattern)) ELSE regexp_matches(value, pattern, 'i') END)"""
-_SQL_EV = f"""e AS (SELECT * REPLACE ({sql_same_value("technology")} AS technology, {sql_same_value("rule_id")} AS rule_id) FROM evidence QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY ingested_at DESC) = 1),
+SQL_EV = f"""e AS (SELECT * REPLACE ({sql_same_value("technology")} AS technology, {sql_same_value("rule_id")} AS rule_id) FROM evidence QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY ingested_at DESC) = 1),
 rows AS (SELECT * FROM e WHERE technology IS NOT NULL AND rule_id IS NOT NULL)"""
+SQL_DIRECT = """p AS (SELECT run_id, domain, technology, rule_id, max(confidence) AS c, count(*) AS n FROM rows GROUP BY 1, 2, 3, 4),
+b AS (SELECT run_id, domain, technology, CAST(least(100, sum(c)) AS INTEGER) AS confidence, CAST(sum(n) AS BIGINT) AS n_evidence FROM p GROUP BY 1, 2, 3 HAVING max(c) > 0),
+pg AS (SELECT run_id, domain, technology, coalesce(string_agg(DISTINCT page_id, ',' ORDER BY page_id), '') AS pages FROM rows GROUP BY 1, 2, 3),
+v AS (SELECT run_id, domain, technology, version, sum(c) AS w FROM (SELECT run_id, domain, technology, version, rule_id, max(confidence) AS c FROM rows WHERE version IS NOT NULL GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4),
+t AS (SELECT run_id, domain, technology, CASE WHEN count(*) = 1 THEN max(version) END AS version FROM (SELECT *, max(w) OVER (PARTITION BY run_id, domain, technology) AS best FROM v) WHERE w = best GROUP BY 1, 2, 3),
+directs AS (SELECT b.run_id, b.domain, b.technology, confidence, version, n_evidence, pages FROM b LEFT JOIN t USING (run_id, domain, technology) LEFT JOIN pg USING (run_id, domain, technology))"""
+# Observations as candidates: page branches in their own spelling, the others without a page.
+_SQL_SEEN = f"""late AS (SELECT * FROM evidence QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY ingested_at DESC) = 1),
+raw_seen AS (SELECT DISTINCT run_id, domain, collector, CASE WHEN match.value IS NOT NULL THEN 'value' ELSE 'presence' END AS kind, source, CASE WHEN source IN ('robots', 'probe', 'dns_record', 'tls_issuer') THEN NULL ELSE page_id END AS page_id,
+  CASE WHEN source IN ('header', 'meta') THEN lower(trim(key)) WHEN source = 'dns_record' THEN upper(trim(key)) WHEN source IN ('cookie', 'dom', 'javascript', 'probe') THEN key END AS key, coalesce(match.value, '') AS value FROM late WHERE collector IS NOT NULL AND NOT (source = 'url' AND match.value IS NULL)),
+seen AS (SELECT * FROM raw_seen WHERE NOT (source = 'script_url' AND collector = 'http' AND kind = 'value') UNION ALL (SELECT * FROM raw_seen WHERE source = 'script_url' AND collector = 'http' AND kind = 'value' QUALIFY row_number() OVER (PARTITION BY run_id, domain ORDER BY page_id NULLS FIRST, value) <= {policy.SCRIPT_URLS_PER_DOMAIN}))"""
+_SQL_FOUND = _SQL_RULES.replace("distinct_cands", "seen") + f""",
+rows AS (SELECT run_id, domain, {sql_same_value('m.technology')} AS technology, m.rule_id, r.confidence FROM matches m JOIN r USING (rule_id))"""
+
+
+def sql_resolved(exclusions: bool) -> str:
+    """Steps from rows (run_id, domain, technology, rule_id, confidence) to the technologies of each record.
+
+    What is available grows until nothing new comes in; the widest path to each
+    implied name first, then the fewest steps along links that keep it; exclusions
+    only go up in name order, so one pass in that order settles them.
+    """
+    def closure(n: int, start: str, allowed: str) -> str:
+        return f"""wide{n} AS (SELECT k, rev, technology, confidence FROM {start} UNION SELECT w.k, w.rev, g.target, least(w.confidence, g.confidence) FROM wide{n} w JOIN links g ON g.rev = w.rev AND g.name = w.technology WHERE NOT EXISTS (SELECT 1 FROM {start} d WHERE d.k = w.k AND d.technology = g.target){allowed.format('w.k', 'g.target')}),
+best{n} AS MATERIALIZED (SELECT k, any_value(rev) AS rev, technology, max(confidence) AS confidence FROM wide{n} GROUP BY 1, 3),
+walk{n} AS (SELECT k, rev, technology, 0 AS hops FROM {start} UNION SELECT w.k, w.rev, g.target, w.hops + 1 FROM walk{n} w JOIN best{n} a ON a.k = w.k AND a.technology = w.technology JOIN links g ON g.rev = w.rev AND g.name = w.technology JOIN best{n} b ON b.k = w.k AND b.technology = g.target AND b.confidence = least(a.confidence, g.confidence) WHERE w.hops < 80 AND NOT EXISTS (SELECT 1 FROM {start} d WHERE d.k = w.k AND d.technology = g.target)),
+label{n} AS MATERIALIZED (SELECT w.k, any_value(w.rev) AS rev, w.technology, any_value(b.confidence) AS confidence, min(hops) AS hops FROM walk{n} w JOIN best{n} b USING (k, technology) GROUP BY 1, 3)"""
+
+    steps = [f"""revs AS (SELECT run_id, domain, arg_max(catalog_revision, ingested_at) AS rev FROM domain_results GROUP BY 1, 2),
+found AS MATERIALIZED (SELECT run_id || chr(1) || domain AS k, rev, technology, CAST(least(100, sum(c)) AS INTEGER) AS confidence FROM (SELECT run_id, domain, technology, rule_id, max(confidence) AS c FROM rows GROUP BY 1, 2, 3, 4) LEFT JOIN revs USING (run_id, domain) GROUP BY 1, 2, 3 HAVING max(c) > 0),
+links AS MATERIALIZED (SELECT DISTINCT revision AS rev, {sql_same_value('name')} AS name, {sql_same_value('target')} AS target, rule_id, confidence, version FROM tech_implies WHERE length({sql_same_value('target')}) > 0 AND {sql_same_value('target')} <> {sql_same_value('name')}),
+gates AS MATERIALIZED (SELECT DISTINCT f.k, f.technology, {sql_same_value('target')} AS target FROM tech_requires q JOIN found f ON f.rev = q.revision AND f.technology = {sql_same_value('name')} WHERE length({sql_same_value('target')}) > 0 AND {sql_same_value('target')} <> {sql_same_value('name')}),
+reach AS (SELECT k, rev, technology FROM found f WHERE NOT EXISTS (SELECT 1 FROM gates g WHERE g.k = f.k AND g.technology = f.technology)
+  UNION (SELECT a.k, a.rev, g.target FROM reach a JOIN links g ON g.rev = a.rev AND g.name = a.technology UNION ALL SELECT a.k, a.rev, g.technology FROM reach a JOIN gates g ON g.k = a.k AND g.target = a.technology)),
+passed AS MATERIALIZED (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM gates g WHERE g.k = f.k AND g.technology = f.technology) OR EXISTS (SELECT 1 FROM gates g JOIN reach a ON a.k = g.k AND a.technology = g.target WHERE g.k = f.k AND g.technology = f.technology))""",
+        closure(1, "passed", "")]
+    if exclusions:
+        steps.append(f"""firsts AS (SELECT {sql_same_value('t.name')} AS name, min(list_min(list_transform(categories, lambda c: c.id))) AS c FROM technologies t GROUP BY 1 HAVING c IS NOT NULL),
+rivals AS (SELECT lag(name) OVER (PARTITION BY c ORDER BY name) AS name, name AS target FROM firsts),
+ordered AS MATERIALIZED (SELECT l.k, l.technology, r.name AS rival, row_number() OVER (PARTITION BY l.k ORDER BY l.technology) AS n FROM label1 l LEFT JOIN rivals r ON r.target = l.technology AND l.rev IS NOT NULL),
+settled AS (SELECT k, 0::BIGINT AS n, CAST(NULL AS VARCHAR) AS technology, true AS stays, CAST([] AS VARCHAR[]) AS kept FROM (SELECT DISTINCT k FROM ordered)
+  UNION ALL SELECT o.k, o.n, o.technology, NOT list_contains(s.kept, coalesce(o.rival, '')), CASE WHEN list_contains(s.kept, coalesce(o.rival, '')) THEN s.kept ELSE list_append(s.kept, o.technology) END FROM settled s JOIN ordered o ON o.k = s.k AND o.n = s.n + 1),
+retained AS MATERIALIZED (SELECT k, technology FROM settled WHERE stays AND technology IS NOT NULL),
+kept AS MATERIALIZED (SELECT p.* FROM passed p SEMI JOIN retained r ON r.k = p.k AND r.technology = p.technology)""")
+        steps.append(closure(2, "kept", " AND EXISTS (SELECT 1 FROM retained r WHERE r.k = {0} AND r.technology = {1})"))
+    else:
+        steps.append("kept AS (SELECT * FROM passed), label2 AS (SELECT * FROM label1)")
+    steps.append("""ties AS (SELECT l.k, l.technology, p.technology AS parent, g.rule_id, g.version, least(p.confidence, g.confidence) AS capped FROM label2 l JOIN label2 p ON p.k = l.k JOIN links g ON g.rev = l.rev AND g.name = p.technology AND g.target = l.technology WHERE l.hops > 0 AND p.hops + 1 = l.hops AND least(p.confidence, g.confidence) = l.confidence),
+parents AS (SELECT k, technology, string_agg(parent, ',' ORDER BY parent) AS parents, CASE WHEN count(DISTINCT version) = 1 THEN max(version) END AS inferred_version FROM ties GROUP BY 1, 2),
+counts AS (SELECT f.k, CAST(count(*) AS INTEGER) AS raw_direct, CAST(count(*) - count(p.technology) AS INTEGER) AS gated_direct, CAST(count(p.technology) - count(x.technology) AS INTEGER) AS suppressed_direct, CAST(count(x.technology) AS INTEGER) AS retained_direct FROM found f LEFT JOIN passed p ON p.k = f.k AND p.technology = f.technology LEFT JOIN kept x ON x.k = f.k AND x.technology = f.technology GROUP BY 1),
+shown AS (SELECT split_part(c.k, chr(1), 1) AS run_id, split_part(c.k, chr(1), 2) AS domain, l.technology, CASE WHEN l.hops = 0 THEN 'direct' WHEN l.hops > 0 THEN 'inferred' END AS type, l.confidence, CAST(l.hops AS INTEGER) AS hops, coalesce(p.parents, '') AS parents, p.inferred_version, raw_direct, gated_direct, suppressed_direct, retained_direct FROM counts c LEFT JOIN label2 l ON l.k = c.k LEFT JOIN parents p ON p.k = l.k AND p.technology = l.technology)""")
+    return ",\n".join(steps)
+
+
 _WORDS = "|".join(policy.SENSITIVE_WORDS)
 _HEADER_WORDS = "|".join(policy.SENSITIVE_HEADER_WORDS)
 
@@ -347,12 +519,28 @@ ORACLE_SQL = {
     "catalog_order": f"SELECT rule_id, CAST(row_number() OVER (ORDER BY {sql_rank('source', policy.RULE_SOURCES)}, technology, locator NULLS FIRST, rule_id) - 1 AS INTEGER) AS ordinal FROM rules",
     "catalog_corrections": "SELECT rule_id, technology, CASE WHEN source = 'probe' THEN 'corrected' ELSE original END AS original FROM rules WHERE technology NOT LIKE 'Boran%' AND confidence <> 0",
     "signal_index": "SELECT source, CASE WHEN locator_pattern IS NOT NULL THEN 'pattern' WHEN locator IS NOT NULL THEN 'exact' ELSE 'none' END AS locator_kind, count(*) AS n_rules, count(DISTINCT locator) AS n_locators FROM rules GROUP BY 1, 2",
-    "inspection_plan": "SELECT source, locator, bool_or(match_mode = 'presence') AS needs_presence, bool_or(match_mode <> 'presence') AS needs_value FROM rules GROUP BY 1, 2",
+    "inspection_plan": "SELECT CASE source WHEN 'dom' THEN 'dom_fact' WHEN 'javascript' THEN 'script_path' WHEN 'probe' THEN 'probe_path' WHEN 'dns_record' THEN 'dns_type' WHEN 'tls_issuer' THEN 'tls' ELSE 'other' END AS kind, source, CASE WHEN source = 'dns_record' THEN upper(trim(locator)) WHEN source <> 'tls_issuer' THEN locator END AS locator, bool_or(match_mode = 'presence') AS needs_presence, bool_or(match_mode <> 'presence') AS needs_value FROM rules GROUP BY 1, 2, 3",
+    "relation_issues": "WITH r AS (SELECT name, 'implies' AS kind, target, confidence, version FROM tech_implies UNION ALL SELECT name, 'requires', target, NULL, NULL FROM tech_requires), k AS (SELECT DISTINCT name FROM technologies), p AS (SELECT DISTINCT name, kind, target, CASE WHEN name NOT IN (SELECT name FROM k) THEN 'unknown technology' WHEN target IS NULL OR target NOT IN (SELECT name FROM k) THEN 'unknown target' WHEN kind <> 'implies' AND name = target THEN 'refers to itself' WHEN kind = 'implies' AND NOT coalesce(confidence BETWEEN 1 AND 100, false) THEN 'confidence out of range' WHEN kind = 'implies' AND contains(version, '\\') THEN 'version is no plain text' END AS problem FROM r) SELECT * FROM p WHERE problem IS NOT NULL",
+    "correction_issues": "SELECT 'drop_technology' AS correction, 'Unknown technology' AS target, 'hits nothing' AS problem UNION ALL SELECT 'drop_rule', 'sha256:unknown', 'hits nothing' UNION ALL SELECT 'drop_rule', rule_id, 'named twice' FROM rules WHERE source = 'probe' AND rule_id < 'sha256:2' UNION ALL SELECT 'replace_rule', rule_id, 'replaces another rule' FROM rules WHERE source = 'robots' AND rule_id >= 'sha256:8'",
+    "category_issues": "WITH t AS (SELECT name, unnest(categories).id AS category FROM technologies), u AS (SELECT name, category, count(*) AS n FROM t GROUP BY 1, 2) SELECT name, category, CASE WHEN category > 40 THEN 'unknown category' ELSE 'named twice' END AS problem FROM u WHERE category > 40 OR n > 1 UNION ALL SELECT NULL, min(category), 'defined twice' FROM t WHERE category <= 40",
+    "catalog_rejects": "SELECT * FROM (VALUES " + ", ".join(f"('written-{i:02d}', '{p}')" for i, p in enumerate(PATTERNS) if p in BROKEN) + ") AS v(rule_id, pattern)",
+    "pattern_matches": "SELECT * FROM (VALUES " + ", ".join("('%d', '%s', %d)" % (i, m, at) for i, (_, _, m, at) in enumerate(FOUND) if m is not None) + ") AS v(rule_id, matched, match_index)",
+    "literal_matches": "WITH t AS (SELECT DISTINCT match.value AS value, upper(substr(match.value, 3, 4)) AS pattern FROM evidence WHERE match.value IS NOT NULL UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in LITERALS) + ")), c AS (SELECT value, pattern, strpos(lower(value), lower(pattern)) AS place, length(lower(pattern)) AS size, list_transform(range(0, length(value) + 1), lambda i: length(lower(substr(value, 1, CAST(i AS BIGINT))))) AS ends FROM t WHERE pattern <> ''), "
+    "p AS (SELECT value, pattern, place, list_position(ends, place - 1) - 1 AS start, list_position(ends, place - 1 + size) - 1 AS stop FROM c) SELECT value, pattern, CASE WHEN place > 0 AND start >= 0 AND stop >= 0 THEN CAST(start AS INTEGER) END AS start, CASE WHEN place > 0 AND start >= 0 AND stop >= 0 THEN CAST(stop - start AS INTEGER) END AS size FROM p",
+    "candidate_branches": f"WITH {_SQL_SEEN} SELECT run_id, domain, collector, source, kind, count(*) AS n, count(DISTINCT page_id) AS pages, count(DISTINCT key) AS keys FROM seen GROUP BY ALL",
+    "resolved_technologies": f"WITH RECURSIVE {SQL_EV}, {sql_resolved(False)} SELECT * FROM shown",
+    "exclusions_resolved": f"WITH RECURSIVE {SQL_EV}, {sql_resolved(True)} SELECT * EXCLUDE (parents, inferred_version) FROM shown",
+    "detection_records": f"WITH RECURSIVE {_SQL_SEEN}, {_SQL_FOUND}, {sql_resolved(True)} SELECT * EXCLUDE (parents, inferred_version) FROM shown",
+    "technology_records": f"WITH RECURSIVE {SQL_EV}, {sql_resolved(False)}, {SQL_DIRECT}, pieces AS (SELECT run_id, domain, technology, count(DISTINCT (collector, source, page_id, key, match, rule_id, pattern, confidence, version)) AS n, first(rule_id ORDER BY {sql_rank('collector', policy.COLLECTORS)} NULLS FIRST, {sql_rank('source', policy.EVIDENCE_SOURCES)} NULLS FIRST, page_id NULLS FIRST, key NULLS FIRST, rule_id) AS first_rule FROM rows GROUP BY 1, 2, 3), "
+    f"cats AS (SELECT {sql_same_value('name')} AS technology, any_value(len(categories)) AS n FROM technologies GROUP BY 1) "
+    "SELECT s.run_id, s.domain, CAST(row_number() OVER (PARTITION BY s.run_id, s.domain ORDER BY s.technology) - 1 AS INTEGER) AS place, s.technology AS name, s.type, s.confidence, CASE WHEN s.type = 'direct' THEN d.version ELSE s.inferred_version END AS version, CASE WHEN s.type = 'direct' THEN d.pages ELSE '' END AS pages, CAST(CASE WHEN s.type = 'direct' THEN p.n ELSE 0 END AS INTEGER) AS n_evidence, "
+    "CASE WHEN s.parents = '' THEN 0 ELSE CAST(length(s.parents) - length(replace(s.parents, ',', '')) + 1 AS INTEGER) END AS n_parents, CAST(coalesce(c.n, 0) AS INTEGER) AS n_categories, CASE WHEN s.type = 'direct' THEN p.first_rule END AS first_rule, s.raw_direct, s.retained_direct, false AS limit_exceeded "
+    "FROM shown s LEFT JOIN directs d ON d.run_id = s.run_id AND d.domain = s.domain AND d.technology = s.technology LEFT JOIN pieces p ON p.run_id = s.run_id AND p.domain = s.domain AND p.technology = s.technology LEFT JOIN cats c ON c.technology = s.technology WHERE s.technology IS NOT NULL",
     "catalog_relations": "SELECT DISTINCT name, kind, target FROM (SELECT name, 'implies' AS kind, target FROM tech_implies UNION ALL SELECT name, 'requires', target FROM tech_requires) WHERE name <> target AND target IN (SELECT name FROM technologies)",
     "catalog_limits": "SELECT count(*) AS n_rules, count(DISTINCT technology) AS n_technologies, CAST(max(length(original)) AS INTEGER) AS longest, count(*) <= 1000000 AND max(length(original)) <= 65536 AS within_limits FROM rules",
     "catalog_categories": "SELECT name, coalesce(list_aggregate(list_transform(list_sort(categories), lambda c: c.id || ':' || c.name), 'string_agg', ','), '') AS categories FROM technologies",
     "candidates_numbered": f"WITH {_SQL_CAND} SELECT *, 'c' || lpad(CAST(row_number() OVER (PARTITION BY run_id, domain ORDER BY {_SQL_ORDER}) - 1 AS VARCHAR), 8, '0') AS candidate_id FROM distinct_cands",
-    "script_url_cap": f"WITH {_SQL_CAND}, u AS (SELECT DISTINCT run_id, domain, page_id, value FROM cands WHERE source = 'script_url') SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY run_id, domain ORDER BY page_id NULLS FIRST, value) <= 2",
+    "script_url_cap": f"WITH {_SQL_CAND}, u AS (SELECT * FROM distinct_cands WHERE source = 'script_url') SELECT * FROM u WHERE NOT coalesce(collector = 'http' AND kind = 'value', false) UNION ALL (SELECT * FROM u WHERE collector = 'http' AND kind = 'value' QUALIFY row_number() OVER (PARTITION BY run_id, domain ORDER BY page_id NULLS FIRST, value) <= 2)",
     "priority_multiset": f"""WITH {_SQL_CAND}, k AS (SELECT run_id, domain, collector, kind, source, key, value, count(*) AS k FROM distinct_cands WHERE page_id = 'p1' GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY run_id, domain, collector, kind, source, key, value ORDER BY page_id NULLS FIRST) AS nth FROM distinct_cands)
 SELECT n.run_id, n.source, count(*) FILTER (WHERE coalesce(nth <= k, false)) AS n_priority, count(*) AS n FROM n LEFT JOIN k ON n.run_id = k.run_id AND n.domain = k.domain AND n.collector IS NOT DISTINCT FROM k.collector AND n.kind = k.kind AND n.source = k.source AND n.key IS NOT DISTINCT FROM k.key AND n.value = k.value GROUP BY 1, 2""",
@@ -363,16 +551,11 @@ c AS (SELECT n.run_id, n.domain, n.id, coalesce(n.page_id = 'p1', false) AS prio
 s AS (SELECT *, sum(pairs) OVER w AS sp, sum(runs) OVER w AS sr FROM c WINDOW w AS (PARTITION BY run_id, domain ORDER BY priority DESC, id ROWS UNBOUNDED PRECEDING))
 SELECT run_id, domain, count(*) AS admitted, CAST(sum(pairs) AS BIGINT) AS pairs FROM s WHERE sp <= 300 AND sr <= 300 GROUP BY 1, 2""",
     "sensitive_texts": f"SELECT doc_id, {_SQL_OPAQUE.format('text')} AS opaque, {_sql_word('text', _WORDS)} AS sensitive, {_SQL_CREDENTIAL.format('text')} AS credential FROM documents WHERE text IS NOT NULL",
-    "redact_headers": f"""WITH {_SQL_EV}, h AS (SELECT evidence_id, source, lower(key) AS key, match.value AS v FROM e WHERE source IN ('header', 'meta')),
+    "redact_headers": f"""WITH {SQL_EV}, h AS (SELECT evidence_id, source, lower(key) AS key, match.value AS v FROM e WHERE source IN ('header', 'meta')),
 k AS (SELECT *, CASE WHEN source = 'header' THEN {_sql_word("coalesce(key, '')", _HEADER_WORDS)} ELSE {_sql_word("coalesce(key, '')", _WORDS)} END AS bad FROM h),
 s AS (SELECT *, CASE WHEN v = '' OR v IS NULL THEN NULL WHEN source = 'header' AND NOT {_sql_word("coalesce(key, '')", _HEADER_WORDS)} AND NOT {_SQL_SECRET} THEN left(v, 256) WHEN source = 'meta' AND key IN ('generator', 'application-name') AND NOT {_SQL_SECRET} THEN left(v, 256) END AS value FROM k)
 SELECT evidence_id, CASE WHEN length(key) > 64 OR bad OR {_SQL_OPAQUE.format('key')} THEN NULL ELSE key END AS key, CASE WHEN value IS NULL THEN 'redacted' ELSE 'value' END AS kind, value FROM s""",
-    "direct_detections": f"""WITH {_SQL_EV}, p AS (SELECT run_id, domain, technology, rule_id, max(confidence) AS c, count(*) AS n FROM rows GROUP BY 1, 2, 3, 4),
-b AS (SELECT run_id, domain, technology, CAST(least(100, sum(c)) AS INTEGER) AS confidence, CAST(sum(n) AS BIGINT) AS n_evidence FROM p GROUP BY 1, 2, 3 HAVING max(c) > 0),
-pg AS (SELECT run_id, domain, technology, coalesce(string_agg(DISTINCT page_id, ',' ORDER BY page_id), '') AS pages FROM rows GROUP BY 1, 2, 3),
-v AS (SELECT run_id, domain, technology, version, sum(c) AS w FROM (SELECT run_id, domain, technology, version, rule_id, max(confidence) AS c FROM rows WHERE version IS NOT NULL GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4),
-t AS (SELECT run_id, domain, technology, CASE WHEN count(*) = 1 THEN max(version) END AS version FROM (SELECT *, max(w) OVER (PARTITION BY run_id, domain, technology) AS best FROM v) WHERE w = best GROUP BY 1, 2, 3)
-SELECT b.run_id, b.domain, b.technology, confidence, version, n_evidence, pages FROM b LEFT JOIN t USING (run_id, domain, technology) LEFT JOIN pg USING (run_id, domain, technology)""",
+    "direct_detections": f"WITH {SQL_EV}, {SQL_DIRECT} SELECT * FROM directs",
     "internal_pages": "WITH l AS (SELECT DISTINCT domain, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM documents WHERE url IS NOT NULL), "
     "f AS (SELECT domain, url, path, list_filter(string_split(lower(path), '/'), lambda s: s <> '') AS seg FROM l WHERE origin = 'https://' || host AND NOT regexp_matches(url, '[?#]') AND path <> '/' AND path <> ''), "
     + "g AS (SELECT *, list_filter(list_transform([" + ", ".join(f"'{w}'" for w in policy.DETAIL_SEGMENTS) + "], lambda w: CASE WHEN list_contains(seg[:-2], w) THEN list_position([" + ", ".join(f"'{w}'" for w in policy.DETAIL_SEGMENTS) + "], w) - 1 END), lambda x: x IS NOT NULL) AS d, "
