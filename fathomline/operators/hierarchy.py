@@ -30,13 +30,16 @@ class Hierarchy:
     """``nodes``: scope..., node, parent, root, depth, path of every node.
 
     Roots have a null parent, depth 0 and themselves as root. Nodes whose way
-    up never ends have root ``''``, depth -1 and a null path.
+    up never ends have root ``''``, depth -1 and a null path. ``dropped``: the
+    links (scope..., node, parent) that lost to another link of their node.
     """
 
     nodes: DataFrame
     scope: list[str]
     levels: int = 0
     paths: list[str] = field(default_factory=list)
+    dropped: DataFrame | None = None
+    has_paths: bool = True
 
     def linked(self) -> DataFrame:
         """Nodes that have a parent."""
@@ -47,6 +50,8 @@ class Hierarchy:
 
         The pairs come from the paths, without another join.
         """
+        if not self.has_paths:
+            raise ValueError("the hierarchy was built without paths")
         pairs = self.nodes.where("depth > 0").select(
             *self.scope, F.col("node").alias("descendant"), "depth", F.posexplode("path").alias("at", "ancestor")
         )
@@ -74,11 +79,15 @@ class Hierarchy:
         return reduce(DataFrame.unionByName, flagged)
 
 
-def build_hierarchy(links: DataFrame, child: Column | str, parent: Column | str, scope: dict[str, Column | str] | None = None, newest: Column | str | None = None) -> Hierarchy:
+def build_hierarchy(links: DataFrame, child: Column | str, parent: Column | str, scope: dict[str, Column | str] | None = None, newest: Column | str | None = None, several: str = "newest", paths: bool = True) -> Hierarchy:
     """Resolve ``links`` into a :class:`Hierarchy`.
 
     scope: columns within which a name identifies a node (a null is a scope of its own).
     newest: decides between several links of one child: the greatest value wins, then the greatest parent.
+    several: what to do where a child has several parents, which no tree can
+    hold: ``newest`` takes one and gives the others as ``dropped``; ``error``
+    raises, naming their number.
+    paths: without them the nodes carry no paths, which spares their size.
 
     Defined cases: a link with a null or empty child or parent is no link (but
     a node named by it as parent of another link still counts through that
@@ -100,6 +109,15 @@ def build_hierarchy(links: DataFrame, child: Column | str, parent: Column | str,
         "links",
     )
     spark = links.sparkSession
+    every = rows.select(*names, "node", "parent").distinct()
+    dropped = every.join(edges, reduce(lambda x, y: x & y, [every[n].eqNullSafe(edges[n]) for n in names], (every["node"] == edges["node"]) & (every["parent"] == edges["parent"])), "left_anti")
+    if several == "error":
+        n_dropped = dropped.count()
+        if n_dropped:
+            raise ValueError(f"{n_dropped} links give a node a second parent")
+    elif several != "newest":
+        raise ValueError("several must be newest or error")
+    own_path = (lambda column: column) if paths else (lambda column: F.lit(None).cast("array<string>"))
 
     def same(a: DataFrame, b: DataFrame, left: str, right: str) -> Column:
         return reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names], a[left] == b[right])
@@ -108,7 +126,7 @@ def build_hierarchy(links: DataFrame, child: Column | str, parent: Column | str,
     tops = edges.select(*names, F.col("parent").alias("node")).distinct()
     frontier, n, path = materialize(
         tops.join(children, same(tops, children, "node", "child"), "left_anti").select(
-            *names, "node", F.lit(None).cast("string").alias("parent"), F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path")
+            *names, "node", F.lit(None).cast("string").alias("parent"), F.col("node").alias("root"), F.lit(0).alias("depth"), own_path(F.array("node")).alias("path")
         ),
         "level",
     )
@@ -119,7 +137,7 @@ def build_hierarchy(links: DataFrame, child: Column | str, parent: Column | str,
         on = reduce(lambda x, y: x & y, [remaining[c].eqNullSafe(above[f"_{c}"]) for c in names], remaining["parent"] == above["_node"])
         frontier, n, path = materialize(
             remaining.join(above, on).select(
-                *names, "node", "parent", F.col("_root").alias("root"), (F.col("_depth") + 1).alias("depth"), F.concat(F.col("_path"), F.array("node")).alias("path")
+                *names, "node", "parent", F.col("_root").alias("root"), (F.col("_depth") + 1).alias("depth"), own_path(F.concat(F.col("_path"), F.array("node"))).alias("path")
             ),
             "level",
         )
@@ -140,4 +158,4 @@ def build_hierarchy(links: DataFrame, child: Column | str, parent: Column | str,
     )
     for p in temporary:
         drop_path(spark, p)
-    return Hierarchy(reached.unionByName(lost), names, len(level_paths) - 1, [edge_path, *level_paths])
+    return Hierarchy(reached.unionByName(lost), names, len(level_paths) - 1, [edge_path, *level_paths], dropped, paths)

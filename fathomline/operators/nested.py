@@ -14,7 +14,8 @@ the record, and JSON in a JSON string.
 
 Scale: both passes are narrow maps over Arrow batches; only the element graph
 (bounded by ``MAX_EDGES``, checked) reaches the driver. Rows are written once,
-partitioned by table, so each flat table is a pruned columnar scan.
+partitioned by table, so reading a table reads only its own files; the inlined
+columns of a row stand in one map.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 from fathomline.session import ensure_workers_import, new_path
 
 MAX_EDGES = 20_000
-MAX_DEPTH = 200
 
 ROW_SCHEMA = "doc_key long, doc_id long, node_id long, parent_table string, parent_id long, ordinal int, columns map<string,string>, table string"
 _ARROW_ROWS = pa.schema([
@@ -69,26 +69,87 @@ def element_name(name: str) -> str:
     return re.sub(r"[\s_\-]+", "", name).lower()
 
 
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity)|(\Z))')
+
+
+def load_deep(text: str) -> object:
+    """``json.loads`` without recursion, for documents nested deeper than its stack allows."""
+    at, stack, key, expect = 0, [], None, "value"
+    root: list = []
+
+    def put(value: object) -> None:
+        nonlocal key
+        top = stack[-1] if stack else root
+        if isinstance(top, dict):
+            top[key] = value
+            key = None
+        else:
+            top.append(value)
+
+    while True:
+        found = _TOKEN.match(text, at)
+        if not found:
+            raise ValueError("no JSON")
+        at = found.end()
+        sign, string, scalar, end = found.groups()
+        if end is not None:
+            if stack or expect != "end":
+                raise ValueError("cut off")
+            return root[0]
+        if expect == "end":
+            raise ValueError("more than one value")
+        if sign in ("{", "["):
+            if "value" not in expect:
+                raise ValueError("unexpected bracket")
+            value: object = {} if sign == "{" else []
+            put(value)
+            stack.append(value)
+            expect = "key or }" if sign == "{" else "value or ]"
+        elif sign in ("}", "]"):
+            if not stack or expect not in (f"key or {sign}", f"value or {sign}", "comma") or isinstance(stack[-1], dict) != (sign == "}"):
+                raise ValueError("unexpected bracket")
+            stack.pop()
+            expect = "comma" if stack else "end"
+        elif sign == ",":
+            if expect != "comma":
+                raise ValueError("unexpected comma")
+            expect = "key" if isinstance(stack[-1], dict) else "value"
+        elif sign == ":":
+            if expect != "colon":
+                raise ValueError("unexpected colon")
+            expect = "value"
+        elif string is not None and expect.startswith("key"):
+            key, expect = json.loads(string), "colon"
+        elif "value" in expect:
+            put(json.loads(string if string is not None else scalar))
+            expect = "comma" if stack else "end"
+        else:
+            raise ValueError("unexpected value")
+
+
 def parse(text: str | None) -> object:
-    """The document, or None where the text is null, empty, cut off or no JSON."""
+    """The document, or None where the text is null, empty, cut off or no JSON. JSON inside a JSON string is opened, however often."""
     value: object = text
-    for _ in range(4):
-        if not isinstance(value, str):
-            return value
+    while isinstance(value, str):
         try:
             value = json.loads(value)
-        except (ValueError, RecursionError):
+        except RecursionError:
+            try:
+                value = load_deep(value)
+            except ValueError:
+                return None
+        except ValueError:
             return None
-    return None
+    return value
 
 
 def records(value: object, shape: Shape) -> Iterator[dict]:
-    """The records inside a document, wrappers opened."""
+    """The records inside a document: wrappers are opened, layer by layer, until one of a layer's objects holds the anchor."""
     layer = [value]
-    for _ in range(MAX_DEPTH):
+    while layer:
         found, deeper = [], []
         for item in layer:
-            if isinstance(item, str) and item[:1] in "{[":
+            if isinstance(item, str):
                 item = parse(item)
             if isinstance(item, dict):
                 if any(element_name(k) == shape.anchor for k in item):
@@ -100,8 +161,6 @@ def records(value: object, shape: Shape) -> Iterator[dict]:
         if found:
             yield from found
             return
-        if not deeper:
-            break
         layer = deeper
     if shape.bare and isinstance(value, (dict, list)):
         yield {shape.anchor: value}
@@ -135,21 +194,24 @@ def first_at(value: object, path: list[str]) -> object:
     return None
 
 
-def _edges(value: object, name: str, shape: Shape, seen: set, depth: int = 0) -> None:
-    if depth > MAX_DEPTH:
-        return
-    if isinstance(value, list):
-        for item in value:
-            _edges(item, name, shape, seen, depth + 1)
-    elif isinstance(value, dict):
-        for key, child in value.items():
-            tag = element_name(key)
-            child = entries(tag, child, shape)
-            if isinstance(child, list):
-                seen.add((name, tag, True, any(isinstance(x, (dict, list)) for x in child)))
-            else:
-                seen.add((name, tag, False, isinstance(child, dict)))
-            _edges(child, tag, shape, seen, depth + 1)
+def _edges(value: object, name: str, shape: Shape, seen: set) -> None:
+    """Add the edges of the element graph below ``value``."""
+    todo = [(value, name)]
+    while todo:
+        item, parent = todo.pop()
+        if isinstance(item, list):
+            todo += [(x, parent) for x in item if isinstance(x, (dict, list))]
+        elif isinstance(item, dict):
+            for key, child in item.items():
+                tag = element_name(key)
+                child = entries(tag, child, shape)
+                if isinstance(child, list):
+                    seen.add((parent, tag, True, any(isinstance(x, (dict, list)) for x in child)))
+                    todo.append((child, tag))
+                else:
+                    seen.add((parent, tag, False, isinstance(child, dict)))
+                    if isinstance(child, dict):
+                        todo.append((child, tag))
 
 
 @dataclass(frozen=True)
@@ -190,51 +252,51 @@ def _text(value: object) -> str:
 
 
 def flatten_document(key: int, doc_id: int, value: object, shape: Shape, tables: frozenset[str], out: list[tuple]) -> None:
-    """Append the rows of one document to ``out``."""
-    counter = 0
-
-    def add(tag: str, item: object, parent_table: str | None, parent_id: int | None, ordinal: int, depth: int) -> None:
-        nonlocal counter
-        node, columns = counter, {}
-        counter += 1
+    """Append the rows of one document to ``out``. The walk keeps its own stack, so no depth is too deep."""
+    node = 0
+    todo = [(shape.root, record, None, None, at) for at, record in enumerate(records(value, shape))][::-1]
+    while todo:
+        tag, item, parent_table, parent_id, ordinal = todo.pop()
+        columns: dict[str, str] = {}
         out.append((key, doc_id, node, parent_table, parent_id, ordinal, columns, tag))
-        fill(item, "", columns, tag, node, depth + 1)
-        for path in shape.columns.get(tag, ()):
-            if path not in columns and (value := first_at(item, path.split("."))) is not None:
-                columns[path] = _text(value)
-
-    def fill(item: object, prefix: str, columns: dict, table: str, node: int, depth: int) -> None:
-        if depth > MAX_DEPTH:
-            columns.setdefault(f"{prefix}json", _text(item))
-            return
-        if not isinstance(item, dict):
-            columns.setdefault(prefix[:-1] or "value", _text(item))
-            return
-        for key, child in item.items():
-            tag = element_name(key)
-            child = entries(tag, child, shape)
-            if child is None:
+        below: list[tuple] = []
+        inside = [(item, "")]
+        while inside:
+            part, prefix = inside.pop()
+            if not isinstance(part, dict):
+                columns.setdefault(prefix[:-1] or "value", _text(part))
                 continue
-            if tag in tables:
-                place = 0
-                stack = [iter(child if isinstance(child, list) else [child])]
-                while stack:
-                    for x in stack[-1]:
-                        if isinstance(x, list):
-                            stack.append(iter(x))
-                            break
-                        if x is not None:
-                            add(tag, x, table, node, place, depth)
-                        place += 1
-                    else:
-                        stack.pop()
-            elif isinstance(child, dict):
-                fill(child, f"{prefix}{tag}.", columns, table, node, depth + 1)
-            else:
-                columns.setdefault(prefix + tag, _text(child))
-
-    for at, record in enumerate(records(value, shape)):
-        add(shape.root, record, None, None, at, 0)
+            nested = []
+            for name, child in part.items():
+                element = element_name(name)
+                child = entries(element, child, shape)
+                if child is None:
+                    continue
+                if element in tables:
+                    below += [(element, x, tag, node, place) for place, x in enumerate(_leaves(child)) if x is not None]
+                elif isinstance(child, dict):
+                    nested.append((child, f"{prefix}{element}."))
+                else:
+                    columns.setdefault(prefix + element, _text(child))
+            inside += nested[::-1]
+        for path in shape.columns.get(tag, ()):
+            if path not in columns and (found := first_at(item, path.split("."))) is not None:
+                columns[path] = _text(found)
+        todo += below[::-1]
+        node += 1
+
+
+def _leaves(value: object) -> Iterator[object]:
+    """The entries of a list, those of lists inside it among them; a lone value is its own entry."""
+    stack = [iter(value if isinstance(value, list) else [value])]
+    while stack:
+        for x in stack[-1]:
+            if isinstance(x, list):
+                stack.append(iter(x))
+                break
+            yield x
+        else:
+            stack.pop()
 
 
 @dataclass
@@ -263,8 +325,8 @@ def flatten_json(df: DataFrame, doc_id: Column | str, payload: Column | str, sha
     gives no rows; an empty object gives a root row without columns; of two
     spellings of one element in an object the first non-null counts; a repeated
     document id gives the rows of each of its documents, kept apart by
-    ``doc_key``; nesting beyond ``MAX_DEPTH`` is kept as JSON text in the column
-    ``json``; other columns of ``df`` are ignored, whatever their names.
+    ``doc_key``; nesting has no limit; other columns of ``df`` are ignored,
+    whatever their names.
     """
     spark = df.sparkSession
     ensure_workers_import(spark)

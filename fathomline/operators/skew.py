@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathomline.session import materialize
+
 BUCKETS_PER_TASK = 16
 
 
@@ -115,29 +117,35 @@ def place_keys(df: DataFrame, keys: list[str], tasks: int | None = None) -> Plac
     return Placement(keys, tasks, table, len(heavy), bucket_tasks, loads)
 
 
-def balanced_aggregate(df: DataFrame, keys: list[str], partials: Mapping[str, Column], merges: Mapping[str, Callable[[str], Column]] | None = None, match: DataFrame | None = None, spread: Column | None = None, tasks: int | None = None) -> DataFrame:
+def balanced_aggregate(df: DataFrame, keys: list[str], partials: Mapping[str, Column], merges: Mapping[str, Callable[[str], Column]] | None = None, match: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Per-key aggregates without an overloaded task.
 
     partials: name to aggregate over the rows of one fragment of a key; merges:
     how fragments are combined (default: sum). match: rows to join to the keys
     (inner), copied only to the tasks that hold a fragment.
 
-    Fragments are aggregated on the map side before anything is shuffled, so a
-    task receives at most one partial row per input task and fragment.
+    The rows are read once: each input task aggregates its rows per key, and
+    these partial rows, at most one per key and input task, are what the load
+    is estimated on and what moves. A key that many tasks hold is heavy and is
+    split into shards; shards and light buckets are packed onto tasks, partial
+    rows go straight to their task, are merged there, and the few results of a
+    heavy key's shards are added up.
 
     Defined cases: a null key is a key; an empty table gives no rows; repeated
     rows all count; columns other than the keys are not touched, whatever their
-    names (``_task``, ``_shards``, ``_light`` and names starting with ``_h_`` are reserved).
+    names (``_task``, ``_part``, ``_shards``, ``_light`` and names starting with ``_h_`` are reserved).
     """
-    merges = merges or {}
-    placement = place_keys(df, keys, tasks)
-    fragments = placement.shard(df, spread).groupBy(*keys, "_task").agg(*[a.alias(n) for n, a in partials.items()])
+    merges = {n: (merges or {}).get(n, F.sum) for n in partials}
+    held, _, _ = materialize(df.withColumn("_part", F.spark_partition_id()).groupBy(*keys, "_part").agg(*[a.alias(n) for n, a in partials.items()]), "fragments")
+    placement = place_keys(held, keys, tasks)
+    combine = lambda table, by: table.groupBy(*by).agg(*[m(n).alias(n) for n, m in merges.items()])
+    fragments = combine(placement.send(placement.shard(held, F.col("_part"))), [*keys, "_task"])
     if match is not None:
-        fragments = _join_on_task(placement.send(fragments), placement.send(placement.replicate(match)), keys, "inner")
+        fragments = _join_on_task(fragments, placement.send(placement.replicate(match)), keys, "inner")
         extra = [c for c in match.columns if c not in keys]
     else:
         extra = []
-    return fragments.groupBy(*keys, *extra).agg(*[merges.get(n, F.sum)(n).alias(n) for n in partials])
+    return combine(fragments, [*keys, *extra])
 
 
 def balanced_join(skewed: DataFrame, match: DataFrame, keys: list[str], how: str = "inner", spread: Column | None = None, tasks: int | None = None) -> DataFrame:

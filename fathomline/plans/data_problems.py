@@ -14,17 +14,17 @@ from fathomline.session import read_table
 # --- hierarchies of technologies -------------------------------------------------
 
 
-def technology_hierarchy(spark: SparkSession, folder: str) -> Hierarchy:
-    """The parents of technologies in every catalog revision, from both kinds of links."""
+def technology_hierarchy(spark: SparkSession, folder: str, paths: bool = True) -> Hierarchy:
+    """The parents of technologies in every catalog revision, from both kinds of links; of links loaded again the newest counts."""
     links = [
         read_table(spark, folder, t).select("revision", same_value("name").alias("name"), same_value("target").alias("target"), "loaded_at") for t in ("tech_implies", "tech_requires")
     ]
-    return build_hierarchy(links[0].unionByName(links[1]), "name", "target", {"revision": "revision"}, newest="loaded_at")
+    return build_hierarchy(links[0].unionByName(links[1]), "name", "target", {"revision": "revision"}, newest="loaded_at", paths=paths)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Root and depth of each technology that has a parent; circles have root '' and depth -1."""
-    return technology_hierarchy(spark, folder).linked().select("revision", F.col("node").alias("name"), "root", "depth")
+    return technology_hierarchy(spark, folder, paths=False).linked().select("revision", F.col("node").alias("name"), "root", "depth")
 
 
 def p3_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,7 +40,7 @@ def p3_descendants(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_circles(spark: SparkSession, folder: str) -> DataFrame:
     """Technologies whose way up never ends, and whether they stand on the circle."""
-    return technology_hierarchy(spark, folder).circular().select("revision", F.col("node").alias("name"), "parent", "on_circle")
+    return technology_hierarchy(spark, folder, paths=False).circular().select("revision", F.col("node").alias("name"), "parent", "on_circle")
 
 
 _SQL_LINKS = f"""links AS (
@@ -64,14 +64,12 @@ def _evidence_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Two rows per piece of evidence: its technology and its collector."""
     evidence = read_table(spark, folder, "evidence")
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(same_value(f), F.lit("(null)")).alias("term")) for f in ("technology", "collector")])
-    return evidence.select("evidence_id", "confidence", F.explode(pairs).alias("p")).select("evidence_id", "confidence", "p.field", "p.term")
+    return evidence.select("confidence", F.explode(pairs).alias("p")).select("confidence", "p.field", "p.term")
 
 
 def p5_totals(spark: SparkSession, folder: str) -> DataFrame:
     """Rows and summed confidence of every technology and collector of evidence as delivered."""
-    return balanced_aggregate(
-        _evidence_terms(spark, folder), ["field", "term"], {"n_rows": F.count(F.lit(1)), "sum_confidence": F.sum(F.col("confidence").cast("long"))}, spread=F.col("evidence_id")
-    )
+    return balanced_aggregate(_evidence_terms(spark, folder), ["field", "term"], {"n_rows": F.count(F.lit(1)), "sum_confidence": F.sum(F.col("confidence").cast("long"))})
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import pytest
+
 from fathomline.operators.hierarchy import build_hierarchy
 
 SCHEMA = "revision string, name string, target string, loaded_at int, node string, depth string"
@@ -50,3 +52,16 @@ def test_deep_chain_and_wide_parent(spark):
     rows = [("1", f"n{i:03d}", f"n{i - 1:03d}", 1) for i in range(1, 25)] + [("1", f"w{i}", "n000", 1) for i in range(300)]
     nodes = as_dict(build(spark, rows))
     assert nodes[("1", "n024")][2] == 24 and sum(v[2] == 1 for v in nodes.values()) == 301
+
+
+def test_second_parents_are_an_explicit_choice(spark):
+    links = spark.createDataFrame([("b", "a", 1), ("b", "c", 2), ("b", "c", 3), ("d", "c", 1)], "node string, parent string, t int")
+    h = build_hierarchy(links, "node", "parent", newest="t")
+    assert [(r.node, r.parent) for r in h.dropped.collect()] == [("b", "a")]
+    with pytest.raises(ValueError, match="1 links"):
+        build_hierarchy(links, "node", "parent", newest="t", several="error")
+    assert build_hierarchy(links.where("parent = 'c'"), "node", "parent", several="error").dropped.count() == 0
+    bare = build_hierarchy(links, "node", "parent", newest="t", paths=False)
+    assert {(r.node, r.root, r.depth, r.path) for r in bare.nodes.collect()} == {("c", "c", 0, None), ("b", "c", 1, None), ("d", "c", 1, None)}
+    with pytest.raises(ValueError, match="paths"):
+        bare.descendants()

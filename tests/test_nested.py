@@ -1,6 +1,10 @@
 import json
 
-from fathomline.operators.nested import Shape, flatten_json, plan_inlining, records
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from fathomline.operators.nested import Shape, flatten_json, load_deep, plan_inlining, records
 from fathomline.plans.data_problems import CATALOG_SHAPE, RESULT_SHAPE, p6_found
 from fathomline.session import read_table
 
@@ -117,3 +121,33 @@ def test_found_whatever_else_the_collection_holds(spark, tmp_path):
         spark.createDataFrame(list(enumerate(catalogs)), "doc_no long, payload string").write.parquet(f"{folder}/catalog_docs.parquet")
         got = sorted(tuple(r) for r in p6_found(spark, folder).collect())
         assert got == sorted((t, n, *x) for t, texts in (("result_records", records), ("catalog_docs", catalogs)) for n, text in enumerate(texts) for x in want[text])
+
+
+def test_any_depth(spark):
+    """Wrappers, lists, objects and JSON in strings far deeper than any stack; nothing turns into text or gets lost."""
+    deep = 3_000
+    wrapped = '{"w":' * deep + '{"technologies":[{"name":"A"}]}' + "}" * deep
+    nested = '{"technologies":[{"name":"B","x":' + '{"y":' * deep + '{"technologies":[{"name":"C"}]}' + "}" * deep + "}]}"
+    listed = '{"technologies":' + "[" * deep + '{"name":"D"}' + "]" * deep + "}"
+    texts = [json.dumps({"technologies": [{"name": "E"}]})]
+    for _ in range(7):
+        texts.append(json.dumps(texts[-1]))
+    df = spark.createDataFrame(list(enumerate([wrapped, nested, listed, texts[-1], wrapped[:-1]])), "no long, payload string")
+    flat = flatten_json(df, "no", "payload", Shape(root="record", anchor="technologies", tables=frozenset(("technologies",))))
+    names = {(r.doc_id, r.name) for r in flat.table("technologies", {"name": "name"}).collect()}
+    assert names == {(0, "A"), (1, "B"), (1, "C"), (2, "D"), (3, "E")}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False) | st.text(max_size=5), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=4), x, max_size=4), max_leaves=12), st.integers(0, 40))
+def test_deep_reader_equals_the_library(value, cut):
+    text = json.dumps(value, ensure_ascii=bool(cut % 2), indent=cut % 3 or None)
+    assert load_deep(text) == value
+    short = text[: max(0, len(text) - 1 - cut)]
+    try:
+        want = json.loads(short)
+    except ValueError:
+        with pytest.raises(ValueError):
+            load_deep(short)
+    else:
+        assert load_deep(short) == want

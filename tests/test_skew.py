@@ -18,6 +18,15 @@ def test_counts_equal_plain_grouping(spark):
     assert got == want
 
 
+def test_fragments_go_to_their_packed_task(spark):
+    """The registered query itself moves partial rows by their task, not by a hash of the key, and reads evidence once."""
+    from fathomline.plans.data_problems import p5_totals
+
+    plan = p5_totals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "RepartitionById" in plan or "shufflepartitionid" in plan.lower()
+    assert "evidence.parquet" not in plan
+
+
 def test_rows_spread_over_tasks(spark):
     df = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
     placement = place_keys(df, ["key"], tasks=8)
