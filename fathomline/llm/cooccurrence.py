@@ -14,7 +14,8 @@ Scale: baskets hold each item once, so the hottest item is one entry per record.
 Pairs never leave a task as rows: a task keeps them as packed numbers, folds
 them in blocks and flushes whole stripes when ``FLUSH_PAIRS`` distinct pairs are
 held. Merging is a sum by (item, neighbour) with a map-side combine, so no stripe
-is gathered in one place.
+is gathered in one place. A basket above ``BASKET_ITEMS`` items is cut into chunks
+that no task gathers again: each pair of chunks is a row of its own.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ from fathomline.session import ensure_workers_import, materialize
 
 FLUSH_PAIRS = 4_000_000
 BLOCK_PAIRS = 4_000_000
+#: Items of a basket that one task pairs up; larger baskets are cut into chunks of about this size.
+BASKET_ITEMS = 4_096
 #: Chi-square of one degree of freedom at the usual levels of significance.
 LEVELS = ((0.001, 10.828), (0.01, 6.635), (0.05, 3.841))
 
@@ -52,6 +56,14 @@ def pair_codes(baskets: list[np.ndarray], base: int) -> Iterator[np.ndarray]:
             yield basket[np.repeat(left, sizes)] * base + basket[right]
 
 
+def cross_codes(left: np.ndarray, right: np.ndarray, base: int) -> Iterator[np.ndarray]:
+    """Packed codes of all pairs of one item of each of two disjoint chunks, the smaller item first, in bounded blocks."""
+    step = max(1, BLOCK_PAIRS // max(len(right), 1))
+    for start in range(0, len(left), step):
+        a, b = np.meshgrid(left[start : start + step], right, indexing="ij")
+        yield (np.minimum(a, b) * base + np.maximum(a, b)).ravel()
+
+
 def fold_counts(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Add the counts of equal codes."""
     if not len(codes):
@@ -87,7 +99,8 @@ def item_pairs(df: DataFrame, record: list[str], fields: list[str], min_records:
     ensure_workers_import(spark)
     a, b = min_share
     rows = df.select(F.xxhash64(*record, F.lit(1)).alias("rec_a"), F.xxhash64(F.lit(2), *reversed(record)).alias("rec_b"), *fields)
-    n_records = rows.select("rec_a", "rec_b").distinct().count()
+    measured = rows.groupBy("rec_a", "rec_b").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("records"), F.max("n").alias("most")).first()
+    n_records = measured["records"]
     least = max(min_records, -(-a * n_records // b), 1)
     terms = rows.select("rec_a", "rec_b", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("item")) for f in fields])).alias("t")).select("rec_a", "rec_b", "t.field", "t.item")
     held = terms.where("item IS NOT NULL").select("rec_a", "rec_b", "field", "item").distinct()
@@ -96,7 +109,20 @@ def item_pairs(df: DataFrame, record: list[str], fields: list[str], min_records:
     items, n_items, _ = materialize(counts.withColumn("code", F.monotonically_increasing_id()), "items")
     base = 1 << 31
     numbered = _dense_codes(items, n_items)
-    baskets = held.join(numbered.select("field", "item", "code"), ["field", "item"]).groupBy("rec_a", "rec_b", "field").agg(F.sort_array(F.collect_list("code")).alias("basket")).where(F.size("basket") > 1)
+    coded = held.join(numbered.select("field", "item", "code"), ["field", "item"]).select("rec_a", "rec_b", "field", "code")
+    whole = coded
+    large = None
+    # A record cannot have more items than rows, so most collections have no large basket.
+    if (measured["most"] or 0) > BASKET_ITEMS:
+        coded, _, _ = materialize(coded, "coded")
+        sizes = coded.groupBy("rec_a", "rec_b", "field").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > BASKET_ITEMS)
+        sizes, n_large, _ = materialize(sizes, "large-baskets")
+        if n_large:
+            whole = coded.join(sizes, ["rec_a", "rec_b", "field"], "left_anti")
+            large = _chunk_pairs(coded.join(sizes, ["rec_a", "rec_b", "field"]))
+    baskets = whole.groupBy("rec_a", "rec_b", "field").agg(F.sort_array(F.collect_list("code")).alias("basket")).where(F.size("basket") > 1).select("field", "basket", F.lit(None).cast("array<long>").alias("other"))
+    if large is not None:
+        baskets = baskets.unionByName(large)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -111,10 +137,10 @@ def item_pairs(df: DataFrame, record: list[str], fields: list[str], min_records:
 
         for batch in batches:
             names = batch.column("field").to_pylist()
-            column = batch.column("basket")
-            flat, offsets = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()
+            (flat, offsets), (more, ends) = ((c.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False))]) for c in (batch.column("basket"), batch.column("other")))
             for at, field in enumerate(names):
-                for codes in pair_codes([flat[offsets[at] : offsets[at + 1]]], base):
+                own, other = flat[offsets[at] : offsets[at + 1]], more[ends[at] : ends[at + 1]]
+                for codes in cross_codes(own, other, base) if len(other) else pair_codes([own], base):
                     waiting.setdefault(field, []).append(codes)
                     pending[field] = pending.get(field, 0) + len(codes)
                     if pending[field] >= BLOCK_PAIRS:
@@ -127,7 +153,7 @@ def item_pairs(df: DataFrame, record: list[str], fields: list[str], min_records:
             if len(codes):
                 yield _stripes(field, codes, counts, base)
 
-    stripes = baskets.select("field", "basket").mapInArrow(fold, "field string, item long, neighbours array<long>, counts array<long>")
+    stripes = baskets.mapInArrow(fold, "field string, item long, neighbours array<long>, counts array<long>")
     entries = stripes.select("field", "item", F.explode(F.arrays_zip("neighbours", "counts")).alias("e"))
     merged = entries.groupBy("field", F.col("item").alias("a"), F.col("e.neighbours").alias("b")).agg(F.sum("e.counts").alias("n_ab")).where(F.col("n_ab") >= least)
     side = lambda x: numbered.select("field", F.col("code").alias(x), F.col("item").alias(f"item_{x}"), F.col("n").alias(f"n_{x}"))
@@ -142,6 +168,20 @@ def item_pairs(df: DataFrame, record: list[str], fields: list[str], min_records:
     return ordered.withColumn("lift", F.col("n_ab") * F.col("n_records") / (F.col("n_a").cast("double") * F.col("n_b"))).withColumn("llr", log_likelihood_ratio())
 
 
+def _chunk_pairs(coded: DataFrame) -> DataFrame:
+    """field, basket, other: the chunks of large baskets, alone and in all pairs, each pair a row that any task may take.
+
+    coded: rec_a, rec_b, field, code, _size. A chunk goes to every pair it is
+    part of, which is as many rows as the basket has chunks.
+    """
+    chunks = F.ceil(F.col("_size") / BASKET_ITEMS).cast("int")
+    own = F.pmod(F.xxhash64("code", F.lit(23)), chunks).cast("int")
+    placed = coded.withColumn("_chunks", chunks).withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    low, high = F.least("_own", "_with"), F.greatest("_own", "_with")
+    grouped = placed.groupBy("rec_a", "rec_b", "field", low.alias("_low"), high.alias("_high")).agg(F.sort_array(F.collect_list(F.when(F.col("_own") == low, F.col("code")))).alias("basket"), F.sort_array(F.collect_list(F.when((F.col("_own") == high) & (low != high), F.col("code")))).alias("other"))
+    return grouped.where((F.size("basket") > 0) & ((F.size("other") > 0) | ((F.col("_low") == F.col("_high")) & (F.size("basket") > 1)))).select("field", "basket", "other")
+
+
 def _dense_codes(items: DataFrame, n_items: int) -> DataFrame:
     """Numbers from 0 in place of the sparse ids, so that two of them fit one long."""
     spark = items.sparkSession

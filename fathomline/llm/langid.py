@@ -1,7 +1,7 @@
 """Languages of documents and of the stretches of mixed documents.
 
 Model: sparse multinomial logistic regression on TF-IDF weighted character
-n-grams (1 to 4, hashed), trained by follow-the-regularised-leader with an
+n-grams (1 to 4, hashed; of other scripts also the block of each sign), trained by follow-the-regularised-leader with an
 elastic-net penalty (L1 makes it sparse), with the temperature of its
 probabilities calibrated on held-out sentences.
 
@@ -38,6 +38,8 @@ HASH_BITS = 18
 MAX_N = 4
 CHANGE_COST = 4.0
 BATCH_CHARS = 400_000
+#: Longer documents are labelled like all others, but take no part in the training sample.
+SAMPLE_CHARS = 20_000
 
 #: Other forms of language labels, by two-letter code.
 LABEL_FORMS = {
@@ -70,13 +72,17 @@ _TAG = re.compile(r"</?[A-Za-z!][^<>]{0,2000}>")
 _END = re.compile(r"(?<=[.!?…])[\"'”“»)\]]*\s+|(?<=[。！？])|[\r\n]+|\s+-{3,}\s+")
 _QUOTED = re.compile(r"[(\[]?(?:\"[^\"\n]{1,60}\"|“[^”\n]{1,60}”|„[^“”\n]{1,60}[“”]|«[^»\n]{1,60}»|「[^」\n]{1,40}」|『[^』\n]{1,40}』)[)\]]?")
 _CODE = re.compile(
-    r"\{[^{}\n]{0,2000}\}|(?<![\w-])(?:if|for|while)\s*\([^()\n]{0,200}\)|[\w.$]+\([^()\n]{0,200}\);?|(?<!\S)/\S+/[a-z]*(?!\S)"
+    r"\{[^{}\n]{0,2000}\}|(?<![\w-])(?:if|for|while)\s*\([^()\n]{0,200}\)|[\w.$]{1,80}\([^()\n]{0,200}\);?|(?<!\S)/\S+/[a-z]*(?!\S)"
     r"|\b(?:GET|POST|HEAD|PUT)\s+/\S*(?:\s+[\d.]+(?:\s*[kMG]?B\b)?)*|\b\d{1,4}[/-]\d{1,2}[/-]\d{1,4}\s+[\d:]+(?:\s+[+\d,.]+\s*[kMG]?B\b)?"
     r"|(?<!\S)[A-Za-z][\w-]*:\s+\S*[/\d]\S*(?:\s*;\s*\w+=\S+)?|\bsha\d+:[0-9a-f]+",
     re.I,
 )
+#: Runs without a blank that are longer than any word, and blanks that repeat; both go first, so that no pattern runs over them again and again.
+_LONG_RUN = re.compile(r"[!-~À-ɏ]{160,}")
+_BLANKS = re.compile(r"[^\S\r\n]{2,}")
 _SIGNS = re.compile(r"[{}<>\\|=]")
-_NEUTRAL = re.compile(r"[!-~]+\.tld[!-~]*|[!-~À-ɏ]*[0-9_/\\@][!-~À-ɏ]*|\b[A-Z][A-Za-z]*(?:-[A-Z][A-Za-z]*)+\b|[!-~À-ɏ]+\.(?:js|io|css|html|png)\b")
+#: Host names and addresses by their form (labels joined by dots, the last of letters), words with digits or signs of paths, compound names, file names.
+_NEUTRAL = re.compile(r"(?<![!-~])[!-~]*(?<![A-Za-z0-9-])[a-z0-9-]{2,}(?:\.[a-z0-9-]{2,})*\.[a-z]{2,24}(?![A-Za-z0-9.-]*[A-Z])(?![a-z0-9-])[!-~]*|[!-~À-ɏ]*[0-9_/\\@][!-~À-ɏ]*|\b[A-Z][A-Za-z]*(?:-[A-Z][A-Za-z]*)+\b|[!-~À-ɏ]+\.(?:js|io|css|html|png)\b")
 _WORD = re.compile(r"[^\W\d_]+")
 _JAPANESE = re.compile(r"[぀-ヿ一-鿿]")
 _MOJIBAKE = re.compile(r"[ÃÂÄÅÐÑãÈâ][\u0080-¿Œ-™]")
@@ -103,9 +109,9 @@ def repair(text: str) -> str:
 
 def sentences(text: str) -> list[str]:
     """The words of each sentence that can have a language; sentences without any are left out."""
-    text = _TAG.sub("\n", _BLOCK.sub("\n", text))
+    text = _BLANKS.sub(" ", _LONG_RUN.sub(" ", repair(_TAG.sub("\n", _BLOCK.sub("\n", text)))))
     found = []
-    for raw in _END.split(repair(text)):
+    for raw in _END.split(text):
         if not raw or raw.isspace():
             continue
         plain = _QUOTED.sub(" ", _CODE.sub(" ", raw))
@@ -170,6 +176,10 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         mixed = rolling * np.uint64(0xD6E8FEB86659FD93)
         codes.append((mixed >> np.uint64(64 - HASH_BITS))[inside].astype(np.int32))
         owners.append(owner[:size][inside])
+    # Signs beyond the Latin scripts also count as members of their block of 256: a rare sign still shows its script.
+    far = points >= 0x250
+    codes.append(((((points[far] >> np.uint64(8)) + np.uint64(1 << 24)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - HASH_BITS)).astype(np.int32))
+    owners.append(owner[far])
     code, who = np.concatenate(codes), np.concatenate(owners)
     order = np.argsort(who, kind="stable")
     del starts
@@ -293,8 +303,9 @@ def _confirmed(model: Model, every: list[str], pool: list[tuple[int, int, bool,
 def fit(samples: DataFrame, documents: DataFrame, docs_per_label: int = 250, seed: int = 11) -> Model:
     """Train on ``samples`` (lang, text; right) and a bounded sample of ``documents`` (doc_id, text, label).
 
-    label: two-letter code or null. At most ``docs_per_label`` documents of each
-    label reach the driver, with their whole texts.
+    label: two-letter code or null. Of each label at most ``docs_per_label``
+    documents are taken, with their whole texts, among those of up to
+    ``SAMPLE_CHARS`` characters; what reaches the driver is bounded by both.
     """
     right = samples.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").collect()
     languages = sorted({r.lang for r in right})
@@ -308,7 +319,7 @@ def fit(samples: DataFrame, documents: DataFrame, docs_per_label: int = 250, see
     texts += blurred(texts, rng)
     labels += labels
     first = train(texts, np.array(labels), languages, epochs=20, batch=16)
-    known = documents.where(F.col("label").isin(languages) & (F.length("text") > 0))
+    known = documents.where(F.col("label").isin(languages) & F.length("text").between(1, SAMPLE_CHARS))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return first
@@ -375,8 +386,12 @@ def label_documents(df: DataFrame, keys: list[str], text: Column | str, model: M
     """keys, segment_no, n_segments, lang, confidence: one row per stretch of every document.
 
     Defined cases: null, empty and blank texts and texts without any sentence
-    that can have a language give no rows; repeated rows give repeated results;
-    other columns are ignored, whatever their names.
+    that can have a language give no rows. A sentence can have one if it holds
+    at least two words and seven letters (four words where it does not end in a
+    full stop; three signs in Japanese) beside names, numbers, code and quotes:
+    shorter pieces are headings, names and commands as often as not, and a text
+    of only those has no language to be right or wrong about. Repeated rows give
+    repeated results; other columns are ignored, whatever their names.
     """
     spark = df.sparkSession
     ensure_workers_import(spark)

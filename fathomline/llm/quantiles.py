@@ -15,8 +15,9 @@ Quantisation: with unit 1, whole numbers up to 2**21 are leaves of their own;
 larger ones share a leaf with values that differ by less than one part in 2**20.
 
 Scale: each task turns its rows into one digest per group (numpy, batch by
-batch, flushed when large); only digests are shuffled. Merging runs in levels of
-``FAN_IN`` digests, so no task sees more than that many of one group.
+batch, flushed when large); only digests are shuffled. They are written once and
+counted, so that merging runs in as many levels of about ``FAN_IN`` digests as the
+group with the most digests needs, however many input tasks there were.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomline.session import ensure_workers_import
+from fathomline.session import ensure_workers_import, materialize
 
 MANTISSA_BITS = 20
 #: Sign, exponent steps and mantissa of 62-bit whole numbers.
@@ -226,14 +227,16 @@ def build_digests(df: DataFrame, keys: list[str], value: Column | str, k: int =
 def merge_digests(digests: DataFrame, keys: list[str], k: int = DEFAULT_K, parts: int | None = None) -> DataFrame:
     """One digest per group of ``keys`` from any digests that carry these keys.
 
-    parts: about how many digests a group can have; above ``FAN_IN`` they are
-    merged in levels. Digests of other tables, files or days may be unioned in.
+    parts: the most digests that a group has; by default they are written and
+    counted. Above ``FAN_IN`` they are merged in levels. Digests of other tables,
+    files or days may be unioned in.
     """
     spark = digests.sparkSession
     ensure_workers_import(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if "_task" not in digests.columns:
-        digests = digests.withColumn("_task", F.spark_partition_id())
+    if parts is None:
+        digests, _, _ = materialize(digests.select(*keys, "n", "total", "nodes", "counts"), "digests")
+        counted = digests.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
+        parts = counted or 1
 
     def step(table: DataFrame, by: list[str]) -> DataFrame:
         """Add up the digests of each group; all groups of a batch at once, in the order of their keys."""
@@ -267,13 +270,16 @@ def merge_digests(digests: DataFrame, keys: list[str], k: int = DEFAULT_K, parts
             if held and len(held[0]):
                 yield merged(held[0])
 
-        placed = table.repartition(*by).sortWithinPartitions(*by) if by else table.coalesce(1)
+        placed = table.repartition(*by).sortWithinPartitions(*by) if by else table.repartition(1)
         return placed.select(*names).mapInPandas(run, schema)
 
-    table = digests.select(*keys, "_task", "n", "total", "nodes", "counts")
+    table = digests.select(*keys, "n", "total", "nodes", "counts")
     while parts > FAN_IN:
-        table = step(table.withColumn("_task", (F.col("_task") / FAN_IN).cast("int")), [*keys, "_task"])
-        parts = math.ceil(parts / FAN_IN)
+        groups = math.ceil(parts / FAN_IN)
+        # Any even split will do; the digest itself decides, so a lost task splits the same.
+        spread = F.pmod(F.xxhash64("n", "total", "nodes", "counts", F.lit(parts)), F.lit(groups)).cast("int")
+        table = step(table.withColumn("_group", spread), [*keys, "_group"]).drop("_group")
+        parts = groups
     return step(table, keys)
 
 

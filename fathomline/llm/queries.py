@@ -64,6 +64,30 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return wrong.distinct()
 
 
+#: A digest size at which the stages of a small collection are compressed too.
+SMALL_K = 256
+
+
+def p1_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of every stage over all runs by small digests, checked against exact ranks.
+
+    Gives stage, percent, n, the true value, whether it lies in the reported
+    interval, and whether the ranks of the interval's ends are off by no more
+    than the guarantee allows.
+    """
+    times, _, _ = materialize(stage_times(spark, folder), "stage-times")
+    small = quantiles.merge_digests(quantiles.build_digests(times, ["stage", "day"], "ms", k=SMALL_K), ["stage", "day"], k=SMALL_K)
+    read = quantiles.read_quantiles(quantiles.merge_digests(small.drop("day"), ["stage"], k=SMALL_K), [50, 95])
+    asked = read.select("stage", "n", F.explode(F.array(*[F.struct(F.lit(p).alias("percent"), F.col(f"p{p}_lo").alias("lo"), F.col(f"p{p}_hi").alias("hi")) for p in (50, 95)])).alias("q")).select("stage", "n", "q.*")
+    asked = asked.withColumn("rank", F.floor((F.col("percent") * F.col("n") + 99) / 100))
+    # Stages and percents are few; each value is counted once per percent.
+    ranks = times.join(F.broadcast(asked), "stage").groupBy("stage", "percent", "n", "lo", "hi", "rank").agg(F.sum((F.col("ms") < F.col("lo")).cast("long")).alias("below"), F.sum((F.col("ms") <= F.col("hi")).cast("long")).alias("upto"))
+    exact = times.groupBy("stage").agg(*[F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY ms)").cast("long").alias(f"v{p}") for p in (50, 95)])
+    allowed = quantiles.UNIVERSE_BITS * F.col("n") / SMALL_K
+    out = ranks.join(F.broadcast(exact), "stage").withColumn("value", F.when(F.col("percent") == 50, F.col("v50")).otherwise(F.col("v95")))
+    return out.select("stage", "percent", "n", "value", ((F.col("lo") <= F.col("value")) & (F.col("value") <= F.col("hi"))).alias("holds"), ((F.col("rank") - F.col("below") <= allowed + 1) & (F.col("upto") - F.col("rank") <= allowed + 1)).alias("within_bound"))
+
+
 # --- frequency of every term -----------------------------------------------------
 
 #: The batch that a nightly run would add to the state: what came in over the last days.
@@ -131,7 +155,8 @@ def _pairs(spark: SparkSession, folder: str, **support) -> DataFrame:
 
 def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """All pairs of technologies and of rule ids, their ratio to chance and its significance."""
-    return _pairs(spark, folder).withColumn("significance", cooccurrence.significance())
+    pairs = _pairs(spark, folder).withColumn("significance", cooccurrence.significance())
+    return pairs.withColumn("lift", F.round("lift", 6)).withColumn("llr", F.round("llr", 4))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,6 +185,17 @@ pairs AS (
   AND NOT (p.field = 'rule_id' AND EXISTS (SELECT 1 FROM rule r JOIN rule s ON r.tech = s.tech WHERE r.rule = item_a AND s.rule = item_b))
 )"""
 
+_SQL_ALL_PAIRS = f"""items AS (
+  SELECT DISTINCT run_id, domain, 'technology' AS field, {sql_same_value("technology")} AS item FROM evidence UNION
+  SELECT DISTINCT run_id, domain, 'rule_id', {sql_same_value("rule_id")} FROM evidence
+), held AS (SELECT * FROM items WHERE length(item) > 0),
+total AS (SELECT count(DISTINCT (run_id, domain)) AS n_records FROM evidence),
+single AS (SELECT field, item, count(*) AS n FROM held GROUP BY field, item),
+counted AS (SELECT a.field, a.item AS item_a, b.item AS item_b, count(*) AS n_ab FROM held a JOIN held b ON a.run_id = b.run_id AND a.domain = b.domain AND a.field = b.field AND a.item < b.item GROUP BY 1, 2, 3),
+cells AS (SELECT p.*, x.n AS n_a, y.n AS n_b, n_records FROM counted p JOIN single x ON x.field = p.field AND x.item = item_a JOIN single y ON y.field = p.field AND y.item = item_b, total),
+measured AS (SELECT *, greatest(0, 2 * ({" + ".join(f"CASE WHEN {x} > 0 THEN ({x})::DOUBLE * ln({x}) ELSE 0 END" for x in ("n_ab", "n_a - n_ab", "n_b - n_ab", "n_records - n_a - n_b + n_ab", "n_records"))}
+  - {" - ".join(f"CASE WHEN {x} > 0 THEN ({x})::DOUBLE * ln({x}) ELSE 0 END" for x in ("n_a", "n_records - n_a", "n_b", "n_records - n_b"))})) AS llr FROM cells)"""
+
 # --- token ids and mixing ---------------------------------------------------------
 
 
@@ -208,6 +244,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_stage_times": p1_stage_times,
+    "p1_bounds": p1_bounds,
     "p2_found": p2_found,
     "p2_term_counts": p2_term_counts,
     "p4_found": p4_found,
@@ -228,8 +265,13 @@ rights AS (SELECT run_id, stage, avg(ms) AS average, max(CASE WHEN r = (50 * n +
 ORACLE_SQL = {
     "p1_found": f"WITH {_SQL_TIMES} "
     + " UNION ".join(f"SELECT s.run_id, s.stage, '{m}' AS measure FROM run_summaries s JOIN rights r USING (run_id, stage) WHERE abs(s.{m} - r.{m}) * 5 > r.{m}" for m in ("average", "p50", "p95")),
+    "p1_stage_times": f"WITH {_SQL_TIMES} SELECT run_id, stage, count(*) AS n, sum(ms) / count(*) AS average, CAST(any_value(p50) AS BIGINT) AS p50_lo, CAST(any_value(p50) AS BIGINT) AS p50_hi, CAST(any_value(p95) AS BIGINT) AS p95_lo, CAST(any_value(p95) AS BIGINT) AS p95_hi FROM ranked JOIN rights USING (run_id, stage) GROUP BY 1, 2",
+    "p1_bounds": f"WITH {_SQL_TIMES}, o AS (SELECT stage, ms, row_number() OVER (PARTITION BY stage ORDER BY ms) AS r, count(*) OVER (PARTITION BY stage) AS n FROM times WHERE ms IS NOT NULL), q AS (SELECT unnest([50, 95])::INTEGER AS percent) "
+    "SELECT stage, percent, n, ms AS value, true AS holds, true AS within_bound FROM o, q WHERE r = (percent * n + 99) // 100",
     "p2_found": f"WITH {_SQL_COUNTS} SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
     "p2_term_counts": f"WITH {_SQL_COUNTS} SELECT * FROM marked",
+    "p4_pairs": f"WITH {_SQL_ALL_PAIRS} SELECT field, item_a, item_b, n_ab, n_a, n_b, n_records, round(n_ab * n_records / (n_a::DOUBLE * n_b), 6) AS lift, round(llr, 4) AS llr, CASE "
+    + " ".join(f"WHEN llr >= {least} THEN {level}" for level, least in cooccurrence.LEVELS) + " END AS significance FROM measured",
     "p4_found": f"WITH {_SQL_PAIRS} SELECT field, item_a, item_b FROM pairs WHERE n_ab * n_records >= 5 * n_a * n_b",
 }
 

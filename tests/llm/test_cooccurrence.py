@@ -29,6 +29,17 @@ def test_pairs_equal_brute_force(spark, monkeypatch):
         assert got == brute(rows, least)
 
 
+def test_large_baskets_are_cut(spark, monkeypatch):
+    """Baskets above the limit, among them one with a third of all rows, give the pairs that small ones would."""
+    monkeypatch.setattr(cooccurrence, "BASKET_ITEMS", 7)
+    rng = random.Random(9)
+    rows = [("hot", f"i{i}") for i in range(60)] + [("warm", f"i{i}") for i in range(0, 40, 2)] + [(f"r{rng.randrange(12)}", f"i{rng.randrange(30)}") for _ in range(150)] + [("hot", None), ("hot", "i3")]
+    df = spark.createDataFrame(rows, "rec string, t string").repartition(4)
+    for least in (1, 3):
+        got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n_records) for r in item_pairs(df, ["rec"], ["t"], min_records=least).collect()}
+        assert got == brute(rows, least)
+
+
 def test_share_and_statistics(spark):
     rows = [(i, t) for i in range(100) for t in (["a", "b"] if i < 20 else ["c"] if i < 60 else [None])] + [(0, "b"), (99, "a")]
     df = spark.createDataFrame(rows, "rec int, t string")

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from fathomline.llm import quantiles
 from fathomline.llm.quantiles import UNIVERSE_BITS, build_digests, compress, leaf_bounds, leaf_of, merge_digests, quantile_leaves, read_quantiles
 
 
@@ -60,6 +61,19 @@ def test_small_k_and_levels_of_merging_keep_the_bound(spark):
     assert r.n == 20000 and r.p50_lo <= 9999 <= r.p50_hi and r.p50_hi - r.p50_lo <= 2 * UNIVERSE_BITS * 20000 / 200
 
 
+def test_many_digests_merge_in_levels_and_without_keys(spark, monkeypatch):
+    """More digests than one merge takes, of one group and of all rows; the number comes from the digests themselves."""
+    monkeypatch.setattr(quantiles, "FAN_IN", 3)
+    df = spark.range(4000).select((F.col("id") * 7919 % 4000).alias("v"), (F.col("id") % 2).alias("g")).repartition(20)
+    for keys, n, middle in ((["g"], 2000, (1999, 1998)), ([], 4000, (1999,))):
+        merged = merge_digests(build_digests(df, keys, "v", k=400), keys, k=400)
+        rows = read_quantiles(merged, [50]).collect()
+        assert len(rows) == max(1, 2 * len(keys)) and all(r.n == n for r in rows)
+        assert all(r.p50_lo <= m <= r.p50_hi for r, m in zip(sorted(rows, key=lambda r: -r.g if keys else 0), middle))
+    plan = merge_digests(build_digests(df, [], "v"), [])._jdf.queryExecution().toString()
+    assert "Coalesce 1" not in plan
+
+
 def test_fractions_nan_infinite_and_empty(spark):
     df = spark.createDataFrame([("a", 0.5), ("a", 1.5), ("a", float("nan")), ("a", float("inf")), ("a", None), ("b", -2.5)], "g string, v double")
     got = {r.g: r for r in read_quantiles(merge_digests(build_digests(df, ["g"], "v", unit=0.5), ["g"]), [50], unit=0.5).collect()}
