@@ -271,7 +271,7 @@ ORACLE_SQL = {
     "p2_found": f"WITH {_SQL_COUNTS} SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
     "p2_term_counts": f"WITH {_SQL_COUNTS} SELECT * FROM marked",
     "p4_pairs": f"WITH {_SQL_ALL_PAIRS} SELECT field, item_a, item_b, n_ab, n_a, n_b, n_records, round(n_ab * n_records / (n_a::DOUBLE * n_b), 6) AS lift, round(llr, 4) AS llr, CASE "
-    + " ".join(f"WHEN llr >= {least} THEN {level}" for level, least in cooccurrence.LEVELS) + " END AS significance FROM measured",
+    + " ".join(f"WHEN llr >= {least} THEN {level}::DOUBLE" for level, least in cooccurrence.LEVELS) + " END AS significance FROM measured",
     "p4_found": f"WITH {_SQL_PAIRS} SELECT field, item_a, item_b FROM pairs WHERE n_ab * n_records >= 5 * n_a * n_b",
 }
 
