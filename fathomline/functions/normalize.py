@@ -110,6 +110,46 @@ def is_public_ipv6(address: pd.Series) -> pd.Series:
     return address.map(one, na_action="ignore").astype(object)
 
 
+def admit_addresses(addresses: Column) -> Column:
+    """Struct admitted, code of the answers of one name: all public, or refused as a whole.
+
+    addresses: array of struct address, is_public (null: no address). No answer,
+    a mixture, and answers that are all not public have their own codes.
+    """
+    usable = F.filter(F.coalesce(addresses, F.array()), lambda a: a["address"].isNotNull())
+    public = F.size(F.filter(usable, lambda a: F.coalesce(a["is_public"], F.lit(False))))
+    code = F.when(F.size(usable) == 0, "DNS_NO_ADDRESS").when(public == 0, "SSRF_NON_PUBLIC_ADDRESS").when(public < F.size(usable), "SSRF_MIXED_ADDRESSES")
+    return F.struct(code.isNull().alias("admitted"), code.alias("code"))
+
+
+def network_host(url: Column) -> Column:
+    """Struct host, family (0 name, 4, 6) of an http or ws address without user information and port; null for others and for hosts that are not public.
+
+    Addresses in IPv6 must be public too; names come in lower case without a closing dot.
+    """
+    part = lambda n: F.regexp_extract(url, r"(?i)\A(?:https?|wss?)://([^/?#\\@:\[\]]+|\[[0-9a-f:.]+\])(?:[/?#\\].*)?\z", n)
+    raw = F.lower(part(1))
+    bare = F.when(F.startswith(raw, F.lit("[")), F.substring(raw, F.lit(2), F.length(raw) - 2))
+    v4 = F.struct(raw.alias("host"), F.lit(4).alias("family"))
+    v6 = F.struct(canonical_ipv6(bare).alias("host"), F.lit(6).alias("family"))
+    name = F.struct(ascii_hostname(raw).alias("host"), F.lit(0).alias("family"))
+    found = F.when(bare.isNotNull(), F.when(is_public_ipv6(bare), v6)).when(ipv4_number(raw).isNotNull(), F.when(is_public_ipv4(raw), v4)).when(ascii_hostname(raw).isNotNull(), name)
+    return F.when(F.length(raw) > 0, found)
+
+
+@F.pandas_udf(T.StringType())
+def canonical_ipv6(address: pd.Series) -> pd.Series:
+    """The shortest form of an IPv6 address; null if it is none."""
+
+    def one(x: str) -> str | None:
+        try:
+            return str(ipaddress.IPv6Address(x))
+        except ValueError:
+            return None
+
+    return address.map(one, na_action="ignore").astype(object)
+
+
 def http_status_class(status: Column) -> Column:
     """2xx to 5xx; null for others."""
     return F.when(status.between(200, 599), F.concat(F.floor(status / 100).cast("string"), F.lit("xx")))

@@ -6,14 +6,19 @@ row with arrays, which callers explode. Only static markup is read.
 
 from __future__ import annotations
 
+import codecs
 import json
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathomline.functions.normalize import truncate_bytes
 from fathomline.session import ensure_workers_import
@@ -47,15 +52,67 @@ def resolve_url(base: str, raw: str) -> str | None:
             return None
     except ValueError:
         return None
-    return parts._replace(netloc=parts.hostname.lower(), path=parts.path or "/", fragment="").geturl()
+    host = to_ascii_text(parts.hostname)
+    return parts._replace(netloc=host, path=parts.path or "/", fragment="").geturl() if host else None
+
+
+@lru_cache(maxsize=1 << 14)
+def to_ascii_text(host: str) -> str | None:
+    """A host in its ASCII form without a closing dot; None if a name beyond ASCII has no such form."""
+    host = host.lower().removesuffix(".")
+    if host.isascii():
+        return host
+    try:
+        return host.encode("idna").decode()
+    except UnicodeError:
+        return None
+
+
+#: Names of encodings that stand for a wider one on the web.
+WIDER = {"ascii": "cp1252", "us-ascii": "cp1252", "iso-8859-1": "cp1252", "iso8859-1": "cp1252", "latin1": "cp1252", "latin-1": "cp1252", "iso-8859-9": "cp1254", "gb2312": "gbk", "shift_jis": "cp932", "shift-jis": "cp932", "sjis": "cp932", "euc-kr": "cp949", "tis-620": "cp874"}
+_DECLARED = re.compile(rb"""<meta[^>]{0,512}?charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]{1,40})""", re.I)
+
+
+def body_encoding(body: bytes, charset: str | None) -> str | None:
+    """The encoding of a body: its byte order mark, the transport's charset, the one declared in its first 1,024 bytes, else UTF-8.
+
+    None if the transport names an encoding that nobody knows.
+    """
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xfe\xff", "utf-16-be"), (b"\xff\xfe", "utf-16-le")):
+        if body.startswith(mark):
+            return name
+    declared = _DECLARED.search(body[:1024])
+    for given, name in ((True, charset), (False, declared[1].decode() if declared else None)):
+        if name and name.strip():
+            plain = name.strip().strip("\"'").lower()
+            try:
+                found = codecs.lookup(WIDER.get(plain, plain)).name
+            except LookupError:
+                if given:
+                    return None
+                continue
+            return "utf-8" if not given and found.startswith("utf-16") else found
+    return "utf-8"
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())]))
+def decode_body(body: pd.Series, charset: pd.Series) -> pd.DataFrame:
+    """The text of a response body and the encoding it was read in; bytes that are no text become replacement signs.
+
+    A null body and an unknown charset of the transport give nulls; a byte order
+    mark is no part of the text.
+    """
+    rows = []
+    for raw, name in zip(body, charset, strict=True):
+        encoding = None if raw is None else body_encoding(bytes(raw), name if isinstance(name, str) else None)
+        rows.append((None, None) if encoding is None else (bytes(raw).decode(encoding, "replace").removeprefix("\ufeff"), encoding))
+    return pd.DataFrame(rows, columns=["text", "encoding"], dtype=object)
 
 
 class Selector:
     """The supported part of CSS: ``tag``, ``#id``, ``.class``, ``[name]``, ``[name=v]``, ``[name^=v]``, ``[name*=v]`` and combinations of them."""
 
     def __init__(self, text: str) -> None:
-        import re
-
         pieces = re.findall(r"^[A-Za-z][\w-]*|#[\w-]+|\.[\w-]+|\[[\w-]+(?:[*^$]?=[^\]]*)?\]?", text)
         self.valid = bool(pieces) and "".join(pieces) == text
         self.tag, self.tests = None, []

@@ -51,6 +51,36 @@ def public_addresses(spark, folder):
     return read_table(spark, folder, "orders").select(F.concat_ws(".", octet(3), octet(2), octet(1), octet(0)).alias("address")).select("address", normalize.is_public_ipv4(F.col("address")).alias("is_public"))
 
 
+# Addresses written out, with their family and whether they are public.
+ADDRESSES = (
+    ("2606:4700::1", True), ("2001:db8::1", False), ("2001:0::1", False), ("2002::1", False), ("fe80::1", False), ("::1", False), ("::ffff:8.8.8.8", False), ("3fff::1", False), ("2620:4f:8000::1", False), ("2a00:1450::1", True), ("ff02::1", False), ("fc00::1", False), ("4000::1", False), ("2607:f8b0::", True),
+)
+URLS = (
+    ("https://Vendor.TLD./x", "vendor.tld", 0), ("wss://live.vendor.tld", "live.vendor.tld", 0), ("http://8.8.8.8/q?x", "8.8.8.8", 4), ("http://10.0.0.1/", None, None), ("https://[2606:4700:0:0::1]/", "2606:4700::1", 6), ("https://[::1]/", None, None),
+    ("https://u@vendor.tld/", None, None), ("https://vendor.tld:8443/", None, None), ("ftp://vendor.tld/", None, None), ("https://localhost/", None, None), ("https:///", None, None), ("data:text", None, None),
+)
+
+
+def public_ipv6(spark, folder):
+    """Whether addresses of IPv6 are public, by ranges."""
+    return spark.createDataFrame([(a,) for a, _ in ADDRESSES], "address string").select("address", normalize.is_public_ipv6("address").alias("is_public"))
+
+
+def network_hosts(spark, folder):
+    """Canonical hosts of addresses that a page asked for: those of documents and some written out."""
+    urls = read_table(spark, folder, "documents").where("url IS NOT NULL").select("url").unionByName(spark.createDataFrame([(u,) for u, _, _ in URLS], "url string")).distinct()
+    return urls.select("url", normalize.network_host(F.col("url")).alias("h")).select("url", "h.host", "h.family")
+
+
+def address_admission(spark, folder):
+    """Whether the addresses derived for each order's customer may be connected to: only if all are public."""
+    number = F.pmod(F.col("o_orderkey") * 2654435761, F.lit(1 << 32))
+    octet = lambda k: F.pmod(F.shiftright(number, 8 * k), F.lit(256)).cast("string")
+    answers = read_table(spark, folder, "orders").select("o_custkey", F.concat_ws(".", octet(3), octet(2), octet(1), octet(0)).alias("address"))
+    grouped = answers.groupBy("o_custkey").agg(F.collect_set(F.struct("address", normalize.is_public_ipv4(F.col("address")).alias("is_public"))).alias("a"))
+    return grouped.select("o_custkey", normalize.admit_addresses(F.col("a")).alias("r")).select("o_custkey", "r.admitted", "r.code")
+
+
 def http_status_classes(spark, folder):
     status = F.pmod(F.col("o_orderkey"), F.lit(700)).cast("int")
     return read_table(spark, folder, "orders").select("o_orderkey", normalize.http_status_class(status).alias("status_class"), robots.robots_availability(status).alias("robots"))
@@ -408,7 +438,7 @@ def technology_records(spark, folder):
 
 
 NAMES = [
-    hostname_normalize, special_use_filter, target_candidates, public_addresses, http_status_classes, dns_admission, cookie_latch, byte_truncation, page_metadata, page_scripts, page_facts, json_paths,
+    hostname_normalize, special_use_filter, target_candidates, public_addresses, public_ipv6, network_hosts, address_admission, http_status_classes, dns_admission, cookie_latch, byte_truncation, page_metadata, page_scripts, page_facts, json_paths,
     internal_pages, robots_rules, robots_decisions, catalog_tags, catalog_modes, catalog_rule_ids, catalog_order, catalog_corrections, signal_index, inspection_plan, catalog_relations, catalog_categories, catalog_compile, catalog_limits, catalog_rejects, relation_issues, correction_issues, category_issues,
     candidates_numbered, script_url_cap, priority_multiset, candidate_branches, literal_matches, pattern_matches, match_rules, work_budget, version_template, sensitive_texts, redact_headers, sanitize_urls, build_evidence, direct_detections, resolved_technologies, exclusions_resolved, detection_records, technology_records,
 ]
@@ -509,6 +539,9 @@ ORACLE_SQL = {
     "target_candidates": "WITH h AS (SELECT DISTINCT domain AS host FROM domain_results), t AS (SELECT host, CASE WHEN host LIKE 'www.%' OR length(host) + 4 > 253 THEN ['https://' || host || '/', 'http://' || host || '/'] "
     "ELSE ['https://' || host || '/', 'https://www.' || host || '/', 'http://' || host || '/', 'http://www.' || host || '/'] END AS u FROM h) SELECT host, CAST(generate_subscripts(u, 1) - 1 AS INTEGER) AS place, unnest(u) AS url FROM t",
     "public_addresses": f"WITH a AS (SELECT {_SQL_NUM} AS n FROM orders) SELECT (n >> 24) || '.' || ((n >> 16) & 255) || '.' || ((n >> 8) & 255) || '.' || (n & 255) AS address, NOT ({_sql_ranges()}) AS is_public FROM a",
+    "public_ipv6": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {str(p).lower()})" for a, p in ADDRESSES) + ") AS v(address, is_public)",
+    "network_hosts": "SELECT DISTINCT url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, 0 AS family FROM documents WHERE url IS NOT NULL UNION SELECT * FROM (VALUES " + ", ".join("('%s', %s, %s)" % (u, f"'{h}'" if h else "NULL", "NULL" if f is None else f) for u, h, f in URLS) + ") AS v(url, host, family)",
+    "address_admission": f"WITH a AS (SELECT o_custkey, {_SQL_NUM} AS n FROM orders), p AS (SELECT o_custkey, count(*) AS k, count(*) FILTER (WHERE NOT ({_sql_ranges()})) AS ok FROM a GROUP BY 1) SELECT o_custkey, ok = k AS admitted, CASE WHEN ok = 0 THEN 'SSRF_NON_PUBLIC_ADDRESS' WHEN ok < k THEN 'SSRF_MIXED_ADDRESSES' END AS code FROM p",
     "http_status_classes": "WITH a AS (SELECT o_orderkey, o_orderkey % 700 AS s FROM orders) SELECT o_orderkey, CASE WHEN s BETWEEN 200 AND 599 THEN (s // 100) || 'xx' END AS status_class, CASE WHEN s BETWEEN 200 AND 299 THEN 'parse' WHEN s BETWEEN 400 AND 499 AND s NOT IN (401, 403, 407, 451, 408, 425, 429) THEN 'no_rules' ELSE 'unavailable' END AS robots FROM a",
     "dns_admission": f"WITH a AS (SELECT run_id, domain, upper(key) AS type, match.value AS value FROM evidence WHERE source = 'dns_record'), n AS (SELECT run_id, domain, type, count(*) AS c FROM a GROUP BY 1, 2, 3 HAVING count(*) <= 32), k AS (SELECT *, sum(c) OVER (PARTITION BY run_id, domain ORDER BY {sql_rank('type', policy.DNS_TYPES)} ROWS UNBOUNDED PRECEDING) AS s FROM n) SELECT DISTINCT a.* FROM a JOIN k USING (run_id, domain, type) WHERE s <= 128",
     "cookie_latch": "WITH c AS (SELECT run_id, domain, evidence_id, key AS name, coalesce(match.value, '') AS value FROM (SELECT * FROM evidence QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY ingested_at DESC) = 1) WHERE source = 'cookie' AND key IS NOT NULL), b AS (SELECT *, (count(*) OVER w > 3 OR strlen(name) > 40 OR strlen(value) > 24 OR sum(strlen(name) + strlen(value)) OVER w > 90)::INT AS bad FROM c WINDOW w AS (PARTITION BY run_id, domain ORDER BY evidence_id ROWS UNBOUNDED PRECEDING)), l AS (SELECT *, max(bad) OVER (PARTITION BY run_id, domain ORDER BY evidence_id ROWS UNBOUNDED PRECEDING) AS latch FROM b) SELECT run_id, domain, evidence_id, name, value FROM l WHERE latch = 0",

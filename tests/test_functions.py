@@ -86,3 +86,13 @@ def test_versions(spark):
     rows = [("\\1", ["1.2"], "1.2"), ("\\1?yes:no", ["x"], "yes"), ("\\1?yes:no", [""], "no"), ("v\\2.\\1", ["1", "2"], "v2.1"), (" \\1 ", ["3"], "3"), ("\\1", [""], None), ("\\1", ["a b"], None), ("\\1", ["f" * 20], None), (None, ["1"], None), ("\\3", ["1"], None)]
     df = spark.createDataFrame([(i, t, g) for i, (t, g, _) in enumerate(rows)], "i int, t string, g array<string>").orderBy("i")
     assert [r[0] for r in df.select(R.render_version(F.col("t"), F.col("g"))).collect()] == [r[2] for r in rows]
+
+
+def test_network_hosts_and_admission(spark):
+    from fathomline.plans.signals import URLS
+
+    got = values(spark, [u for u, _, _ in URLS] + [None, "https://[zz]/"], N.network_host)
+    assert [r and (r.host, r.family) for r in got] == [(h, f) if h else None for _, h, f in URLS] + [None, None]
+    rows = [([("8.8.8.8", True), ("1.1.1.1", True)], (True, None)), ([("8.8.8.8", True), ("10.0.0.1", False)], (False, "SSRF_MIXED_ADDRESSES")), ([("10.0.0.1", False)], (False, "SSRF_NON_PUBLIC_ADDRESS")), ([], (False, "DNS_NO_ADDRESS")), (None, (False, "DNS_NO_ADDRESS")), ([(None, None)], (False, "DNS_NO_ADDRESS"))]
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(rows)], "i int, a array<struct<address:string,is_public:boolean>>").orderBy("i")
+    assert [tuple(r[0]) for r in df.select(N.admit_addresses(F.col("a"))).collect()] == [r[1] for r in rows]

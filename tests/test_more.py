@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from fathomline.operators import catalog as K
 from fathomline.operators import evaluation as E
+from fathomline.operators import robots as B
+from fathomline.operators import extract as X
 from fathomline.operators import results as V
 from fathomline.operators.nested import flatten_json
 from fathomline.plans.data_problems import CATALOG_SHAPE
@@ -79,3 +81,27 @@ def test_evaluation_helpers(spark):
     assert [r[0] for r in bins] == ["0", "1", "2-3", "2-3", "4-7", f"{1 << 40}-{(1 << 41) - 1}", None, None]
     r = E.training_deficits(names, names.limit(0), "key").first()
     assert (r.pair_deficit, r.name_deficit) == (2, 2)
+
+
+def test_bodies_are_read_in_their_encoding(spark):
+    cases = [
+        ("é".encode(), "utf-8", "é", "utf-8"), ("é".encode("cp1252"), "ISO-8859-1", "é", "cp1252"), ("\ufeffé".encode(), None, "é", "utf-8"), ("é".encode("utf-16-be"), None, None, "utf-8"), (b"\xfe\xff" + "é".encode("utf-16-be"), "latin1", "é", "utf-16-be"),
+        ('<meta charset="windows-1251">ы'.encode("cp1251"), None, '<meta charset="windows-1251">ы', "cp1251"), (b'<meta charset="utf-16">x', None, '<meta charset="utf-16">x', "utf-8"), (b'<meta charset="nonsense">x', None, '<meta charset="nonsense">x', "utf-8"), (b"x", "nonsense", None, None), (b"", None, "", "utf-8"), (None, "utf-8", None, None), (b"\xff", "utf-8", "\ufffd", "utf-8"),
+    ]
+    df = spark.createDataFrame([(i, b, c) for i, (b, c, _, _) in enumerate(cases)], "i int, b binary, c string").orderBy("i")
+    got = [(r.d.text, r.d.encoding) for r in df.select(X.decode_body("b", "c").alias("d")).collect()]
+    assert [g for g, c in zip(got, cases) if c[2] is not None or c[3] is None] == [(t, e) for _, _, t, e in cases if t is not None or e is None]
+
+
+def test_robots_paths_and_fetches(spark):
+    rows = [("/a%7eb", "/a~b"), ("/a%2fb", "/a%2Fb"), ("/é", "/%C3%A9"), ("/100%", "/100%"), ("/%zz", "/%zz"), ("/%41%42", "/AB"), ("", ""), (None, None)]
+    df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(rows)], "i int, p string").orderBy("i")
+    assert [r[0] for r in df.select(B.normal_path(F.col("p"))).collect()] == [w for _, w in rows]
+    texts = spark.createDataFrame([(1, "User-agent: *\nDisallow: /%7ejoe/caf\u00e9*"), (2, "User-agent: *\n" + "Disallow: /x\n" * 60_000 + "Disallow: /last")], "id int, t string")
+    rules = B.robots_rules(texts, ["id"], "t", "bot")
+    asked = spark.createDataFrame([(1, "/~joe/caf%c3%a9/1"), (1, "/~jo"), (2, "/x/1"), (2, "/last")], "id int, p string")
+    assert {(r.id, r.path): r.allowed for r in B.robots_decisions(asked, rules, ["id"], "p").collect()} == {(1, "/~joe/caf%c3%a9/1"): False, (1, "/~jo"): True, (2, "/x/1"): False, (2, "/last"): True}
+    start = spark.createDataFrame([(1, "a"), (2, "x"), (3, "q"), (4, "none")], "id int, url string")
+    hops = spark.createDataFrame([("a", "b"), ("x", "y"), ("y", "x")], "from_url string, to_url string")
+    statuses = spark.createDataFrame([("b", 200), ("q", 404), ("x", 200)], "url string, status int")
+    assert {r.id: r.policy for r in B.robots_fetched(start, hops, statuses, "id").collect()} == {1: "parse", 2: "unavailable", 3: "no_rules", 4: "unavailable"}

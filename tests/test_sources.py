@@ -93,3 +93,40 @@ def test_stream_does_every_key_once(spark, tmp_path):
     continue_run(spark, source, schema, sink, checkpoint, "domain", work).awaitTermination()
     continue_run(spark, source, schema, sink, checkpoint + "2", "domain", work).awaitTermination()
     assert sorted(r.domain for r in spark.read.parquet(sink).collect()) == ["a", "b", "c"]
+
+
+RUN_SCHEMA = T.StructType([T.StructField("domain", T.StringType()), T.StructField("runId", T.StringType()), T.StructField("n", T.LongType()), T.StructField("in", T.StructType([T.StructField("x", T.StringType())]))])
+
+
+def test_resume_checks_every_line(spark, tmp_path):
+    def problems(*lines):
+        path = tmp_path / f"out{len(list(tmp_path.iterdir()))}"
+        path.mkdir()
+        (path / "part-0.txt").write_text("\n".join(lines))
+        known = spark.createDataFrame([("a.tld",), ("b.tld",)], "domain string")
+        return sorted(r.problem for r in R.resume_issues(spark, str(path), RUN_SCHEMA, known, "domain", {"runId": "r1"}).collect())
+
+    line = lambda d, run="r1", n="1", more="": f'{{"domain":"{d}","runId":"{run}","n":{n},"in":{{"x":null}}{more}}}'
+    assert problems(line("a.tld"), line("b.tld"), '{"domain":"a.tld","ru') == []
+    assert problems(line("a.tld"), line("a.tld", n="2")) == ["has a key that repeats"] * 2
+    assert problems(line("a.tld", run="r2"), line("z.tld"), line("b.tld", more=',"extra":1')) == ["belongs to another run", "does not fit the schema", "is of no input"]
+    assert problems(line("a.tld", n='"x"'), '{"domain":"b.tld","runId":"r1","n":1}', "[1]") == ["does not fit the schema"] * 3
+
+
+def test_records_are_worked_out_once_and_the_summary_comes_last(spark, tmp_path):
+    df = spark.range(3).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("domain"), F.rand().alias("score"))
+    R.write_records(df, str(tmp_path / "o"), summary=df.agg(F.count(F.lit(1)).alias("n_domains")))
+    assert spark.read.text(str(tmp_path / "o")).count() == 3 and "nDomains" in spark.read.text(str(tmp_path / "o.summary")).first().value
+    with pytest.raises(ValueError):
+        R.write_records(df.unionByName(df), str(tmp_path / "p"), summary=df)
+    assert not (tmp_path / "p").exists() and not (tmp_path / "p.summary").exists()
+
+
+def test_sidecar(spark, tmp_path):
+    value = {"b": [1, "é"], "a": None}
+    digest = R.write_sidecar(spark, value, str(tmp_path / "s"))
+    assert R.read_sidecar(spark, str(tmp_path / "s"), digest) == value
+    with pytest.raises(ValueError):
+        R.read_sidecar(spark, str(tmp_path / "s"), "sha256:0")
+    with pytest.raises(ValueError):
+        R.write_sidecar(spark, {"a": 1.5}, str(tmp_path / "t"))
