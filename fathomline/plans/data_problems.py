@@ -160,6 +160,8 @@ ORACLE_SQL = {
     "p3_paths": f"WITH RECURSIVE {_SQL_LINKS} SELECT revision, node AS name, parent, root, depth, array_to_string(path, ' > ') AS path FROM nodes",
     "p3_descendants": f"WITH RECURSIVE {_SQL_LINKS}, pairs AS (SELECT revision, unnest(path) AS ancestor, generate_subscripts(path, 1) AS lvl, node AS descendant, depth FROM nodes WHERE depth > 0) "
     "SELECT revision, ancestor, descendant, CAST(depth - lvl + 1 AS INTEGER) AS distance FROM pairs WHERE lvl <= depth",
+    "p3_circles": f"WITH RECURSIVE {_SQL_LINKS}, lost AS MATERIALIZED (SELECT revision, node, parent FROM nodes WHERE depth = -1), up AS (SELECT revision, node AS start, parent AS at_node FROM lost UNION SELECT u.revision, u.start, l.parent FROM up u JOIN lost l ON l.revision = u.revision AND l.node = u.at_node) "
+    "SELECT revision, node AS name, parent, EXISTS (SELECT 1 FROM up u WHERE u.revision = lost.revision AND u.start = node AND u.at_node = node) AS on_circle FROM lost",
     "p5_totals": f"WITH {_SQL_TERMS} SELECT field, term, count(*) AS n_rows, CAST(sum(confidence) AS BIGINT) AS sum_confidence FROM terms GROUP BY field, term",
     "p5_found": f"WITH {_SQL_TERMS} SELECT field, term FROM terms GROUP BY field, term HAVING count(*) * 20 > (SELECT count(*) FROM evidence)",
     "p5_categories": f"""WITH c AS (SELECT {sql_same_value("name")} AS technology, unnest(categories).name AS category FROM technologies)

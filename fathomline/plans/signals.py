@@ -389,6 +389,7 @@ def redact_headers(spark, folder):
 
 
 def sanitize_urls(spark, folder):
+    """Addresses of documents as they may be shown."""
     return read_table(spark, folder, "documents").where("url IS NOT NULL").select("doc_id", redact.sanitize_url(F.col("url"))["url"].alias("clean"))
 
 
@@ -545,6 +546,10 @@ ORACLE_SQL = {
     "http_status_classes": "WITH a AS (SELECT o_orderkey, o_orderkey % 700 AS s FROM orders) SELECT o_orderkey, CASE WHEN s BETWEEN 200 AND 599 THEN (s // 100) || 'xx' END AS status_class, CASE WHEN s BETWEEN 200 AND 299 THEN 'parse' WHEN s BETWEEN 400 AND 499 AND s NOT IN (401, 403, 407, 451, 408, 425, 429) THEN 'no_rules' ELSE 'unavailable' END AS robots FROM a",
     "dns_admission": f"WITH a AS (SELECT run_id, domain, upper(key) AS type, match.value AS value FROM evidence WHERE source = 'dns_record'), n AS (SELECT run_id, domain, type, count(*) AS c FROM a GROUP BY 1, 2, 3 HAVING count(*) <= 32), k AS (SELECT *, sum(c) OVER (PARTITION BY run_id, domain ORDER BY {sql_rank('type', policy.DNS_TYPES)} ROWS UNBOUNDED PRECEDING) AS s FROM n) SELECT DISTINCT a.* FROM a JOIN k USING (run_id, domain, type) WHERE s <= 128",
     "cookie_latch": "WITH c AS (SELECT run_id, domain, evidence_id, key AS name, coalesce(match.value, '') AS value FROM (SELECT * FROM evidence QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY ingested_at DESC) = 1) WHERE source = 'cookie' AND key IS NOT NULL), b AS (SELECT *, (count(*) OVER w > 3 OR strlen(name) > 40 OR strlen(value) > 24 OR sum(strlen(name) + strlen(value)) OVER w > 90)::INT AS bad FROM c WINDOW w AS (PARTITION BY run_id, domain ORDER BY evidence_id ROWS UNBOUNDED PRECEDING)), l AS (SELECT *, max(bad) OVER (PARTITION BY run_id, domain ORDER BY evidence_id ROWS UNBOUNDED PRECEDING) AS latch FROM b) SELECT run_id, domain, evidence_id, name, value FROM l WHERE latch = 0",
+    "byte_truncation": "SELECT doc_id, left(text, CAST(list_max(list_filter(range(0, least(length(text), 50) + 1), lambda n: strlen(left(text, n)) <= 50)) AS BIGINT)) AS cut, left(text, 40) AS points, length(text) > 40 AS truncated FROM documents",
+    "sanitize_urls": f"WITH u AS (SELECT doc_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, string_split(CASE WHEN regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) END, '/') AS segs FROM documents WHERE url IS NOT NULL AND NOT contains(url, '?')), "
+    f"s AS (SELECT doc_id, origin, segs, list_transform(segs, lambda v: lower(v) IN ({', '.join(repr(w) for w in policy.SENSITIVE_PATH_MARKERS)})) AS marks, list_transform(segs, lambda v: v = '' OR (regexp_full_match(v, '[A-Za-z0-9._~-]{{1,64}}') AND NOT {_sql_word('v', _WORDS)} AND NOT {_SQL_OPAQUE.format('v')})) AS fine FROM u) "
+    "SELECT doc_id, origin || array_to_string(list_transform(segs, lambda v, i: CASE WHEN v = '' OR (fine[i] AND NOT coalesce(marks[i - 1], false) AND NOT marks[i] AND NOT coalesce(marks[i + 1], false)) THEN v ELSE '%5Bredacted%5D' END), '/') AS clean FROM s",
     "json_paths": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT record_no, '{p}' AS path, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.{p}') END AS value FROM result_records" for p in ("status", "domain", "result.domain", "data.attempt")) + ") WHERE value IS NOT NULL",
     "catalog_tags": "SELECT rule_id, CASE WHEN pattern <> '' THEN pattern END AS pattern, confidence, version_template FROM rules",
     "catalog_modes": "SELECT rule_id, CASE WHEN pattern IS NULL OR pattern = '' THEN 'presence' WHEN source IN ('robots', 'probe', 'tls_issuer') THEN 'literal' ELSE 'regex' END AS mode, CASE WHEN source IN ('header', 'meta') THEN lower(trim(locator)) WHEN source = 'dns_record' THEN upper(trim(locator)) ELSE locator END AS locator FROM rules",
