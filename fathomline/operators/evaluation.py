@@ -9,9 +9,10 @@ them is selected and judged by what they keep and cost.
 Views are long tables (key, view, name). Models are long tables of sums per
 token; a model without a fold is the total minus that fold's sums, so no row of
 a record is copied per fold. The selections are sequential, but a record's worth
-never rises while others are selected, so a pool of the best first worths is
-enough as long as the pool's choice beats every record outside of it; that is
-proven by the run itself, and otherwise the pool doubles.
+never rises while others are selected, so a pool of the best worths is enough as
+long as the pool's choice beats every record outside of it; that is proven by
+the run itself. Otherwise the greedy choice weighs all records anew and takes
+another pool of that size, and the pool of the label-aware one doubles.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from fathomline.operators.detection import direct_detections
-from fathomline.operators.graph import relations_of, resolve, resolve_technologies
+from fathomline.operators.graph import relations_of, resolve, resolve_technologies, slices
 from fathomline.session import ensure_workers_import, materialize
 
 N_FOLDS = 5
@@ -139,7 +140,7 @@ def packed_views(evidence: DataFrame, revisions: DataFrame, edges: DataFrame, ke
     per_name = per_rule.join(F.broadcast(pairs.select("_pair", "technology")) if n_pairs <= MOST_NAMES else pairs.select("_pair", "technology"), "_pair").groupBy(key, "technology").agg(*sums)
     packed = per_name.groupBy(key).agg(F.collect_list(F.struct("technology", *[F.when(F.col(f"_m{v}") > 0, F.col(f"_s{v}")).alias(f"c{v}") for v in views])).alias("_found"))
     known_revisions = revisions.select(key, F.coalesce("revision", F.lit("")).alias("revision"))
-    sizes = known_revisions.groupBy("revision").agg(F.greatest(F.lit(4), F.ceil(F.count(F.lit(1)) / slice_rows)).cast("long").alias("_slices"))
+    sizes, _, _ = materialize(slices(known_revisions, slice_rows), "slices")
     left = packed.join(known_revisions, key).join(F.broadcast(sizes), "revision").select(key, "revision", F.pmod(F.xxhash64(key), F.col("_slices")).alias("_slice"), "_found.technology", *[f"_found.c{v}" for v in views])
     right = edges.where("revision IS NOT NULL").join(F.broadcast(sizes), "revision").withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slices") - 1))).drop("_slices")
     schema = f"`{key}` string, " + ", ".join(f"`{v}` array<string>, `{v}_stats` array<int>" for v in VIEWS)
@@ -378,6 +379,7 @@ class Model:
     def __init__(self, objectives: DataFrame, heads: DataFrame, tokens: DataFrame, cases: DataFrame, held: DataFrame, baseline: DataFrame) -> None:
         self.objectives, self.heads, self.tokens, self.cases, self.held, self.baseline = objectives, heads, tokens, cases, held, baseline
         self._recurring: DataFrame | None = None
+        self._parts: DataFrame | None = None
 
     @property
     def recurring(self) -> DataFrame:
@@ -385,6 +387,15 @@ class Model:
             self._recurring = materialize(train_recurring(self.cases, self.heads, self.held), "model")[0]
         return self._recurring
 
+    @property
+    def parts(self) -> DataFrame:
+        """fold, token, name, part: total / (n + 4) of the wanted recurring names."""
+        if self._parts is None:
+            heads = self.recurring.withColumnRenamed("held_out", "fold").join(_few(wanted_heads(self).select("fold", "name")), ["fold", "name"])
+            known = heads.join(_few(self.tokens.select(F.col("held_out").alias("fold"), "token", "n")), ["fold", "token"])
+            self._parts = materialize(known.select("fold", "token", "name", (F.col("total") / (F.col("n") + PRIOR)).alias("part")), "parts")[0]
+        return self._parts
+
 
 def train(tokens: DataFrame, views: DataFrame, folds: DataFrame, held: DataFrame | None = None, key: str = "key") -> Model:
     """Models without each held-out fold (default: every fold).
@@ -419,7 +430,7 @@ def predict(model: Model, tokens: DataFrame, folds: DataFrame, key: str = "key")
 def predict_cases(model: Model, own: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
     """Predictions of each domain by the model without its fold, and the domains with their tokens.
 
-    First: key, fold, matched, weight, pair_lift, rare_novelty. Estimates are
+    First: key, fold, tokens, matched, weight, pair_lift, rare_novelty. Estimates are
     (sum + 4 * mean) / (n + 4); a prediction is the mean of the global mean and
     the estimates of the matched tokens.
     Second: key, fold, tokens. The probability of a recurring name is
@@ -433,9 +444,9 @@ def predict_cases(model: Model, own: DataFrame, key: str = "key") -> tuple[DataF
     known = model.tokens.join(F.broadcast(means), "held_out").select(F.col("held_out").alias("fold"), "token", (1 / (F.col("n") + PRIOR)).alias("w"), estimate("pair").alias("pair"), estimate("rare").alias("rare"))
     sums = _over_tokens(own, known, key, {"matched": F.count(F.lit(1)), "weight": F.sum("w"), "pair": F.sum("pair"), "rare": F.sum("rare")})
     zero = lambda c: F.coalesce(c, F.lit(0))
-    base = own.select(key, "fold").join(F.broadcast(means.withColumnRenamed("held_out", "fold")), "fold").join(sums, key, "left")
+    base = own.select(key, "fold", "tokens").join(F.broadcast(means.withColumnRenamed("held_out", "fold")), "fold").join(sums, key, "left")
     lift = lambda c: ((F.col(f"{c}_mean") + zero(c)) / (1 + zero("matched")))
-    first = base.select(key, "fold", zero("matched").alias("matched"), F.coalesce("weight", F.lit(0.0)).alias("weight"), lift("pair").alias("pair_lift"), lift("rare").alias("rare_novelty"))
+    first = base.select(key, "fold", "tokens", zero("matched").alias("matched"), F.coalesce("weight", F.lit(0.0)).alias("weight"), lift("pair").alias("pair_lift"), lift("rare").alias("rare_novelty"))
     return materialize(first, "predictions")[0], own.select(key, "fold", "tokens")
 
 
@@ -447,10 +458,9 @@ def _over_tokens(own: DataFrame, known: DataFrame, key: str, sums: dict[str, Col
 
 def name_parts(model: Model, own: DataFrame, key: str = "key") -> DataFrame:
     """key, fold, name, part of the wanted recurring names of a few cases (a name without row has part 0)."""
-    wanted = wanted_heads(model).select("fold", "name")
-    spread = own.select(key, "fold", F.explode("tokens").alias("token"))
-    parts = model.recurring.withColumnRenamed("held_out", "fold").join(_few(wanted), ["fold", "name"]).join(_few(model.tokens.select(F.col("held_out").alias("fold"), "token", "n")), ["fold", "token"]).select("fold", "token", "name", (F.col("total") / (F.col("n") + PRIOR)).alias("part"))
-    return spread.join(parts, ["fold", "token"]).groupBy(key, "fold", "name").agg(F.sum("part").alias("part"))
+    # Few cases move with their tokens; what they meet stays with them.
+    spread = own.select(key, "fold", "tokens").repartition(key).select(key, "fold", F.explode("tokens").alias("token"))
+    return spread.join(_few(model.parts), ["fold", "token"]).groupBy(key, "fold", "name").agg(F.sum("part").alias("part"))
 
 
 def token_parts(model: Model) -> DataFrame:
@@ -510,25 +520,32 @@ def greedy_selection(model: Model, predictions: tuple[DataFrame, DataFrame], quo
     becomes 1 - (1 - c) * (1 - p), and later domains get p * (1 - c) for it.
     Ties go to the smallest salted hash. quotas: fold, trigger.
 
+    Every round weighs all domains by what is still open of each name, takes the
+    pool of the best and chooses from it as long as the choice beats the best
+    domain outside; then the next round weighs again. The first choice of a
+    round is always proven, so the pool never grows.
+
     Defined cases: a fold with fewer domains than seats gives all of them; an
     empty table gives no rows; a domain without tokens has the global means.
     """
-    first, own = predictions
+    first, _ = predictions
     spark = first.sparkSession
     ensure_workers_import(spark)
-    scored = materialize(scores(model, predictions, key), "scores")[0].withColumn("_rounded", F.round("score", DECIMALS)).withColumn("_tie", salted_hash(salt, F.col(key)))
-    heads = wanted_heads(model)
-    limits = F.broadcast(model.objectives.select(F.col("held_out").alias("fold"), "pair_deficit", "name_deficit").join(quotas.select("fold", "trigger"), "fold"))
-    largest = scored.groupBy("fold").count().agg(F.max("count")).first()[0] or 0
-    columns = ["fold", key, "place", "score", "_proven"]
-    schema = f"fold int, `{key}` string, place int, score double, _proven boolean"
+    heads = materialize(wanted_heads(model), "wanted")[0]
+    sizes = first.groupBy("fold").agg(F.count(F.lit(1)).alias("_n"))
+    limits = materialize(model.objectives.select(F.col("held_out").alias("fold"), "pair_deficit", "name_deficit").join(quotas.select("fold", "trigger"), "fold").join(sizes, "fold").coalesce(1), "limits")[0]
+    left = {r["fold"]: max(0, min(int(r["trigger"]), r["_n"])) for r in limits.collect()}  # a handful of folds
+    columns = ["fold", key, "place", "score", "names", "open"]
+    schema = f"fold int, `{key}` string, place int, score double, names array<string>, open array<double>"
+    taken: list[tuple] = []
+    shares: dict[int, dict[str, float]] = {}
 
     def choose(rows: pd.DataFrame, means: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame({c: [] for c in columns})
-        bound = rows.loc[rows["_place"] == rows["_pool"] + 1, "_rounded"]
+        bound = rows.loc[rows["_place"] == pool + 1, "_rounded"]
         bound = float(bound.iloc[0]) if len(bound) else -np.inf
-        rows = rows[rows["_place"] <= rows["_pool"]].reset_index(drop=True)
+        rows = rows[rows["_place"] <= pool].reset_index(drop=True)
         number = {n: i for i, n in enumerate(means["name"])}
         spread = (1 + PRIOR * rows["weight"].to_numpy())[:, None] * means["mean"].to_numpy(float)[None, :]
         for i, (names, parts) in enumerate(zip(rows["_names"], rows["_parts"], strict=True)):
@@ -538,24 +555,56 @@ def greedy_selection(model: Model, predictions: tuple[DataFrame, DataFrame], quo
         chance = np.clip(spread / (1 + rows["matched"].to_numpy())[:, None], 0, 1)
         pair = rows["pair_lift"].to_numpy() / rows["pair_deficit"].to_numpy()
         rare, lack = rows["rare_novelty"].to_numpy(), rows["name_deficit"].to_numpy()
-        open_share, left, out = np.ones(len(number)), np.ones(len(rows), dtype=bool), []
-        for place in range(1, min(int(rows["trigger"].iloc[0]), len(rows)) + 1):
+        open_share, free, out = means["open"].to_numpy(float), np.ones(len(rows), dtype=bool), []
+        for place in range(1, min(int(rows["_seats"].iloc[0]), len(rows)) + 1):
             worth = np.round(pair + (rare + chance @ open_share) / lack, DECIMALS)
-            best = max(worth[left])
-            at = min(np.flatnonzero(left & (worth == best)), key=lambda i: rows["_tie"].iloc[i])
-            out.append((int(rows["fold"].iloc[0]), rows[key].iloc[at], place, float(best), bool(best > bound)))
-            left[at] = False
+            best = max(worth[free])
+            if out and not best > bound:
+                break
+            at = min(np.flatnonzero(free & (worth == best)), key=lambda i: rows["_tie"].iloc[i])
+            out.append([int(rows["fold"].iloc[0]), rows[key].iloc[at], place, float(best), None, None])
+            free[at] = False
             open_share = open_share * (1 - chance[at])
+        out[-1][4:] = list(means["name"]), list(open_share)
         return pd.DataFrame(out, columns=columns)
 
-    def run(pool: int) -> DataFrame:
+    while any(left.values()):
+        seats = spark.createDataFrame([(f, n) for f, n in left.items() if n], "fold int, _seats int").coalesce(1)
+        names = heads.withColumn("open", F.lit(1.0))
+        if shares:  # as many as there are wanted names
+            known = spark.createDataFrame([(f, n, x) for f, own in shares.items() for n, x in own.items()], "fold int, name string, open double")
+            names = heads.join(F.broadcast(known), ["fold", "name"], "left").withColumn("open", F.coalesce("open", F.lit(1.0)))
+        names = names.join(F.broadcast(seats.select("fold")), "fold", "left_semi")
+        domains = first.join(F.broadcast(seats.select("fold")), "fold", "left_semi")
+        if taken:
+            domains = domains.join(F.broadcast(spark.createDataFrame([(t[1],) for t in taken], f"`{key}` string")), key, "left_anti")
+        scored = _open_scores(model, domains, names, key).withColumn("_rounded", F.round("score", DECIMALS)).withColumn("_tie", salted_hash(salt, F.col(key)))
         w = Window.partitionBy("fold").orderBy(F.col("_rounded").desc(), "_tie")
-        top = scored.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= pool + 1)
-        sparse = name_parts(model, own.join(F.broadcast(top.select(key)), key, "left_semi"), key).groupBy(key).agg(F.collect_list("name").alias("_names"), F.collect_list("part").alias("_parts"))
-        rows = top.join(sparse, key, "left").join(limits, "fold").withColumn("_pool", F.lit(pool))
-        return rows.groupBy("fold").cogroup(heads.groupBy("fold")).applyInPandas(choose, schema)
+        top = materialize(scored.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= pool + 1).drop("score"), "top")[0]
+        sparse = name_parts(model, domains.join(F.broadcast(top.select(key)), key, "left_semi"), key).groupBy(key).agg(F.collect_list("name").alias("_names"), F.collect_list("part").alias("_parts"))
+        rows = top.join(sparse, key, "left").join(F.broadcast(limits.drop("_n", "trigger")), "fold").join(F.broadcast(seats), "fold")
+        for r in sorted(rows.groupBy("fold").cogroup(names.groupBy("fold")).applyInPandas(choose, schema).collect(), key=lambda r: (r["fold"], r["place"])):  # at most one row per seat
+            taken.append((r["fold"], r[key], sum(t[0] == r["fold"] for t in taken) + 1, r["score"]))
+            left[r["fold"]] -= 1
+            if r["names"] is not None:
+                shares[r["fold"]] = dict(zip(r["names"], r["open"], strict=True))
+    return spark.createDataFrame(taken, f"fold int, `{key}` string, place int, score double")
+
 
-    return _certified(run, largest, pool)
+def _open_scores(model: Model, domains: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """domains (key, fold, tokens and what is predicted) without tokens, and their score if only the open share of each name counts.
+
+    names: fold, name, mean, open. A domain moves once, with what it met.
+    """
+    of_fold = names.groupBy("fold").agg(F.sum(F.col("mean") * F.col("open")).alias("_means"))
+    known = model.parts.join(_few(names.select("fold", "name", "open")), ["fold", "name"]).groupBy("fold", "token").agg(F.sum(F.col("part") * F.col("open")).alias("_parts"))
+    own = [key, "fold", "matched", "weight", "pair_lift", "rare_novelty"]
+    met = domains.select(*own, F.explode_outer("tokens").alias("token")).join(_few(materialize(known, "known")[0]), ["fold", "token"], "left")
+    sums = met.groupBy(*own).agg(F.coalesce(F.sum("_parts"), F.lit(0.0)).alias("_parts"))
+    lacks = model.objectives.select(F.col("held_out").alias("fold"), "pair_deficit", "name_deficit")
+    joined = sums.join(F.broadcast(of_fold), "fold", "left").join(F.broadcast(lacks), "fold")
+    expected = (F.coalesce("_means", F.lit(0.0)) * (1 + PRIOR * F.col("weight")) + F.col("_parts")) / (1 + F.col("matched"))
+    return joined.select(*own, utility(F.col("pair_lift"), F.col("rare_novelty") + expected, F.col("pair_deficit"), F.col("name_deficit")).alias("score"))
 
 
 def label_aware_selection(views: DataFrame, seats: int, salt: str, key: str = "key", pool: int = FIRST_POOL) -> DataFrame:

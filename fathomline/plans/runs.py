@@ -180,10 +180,11 @@ def _detected(spark, folder) -> DataFrame:
     return ev.detector_views(e.join(revisions.select("key"), "key", "left_semi"), revisions, revision_edges(spark, folder), ["key"])
 
 
-def _packed(spark, folder) -> DataFrame:
+def _packed(spark, folder, revisions: DataFrame | None = None) -> DataFrame:
     """One row per record with the direct technologies of its views, written once."""
     e = _key(_evidence(spark, folder).withColumn("rule_id", present(F.col("rule_id")))).drop(*RECORD)
-    revisions = _snapshots(spark, folder).select("key", F.col("catalog_revision").alias("revision"))
+    if revisions is None:
+        revisions = materialize(_snapshots(spark, folder).select("key", F.col("catalog_revision").alias("revision")), "records")[0]
     return materialize(ev.packed_views(e, revisions, revision_edges(spark, folder)), "packed")[0]
 
 
@@ -199,13 +200,14 @@ def detector_views(spark, folder):
 
 def _cases(spark, folder, categorised: bool = False) -> DataFrame:
     """Cases: every record with its fold, tokens, the names of t2 and the full view, and category tokens if asked for; written once."""
-    packed = _packed(spark, folder)
+    records = _snapshots(spark, folder).select("key", ev.fold(SALT, F.col("key")).alias("fold"), (F.col("status") == "failed").alias("failed"), *[F.col(f"usage.{c}").alias(c) for c in NUMBERS], "scan_mode", F.regexp_extract("final_url", "^[a-z]+", 0).alias("scheme"), F.col("catalog_revision").alias("revision"))
+    records, _, _ = materialize(records, "records")
+    packed = _packed(spark, folder, records.select("key", "revision"))
     e = _key(_errors(spark, folder)).where(F.col("stage").isin(*{x for stages in EARLY_STAGES.values() for x in stages}))
     groups = results.diagnostics(e, ["key"])
     what = F.concat_ws(":", "stage", "code", F.col("retryable").cast("string"))
     of_views = F.filter(F.array(*[F.when(F.col("stage").isin(*stages), F.lit(v)) for v, stages in EARLY_STAGES.items()]), lambda v: v.isNotNull())
     errors = groups.select("key", F.explode(of_views).alias("view"), what.alias("what"), "n").groupBy("key").agg(F.collect_list(F.struct("view", "what", "n")).alias("errors"))
-    records = _snapshots(spark, folder).select("key", ev.fold(SALT, F.col("key")).alias("fold"), (F.col("status") == "failed").alias("failed"), *[F.col(f"usage.{c}").alias(c) for c in NUMBERS], "scan_mode", F.regexp_extract("final_url", "^[a-z]+", 0).alias("scheme"))
     rows = records.join(packed, "key", "left").join(errors, "key", "left")
     if categorised:
         cheap = packed.select("key", F.explode("t2").alias("name"))
