@@ -380,6 +380,8 @@ class Model:
         self.objectives, self.heads, self.tokens, self.cases, self.held, self.baseline = objectives, heads, tokens, cases, held, baseline
         self._recurring: DataFrame | None = None
         self._parts: DataFrame | None = None
+        self._wanted: DataFrame | None = None
+        self._packed: DataFrame | None = None
 
     @property
     def recurring(self) -> DataFrame:
@@ -396,6 +398,23 @@ class Model:
             self._parts = materialize(known.select("fold", "token", "name", (F.col("total") / (F.col("n") + PRIOR)).alias("part")), "parts")[0]
         return self._parts
 
+    @property
+    def wanted(self) -> DataFrame:
+        """The names of :func:`wanted_heads` with their number within the fold (_id)."""
+        if self._wanted is None:
+            numbered = F.row_number().over(Window.partitionBy("fold").orderBy("name")) - 1
+            self._wanted = materialize(wanted_heads(self).withColumn("_id", numbered), "wanted")[0]
+        return self._wanted
+
+    @property
+    def packed(self) -> DataFrame:
+        """fold, token, ids, values: the parts of all names that a token meets, in one row by the names' numbers."""
+        if self._packed is None:
+            known = self.parts.join(_few(self.wanted.select("fold", "name", "_id")), ["fold", "name"])
+            met = known.groupBy("fold", "token").agg(F.collect_list("_id").alias("ids"), F.collect_list("part").alias("values"))
+            self._packed = materialize(met, "packed-parts")[0]
+        return self._packed
+
 
 def train(tokens: DataFrame, views: DataFrame, folds: DataFrame, held: DataFrame | None = None, key: str = "key") -> Model:
     """Models without each held-out fold (default: every fold).
@@ -457,10 +476,25 @@ def _over_tokens(own: DataFrame, known: DataFrame, key: str, sums: dict[str, Col
 
 
 def name_parts(model: Model, own: DataFrame, key: str = "key") -> DataFrame:
-    """key, fold, name, part of the wanted recurring names of a few cases (a name without row has part 0)."""
-    # Few cases move with their tokens; what they meet stays with them.
-    spread = own.select(key, "fold", "tokens").repartition(key).select(key, "fold", F.explode("tokens").alias("token"))
-    return spread.join(_few(model.parts), ["fold", "token"]).groupBy(key, "fold", "name").agg(F.sum("part").alias("part"))
+    """key, fold, part, ids, values of a few cases: the parts of the wanted recurring names that a case meets, by their numbers, and their sum.
+
+    The cases of a fold meet its names in one task, as numbers; rows of a case,
+    token and name never exist.
+    """
+    ensure_workers_import(own.sparkSession)
+    columns = [key, "fold", "part", "ids", "values"]
+
+    def meet(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        by_token, out = dict(zip(known["token"], zip(known["ids"], known["values"], strict=True), strict=True)), []
+        for case, fold, tokens in zip(rows[key], rows["fold"], rows["tokens"], strict=True):
+            met = [by_token[t] for t in tokens if t in by_token]
+            ids = np.concatenate([m[0] for m in met]) if met else np.zeros(0, dtype=np.int32)
+            sums = np.bincount(ids, np.concatenate([m[1] for m in met]) if met else None)
+            at = np.flatnonzero(np.bincount(ids)).astype(np.int32)
+            out.append((case, fold, float(sums.sum()), at, sums[at].astype(float)))
+        return pd.DataFrame(out, columns=columns)
+
+    return own.select(key, "fold", "tokens").groupBy("fold").cogroup(model.packed.groupBy("fold")).applyInPandas(meet, f"`{key}` string, fold int, part double, ids array<int>, values array<double>")
 
 
 def token_parts(model: Model) -> DataFrame:
@@ -531,14 +565,14 @@ def greedy_selection(model: Model, predictions: tuple[DataFrame, DataFrame], quo
     first, _ = predictions
     spark = first.sparkSession
     ensure_workers_import(spark)
-    heads = materialize(wanted_heads(model), "wanted")[0]
+    heads = model.wanted
     sizes = first.groupBy("fold").agg(F.count(F.lit(1)).alias("_n"))
     limits = materialize(model.objectives.select(F.col("held_out").alias("fold"), "pair_deficit", "name_deficit").join(quotas.select("fold", "trigger"), "fold").join(sizes, "fold").coalesce(1), "limits")[0]
     left = {r["fold"]: max(0, min(int(r["trigger"]), r["_n"])) for r in limits.collect()}  # a handful of folds
-    columns = ["fold", key, "place", "score", "names", "open"]
-    schema = f"fold int, `{key}` string, place int, score double, names array<string>, open array<double>"
+    columns = ["fold", key, "place", "score", "open"]
+    schema = f"fold int, `{key}` string, place int, score double, open array<double>"
     taken: list[tuple] = []
-    shares: dict[int, dict[str, float]] = {}
+    shares: dict[int, list[float]] = {}
 
     def choose(rows: pd.DataFrame, means: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
@@ -546,13 +580,12 @@ def greedy_selection(model: Model, predictions: tuple[DataFrame, DataFrame], quo
         bound = rows.loc[rows["_place"] == pool + 1, "_rounded"]
         bound = float(bound.iloc[0]) if len(bound) else -np.inf
         rows = rows[rows["_place"] <= pool].reset_index(drop=True)
-        number = {n: i for i, n in enumerate(means["name"])}
-        spread = (1 + PRIOR * rows["weight"].to_numpy())[:, None] * means["mean"].to_numpy(float)[None, :]
-        for i, (names, parts) in enumerate(zip(rows["_names"], rows["_parts"], strict=True)):
-            for n, p in zip(names if names is not None else (), parts if parts is not None else (), strict=True):
-                if n in number:
-                    spread[i, number[n]] += p
-        chance = np.clip(spread / (1 + rows["matched"].to_numpy())[:, None], 0, 1)
+        means = means.sort_values("_id")
+        chance = np.outer(1 + PRIOR * rows["weight"].to_numpy(), means["mean"].to_numpy(float))
+        for i, (ids, values) in enumerate(zip(rows["ids"], rows["values"], strict=True)):
+            chance[i, ids] += values
+        chance /= (1 + rows["matched"].to_numpy())[:, None]
+        np.clip(chance, 0, 1, out=chance)
         pair = rows["pair_lift"].to_numpy() / rows["pair_deficit"].to_numpy()
         rare, lack = rows["rare_novelty"].to_numpy(), rows["name_deficit"].to_numpy()
         open_share, free, out = means["open"].to_numpy(float), np.ones(len(rows), dtype=bool), []
@@ -562,18 +595,18 @@ def greedy_selection(model: Model, predictions: tuple[DataFrame, DataFrame], quo
             if out and not best > bound:
                 break
             at = min(np.flatnonzero(free & (worth == best)), key=lambda i: rows["_tie"].iloc[i])
-            out.append([int(rows["fold"].iloc[0]), rows[key].iloc[at], place, float(best), None, None])
+            out.append([int(rows["fold"].iloc[0]), rows[key].iloc[at], place, float(best), None])
             free[at] = False
             open_share = open_share * (1 - chance[at])
-        out[-1][4:] = list(means["name"]), list(open_share)
+        out[-1][4] = list(open_share)
         return pd.DataFrame(out, columns=columns)
 
     while any(left.values()):
         seats = spark.createDataFrame([(f, n) for f, n in left.items() if n], "fold int, _seats int").coalesce(1)
         names = heads.withColumn("open", F.lit(1.0))
         if shares:  # as many as there are wanted names
-            known = spark.createDataFrame([(f, n, x) for f, own in shares.items() for n, x in own.items()], "fold int, name string, open double")
-            names = heads.join(F.broadcast(known), ["fold", "name"], "left").withColumn("open", F.coalesce("open", F.lit(1.0)))
+            known = spark.createDataFrame(list(shares.items()), "fold int, _open array<double>").select("fold", F.posexplode("_open").alias("_id", "open"))
+            names = heads.join(F.broadcast(known), ["fold", "_id"], "left").withColumn("open", F.coalesce("open", F.lit(1.0)))
         names = names.join(F.broadcast(seats.select("fold")), "fold", "left_semi")
         domains = first.join(F.broadcast(seats.select("fold")), "fold", "left_semi")
         if taken:
@@ -581,13 +614,13 @@ def greedy_selection(model: Model, predictions: tuple[DataFrame, DataFrame], quo
         scored = _open_scores(model, domains, names, key).withColumn("_rounded", F.round("score", DECIMALS)).withColumn("_tie", salted_hash(salt, F.col(key)))
         w = Window.partitionBy("fold").orderBy(F.col("_rounded").desc(), "_tie")
         top = materialize(scored.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= pool + 1).drop("score"), "top")[0]
-        sparse = name_parts(model, domains.join(F.broadcast(top.select(key)), key, "left_semi"), key).groupBy(key).agg(F.collect_list("name").alias("_names"), F.collect_list("part").alias("_parts"))
-        rows = top.join(sparse, key, "left").join(F.broadcast(limits.drop("_n", "trigger")), "fold").join(F.broadcast(seats), "fold")
+        sparse = name_parts(model, domains.join(F.broadcast(top.select(key)), key, "left_semi"), key).select(key, "ids", "values")
+        rows = top.join(sparse, key).join(F.broadcast(limits.drop("_n", "trigger")), "fold").join(F.broadcast(seats), "fold")
         for r in sorted(rows.groupBy("fold").cogroup(names.groupBy("fold")).applyInPandas(choose, schema).collect(), key=lambda r: (r["fold"], r["place"])):  # at most one row per seat
             taken.append((r["fold"], r[key], sum(t[0] == r["fold"] for t in taken) + 1, r["score"]))
             left[r["fold"]] -= 1
-            if r["names"] is not None:
-                shares[r["fold"]] = dict(zip(r["names"], r["open"], strict=True))
+            if r["open"] is not None:
+                shares[r["fold"]] = r["open"]
     return spark.createDataFrame(taken, f"fold int, `{key}` string, place int, score double")
 
 
