@@ -198,6 +198,11 @@ def test_names_that_a_pool_meets_never_move_as_rows(spark, monkeypatch):
     quotas = spark.createDataFrame([(0, 3), (1, 3)], "fold int, trigger int")
     monkeypatch.setattr(E, "MOST_NAMES", 0)
     before = max(written_rows(spark, -1))
-    chosen = E.greedy_selection(model, predictions, quotas, "tie").collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chosen = E.greedy_selection(model, predictions, quotas, "tie").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(chosen) == 6 and {r.key for r in chosen if r.fold == 0} == set(sorted((k for k in full if folds[k] == 0), key=lambda k: salted("tie", k))[:3])
     assert max(written_rows(spark, before).values()) < n * names
+    assert E.name_parts(model, predictions[1]).count() == n
