@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from fathomline.operators.detection import direct_detections
-from fathomline.operators.graph import relations_of, resolve, resolve_technologies, slices
+from fathomline.operators.graph import direct_names, relations_of, resolve_technologies, slices
 from fathomline.session import ensure_workers_import, materialize
 
 N_FOLDS = 5
@@ -118,26 +118,33 @@ def detector_views(evidence: DataFrame, revisions: DataFrame, edges: DataFrame,
     return resolve_technologies(direct, edges, [*record, "view"])
 
 
-def packed_views(evidence: DataFrame, revisions: DataFrame, edges: DataFrame, key: str = "key", slice_rows: int = 20_000) -> DataFrame:
+def packed_views(evidence: DataFrame, revisions: DataFrame, edges: DataFrame, key: str = "key", slice_rows: int = 20_000, spelling: Callable[[Column], Column] | None = None, deliveries: DataFrame | None = None) -> DataFrame:
     """One row per record with evidence: key and for every view the direct technologies (``t1``, ``t2``, ``full``) and their counts (``t1_stats`` and so on).
 
     What :func:`detector_views` finds, without implied technologies. evidence:
     key, technology, rule_id, confidence, collector, source, page_id. Evidence
     moves once, as numbers of its (technology, rule); a record's views are
     resolved together and equal ones once. revisions: key, revision; evidence of
-    other records is left out.
+    other records is left out. spelling: the form under which technologies and
+    rule ids are the same value (null: no value), worked out for their distinct
+    spellings alone; default: they are compared as they stand. deliveries: rows
+    with at least the technologies and rule ids of evidence that cost less to read.
     """
     spark = evidence.sparkSession
     ensure_workers_import(spark)
-    found = evidence.where(f"`{key}` IS NOT NULL AND technology IS NOT NULL AND rule_id IS NOT NULL").select(key, "technology", "rule_id", F.col("confidence").cast("int").alias("confidence"), tier(F.col("collector"), F.col("source"), F.col("page_id")).alias("_tier"))
-    pairs = found.select("technology", "rule_id").distinct().withColumn("_pair", F.row_number().over(Window.orderBy("technology", "rule_id")))
-    pairs, n_pairs, _ = materialize(pairs, "pairs")
-    known = F.broadcast(pairs) if n_pairs <= MOST_NAMES else pairs
-    slim = found.join(known, ["technology", "rule_id"]).select(key, "_pair", "confidence", "_tier").repartition(key)
+    words, same = ["technology", "rule_id"], spelling or (lambda c: c)
+    found = evidence.where(f"`{key}` IS NOT NULL").select(key, *words, F.col("confidence").cast("int").alias("confidence"), tier(F.col("collector"), F.col("source"), F.col("page_id")).alias("_tier"))
+    spelled = (evidence if deliveries is None else deliveries).select(*words).distinct().select(*words, *[same(F.col(c)).alias(f"_{c}") for c in words]).where("_technology IS NOT NULL AND _rule_id IS NOT NULL")
+    spelled, n_spelled, _ = materialize(spelled.withColumn("_pair", F.dense_rank().over(Window.orderBy("_technology", "_rule_id"))), "pairs")
+    pairs = spelled.select("_pair", F.col("_technology").alias("technology")).distinct()
+    known = spelled.select(*words, "_pair")
+    if n_spelled <= MOST_NAMES:
+        known, pairs = F.broadcast(known), F.broadcast(pairs)
+    slim = found.join(known, words).select(key, "_pair", "confidence", "_tier").repartition(key)
     views = range(1, len(VIEWS) + 1)
     per_rule = slim.groupBy(key, "_pair").agg(*[F.max(F.when(F.col("_tier") <= v, F.col("confidence"))).alias(f"_c{v}") for v in views])
     sums = [x for v in views for x in (F.least(F.lit(100), F.sum(f"_c{v}")).cast("int").alias(f"_s{v}"), F.max(f"_c{v}").alias(f"_m{v}"))]
-    per_name = per_rule.join(F.broadcast(pairs.select("_pair", "technology")) if n_pairs <= MOST_NAMES else pairs.select("_pair", "technology"), "_pair").groupBy(key, "technology").agg(*sums)
+    per_name = per_rule.join(pairs, "_pair").groupBy(key, "technology").agg(*sums)
     packed = per_name.groupBy(key).agg(F.collect_list(F.struct("technology", *[F.when(F.col(f"_m{v}") > 0, F.col(f"_s{v}")).alias(f"c{v}") for v in views])).alias("_found"))
     known_revisions = revisions.select(key, F.coalesce("revision", F.lit("")).alias("revision"))
     sizes, _, _ = materialize(slices(known_revisions, slice_rows), "slices")
@@ -155,8 +162,7 @@ def packed_views(evidence: DataFrame, revisions: DataFrame, edges: DataFrame, ke
             for v, of_view in enumerate(confidences):
                 own = {n: c for n, c in zip(names, of_view) if c is not None and c > 0}
                 if own != before:
-                    found, stats = resolve(own, relations) if own else ([], None)
-                    before, done = own, ([n for n, kind, *_ in found if kind == "direct"], stats)
+                    before, done = own, direct_names(own, relations) if own else ([], None)
                 out[1 + 2 * v].append(done[0])
                 out[2 + 2 * v].append(done[1])
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, result)], schema=result)
@@ -178,8 +184,9 @@ def power_bin(value: Column) -> Column:
 
 
 def _quoted(name: Column) -> Column:
-    """The JSON text of a name."""
-    return F.regexp_extract(F.to_json(F.array(name)), r"(?s)\A\[(.*)\]\z", 1)
+    """The JSON text of a name: that of a list of it without its brackets."""
+    text = F.to_json(F.array(name))
+    return F.substring(text, F.lit(2), F.length(text) - 2)
 
 
 def feature_tokens(names: DataFrame, states: DataFrame, errors: DataFrame, features: DataFrame, numbers: list[str], words: list[str], key: str = "key") -> DataFrame:
@@ -295,7 +302,7 @@ def name_counts(views: DataFrame, folds: DataFrame, key: str = "key") -> DataFra
 
 
 def _without(sums: DataFrame, by: list[str], held: DataFrame, columns: list[str]) -> DataFrame:
-    """Sums over all folds but the held-out one: the total minus that fold's. held: held_out (a handful of folds)."""
+    """Sums over all folds but the held-out one: the total minus that fold's. sums: a written table, it is read twice; held: held_out (a handful of folds)."""
     total = sums.groupBy(*by).agg(*[F.sum(c).alias(c) for c in columns])
     own = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("fold").alias("_fold"), *[F.col(c).alias(f"_own_{c}") for c in columns])
     on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in by], F.col("held_out") == F.col("_fold"))
@@ -317,7 +324,7 @@ def objectives(counts: DataFrame, targets: DataFrame, held: DataFrame) -> DataFr
         F.count_if((F.col("n_t2") == 0) & (F.col("n_full") == 1)).alias("rare_sum"),
     )
     per = targets.groupBy("fold").agg(F.count(F.lit(1)).alias("domains"), F.sum("target").alias("pair_sum")).withColumn("one", F.lit(1))
-    sums = _without(per, ["one"], held, ["domains", "pair_sum"])
+    sums = _without(materialize(per, "fold-sums")[0], ["one"], held, ["domains", "pair_sum"])
     deficit = lambda total, kept, percent: F.greatest(F.lit(1), ceil_share(F.col(total), percent) - F.col(kept))
     return sums.drop("one").where("domains > 0").join(names, "held_out", "left").select(
         "held_out", "domains", "pair_sum", F.coalesce("rare_sum", F.lit(0)).alias("rare_sum"), (F.col("pair_sum") / F.col("domains")).alias("pair_mean"), (F.coalesce("rare_sum", F.lit(0)) / F.col("domains")).alias("rare_mean"),
@@ -358,7 +365,7 @@ def train_tokens(cases: DataFrame, heads: DataFrame, held: DataFrame) -> DataFra
     summed in the tasks that hold their cases; a case never moves.
     """
     per_fold = cases.select("fold", F.size(F.array_except("full", "t2")).cast("long").alias("target"), F.explode("tokens").alias("token")).groupBy("fold", "token").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("pair_sum"))
-    sums = _without(per_fold, ["token"], held, ["n", "pair_sum"]).where("n > 0")
+    sums = _without(materialize(per_fold, "token-sums")[0], ["token"], held, ["n", "pair_sum"]).where("n > 0")
     rare = _named(cases, heads.where("support = 1").select("name", "held_out")).where("fold <> held_out")
     rare_sums = rare.select("held_out", F.explode("tokens").alias("token")).groupBy("held_out", "token").agg(F.count(F.lit(1)).alias("rare_sum"))
     return sums.join(rare_sums, ["held_out", "token"], "left").select("held_out", "token", "n", "pair_sum", F.coalesce("rare_sum", F.lit(0)).alias("rare_sum"))

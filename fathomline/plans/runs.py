@@ -182,10 +182,11 @@ def _detected(spark, folder) -> DataFrame:
 
 def _packed(spark, folder, revisions: DataFrame | None = None) -> DataFrame:
     """One row per record with the direct technologies of its views, written once."""
-    e = _key(_evidence(spark, folder).withColumn("rule_id", present(F.col("rule_id")))).drop(*RECORD)
+    rows = read_table(spark, folder, "evidence")
+    e = _key(results.latest_in_place(rows, ["evidence_id"])).drop(*RECORD)
     if revisions is None:
         revisions = materialize(_snapshots(spark, folder).select("key", F.col("catalog_revision").alias("revision")), "records")[0]
-    return materialize(ev.packed_views(e, revisions, revision_edges(spark, folder)), "packed")[0]
+    return materialize(ev.packed_views(e, revisions, revision_edges(spark, folder), spelling=present, deliveries=rows), "packed")[0]
 
 
 def _views(spark, folder) -> DataFrame:
